@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "packing", "templates", "quality", "simhash")
+MODULES = ("mixing", "packing", "warc", "templates", "toxicity", "quality", "suffix", "langid", "simhash", "topk")
 
 
 def queries() -> dict:
