@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,15 @@ CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 #: Labelled rows to fit on, an expected number; words per category; folds; ridge penalty; documents a word must be in.
 ROWS, WORDS, FOLDS, RIDGE, MIN_DOCS = 8000, 256, 5, 1.0, 4
 WORD = re.compile(r"[^\W\d_]+")
+#: Lengths of the word beginnings that are features too: languages that compound and inflect share stems, not words.
+STEMS = (4, 5, 6, 7)
+#: Probability of the last category from which a document is flagged.
+THRESHOLD = 0.3
+
+
+def with_stems(words: set[str]) -> set[str]:
+    """The words, and their beginnings marked by a hyphen."""
+    return words.union(*[{f"{w[:n]}-" for w in words if len(w) > n} for n in STEMS])
 
 
 def words_in(text: str | None) -> set[str]:
@@ -53,9 +63,13 @@ class Chain:
     weights: list[np.ndarray]
 
     def features(self, sets: list[set[str]]) -> np.ndarray:
+        """Of sets of plain words: which of the chain's words and stems each holds."""
         x = np.zeros((len(sets), len(self.words)))
+        stems = {n: {w[:-1]: i for w, i in self.words.items() if w[-1] == "-" and len(w) == n + 1} for n in STEMS}
         for k, s in enumerate(sets):
             x[k, [self.words[w] for w in self.words.keys() & s]] = 1.0
+            for n, own in stems.items():
+                x[k, [own[w] for w in own.keys() & {w[:n] for w in s if len(w) > n}]] = 1.0
         return x
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -68,15 +82,16 @@ class Chain:
 
 def pick_words(sets: list[set[str]], labels: np.ndarray, most: int, min_docs: int) -> dict[str, int]:
     """For each category the words whose presence differs most between its documents and the others, in standard errors."""
-    seen: dict[str, np.ndarray] = {}
+    kinds = np.unique(labels, axis=0)
+    counters = [Counter() for _ in kinds]
     for s, y in zip(sets, labels, strict=True):
-        own = np.append(y, 1.0)
-        for w in s:
-            seen[w] = seen[w] + own if w in seen else own
-    names = sorted(w for w, c in seen.items() if c[-1] >= min_docs)
+        counters[int(np.flatnonzero((kinds == y).all(axis=1))[0])].update(s)
+    total = sum(counters, Counter())
+    names = sorted(w for w, c in total.items() if c >= min_docs)
     if not names:
         return {}
-    counts = np.array([seen[w] for w in names])
+    by_kind = np.array([[c[w] for c in counters] for w in names], "float64")
+    counts = np.hstack([by_kind @ kinds, by_kind.sum(axis=1, keepdims=True)])
     n, chosen = len(sets), set()
     for k in range(labels.shape[1]):
         pos = labels[:, k].sum()
@@ -88,7 +103,7 @@ def pick_words(sets: list[set[str]], labels: np.ndarray, most: int, min_docs: in
 
 def fit_chain(ids: list[int], sets: list[set[str]], labels: np.ndarray, names: list[str], folds: int = FOLDS, most: int = WORDS, ridge: float = RIDGE, min_docs: int = MIN_DOCS) -> Chain:
     """Later models are trained on out-of-fold probabilities of earlier ones: each comes from a model that has not seen its row."""
-    chain = Chain(names, pick_words(sets, labels, most, min_docs), [])
+    chain = Chain(names, pick_words([with_stems(s) for s in sets], labels, most, min_docs), [])
     x = chain.features(sets)
     fold = np.array([(i * 2654435761 >> 7) % folds for i in ids])
     done = np.zeros((len(sets), 0))
@@ -118,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int =
     return fit_chain([r["_id"] for r in found], [set(r["_w"] or ()) for r in found], y, [n for n, *_ in chain])
 
 
-def predict(docs: DataFrame, model: Chain, threshold: float = 0.5) -> DataFrame:
+def predict(docs: DataFrame, model: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, p_<category> of each category of the chain, and whether the last one's reaches ``threshold`` (named after it).
 
     Null and empty texts are scored as texts without words; null ids and repeated rows come back each; extra columns are ignored;
