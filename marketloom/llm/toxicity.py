@@ -19,7 +19,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features too: languages that compound and inflect share stems, not words.
 STEMS = (4, 5, 6, 7)
 #: Probability of the last category from which a document is flagged.
-THRESHOLD = 0.3
+THRESHOLD = 0.5
 
 
 def with_stems(words: set[str]) -> set[str]:
