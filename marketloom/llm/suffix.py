@@ -101,10 +101,12 @@ def _runs(length: int, first: int):
     """Tasks name positions, settle what repeats within the task, and send one row per run that is left."""
 
     def settle(found: list[dict]) -> pa.RecordBatch:
-        f = {k: np.concatenate([x[k] for x in found]) for k in found[0]}
-        order = np.lexsort((f["lo"], f["doc"], f["context"], f["rank"]))
-        f = {k: v[order] for k, v in f.items()}
+        whole = {k: np.concatenate([x[k] for x in found]) for k in found[0]}
+        order = np.lexsort((whole["lo"], whole["doc"], whole["context"], whole["rank"]))
+        f = {k: v[order] for k, v in whole.items()}
         _, done = later([f["rank"], f["context"]], f["doc"], f["lo"])
+        settled = np.zeros(len(order), bool)
+        settled[order] = done
         old = {k: v[done] for k, v in f.items()}
         order = np.lexsort((old["lo"], old["key"], old["doc"]))
         old = {k: v[order] for k, v in old.items()}
@@ -113,11 +115,10 @@ def _runs(length: int, first: int):
         head = np.flatnonzero(new)
         merged = {k: v[head] for k, v in old.items()} | {"hi": old["hi"][np.append(head[1:], len(order)) - 1] if len(order) else old["hi"]}
         merged["rank"] = pair(merged["doc"].astype("u8"), merged["lo"].astype("u8"))
-        live = {k: v[~done] for k, v in f.items()}
-        both = {k: np.concatenate([live[k], merged[k]]) for k in live}
-        both["done"] = np.repeat([False, True], [len(live["lo"]), len(merged["lo"])])
-        cols = [both["rank"].view("i8"), both["context"].view("i8"), both["doc"], both["key"], both["lo"].astype("i4"), both["hi"].astype("i4"), both["done"]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rank", "context", "doc", "key", "lo", "hi", "done"])
+        live = {k: v[~settled] for k, v in whole.items()}  # in the order of the texts, which compresses well
+        place = [live["lo"] << 32 | live["hi"], -1 - (merged["lo"] << 32 | merged["hi"])]
+        both = [np.concatenate([live[k], merged[k]]) for k in ("rank", "context", "doc", "key")]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (both[0].view("i8"), both[1].view("i8"), *both[2:], np.concatenate(place))], ["rank", "context", "doc", "key", "place"])
 
     def run(batches):
         found, held = [], 0
@@ -145,20 +146,26 @@ def _runs(length: int, first: int):
 
 
 def _compare(batches):
-    """Of runs sorted by rank and context: repeated ones, and the first of each context where a rank has several contexts."""
+    """Of runs sorted by rank and context: repeated ones, and the first of each context where a rank has several contexts.
+
+    A place holds the first and last start; one below zero belongs to a run that its task has settled as repeated."""
     for f in _whole_groups(batches, "rank"):
+        settled = f["place"] < 0
+        place = np.where(settled, -1 - f["place"], f["place"])
+        f |= {"lo": (place >> 32).astype("i4"), "hi": (place & 0xFFFFFFFF).astype("i4")}
         new, repeated = later([f["rank"], f["context"]], f["doc"], f["lo"])
         head = np.concatenate([[True], f["rank"][1:] != f["rank"][:-1]])
         group = np.cumsum(head) - 1
         several = np.bincount(group, weights=new)[group] > 1
-        repeated |= f["done"]
+        repeated |= settled
         pick = repeated | several
         if pick.any():
             yield pa.RecordBatch.from_arrays([pa.array(f[c][pick]) for c in ("doc", "key", "lo", "hi")] + [pa.array(repeated[pick])], ["doc", "key", "lo", "hi", "repeated"])
 
 
 def _expand(length: int, first: int):
-    """The ranks of all strings of the runs that are still open, from the texts."""
+    """The ranks of all strings of the runs that are still open, from the texts. check: half the rank of the string's last bytes,
+    and the text's key."""
 
     def run(batches):
         for batch in batches:
@@ -169,10 +176,11 @@ def _expand(length: int, first: int):
                 for lo, hi in zip(spans.field("lo").to_pylist(), spans.field("hi").to_pylist(), strict=True):
                     r = ranks(data[lo : hi + length], (first, length))
                     n = hi - lo + 1
-                    out.append((r[length][:n], r[first][length - first : length - first + n], np.full(n, docs[k]), np.full(n, keys[k]), np.arange(lo, hi + 1, dtype="i4")))
+                    tail = r[first][length - first : length - first + n] & np.uint64(0xFFFFFFFF00000000)
+                    out.append((r[length][:n].view("i8"), tail.view("i8") | (int(keys[k]) & 0xFFFFFFFF), np.full(n, docs[k]), np.arange(lo, hi + 1, dtype="i4")))
                 if out and (k == len(docs) - 1 or len(out) > 5000):
                     a = [np.concatenate(x) for x in zip(*out, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[0].view("i8"), a[1].view("i8"), *a[2:])], ["rank", "tail", "doc", "key", "lo"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in a], ["rank", "check", "doc", "lo"])
                     out = []
 
     return run
@@ -181,10 +189,16 @@ def _expand(length: int, first: int):
 def _repeats(batches):
     """Of single strings sorted by rank: those that start earlier elsewhere, neighbours in a text as one."""
     for f in _whole_groups(batches, "rank"):
-        _, repeated = later([f["rank"], f["tail"]], f["doc"], f["lo"])
+        tail, order = f["check"] >> 32, np.arange(len(f["lo"]))
+        mixed = np.flatnonzero((f["rank"][1:] == f["rank"][:-1]) & (tail[1:] != tail[:-1]))
+        if len(mixed):  # two strings share a rank
+            order = np.lexsort((f["lo"], f["doc"], tail, f["rank"]))
+        f, tail = {n: c[order] for n, c in f.items()}, tail[order]
+        _, repeated = later([f["rank"], tail], f["doc"], f["lo"])
         if repeated.any():
-            cols = [pa.array(f[c][repeated]) for c in ("doc", "key", "lo")]
-            yield pa.RecordBatch.from_arrays([*cols, cols[2]], ["doc", "key", "lo", "hi"])
+            key = (f["check"][repeated] & 0xFFFFFFFF).astype("u4").view("i4")
+            lo = pa.array(f["lo"][repeated])
+            yield pa.RecordBatch.from_arrays([pa.array(f["doc"][repeated]), pa.array(key), lo, lo], ["doc", "key", "lo", "hi"])
 
 
 def _cut(length: int, keep_text: bool):
@@ -217,12 +231,12 @@ def _cut(length: int, keep_text: bool):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:
     """_doc, _key, lo, hi: runs of starts of strings of ``length`` bytes that also start earlier; rows may overlap."""
     keyed = _keyed(docs)
-    runs = keyed.mapInArrow(_runs(length, first), "rank long, context long, doc long, key int, lo int, hi int, done boolean")
-    runs = runs.repartition("rank").sortWithinPartitions("rank", "context", "doc", "lo")
+    runs = keyed.mapInArrow(_runs(length, first), "rank long, context long, doc long, key int, place long")
+    runs = runs.repartition("rank").sortWithinPartitions("rank", "context", "doc", "place")
     found = materialize(runs.mapInArrow(_compare, "doc long, key int, lo int, hi int, repeated boolean"), "runs")
     still = found.where("NOT repeated").groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    strings = keyed.join(still, ["_doc", "_key"]).select("_doc", "_key", "_text", "spans").mapInArrow(_expand(length, first), "rank long, tail long, doc long, key int, lo int")
-    strings = strings.repartition("rank").sortWithinPartitions("rank", "tail", "doc", "lo").mapInArrow(_repeats, "doc long, key int, lo int, hi int")
+    strings = keyed.join(still, ["_doc", "_key"]).select("_doc", "_key", "_text", "spans").mapInArrow(_expand(length, first), "rank long, check long, doc long, lo int")
+    strings = strings.repartition("rank").sortWithinPartitions("rank", "doc", "lo").mapInArrow(_repeats, "doc long, key int, lo int, hi int")
     return found.where("repeated").select("doc", "key", "lo", "hi").union(strings).toDF("_doc", "_key", "lo", "hi")
 
 
