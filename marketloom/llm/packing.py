@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from marketloom.session import materialize
 CAPACITY = 4096
 END_ID = 1
 #: Words that a worker remembers the tokens of; then it forgets them all.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -26,6 +27,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word of Latin letters with marks behind it, which the tokenizer cuts where the marks begin.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
 class WordTokens:
     """Token ids of words as little-endian bytes. The tokenizer splits at white space, so a text's ids are those of its words."""
 
@@ -33,17 +38,43 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok, self.seen = Tokenizer.from_file(path), {}
+        self.tok = Tokenizer.from_file(path)
+        self.seen: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Letters and marks of plain words are remembered apart. Letters go to the tokenizer some hundred words at a time, and
+        are told apart by the tokens that close a word."""
+        cut = [m.groups() if (m := PLAIN.fullmatch(w)) else None for w in words]
+        parts = self.parts
+        new = list({c[0].lower() for c in cut if c}.difference(parts))
+        groups = [new[k : k + 400] for k in range(0, len(new), 400)]
+        for group, ids in zip(groups, self.ids([" ".join(g) for g in groups]), strict=True):
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) == len(group):
+                raw, at = ids.tobytes(), 0
+                for w, to in zip(group, ends.tolist(), strict=True):
+                    parts[w], at = raw[at:to], to
+        marks = [*{c[1] for c in cut if c}.difference(parts), *(w for w in new if w not in parts)]
+        parts.update(zip(marks, (x.tobytes() for x in self.ids(marks)), strict=True))
+        rest = [w for w, c in zip(words, cut, strict=True) if not c]
+        self.seen.update(zip(rest, (x.tobytes() for x in self.ids(rest)), strict=True))
+        self.seen.update((w, parts[c[0].lower()] + parts[c[1]]) for w, c in zip(words, cut, strict=True) if c)
 
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-        new = list({w for words in split for w in words}.difference(self.seen))
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
+        for cache in (self.seen, self.parts):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+        new = list(set().union(*split).difference(self.seen))
+        for k in range(0, len(new), 40_000):
+            self.learn(new[k : k + 40_000])
         return [b"".join(map(self.seen.__getitem__, words)) for words in split]
 
 
