@@ -226,13 +226,13 @@ def k37(v):
     return k.select("user_id", r6(score).alias("score"))
 
 
-@Q.add("K42_economics", "SELECT id, round(size * 1.03 + 2, 6) AS landed_cost, round(price * 0.85 - 3 - (size * 1.03 + 2) - price * 0.1, 6) AS margin, round((price * 0.85 - 3 - (size * 1.03 + 2) - price * 0.1) / price, 6) AS margin_rate, round((price * 0.85 - 3 - (size * 1.03 + 2)) / price, 6) AS break_even_acos FROM listing")
+@Q.add("K42_economics", "SELECT id, round(size * 1.03::DOUBLE + 2, 6) AS landed_cost, round(price * 0.85 - 3 - (size * 1.03 + 2) - price * 0.1, 6) AS margin, round((price * 0.85 - 3 - (size * 1.03 + 2) - price * 0.1) / price, 6) AS margin_rate, round((price * 0.85 - 3 - (size * 1.03 + 2)) / price, 6) AS break_even_acos FROM listing")
 def k42(v):
     e = S.unit_economics(F.col("price"), F.col("size").cast("double"), F.lit(3.0), F.lit(2.0))
     return v.parts.select("id", *[r6(c).alias(n) for n, c in e.items()])
 
 
-@Q.add("K43_landed_cost", "SELECT round(median(size * 1.03 + 2), 6) AS landed, round(median(price * 0.85 - 3 - (size * 1.03 + 2)), 6) AS headroom, round(min((price * 0.75 - 5) / 1.03), 6) AS least_max_fob FROM listing")
+@Q.add("K43_landed_cost", "SELECT round(median(size * 1.03::DOUBLE + 2), 6) AS landed, round(median(price * 0.85 - 3 - (size * 1.03::DOUBLE + 2)), 6) AS headroom, round(min((price * 0.75 - 5) / 1.03), 6) AS least_max_fob FROM listing")
 def k43(v):
     landed = F.col("size") * 1.03 + 2
     return v.parts.agg(r6(F.median(landed)).alias("landed"), r6(F.median(F.col("price") * 0.85 - 3 - landed)).alias("headroom"), r6(F.min((F.col("price") * 0.75 - 5) / 1.03)).alias("least_max_fob"))
