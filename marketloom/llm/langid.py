@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 #: Training documents a language at most, an expected number: a hash of the id decides. Rounds of expectation maximisation.
 SAMPLE, ROUNDS = 1500, 3
 #: Bytes of the longest piece that is used, words that a worker remembers, and the probability mass added to every piece.
-LONGEST, CACHE_WORDS, SMOOTH = 10, 400_000, 0.1
+LONGEST, CACHE_WORDS, SMOOTH = 8, 400_000, 0.1
 UNKNOWN = "und"
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -30,20 +31,37 @@ def load_pieces(path: str) -> dict[bytes, int]:
     return {p: i for p, i in found.items() if len(p) <= LONGEST}
 
 
-def spans(words: list[bytes], pieces: dict[bytes, int]) -> tuple[np.ndarray, ...]:
+def as_numbers(pieces: dict[bytes, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the sorted big-endian numbers of the pieces and of all beginnings of longer ones, with piece ids (-1 for a
+    mere beginning): where a length is not found, no longer piece stands."""
+    found = {p[:n]: -1 for p in pieces for n in range(1, len(p))} | pieces
+    out = []
+    for n in range(1, LONGEST + 1):
+        own = sorted((int.from_bytes(p, "big"), i) for p, i in found.items() if len(p) == n)
+        out.append((np.array([c for c, _ in own], "u8"), np.array([i for _, i in own], "i8")))
+    return out
+
+
+def spans(words: list[bytes], tree: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
     """word, begin, end, piece of every place where a piece stands in a word."""
-    word, begin, end, piece = [], [], [], []
-    get = pieces.get
-    for k, w in enumerate(words):
-        for i in range(len(w)):
-            for j in range(i + 1, min(i + LONGEST, len(w)) + 1):
-                p = get(w[i:j])
-                if p is not None:
-                    word.append(k)
-                    begin.append(i)
-                    end.append(j)
-                    piece.append(p)
-    return tuple(np.array(x, "int64") for x in (word, begin, end, piece))
+    sizes = np.fromiter(map(len, words), "i8", len(words))
+    flat = b"".join(words)
+    word = np.repeat(np.arange(len(words)), sizes)
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))
+    codes = np.ndarray((len(flat),), ">u8", flat + bytes(8), strides=(1,)).astype("u8")
+    at, out = np.arange(len(flat)), []
+    for n, (known, ids) in enumerate(tree, 1):
+        at = at[left[at] >= n]
+        if not len(known) or not len(at):
+            break
+        code = codes[at] >> np.uint64(64 - 8 * n)
+        k = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        hit = known[k] == code
+        at, piece = at[hit], ids[k[hit]]
+        own, piece = at[piece >= 0], piece[piece >= 0]
+        out.append((word[own], own - start[own], own - start[own] + n, piece))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, "i8") for _ in range(4))
 
 
 def forward(words: list[bytes], found: tuple[np.ndarray, ...], prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +91,8 @@ def forward(words: list[bytes], found: tuple[np.ndarray, ...], prob: np.ndarray)
 
 
 def words_of(text: str) -> list[bytes]:
-    """Lower-case words with the space before them, as the vocabulary writes them."""
-    return [b" " + w for w in text.lower().encode("utf-8", "surrogatepass").split()]
+    """Lower-case words without marks around them, with the space before them, as the vocabulary writes them."""
+    return [b" " + w for word in text.lower().encode("utf-8", "surrogatepass").split() if (w := word.strip(MARKS))]
 
 
 def cut_long(words: list[bytes]) -> list[bytes]:
@@ -84,11 +102,11 @@ def cut_long(words: list[bytes]) -> list[bytes]:
 
 def fit_pieces(counts: list[dict[bytes, int]], pieces: dict[bytes, int], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities (piece x language) from word counts of each language, by expectation maximisation over segmentations."""
-    words = sorted({w for c in counts for w in c})
+    words, tree = sorted({w for c in counts for w in c}), as_numbers(pieces)
     weight = np.array([[c.get(w, 0) for c in counts] for w in words], "float64").reshape(len(words), len(counts))
     size = max(pieces.values()) + 1
     prob = np.zeros((size, len(counts)))
-    found = [(part, spans(part, pieces), weight[k : k + 20_000]) for k in range(0, len(words), 20_000) for part in [words[k : k + 20_000]]]
+    found = [(part, spans(part, tree), weight[k : k + 20_000]) for k in range(0, len(words), 20_000) for part in [words[k : k + 20_000]]]
     for _, (word, _, _, piece), w in found:
         np.add.at(prob, piece, w[word])
     length = np.zeros(size)
@@ -153,7 +171,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE,
     counts = words.groupBy("lang", "word").count().where("count > 1").collect()
     by = {lang: {} for lang in langs}
     for r in counts:
-        for w in cut_long([b" " + r["word"].encode("utf-8")]):
+        for w in cut_long(words_of(r["word"])):
             by[r["lang"]][w] = by[r["lang"]].get(w, 0) + r["count"]
     return langs, fit_pieces([by[x] for x in langs], pieces, rounds), pieces
 
@@ -167,6 +185,7 @@ def identify(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPL
     when no document has a language to learn from. Null ids are scored too; an empty table gives an empty one.
     """
     langs, prob, pieces = train(docs, vocabulary, sample, rounds)
+    tree = as_numbers(pieces)
     cache: dict[bytes, int] = {}
     table = [np.zeros((0, len(langs)))]
 
@@ -180,7 +199,7 @@ def identify(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPL
         for k in range(0, len(new), 10_000):
             part = [w[:40] for w in new[k : k + 10_000]]
             cache.update(zip(new[k : k + 10_000], range(len(cache), len(cache) + len(part)), strict=True))
-            table[0] = np.concatenate([table[0], forward(part, spans(part, pieces), prob)[0]])
+            table[0] = np.concatenate([table[0], forward(part, spans(part, tree), prob)[0]])
         return [table[0][np.fromiter(map(cache.__getitem__, words), "int64", len(words))].sum(axis=0) for words in texts]
 
     def run(batches):

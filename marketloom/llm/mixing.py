@@ -80,12 +80,11 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = MAX_COPIES, s
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as ``mix_plan`` takes it, with the columns of ``docs``."""
-    plan = mix_plan(docs, weights, cap, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").distinct()
-    plan = plan.withColumnRenamed("copies", "_copies")
-    keyed = docs.withColumn("_words", n_words(F.col("text").cast("string")))
-    on = keyed["doc_id"].eqNullSafe(plan["_id"]) & keyed["source"].cast("string").eqNullSafe(plan["_source"]) & (keyed["_words"] == plan["_size"])
-    out = keyed.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    plan = mix_plan(docs, weights, cap, seed).where("copies > 0").select("doc_id", "source", "size", "copies").distinct()
+    keyed = docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), n_words(F.col("text").cast("string")).alias("_size"))
+    on = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))
+    each = keyed.join(plan, on).select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("whole.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

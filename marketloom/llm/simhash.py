@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, most: int = MAX_BITS, shingle: int = SHINGL
 def keep_representatives(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """The row of ``docs`` of each component whose id is the component's; rows with a null id stay, of repeated rows one stays."""
     heads = near_duplicates(docs, most).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(heads, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    known = docs.join(heads, docs["doc_id"] == heads["_id"], "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -14,6 +14,7 @@ SIMILARITY = 0.7
 #: Documents in which a template recurs.
 MIN_DOCS = 10
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 FIELD = "<*>"
 
 
@@ -22,9 +23,13 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_key"))
     df = df.select("_id", "_key", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
-    masked = F.transform(F.filter(F.split("_line", SPACE), lambda t: t != ""), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
-    df = df.withColumn("masked", masked).where(F.size("masked") > 0)
-    return df.withColumn("leaf", F.xxhash64(F.size("masked"), F.slice("masked", 1, depth))).withColumn("form", F.xxhash64("masked")).drop("_line")
+    line = F.btrim("_line", F.lit(BLANKS))
+    line = F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, SPACE, " ")).otherwise(line)
+    df = df.withColumn("_line", line).where("_line <> ''")
+    masked = F.when(F.col("_line").rlike("[0-9]"), F.regexp_replace("_line", r"[^\x20]*[0-9][^\x20]*", FIELD)).otherwise(F.col("_line"))
+    df = df.withColumn("masked", masked)
+    size = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
+    return df.withColumn("leaf", F.xxhash64(size, F.substring_index("masked", " ", depth))).withColumn("form", F.xxhash64("masked")).drop("_line")
 
 
 def leaf_templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
@@ -41,13 +46,13 @@ def leaf_templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: fl
         return forms.select("leaf", "form").limit(0)
     own = _lines(docs, depth).select("leaf", "form", "masked").join(busy.select("leaf"), "leaf", "left_semi").distinct()
     own = materialize(own, "forms")
-    tokens = own.select("leaf", "form", F.posexplode("masked").alias("at", "token"))
+    tokens = own.select("leaf", "form", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     counts = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("leaf", "at").agg(F.min(F.struct(-F.col("n"), "token")).alias("best"))
     top = top.join(busy, "leaf").where(-2 * F.col("best.col1") >= F.col("forms")).select("leaf", "at", F.col("best.token").alias("token"))
     top = materialize(top, "fixed")
     hits = tokens.join(top, ["leaf", "at", "token"]).groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.join(own.select("leaf", "form", F.size("masked").alias("size")), ["leaf", "form"]).where(F.col("hits") >= similarity * F.col("size")).select("leaf", "form")
+    return hits.join(own.select("leaf", "form", F.size(F.split("masked", " ")).alias("size")), ["leaf", "form"]).where(F.col("hits") >= similarity * F.col("size")).select("leaf", "form")
 
 
 def template_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -69,18 +74,18 @@ def drop_template_lines(docs: DataFrame, depth: int = DEPTH, similarity: float =
     positions whose token varies become fields too, and lines close to that template are its instances; other lines are their
     own. A template that ``min_docs`` documents hold is dropped everywhere but in the document with the smallest id, so that
     text which copies share survives once. Lines without a token stay. Null text stays null, with 0 lines; null ids come last;
-    rows with equal id and text are one document; columns of ``docs`` are kept, whatever their names but n_lines and n_dropped.
+    rows with equal id and text are one document; columns of ``docs`` are kept, but for
+    ones called n_lines and n_dropped, which are replaced. An empty table gives an empty one.
     """
     drop = template_lines(docs, depth, similarity, min_docs)
-    text = docs["text"].cast("string")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(text, F.lit("")))).withColumn("_row", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    gone = drop.select(F.col("_id").alias("_row"), "_key", "lines")
-    out = keyed.join(gone, ["_row", "_key"], "left")
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.struct("*").alias("whole"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_key"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"))
+    out = keyed.join(drop, ["_id", "_key"], "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda l, i: ~F.array_contains("lines", i)), "\n")
     n_lines = F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
     new = F.when(F.col("lines").isNull(), F.col("text")).otherwise(left)
-    out = out.withColumn("n_lines", n_lines).withColumn("n_dropped", F.coalesce(F.size("lines"), F.lit(0)).cast("long")).withColumn("text", new)
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    kept = [new.alias("text") if c == "text" else F.col(f"whole.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*kept, n_lines.alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op4_line_templates(spark, sf_dir: str) -> DataFrame:

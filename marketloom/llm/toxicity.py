@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 #: The chain, in order: a category's name and the label value that means it.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 #: Labelled rows to fit on, an expected number; words per category; folds; ridge penalty; documents a word must be in.
-ROWS, WORDS, FOLDS, RIDGE, MIN_DOCS = 8000, 256, 5, 1.0, 4
+ROWS, WORDS, FOLDS, RIDGE, MIN_DOCS = 6000, 224, 5, 1.0, 4
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features too: languages that compound and inflect share stems, not words.
 STEMS = (4, 5, 6, 7)
@@ -22,11 +21,6 @@ STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.5
 
 
-def with_stems(words: set[str]) -> set[str]:
-    """The words, and their beginnings marked by a hyphen."""
-    return words.union(*[{f"{w[:n]}-" for w in words if len(w) > n} for n in STEMS])
-
-
 def words_in(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
@@ -45,7 +39,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12
         p = sigmoid(x @ w)
         step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
         w += step * min(1.0, 8 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -80,36 +74,43 @@ class Chain:
         return done
 
 
-def pick_words(sets: list[set[str]], labels: np.ndarray, most: int, min_docs: int) -> dict[str, int]:
-    """For each category the words whose presence differs most between its documents and the others, in standard errors."""
-    kinds = np.unique(labels, axis=0)
-    counters = [Counter() for _ in kinds]
-    for s, y in zip(sets, labels, strict=True):
-        counters[int(np.flatnonzero((kinds == y).all(axis=1))[0])].update(s)
-    total = sum(counters, Counter())
-    names = sorted(w for w, c in total.items() if c >= min_docs)
-    if not names:
-        return {}
-    by_kind = np.array([[c[w] for c in counters] for w in names], "float64")
-    counts = np.hstack([by_kind @ kinds, by_kind.sum(axis=1, keepdims=True)])
-    n, chosen = len(sets), set()
-    for k in range(labels.shape[1]):
-        pos = labels[:, k].sum()
-        rate = counts[:, -1] / n
-        z = (counts[:, k] - pos * rate) / np.sqrt(np.maximum(pos * (1 - pos / n) * rate * (1 - rate), 1e-9))
-        chosen |= {names[i] for i in np.lexsort((np.arange(len(names)), -np.abs(z)))[:most]}
-    return {w: i for i, w in enumerate(sorted(chosen))}
-
-
-def fit_chain(ids: list[int], sets: list[set[str]], labels: np.ndarray, names: list[str], folds: int = FOLDS, most: int = WORDS, ridge: float = RIDGE, min_docs: int = MIN_DOCS) -> Chain:
+def labelled(docs: DataFrame, labels: DataFrame, chain: tuple, rows: int) -> DataFrame:
+    """_id, _text, _y0, _y1, ... of about ``rows`` labelled documents, chosen by a hash of the id; that bound is also why their
+    labels are broadcast. A document labelled twice has a category if one of its labels says so."""
+    known = labels.where(F.col("doc_id").isNotNull())
+    for _, column, _ in chain:
+        known = known.where(F.col(column).isNotNull())
+    known = known.groupBy("doc_id").agg(*[F.max((F.col(c) == v).cast("double")).alias(f"_y{k}") for k, (_, c, v) in enumerate(chain)])
+    share = int(min(1.0, rows / max(1, labels.count())) * 1_000_000)
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("labels")), F.lit(1_000_000)) < share).withColumnRenamed("doc_id", "_id")
+    return docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).drop("doc_id")
+
+
+def pick_words(known: DataFrame, categories: int, most: int = WORDS, min_docs: int = MIN_DOCS) -> list[str]:
+    """For each category the ``most`` words and stems (marked by a hyphen) whose presence differs most between its documents and
+    the others, in standard errors. Spark counts them; the driver gets the chosen ones."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"(\p{L}+)"), 1))
+    stem = lambda n: F.transform(F.filter(F.col("_w"), lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("-")))
+    ys = [f"_y{k}" for k in range(categories)]
+    own = known.select(words.alias("_w"), *ys).select(F.explode(F.array_distinct(F.concat("_w", *[stem(n) for n in STEMS]))).alias("word"), *ys)
+    counts = own.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).where(F.col("n") >= min_docs)
+    total = known.agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
+    chosen: set[str] = set()
+    for y in ys if total["n"] else []:
+        rate, share = F.col("n") / total["n"], (total[y] or 0.0) / total["n"]
+        z = F.abs(F.col(y) - total[y] * rate) / F.sqrt(F.greatest(total[y] * (1 - share) * rate * (1 - rate), F.lit(1e-9)))
+        chosen |= {r["word"] for r in counts.orderBy(z.desc(), "word").limit(most).select("word").collect()}
+    return sorted(chosen)
+
+
+def fit_chain(ids: list[int], x: np.ndarray, labels: np.ndarray, names: list[str], words: dict[str, int], folds: int = FOLDS, ridge: float = RIDGE) -> Chain:
     """Later models are trained on out-of-fold probabilities of earlier ones: each comes from a model that has not seen its row."""
-    chain = Chain(names, pick_words([with_stems(s) for s in sets], labels, most, min_docs), [])
-    x = chain.features(sets)
+    chain = Chain(names, words, [])
     fold = np.array([(i * 2654435761 >> 7) % folds for i in ids])
-    done = np.zeros((len(sets), 0))
+    done = np.zeros((len(ids), 0))
     for k in range(len(names)):
-        have, out = np.hstack([x, done]), np.zeros(len(sets))
-        for f in range(folds):
+        have, out = np.hstack([x, done]), np.zeros(len(ids))
+        for f in range(folds if k + 1 < len(names) else 0):
             own = fold == f
             w = logistic(have[~own], labels[~own, k], ridge) if (~own).any() else np.zeros(have.shape[1] + 1)
             out[own] = sigmoid(have[own] @ w[:-1] + w[-1])
@@ -119,18 +120,24 @@ def fit_chain(ids: list[int], sets: list[set[str]], labels: np.ndarray, names: l
 
 
 def train(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = ROWS) -> Chain:
-    """Fits on about ``rows`` labelled documents, chosen by a hash of the id; that bound is also why their labels are broadcast."""
-    known = labels.where(F.col("doc_id").isNotNull())
-    for _, column, _ in chain:
-        known = known.where(F.col(column).isNotNull())
-    known = known.groupBy("doc_id").agg(*[F.max((F.col(c) == v).cast("double")).alias(f"_y{k}") for k, (_, c, v) in enumerate(chain)])
-    share = int(min(1.0, rows / max(1, labels.count())) * 1_000_000)
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("labels")), F.lit(1_000_000)) < share).withColumnRenamed("doc_id", "_id")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"(\p{L}+)"), 1))
-    found = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", words.alias("_w"), *[f"_y{k}" for k in range(len(chain))]).collect()
-    found.sort(key=lambda r: r["_id"])
-    y = np.array([[r[f"_y{k}"] for k in range(len(chain))] for r in found]).reshape(len(found), len(chain))
-    return fit_chain([r["_id"] for r in found], [set(r["_w"] or ()) for r in found], y, [n for n, *_ in chain])
+    """Fits the chain; of each labelled document the driver gets the numbers of the chosen words that it holds."""
+    known, names = labelled(docs, labels, chain, rows), [n for n, *_ in chain]
+    words = {w: k for k, w in enumerate(pick_words(known, len(chain)))}
+    empty = Chain(names, words, [])
+
+    def found(batches):
+        for b in batches:
+            x = empty.features([words_in(t) for t in b.pop("_text")])
+            yield b.assign(_x=[np.flatnonzero(r).astype("int32") for r in x])
+
+    ys = [f"_y{k}" for k in range(len(chain))]
+    rows_in = known.mapInPandas(found, f"_id long, {', '.join(f'{y} double' for y in ys)}, _x array<int>").collect()
+    rows_in.sort(key=lambda r: r["_id"])
+    x = np.zeros((len(rows_in), len(words)))
+    for k, r in enumerate(rows_in):
+        x[k, r["_x"]] = 1.0
+    y = np.array([[r[c] for c in ys] for r in rows_in]).reshape(len(rows_in), len(chain))
+    return fit_chain([r["_id"] for r in rows_in], x, y, names, words)
 
 
 def predict(docs: DataFrame, model: Chain, threshold: float = THRESHOLD) -> DataFrame:

@@ -75,9 +75,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file
 
 def _headers(head: bytes) -> dict[str, str] | None:
     lines = head.decode("utf-8", "replace").split("\r\n")
-    if not re.fullmatch(r"WARC/\d\.\d", lines[0]) or any(":" not in x for x in lines[1:]):
+    if not re.fullmatch(r"WARC/\d\.\d", lines[0]) or any(":" not in x or re.search(r"[\x00-\x08\x0A-\x1F\x7F]", x) for x in lines[1:]):
         return None
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    found = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    return found if re.fullmatch(r"<[^<>\s]+>", found.get("warc-record-id", "")) and found.get("warc-type") and found.get("warc-date") else None
 
 
 def _record(data: bytes, at: int) -> tuple[dict, int] | None:
