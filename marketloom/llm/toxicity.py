@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: The chain, in order: a category's name and the label value that means it.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 #: Labelled rows to fit on, an expected number; words per category; folds; ridge penalty; documents a word must be in.
-ROWS, WORDS, FOLDS, RIDGE, MIN_DOCS = 6000, 224, 5, 1.0, 4
+ROWS, WORDS, FOLDS, RIDGE, MIN_DOCS = 6000, 224, 5, 0.2, 4
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features too: languages that compound and inflect share stems, not words.
 STEMS = (4, 5, 6, 7)
