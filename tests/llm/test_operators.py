@@ -206,18 +206,19 @@ def test_chain_flags_toxic_words_and_not_others(spark):
     from tests.llm.cases import prose
 
     rows, labels = [], []
-    for i in range(300):
+    for i in range(900):
         text = prose(rng, 60)
         if i % 5 == 0:
             text = text.replace(" ", f" {['vile', 'scummy', 'rotten'][i % 3]} ", 2)
         rows.append((i, text, "clash"))
-        if i < 200:
+        if i < 700:
             labels.append((i, 1, int(i % 5 == 0)))
-    docs = spark.createDataFrame([*rows, (None, "vile vile", "c"), (900, None, "c"), (901, "", "c")], "doc_id long, text string, _id string")
+    docs = spark.createDataFrame([*rows, (None, "vile vile", "c"), (1900, None, "c"), (1901, "", "c")], "doc_id long, text string, _id string")
     labs = spark.createDataFrame([*labels, (5, 1, 1), (None, 1, 1), (3, None, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labs)
     got = {r["doc_id"]: r["toxic"] for r in toxicity.predict(docs, model).collect()}
-    assert all(got[i] == (i % 5 == 0) for i in range(300)) and got[900] is False and got[901] is False
+    wrong = [i for i in range(900) if got[i] != (i % 5 == 0)]
+    assert not wrong and got[1900] is False and got[1901] is False
     none = toxicity.train(docs, labs.limit(0))
     assert not any(r["toxic"] for r in toxicity.predict(docs, none).collect())
     assert toxicity.predict(docs.limit(0), model).count() == 0
