@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("market", "windows", "cleaning", "joins", "scores", "texts")
+MODULES = ("market", "windows", "cleaning", "joins", "scores", "texts", "insight", "demand", "streams")
 
 
 def queries() -> dict:
