@@ -235,14 +235,13 @@ def b10(v):
     return g.where("copies > 1")
 
 
-@Q.add("B13_upsert_with_owner", """WITH old AS (SELECT p_partkey AS id, p_brand AS owner, p_size AS val FROM part WHERE p_partkey % 2 = 0), new AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'other' ELSE p_brand END AS owner, p_size + 1 AS val FROM part)
-  SELECT coalesce(o.id, n.id) AS id, coalesce(o.owner, n.owner) AS owner, CASE WHEN o.id IS NULL OR o.owner = n.owner THEN n.val ELSE o.val END AS val, o.id IS NOT NULL AND n.id IS NOT NULL AND o.owner <> n.owner AS conflict FROM old o FULL OUTER JOIN new n USING (id)""", views=False)
+@Q.add("B13_upsert_with_owner", f"""WITH old AS (SELECT id, brand AS owner, sales AS val FROM history WHERE period = TIMESTAMP '{PREVIOUS}'), new AS (SELECT id, CASE WHEN sales > 40 THEN 'other' ELSE brand END AS owner, sales AS val FROM history WHERE period = TIMESTAMP '{MONTH}')
+  SELECT coalesce(o.id, n.id) AS id, coalesce(o.owner, n.owner) AS owner, CASE WHEN o.id IS NULL OR o.owner = n.owner THEN n.val ELSE o.val END AS val, o.id IS NOT NULL AND n.id IS NOT NULL AND o.owner <> n.owner AS conflict FROM old o FULL OUTER JOIN new n USING (id)""")
 def b13(v):
     from marketloom.sources.store import upsert_owned
 
-    p = v.table("part")
-    old = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"), F.col("p_size").alias("val"))
-    new = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.lit("other")).otherwise(F.col("p_brand")).alias("owner"), (F.col("p_size") + 1).alias("val"))
+    old = _at(v, PREVIOUS).select("id", F.col("brand").alias("owner"), F.col("sales").alias("val"))
+    new = _at(v, MONTH).select("id", F.when(F.col("sales") > 40, F.lit("other")).otherwise(F.col("brand")).alias("owner"), F.col("sales").alias("val"))
     return upsert_owned(old, new, "id", "owner", ["val"])
 
 
@@ -308,27 +307,27 @@ def i14(v):
     return v.parts.groupBy("title", "brand", "size").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head"), (F.max("price") / F.min("price") <= 1.6).alias("collapsed"))
 
 
-@Q.add("I16_stable_ids", """WITH o AS (SELECT id, brand || title AS old_id FROM listing WHERE id % 10 <> 0), n AS (SELECT id, brand || title || CASE WHEN id % 4 = 0 THEN '+' ELSE '' END AS new_id FROM listing),
+@Q.add("I16_stable_ids", f"""WITH o AS (SELECT id, brand || p_name AS old_id FROM history JOIN part ON p_partkey = id WHERE period = TIMESTAMP '{PREVIOUS}'), n AS (SELECT id, brand || title || CASE WHEN size < 12 THEN '+' ELSE '' END AS new_id FROM listing),
   b AS (SELECT * FROM o JOIN n USING (id)), v AS (SELECT old_id, new_id, count(*) AS n FROM b GROUP BY ALL), p AS (SELECT old_id, count(*) AS alive FROM b GROUP BY 1),
   f AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY v.n DESC, old_id) AS k FROM v JOIN p USING (old_id) WHERE 2 * v.n > alive) SELECT s.new_id, coalesce(f.old_id, 'new-' || s.new_id) AS stable_id FROM (SELECT DISTINCT new_id FROM n) s LEFT JOIN f ON f.new_id = s.new_id AND k = 1""")
 def i16(v):
     key = F.concat("brand", "title")
-    old = v.parts.where("id % 10 <> 0").select("id", key.alias("old_id"))
-    new = v.parts.select("id", F.concat(key, F.when(F.col("id") % 4 == 0, "+").otherwise("")).alias("new_id"))
+    old = _at(v, PREVIOUS).select("id").join(v.parts, "id").select("id", key.alias("old_id"))
+    new = v.parts.select("id", F.concat(key, F.when(F.col("size") < 12, "+").otherwise("")).alias("new_id"))
     return E.stable_ids(old, new, "id")
 
 
-@Q.add("I23_similar_vectors", """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id AS query, d.vec_id, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 7)
-  SELECT query, vec_id, round(c, 6) AS cosine, k::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) AS k FROM r) WHERE k <= 5""", views=False)
+@Q.add("I23_similar_vectors", """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id AS query, d.vec_id, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
+  SELECT query, vec_id, round(c, 6) AS cosine, k::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 12) DESC, vec_id) AS k FROM r) WHERE k <= 5""", views=False)
 def i23(v):
     e = v.table("embeddings")
-    return E.nearest_vectors(e.where("vec_id % 100 = 7"), e, 5).withColumn("cosine", r6(F.col("cosine")))
+    return E.nearest_vectors(e.where("vec_id % 50 = 0"), e, 5).withColumn("cosine", r6(F.col("cosine")))
 
 
-@Q.add("I24_market_vote", """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id AS query, d.label, d.vec_id, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 7),
-  t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) AS k FROM r), s AS (SELECT query, label, sum(c) AS votes FROM t WHERE k <= 25 GROUP BY ALL) SELECT query, label, round(votes, 6) AS votes FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY votes DESC, label) = 1""", views=False)
+@Q.add("I24_market_vote", """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id AS query, d.label, d.vec_id, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+  t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 12) DESC, vec_id) AS k FROM r), s AS (SELECT query, label, sum(c) AS votes FROM t WHERE k <= 25 GROUP BY ALL) SELECT query, label, round(votes, 6) AS votes FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY votes DESC, label) = 1""", views=False)
 def i24(v):
     e = v.table("embeddings")
-    near = E.nearest_vectors(e.where("vec_id % 100 = 7"), e, 25).join(e.select("vec_id", "label"), "vec_id")
+    near = E.nearest_vectors(e.where("vec_id % 50 = 0"), e, 25).join(e.select("vec_id", "label"), "vec_id")
     votes = near.groupBy("query", "label").agg(F.sum("cosine").alias("votes"))
     return X.latest(votes, ["query"], [F.desc("votes"), F.col("label")]).withColumn("votes", r6(F.col("votes")))

@@ -135,12 +135,12 @@ def g24(v):
 
 
 @Q.add("H3_nearest_neighbours", """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)
-  SELECT query, vec_id FROM (SELECT q.vec_id AS query, d.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, d.v) DESC, d.vec_id) AS k FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id < 3) WHERE k <= 10""", views=False)
+  SELECT query, vec_id FROM (SELECT q.vec_id AS query, d.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, d.v), 12) DESC, d.vec_id) AS k FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0) WHERE k <= 10""", views=False)
 def h3(v):
     from marketloom.operators.entities import nearest_vectors
 
     e = v.table("embeddings")
-    return nearest_vectors(e.where("vec_id < 3"), e, 10).select("query", "vec_id")
+    return nearest_vectors(e.where("vec_id % 50 = 0"), e, 10).select("query", "vec_id")
 
 
 @Q.add("I3_outlier_forest", None)
@@ -156,10 +156,12 @@ def i6(v):
 
 @Q.add("I19_text_ratio", None)
 def i19(v):
-    b = v.table("benchmark")
-    pairs = b.toDF("a", "ta").join(b.toDF("b", "tb"), (F.col("a") < F.col("b")) & (F.col("b") - F.col("a") < 4))
-    score = 0.5 * MO.text_ratio("ta", "tb") + 0.5
-    return pairs.select("a", "b", score.alias("score"))
+    from marketloom.operators.entities import block_pairs
+
+    pairs = block_pairs(v.parts.withColumn("block", F.concat_ws("|", "brand", "segment", F.col("size").cast("string"))), "id", ["block"])
+    side = lambda s: v.parts.select(F.col("id").alias(s), F.col("title").alias(f"t{s}"), F.col("price").alias(f"p{s}"))
+    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    return j.select("a", "b", (0.5 * MO.text_ratio("ta", "tb") + 0.3 + 0.2 * F.least("pa", "pb") / F.greatest("pa", "pb")).alias("score"))
 
 
 @Q.add("J2_family_clusters", None)
@@ -252,12 +254,12 @@ def f49(v):
     return b.groupBy("segment").agg(names.alias("leaders"), F.round(F.sum("rev"), 4).alias("revenue"), F.when(F.count("rev") >= 20, "watch_leader").otherwise("collect_data").alias("action"))
 
 
-@Q.add("I9_nearest_label", """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id, d.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, d.v) DESC, d.vec_id) AS k, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id < 40) SELECT vec_id, CASE WHEN c >= 0.35 THEN label END AS label FROM r WHERE k = 1""", views=False)
+@Q.add("I9_nearest_label", """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id, d.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, d.v), 12) DESC, d.vec_id) AS k, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0) SELECT vec_id, CASE WHEN c >= 0.35 THEN label END AS label FROM r WHERE k = 1""", views=False)
 def i9(v):
     from marketloom.operators.entities import nearest_vectors
 
     e = v.table("embeddings")
-    near = nearest_vectors(e.where("vec_id < 40"), e, 1).join(e.select("vec_id", "label"), "vec_id")
+    near = nearest_vectors(e.where("vec_id % 50 = 0"), e, 1).join(e.select("vec_id", "label"), "vec_id")
     return near.select(F.col("query").alias("vec_id"), F.when(F.col("cosine") >= 0.35, F.col("label")).alias("label"))
 
 
