@@ -43,7 +43,7 @@ def outlier_scores(df: DataFrame, key: str, columns: list[str], trees: int = 100
 
     Trees are grown on a bounded sample chosen by a hash of the key; every row is scored, in Arrow batches. Rows with an unknown
     column are left out."""
-    x = df.select(key, *[F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in columns]).dropna(subset=columns)
+    x = df.dropna(subset=columns).select(key, *[F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in columns])
     points = np.array([[r[c] for c in columns] for r in x.orderBy(F.xxhash64(F.lit(seed), key)).limit(8 * sample).collect()])
     rng = np.random.default_rng(seed)
     path = lambda n: 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n > 1)
@@ -155,3 +155,70 @@ def pooled_growth(df: DataFrame, by: str, slope: str, variance: str) -> DataFram
     j = df.where(F.col(variance) > 0).crossJoin(F.broadcast(s.select("k", tau.alias("tau2")))).withColumn("wr", 1 / (F.col(variance) + F.col("tau2")))
     g = j.groupBy("k", "tau2").agg((F.sum(F.col("wr") * F.col(slope)) / F.sum("wr")).alias("growth"), F.sqrt(1 / F.sum("wr")).alias("se"))
     return g.select("k", "tau2", "growth", (F.col("growth") - 1.96 * F.col("se")).alias("low"), (F.col("growth") + 1.96 * F.col("se")).alias("high"))
+
+
+def taxonomy_segments(df: DataFrame, key: str, family: str, text: str, least: int = 12, share: float = 0.12, smallest: int = 3) -> DataFrame:
+    """(key, segment, confidence): a family of at least ``least`` rows is split by its most distinctive words, one segment per word
+    that at least ``smallest`` and ``share`` of its rows hold; the rest of a family stays together.
+
+    A row goes to its most distinctive such word: the one whose share within the family exceeds its share overall most (ties: the
+    smaller word). One pass over words, whatever the size of a family."""
+    words = df.select(key, family, F.explode(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("w"))
+    rows = df.groupBy(family).agg(F.count(F.lit(1)).alias("rows"))
+    n = F.broadcast(df.agg(F.count(F.lit(1)).alias("all")))
+    overall = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    own = words.groupBy(family, "w").agg(F.count(F.lit(1)).alias("k")).join(rows, family).join(overall, "w").crossJoin(n)
+    lift = F.col("k") / F.col("rows") / (F.col("df") / F.col("all"))
+    heads = own.where((F.col("rows") >= least) & (F.col("k") >= smallest) & (F.col("k") >= share * F.col("rows")) & (F.col("k") < F.col("rows"))).select(family, "w", lift.alias("lift"))
+    pick = words.join(heads, [family, "w"]).groupBy(key, family).agg(F.max(F.struct(F.round("lift", 9).alias("l"), F.col("w"))).alias("b"))
+    out = df.select(key, family).join(pick, [key, family], "left")
+    return out.select(key, F.concat_ws("/", family, F.coalesce("b.w", F.lit("other"))).alias("segment"), F.when(F.col("b").isNull(), 0.6).otherwise(1.0).alias("confidence"))
+
+
+def density_groups(df: DataFrame, key: str, by: str, columns: list[str], eps: float, least: int = 4) -> DataFrame:
+    """(key, cluster): density clusters per group over a few columns; -1 is noise, else the smallest core id.
+
+    Rows meet only rows of their own and the neighbouring cells of a grid of width ``eps``, so no group is gathered; core rows
+    within ``eps`` are linked, and components of links are the clusters."""
+    from marketloom.functions.scale import connected_components
+
+    cell = [F.floor(F.col(c) / eps) for c in columns]
+    base = df.dropna(subset=columns).select(key, by, *columns, F.array(*cell).alias("cell"))
+    shifts = [[]]
+    for _ in columns:
+        shifts = [s + [d] for s in shifts for d in (-1, 0, 1)]
+    moved = F.array(*[F.array(*[F.get("cell", F.lit(i)) + d for i, d in enumerate(s)]) for s in shifts])
+    a = base.select(F.col(key).alias("a"), F.col(by).alias("g"), *[F.col(c).alias(f"a_{c}") for c in columns], F.explode(moved).alias("cell"))
+    b = base.select(F.col(key).alias("b"), F.col(by).alias("g"), *[F.col(c).alias(f"b_{c}") for c in columns], "cell")
+    gap = F.sqrt(sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) for c in columns), F.lit(0.0)))
+    near = a.join(b, ["g", "cell"]).where(gap <= eps).select("a", "b")
+    core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("c"))
+    links = near.join(core, F.col("a") == F.col("c"), "left_semi").join(core.withColumnRenamed("c", "d"), F.col("b") == F.col("d"), "left_semi")
+    roots = connected_components(links.where("a < b")).toDF("c", "root")
+    of_core = core.join(roots, "c", "left").select("c", F.coalesce("root", "c").alias("root"))
+    border = near.join(of_core, F.col("b") == F.col("c")).groupBy(F.col("a").alias(key)).agg(F.min("root").alias("cluster"))
+    return df.select(key).join(border, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def synthetic_market(spark, listings: int, seed: int = 21, slope: float = 0.8, sd: float = 0.7) -> DataFrame:
+    """id, segment, brand, price, x, units_true, badge: a market whose truth is known, from hashes of seed and id."""
+    from marketloom.operators.scores import LADDER
+
+    u = lambda tag: (F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), F.col("id")), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
+    z = lambda tag: F.sqrt(-2 * F.log(u(f"{tag}r"))) * F.cos(2 * math.pi * u(f"{tag}a"))
+    df = spark.range(listings).withColumns({"segment": F.concat(F.lit("s"), F.floor(u("s") * 5).cast("string")), "brand": F.concat(F.lit("b"), F.floor(F.pow(u("b"), 2) * 20).cast("string")), "price": F.round(20 + 80 * u("p"), 2), "x": z("x")})
+    df = df.withColumn("units_true", F.exp(4 + slope * F.col("x") + sd * z("e")))
+    rungs = F.array(*[F.lit(x) for x in LADDER])
+    return df.withColumn("badge", F.array_max(F.filter(rungs, lambda r: r <= F.col("units_true"))))
+
+
+def compare_launches(comparables: DataFrame, by: str, log_mean: str, log_sd: str, offers: list[tuple[str, float, float]], elasticity: float = -1.2, sims: int = 1000, seed: int = 17) -> DataFrame:
+    """(by, offer, mean_profit, p_best): offers (name, price, cost) under common random numbers, so that differences are the offers'."""
+    sim = comparables.select(by, log_mean, log_sd, F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
+    u = lambda tag: (F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), F.col("sim"), F.col(by)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
+    units = F.exp(F.col(log_mean) + F.col(log_sd) * F.sqrt(-2 * F.log(u("r"))) * F.cos(2 * math.pi * u("a")))
+    each = F.array(*[F.struct(F.lit(n).alias("offer"), (units * math.pow(p / 100.0, elasticity) * (p - c)).alias("profit")) for n, p, c in offers])
+    s = sim.withColumn("o", each)
+    best = F.aggregate("o", F.get("o", F.lit(0)), lambda a, x: F.when(x["profit"] > a["profit"], x).otherwise(a)).getField("offer")
+    rows = s.withColumn("best", best).select(by, "best", F.explode("o").alias("o"))
+    return rows.groupBy(by, F.col("o.offer").alias("offer")).agg(F.avg("o.profit").alias("mean_profit"), F.avg((F.col("best") == F.col("o.offer")).cast("double")).alias("p_best"))

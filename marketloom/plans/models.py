@@ -270,3 +270,72 @@ def k56(v):
     mean, _ = X.mean_of_known(list(parts.values()))
     missing = F.array_join(X.violations(*[(c.isNull(), n) for n, (c, _) in parts.items() if n in ("pain", "suppliers")]), ",")
     return g.select("segment", r6(mean).alias("score"), missing.alias("unavailable"))
+
+
+@Q.add("I17_stable_segments", """WITH o AS (SELECT id, segment AS family, segment || '/' || brand AS old_id FROM listing WHERE sales IS NOT NULL), n AS (SELECT id, segment || '/' || brand || CASE WHEN size > 45 THEN '/xl' ELSE '' END AS new_id FROM listing),
+  b AS (SELECT * FROM o JOIN n USING (id)), v AS (SELECT old_id, new_id, count(*) AS n FROM b GROUP BY ALL), p AS (SELECT old_id, count(*) AS alive FROM b GROUP BY 1), f AS (SELECT new_id, v.old_id, row_number() OVER (PARTITION BY new_id ORDER BY v.n DESC, v.old_id) AS k FROM v JOIN p ON p.old_id = v.old_id WHERE 2 * v.n > alive)
+  SELECT s.new_id, coalesce(f.old_id, 'new-' || s.new_id) AS stable_id FROM (SELECT DISTINCT new_id FROM n) s LEFT JOIN f ON f.new_id = s.new_id AND k = 1""")
+def i17(v):
+    from marketloom.operators.entities import stable_ids
+
+    key = F.concat_ws("/", "segment", "brand")
+    old = v.listing.where("sales IS NOT NULL").select("id", key.alias("old_id"))
+    new = v.parts.select("id", F.concat(key, F.when(F.col("size") > 45, "/xl").otherwise("")).alias("new_id"))
+    return stable_ids(old, new, "id")
+
+
+@Q.add("I18_human_decisions", None)
+def i18(v):
+    """Clusters of matches, joined by human merges and cut by configuration: the size class is part of the product."""
+    from marketloom.operators.entities import clusters
+    from marketloom.plans.joins import _decided
+
+    human = v.table("events").where("event_type = 'purchase'").groupBy("user_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
+    merges = human.join(v.parts.select(F.col("id").alias("a")), "a", "left_semi").join(v.parts.select(F.col("id").alias("b")), "b", "left_semi").where("a < b").select("a", "b")
+    c = clusters(v.parts, "id", _decided(v).where("decision = 'match'").select("a", "b").unionByName(merges))
+    return c.join(v.parts, "id").select("id", F.concat_ws("#", F.col("cluster").cast("string"), F.floor(F.col("size") / 25).cast("string")).alias("product"))
+
+
+@Q.add("I22_hashed_embedding", None)
+def i22(v):
+    from pyspark.ml.functions import vector_to_array
+
+    return MO.hashed_vectors(v.table("benchmark"), "text", 64).select("item_id", vector_to_array("vector").alias("embedding"))
+
+
+@Q.add("I26_attributes", r"""SELECT id, CASE WHEN regexp_matches(title, '\b(red|blue|green)\b') THEN regexp_extract(title, '\b(red|blue|green)\b', 1) END AS color, CASE WHEN regexp_matches(title, '\b(small|large)\b') THEN regexp_extract(title, '\b(small|large)\b', 1) END AS size_word, round(CASE WHEN regexp_matches(title, '\b(red|blue|green)\b') AND size > 40 THEN 0.54 WHEN regexp_matches(title, '\b(red|blue|green)\b') THEN 0.9 ELSE 0 END, 6)::DOUBLE AS confidence FROM listing""")
+def i26(v):
+    found = lambda p: F.nullif(F.regexp_extract("title", rf"\b({p})\b", 1), F.lit(""))
+    color = found("red|blue|green")
+    sure = F.when(color.isNull(), 0.0).when(F.col("size") > 40, 0.9 * 0.6).otherwise(0.9)
+    return v.parts.select("id", color.alias("color"), found("small|large").alias("size_word"), r6(sure).alias("confidence"))
+
+
+@Q.add("J1_taxonomy_segments", None)
+def j1(v):
+    return MO.taxonomy_segments(v.parts, "id", "segment", "title")
+
+
+@Q.add("J3_density_groups", None)
+def j3(v):
+    return MO.density_groups(v.listing.withColumn("s", F.col("sales")), "id", "segment", ["price", "s"], 3.0)
+
+
+@Q.add("K41_compare_launches", None)
+def k41(v):
+    c = v.listing.where("sales > 0").groupBy("segment").agg(F.avg(F.log("sales")).alias("m"), F.stddev(F.log("sales")).alias("s"))
+    return MO.compare_launches(c, "segment", "m", "s", [("low", 90.0, 60.0), ("mid", 110.0, 60.0), ("high", 140.0, 65.0)])
+
+
+@Q.add("K52_synthetic_market", None)
+def k52(v):
+    return MO.synthetic_market(v.spark, 2000).groupBy("segment").agg(F.count(F.lit(1)).alias("listings"), F.sum("units_true").alias("units"), F.sum("badge").alias("shown"))
+
+
+@Q.add("K24_recommended_spec", """WITH f AS (SELECT segment, unnest(string_split(title, ' ')) AS feature, sales FROM listing), g AS (SELECT segment, feature, count(*) AS n, avg(sales) AS mean FROM f GROUP BY ALL HAVING count(*) >= 20 AND count(sales) >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY round(mean, 9) DESC, feature) AS k FROM g)
+  SELECT segment, string_agg(feature, '+' ORDER BY k) AS spec FROM r WHERE k <= 2 GROUP BY segment""")
+def k24(v):
+    f = v.listing.select("segment", F.explode(F.split("title", " ")).alias("feature"), "sales")
+    g = f.groupBy("segment", "feature").agg(F.count(F.lit(1)).alias("n"), F.count("sales").alias("known"), F.avg("sales").alias("mean")).where("n >= 20 AND known >= 5")
+    top = X.top_per_group(g, ["segment"], [F.desc(F.round("mean", 9)), F.col("feature")], 2)
+    return top.groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]), "+").alias("spec"))
