@@ -14,6 +14,8 @@ from marketloom.session import materialize
 LENGTH = 100
 #: Rank length at which positions are first sorted; only the position that is first in rank among the strings' starts is sent.
 FIRST = 32
+#: Rank length at which what is still open then is sorted again.
+SECOND = 64
 #: Bytes of text that a task names at a time, and within which it settles repeats before Spark sorts the rest.
 NAMED, SETTLED = 2_000_000, 48_000_000
 LAST_ID = (1 << 63) - 1
@@ -163,6 +165,30 @@ def _compare(batches):
             yield pa.RecordBatch.from_arrays([pa.array(f[c][pick]) for c in ("doc", "key", "lo", "hi")] + [pa.array(repeated[pick])], ["doc", "key", "lo", "hi", "repeated"])
 
 
+def _narrow(length: int, second: int):
+    """Runs of the starts that are still open, by leading positions of a longer rank."""
+
+    def run(batches):
+        for batch in batches:
+            docs, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            out = []
+            for k, (text, spans) in enumerate(zip(batch.column(2).cast(pa.large_binary()), batch.column(3), strict=True)):
+                data, v = text.as_py() or b"", spans.values
+                begins, ends = v.field("lo").to_numpy(zero_copy_only=False).astype("i8"), v.field("hi").to_numpy(zero_copy_only=False).astype("i8") + length
+                size = ends - begins
+                got = starts_of(b"".join([data[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]), np.cumsum(size) - size, size, length, second)
+                lo = got["lo"] + begins[got["doc"]]
+                hi = got["hi"] + begins[got["doc"]]
+                n = len(lo)
+                out.append((got["rank"].view("i8"), got["context"].view("i8"), np.full(n, docs[k]), np.full(n, keys[k]), lo << 32 | hi))
+                if k == len(docs) - 1 or len(out) > 5000:
+                    a = [np.concatenate(x) for x in zip(*out, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in a], ["rank", "context", "doc", "key", "place"])
+                    out = []
+
+    return run
+
+
 def _expand(length: int, first: int):
     """The ranks of all strings of the runs that are still open, from the texts. check: half the rank of the string's last bytes,
     and the text's key."""
@@ -228,16 +254,27 @@ def _cut(length: int, keep_text: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST, second: int = SECOND) -> DataFrame:
     """_doc, _key, lo, hi: runs of starts of strings of ``length`` bytes that also start earlier; rows may overlap."""
+    if length < 8:
+        raise ValueError("ranks start at 8 bytes")
+    first, second = min(first, length), min(second, length)
     keyed = _keyed(docs)
     runs = keyed.mapInArrow(_runs(length, first), "rank long, context long, doc long, key int, place long")
     runs = runs.repartition("rank").sortWithinPartitions("rank", "context", "doc", "place")
-    found = materialize(runs.mapInArrow(_compare, "doc long, key int, lo int, hi int, repeated boolean"), "runs")
-    still = found.where("NOT repeated").groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    strings = keyed.join(still, ["_doc", "_key"]).select("_doc", "_key", "_text", "spans").mapInArrow(_expand(length, first), "rank long, check long, doc long, lo int")
+    places = "doc long, key int, lo int, hi int, repeated boolean"
+    found = materialize(runs.mapInArrow(_compare, places), "runs")
+    texts = lambda left: keyed.join(_open(left), ["_doc", "_key"]).select("_doc", "_key", "_text", "spans")
+    longer = texts(found).mapInArrow(_narrow(length, second), "rank long, context long, doc long, key int, place long")
+    longer = longer.repartition("rank").sortWithinPartitions("rank", "context", "doc", "place").mapInArrow(_compare, places)
+    strings = texts(longer).mapInArrow(_expand(length, first), "rank long, check long, doc long, lo int")
     strings = strings.repartition("rank").sortWithinPartitions("rank", "doc", "lo").mapInArrow(_repeats, "doc long, key int, lo int, hi int")
-    return found.where("repeated").select("doc", "key", "lo", "hi").union(strings).toDF("_doc", "_key", "lo", "hi")
+    done = [x.where("repeated").select("doc", "key", "lo", "hi") for x in (found, longer)]
+    return done[0].union(done[1]).union(strings).toDF("_doc", "_key", "lo", "hi")
+
+
+def _open(found: DataFrame) -> DataFrame:
+    return found.where("NOT repeated").groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -251,10 +288,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST, ke
 
     Prefix doubling: positions are ranked by 8 bytes, then by 16, ..., ``length``; the rank of a longer string is that of the
     pair of ranks at an offset. Spark sorts (rank, position) pairs three times, each time only those not yet decided: leading
-    positions by the rank of ``first`` bytes and of their whole context, where unique ranks end and equal contexts are settled
-    at once; then the single strings where a rank has several contexts, by the rank of ``length`` bytes. A task settles repeats
-    among its own texts first, so copies by the thousand reach a sort once per task. Ranks are 64-bit names of the strings, and
-    a string is compared by two of them.
+    positions by the rank of 32 bytes and of their whole context, where unique ranks end and equal contexts are settled at once;
+    where a rank has several contexts, leading positions by the rank of 64 bytes; then single strings by the rank of ``length``
+    bytes. A task settles repeats among its own texts first, so copies by the thousand reach a sort once per task. Ranks are
+    64-bit names of the strings, and a string is compared by two of them.
 
     A string is earlier in a smaller doc_id, or in the same document at a smaller start. Null text is empty; texts shorter than
     ``length`` keep all; null ids come last; rows equal in id and text are one document, which does not repeat itself by being
