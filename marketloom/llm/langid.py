@@ -6,7 +6,7 @@ import base64
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPL
 
     def run(batches):
         for b in batches:
-            texts = b["text"].tolist()
+            texts = b.column("text").to_pylist()
             real = [isinstance(t, str) and bool(langs) and bool(LETTER.search(t)) for t in texts]
             pred, post = [UNKNOWN] * len(texts), [0.0] * len(texts)
             todo = [k for k, r in enumerate(real) if r]
@@ -213,10 +213,10 @@ def identify(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPL
                 for k, ll in zip(own, score([cut_long(words_of(texts[k])) for k in own]), strict=True):
                     p = np.exp(ll - ll.max())
                     pred[k], post[k] = langs[int(p.argmax())], float(p.max() / p.sum())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": pred, "score": post})
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()), pa.array(post, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +102,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
             _TOKENS[path] = WordTokens(path)
         words = _TOKENS[path]
         for batch in batches:
-            texts, keys = batch["text"].fillna("").tolist(), batch["doc_id"]
+            texts, keys = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id")
             out = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for part in chunks(texts):
                 for row, ids in enumerate(words.texts(texts[part]), part.start):
@@ -112,9 +112,10 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
                         for name, value in zip(out, (row, piece, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
                             out[name].append(value)
             rows = out.pop("row")
-            yield pd.DataFrame({"doc_id": keys.iloc[rows].array, **out})
+            cols = [keys.take(pa.array(rows, pa.int64())), pa.array(out["piece"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "ids_crc32"))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *out])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -210,12 +211,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
         length, rank, first, per, offset = runs.T
         key = length * (1 << 44) + rank
         for b in batches:
-            n, r = b["length"].to_numpy("int64"), b.pop("rank").to_numpy("int64") - 1
+            n, r = b.column("length").to_numpy(zero_copy_only=False), b.column("rank").to_numpy(zero_copy_only=False) - 1
             k = np.searchsorted(key, n * (1 << 44) + r, "right") - 1
-            yield b.assign(sequence_id=first[k] + (r - rank[k]) // per[k], offset=offset[k] + (r - rank[k]) % per[k] * n)
+            sequence, at = first[k] + (r - rank[k]) // per[k], offset[k] + (r - rank[k]) % per[k] * n
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(at)], [*b.schema.names[:5], "sequence_id", "offset"])
 
     cols = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, cols)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(place, cols)
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +48,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle, seed) for t in b["text"]], "u8").view("i8")
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps})
+            fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column("text")], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 @cache

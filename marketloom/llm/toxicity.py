@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,11 +151,11 @@ def predict(docs: DataFrame, model: Chain, threshold: float = THRESHOLD) -> Data
 
     def run(batches):
         for b in batches:
-            p = model.predict(model.features([words_in(t) for t in b["text"]]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], **{n: p[:, k] for k, n in enumerate(names)}, last: p[:, -1] > threshold})
+            p = model.predict(model.features([words_in(t) for t in b.column("text").to_pylist()]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] > threshold)], ["doc_id", *names, last])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, f"doc_id long, {', '.join(f'{n} double' for n in names)}, {last} boolean")
+    return rows.mapInArrow(run, f"doc_id long, {', '.join(f'{n} double' for n in names)}, {last} boolean")
 
 
 def op5_toxicity_chain(spark, sf_dir: str) -> DataFrame:

@@ -457,3 +457,21 @@ def test_pruning_never_loses_a_neighbour(seed):
     for q in range(600):
         for d in np.argsort(-score[q])[:5]:
             assert (leaf[q], leaf[d]) in left
+
+
+def test_null_and_large_ids_keep_their_rows(spark):
+    rows, docs = documents(spark, plain=12)
+    big = (1 << 60) + 1
+    extra = spark.createDataFrame([(None, rows[2][1], "en", "s0", 1), (None, None, None, None, None), (big, rows[4][1], "en", "s0", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    df = docs.unionByName(extra, allowMissingColumns=True).coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    n = len(rows) + 3
+    results = [
+        mixing.mix_plan(df), packing.pack(df).where("piece = 0"), templates.drop_template_lines(df), toxicity.predict(df, toxicity.train(df, labels)),
+        quality.quality_verdicts(df), suffix.remove_repeats(df), langid.identify(df), simhash.near_duplicates(df),
+    ]
+    for got in results:
+        ids = [r["doc_id"] for r in got.select("doc_id").collect()]
+        assert len(ids) == n and ids.count(None) == 2 and ids.count(big) == 1
+    assert mixing.mix(df).columns == df.columns and quality.keep_good(df).count() > 0
+    assert simhash.keep_representatives(df).where("doc_id IS NULL").count() == 2
