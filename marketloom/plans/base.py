@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.session import ship
+
 #: The month whose sales a listing shows, and the one before.
 MONTH, PREVIOUS = "2000-01-01", "1999-12-01"
 
@@ -27,6 +29,7 @@ class Views:
     """Market views over the driver's tables. Money is summed in whole ten-thousandths, so sums do not depend on their order."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:

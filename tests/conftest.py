@@ -17,5 +17,8 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from marketloom.session import ship
+
+    ship(session)
     yield session
     session.stop()
