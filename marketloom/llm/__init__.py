@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from marketloom.session import ship
+
 MODULES = ("mixing", "packing", "warc", "templates", "toxicity", "quality", "suffix", "langid", "simhash", "topk")
 
 
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"{__name__}.{m}").QUERIES.items()}
+    return {k: _shipped(f) for m in MODULES for k, f in import_module(f"{__name__}.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict:

@@ -23,8 +23,10 @@ def n_words(text: Column) -> Column:
 
 
 def size_bin(size: Column) -> Column:
-    """Length in bits of the size: documents of like size stand together, which evens out what a source takes."""
-    return F.length(F.bin(size)).cast("long")
+    """Length in bits of the size, and its four leading bits: documents of like size stand together, which evens out what a
+    source takes."""
+    bits = F.length(F.bin(size))
+    return (16 * bits + F.call_function("shiftright", size, F.greatest(bits - 4, F.lit(0)))).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
@@ -106,7 +108,7 @@ def op1_sql() -> str:
     s4 AS (SELECT *, sum(CASE WHEN capped THEN ceiling ELSE 0 END) OVER () AS fixed, sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS free FROM s3),
     s5 AS (SELECT no_source, source_key, source_size, CASE WHEN capped THEN ceiling ELSE (total - fixed) / nullif(free, 0) * weight END::DOUBLE AS target FROM s4),
     n AS (SELECT greatest(1, floor(sqrt(count(*))))::BIGINT AS salts FROM d),
-    i AS (SELECT *, length(bin(size)) AS size_bin, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT salts FROM n) AS salt
+    i AS (SELECT *, 16 * length(bin(size)) + (size >> greatest(length(bin(size)) - 4, 0)) AS size_bin, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT salts FROM n) AS salt
             FROM (SELECT DISTINCT * FROM d)),
     r AS (SELECT *, row_number() OVER (PARTITION BY no_source, source_key ORDER BY size_bin, salt, size, doc_id NULLS FIRST) AS rk FROM i),
     c AS (SELECT r.*, source_size, target, coalesce(target / nullif(source_size::DOUBLE, 0), 0) AS rate FROM r JOIN s5 USING (no_source, source_key)),

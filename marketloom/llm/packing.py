@@ -35,37 +35,45 @@ class WordTokens:
     """Token ids of words as little-endian bytes. The tokenizer splits at white space, so a text's ids are those of its words."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # words of lower-case Latin letters need no normalising, and are cut at white space only
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.seen: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         vocab = self.tok.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str], tokenizer) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
         """Letters and marks of plain words are remembered apart. Letters go to the tokenizer some hundred words at a time, and
         are told apart by the tokens that close a word."""
-        cut = [m.groups() if (m := PLAIN.fullmatch(w)) else None for w in words]
-        parts = self.parts
-        new = list({c[0].lower() for c in cut if c}.difference(parts))
-        groups = [new[k : k + 400] for k in range(0, len(new), 400)]
-        for group, ids in zip(groups, self.ids([" ".join(g) for g in groups]), strict=True):
+        plain, rest, match, parts = [], [], PLAIN.fullmatch, self.parts
+        for w in words:
+            if m := match(w):
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                rest.append(w)
+        new = list({head for _, head, _ in plain}.difference(parts))
+        groups = [new[k : k + 100] for k in range(0, len(new), 100)]
+        for group, ids in zip(groups, self.ids([" ".join(g) for g in groups], self.letters), strict=True):
             ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
             if len(ends) == len(group):
                 raw, at = ids.tobytes(), 0
                 for w, to in zip(group, ends.tolist(), strict=True):
                     parts[w], at = raw[at:to], to
-        marks = [*{c[1] for c in cut if c}.difference(parts), *(w for w in new if w not in parts)]
-        parts.update(zip(marks, (x.tobytes() for x in self.ids(marks)), strict=True))
-        rest = [w for w, c in zip(words, cut, strict=True) if not c]
-        self.seen.update(zip(rest, (x.tobytes() for x in self.ids(rest)), strict=True))
-        self.seen.update((w, parts[c[0].lower()] + parts[c[1]]) for w, c in zip(words, cut, strict=True) if c)
+        marks = [*{tail for _, _, tail in plain}.difference(parts), *(w for w in new if w not in parts)]
+        parts.update(zip(marks, (x.tobytes() for x in self.ids(marks, self.tok)), strict=True))
+        seen = self.seen
+        seen.update(zip(rest, (x.tobytes() for x in self.ids(rest, self.tok)), strict=True))
+        for w, head, tail in plain:
+            seen[w] = parts[head] + parts[tail]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
