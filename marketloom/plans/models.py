@@ -339,3 +339,54 @@ def k24(v):
     g = f.groupBy("segment", "feature").agg(F.count(F.lit(1)).alias("n"), F.count("sales").alias("known"), F.avg("sales").alias("mean")).where("n >= 20 AND known >= 5")
     top = X.top_per_group(g, ["segment"], [F.desc(F.round("mean", 9)), F.col("feature")], 2)
     return top.groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]), "+").alias("spec"))
+
+
+@Q.add("A19_header_row", "SELECT 1 AS header_row", views=False)
+def a19(v):
+    """A title line above the header, as exports have it."""
+    rows = [("Nations of the market", None, None), ("n nationkey", "n name", "n regionkey")] + [tuple(str(x) for x in r) for r in v.table("nation").orderBy("n_nationkey").collect()]
+    df = v.spark.createDataFrame(rows, "a string, b string, c string").coalesce(1)
+    return v.spark.createDataFrame([(FI.header_row(df, {"id": ["n nationkey"], "name": ["n name"]}),)], "header_row int")
+
+
+@Q.add("A20_header_map", "SELECT * FROM (VALUES ('brand', 'p_brand'), ('title', 'p_name')) AS t(field, header)", views=False)
+def a20(v):
+    got = FI.map_headers(v.table("part").columns, {"title": ["p name"], "brand": ["p brand"]}, least=0.9)
+    return v.spark.createDataFrame(sorted(got.items()), "field string, header string")
+
+
+@Q.add("C31_header_scores", "SELECT * FROM (VALUES ('p_brand', 'p brand', 1.0::DOUBLE), ('p_brand', 'brand', 0.8::DOUBLE), ('p_brand', 'p brand name', 0.7::DOUBLE), ('p_brand', 'p brands', 0.6::DOUBLE), ('p_brand', 'price', 0.0::DOUBLE)) AS t(header, alias, score)", views=False)
+def c31(v):
+    rows = [("p_brand", a, FI.header_score("p_brand", a)) for a in ("p brand", "brand", "p brand name", "p brands", "price")]
+    return v.spark.createDataFrame(rows, "header string, alias string, score double")
+
+
+@Q.add("C27_valid_names", "SELECT DISTINCT source, regexp_full_match(source, '[a-z0-9_-]{1,64}') AS valid FROM documents", views=False)
+def c27(v):
+    return v.table("documents").select("source").distinct().withColumn("valid", F.col("source").rlike("^[a-z0-9_-]{1,64}$"))
+
+
+@Q.add("C33_field_plausibility", """SELECT 'lang' AS field, count(DISTINCT lang) <= 50 AND avg(length(lang)) <= 20 AS category, avg((try_cast(lang AS DOUBLE) IS NOT NULL)::INT) > 0.9 AS numeric FROM documents UNION ALL
+  SELECT 'n_chars', count(DISTINCT n_chars) <= 50 AND avg(length(n_chars::VARCHAR)) <= 20, avg((try_cast(n_chars::VARCHAR AS DOUBLE) IS NOT NULL)::INT) > 0.9 FROM documents""", views=False)
+def c33(v):
+    d, out = v.table("documents"), None
+    for c in ("lang", "n_chars"):
+        t = F.col(c).cast("string")
+        row = d.agg(((F.count_distinct(t) <= 50) & (F.avg(F.length(t)) <= 20)).alias("category"), (F.avg(t.try_cast("double").isNotNull().cast("double")) > 0.9).alias("numeric")).select(F.lit(c).alias("field"), "category", "numeric")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@Q.add("J4_merge_centroids", """WITH RECURSIVE x AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL), n AS (SELECT label, i, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS m FROM m),
+  e AS (SELECT a.label AS a, b.label AS b FROM n a JOIN n b ON a.i = b.i AND a.label <> b.label GROUP BY ALL HAVING sum(a.m * b.m) >= 0.1), l AS (SELECT DISTINCT label FROM embeddings), r AS (SELECT label, label AS root FROM l UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.label) SELECT label, min(root) AS merged FROM r GROUP BY label""", views=False)
+def j4(v):
+    """Groups whose mean vectors are alike become one; one row per group is all that is compared."""
+    from marketloom.functions.scale import connected_components
+
+    at = v.table("embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    m = at.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    n = m.withColumn("m", F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(W.partitionBy("label"))))
+    pairs = n.toDF("a", "i", "ma").join(n.toDF("b", "i", "mb"), "i").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ma") * F.col("mb")).alias("cos")).where("cos >= 0.1")
+    roots = connected_components(pairs.select("a", "b")).toDF("label", "root")
+    labels = v.table("embeddings").select("label").distinct()
+    return labels.join(roots, "label", "left").select("label", F.coalesce("root", "label").alias("merged"))
