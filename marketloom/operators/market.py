@@ -94,7 +94,7 @@ def bayes_rating(df: DataFrame, by: list[str], rating: str, weight: str) -> Data
 
 def brand_table(df: DataFrame, as_of: Column, entrant_days: int = 365) -> DataFrame:
     """Listings, segments, prices against the segment's median, entrants and the top segment of each brand."""
-    mid = df.withColumn("_mid", F.median("price").over(W.partitionBy("segment"))).withColumn("_index", F.try_divide(F.col("price"), F.col("_mid")))
+    mid = df.join(df.groupBy("segment").agg(F.median("price").alias("_mid")), "segment", "left").withColumn("_index", F.try_divide(F.col("price"), F.col("_mid")))
     entrant = F.when(F.col("launched").isNotNull(), (F.datediff(as_of, "launched") <= entrant_days).cast("double"))
     base = mid.groupBy("brand").agg(
         F.count(F.lit(1)).alias("listings"), F.count_distinct("segment").alias("segments"), F.median("price").alias("median_price"), F.median("_index").alias("price_index"),

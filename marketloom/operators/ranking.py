@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 
 def robust_z(df: DataFrame, value: str, by: list[str], factor: float = 0.6745, out: str = "z") -> DataFrame:
-    """Distance from the group's median in scaled median absolute deviations; null where the deviation is 0."""
-    w = W.partitionBy(*by)
-    df = df.withColumn("_mid", F.median(value).over(w)).withColumn("_gap", F.abs(F.col(value) - F.col("_mid")))
-    df = df.withColumn("_mad", F.median("_gap").over(w))
-    return df.withColumn(out, F.try_divide(factor * (F.col(value) - F.col("_mid")), F.col("_mad"))).drop("_mid", "_gap", "_mad")
+    """Adds the distance from the group's median in scaled median absolute deviations; null where the deviation is 0 or the group
+    unknown. Medians come from counts per value that tasks combine, not from groups gathered in a window."""
+    mid = df.groupBy(*by).agg(F.median(value).alias("_mid"))
+    near = df.join(mid, by, "left").withColumn("_gap", F.abs(F.col(value) - F.col("_mid")))
+    mad = near.groupBy(*by).agg(F.median("_gap").alias("_mad"))
+    z = F.try_divide(factor * (F.col(value) - F.col("_mid")), F.col("_mad"))
+    return near.join(mad, by, "left").withColumn(out, z).select(*df.columns, out)
 
 
 def iqr_outliers(df: DataFrame, value: str, by: list[str], k: float = 3.0, least: int = 8, out: str = "outlier") -> DataFrame:
@@ -32,13 +34,26 @@ def rank_bands(df: DataFrame, value: str, by: list[str], k: int, tie: str, out:
     return df.withColumn(out, F.when(F.col(value).isNotNull(), band.cast("int")))
 
 
-def position_vs_peers(df: DataFrame, value: str, by: list[str], out: str = "position") -> DataFrame:
-    """Share of known peers below plus half of those equal."""
+def placed(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, value, peers, below, known): for each known value of a group how many rows share it, lie below it, and are known.
+
+    Rows are counted per value first, so a group with a third of all rows is one row per distinct value in the window."""
+    g = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("peers"))
     w = W.partitionBy(*by)
-    n = F.count(value).over(w)
-    below = F.rank().over(w.orderBy(F.col(value).asc_nulls_last())) - 1
-    same = F.count(value).over(W.partitionBy(*by, value))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), (below + 0.5 * same) / n))
+    before = F.sum("peers").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    return g.withColumns({"below": F.coalesce(before, F.lit(0)), "known": F.sum("peers").over(w)})
+
+
+def with_rank_share(df: DataFrame, value: str, by: list[str], out: str = "pct", single: float = 1.0) -> DataFrame:
+    """Adds the average rank over the count of known values; null for null. ``single``: what a lone value gets."""
+    share = F.when(F.col("known") == 1, F.lit(single)).otherwise((F.col("below") + (F.col("peers") + 1) / 2) / F.col("known"))
+    return df.join(placed(df, value, by).select(*by, value, share.alias(out)), [*by, value], "left")
+
+
+def position_vs_peers(df: DataFrame, value: str, by: list[str], out: str = "position") -> DataFrame:
+    """Adds the share of known peers below plus half of those equal."""
+    share = (F.col("below") + 0.5 * F.col("peers")) / F.col("known")
+    return df.join(placed(df, value, by).select(*by, value, share.alias(out)), [*by, value], "left")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "id", share: float = 0.01) -> DataFrame:
@@ -58,22 +73,16 @@ def growth_between(df: DataFrame, by: list[str], value: str, period: str = "peri
     return g.withColumn("growth_pct", F.when(F.col("periods") >= least, F.try_divide(F.col("last") - F.col("first"), F.nullif(F.abs("first"), F.lit(0.0))) * 100))
 
 
-def skyline(df: DataFrame, key: str, better_high: list[str], better_low: list[str], by: list[str]) -> DataFrame:
-    """Rows of each group that no other row dominates: as good everywhere and better somewhere.
+def skyline(df: DataFrame, better_high: str, better_low: str, by: list[str]) -> DataFrame:
+    """Rows of each group that no other row dominates: as good in both criteria and better in one.
 
-    The first criterion ranks the group, so a row is compared with rows that are at least as good by it."""
-    a, b = df.alias("a"), df.alias("b")
-    c = lambda t, n: F.col(f"{t}.{n}")
-    group = [c("a", g).eqNullSafe(c("b", g)) for g in by]
-    as_good = [c("b", x) >= c("a", x) for x in better_high] + [c("b", x) <= c("a", x) for x in better_low]
-    strict = [c("b", x) > c("a", x) for x in better_high] + [c("b", x) < c("a", x) for x in better_low]
-    cond = F.lit(True)
-    for x in group + as_good:
-        cond = cond & x
-    some = strict[0]
-    for x in strict[1:]:
-        some = some | x
-    return a.join(b, cond & some, "left_anti")
+    A row stands if it has the least low value among rows of its high value, and every row with a higher one has a greater low
+    value. So one row per distinct high value is all that the window sees. Rows with an unknown criterion take no part."""
+    known = df.where(F.col(better_high).isNotNull() & F.col(better_low).isNotNull())
+    best = known.groupBy(*by, better_high).agg(F.min(better_low).alias("_least"))
+    above = F.min("_least").over(W.partitionBy(*by).orderBy(F.desc(better_high)).rowsBetween(W.unboundedPreceding, -1))
+    front = best.withColumn("_above", above).where(F.col("_above").isNull() | (F.col("_above") > F.col("_least"))).drop("_above")
+    return known.join(front, [*by, better_high]).where(F.col(better_low) == F.col("_least")).select(*df.columns)
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, at: str, seen: str, days: int, by: list[str], tie: list[str]) -> DataFrame:
@@ -91,9 +100,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, at: str, seen: str, days:
     return left.join(best, keys, "left")
 
 
-def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> Column | DataFrame:
+def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Rank correlation with average ranks over rows where both are known."""
-    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*by, c)) - 1) / 2
-    return known.withColumn("_ra", rank(a)).withColumn("_rb", rank(b)).groupBy(*by).agg(F.corr("_ra", "_rb").alias("spearman"))
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
+    return with_rank_share(with_rank_share(both, a, by, "_ra"), b, by, "_rb").groupBy(*by).agg(F.corr("_ra", "_rb").alias("spearman"))

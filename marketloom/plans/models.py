@@ -227,7 +227,7 @@ def k38(v):
     from marketloom.operators.ranking import skyline
 
     k = v.listing.where("sales IS NOT NULL").select("id", "brand", "sales", "price")
-    front = skyline(k, "id", ["sales"], ["price"], ["brand"]).select("id", F.lit(True).alias("front"))
+    front = skyline(k, "sales", "price", ["brand"]).select("id", F.lit(True).alias("front"))
     n = F.count(F.lit(1)).over(W.partitionBy("brand"))
     utility = 0.6 * X.rank_share("sales", "brand") + 0.4 * (1 - X.rank_share("price", "brand") + 1 / n)
     return k.withColumn("utility", r6(utility)).join(front, "id", "left").select("id", "brand", F.coalesce("front", F.lit(False)).alias("front"), "utility")

@@ -18,7 +18,7 @@ _RANK = "(rank() OVER (PARTITION BY segment ORDER BY sales) + (count(*) OVER (PA
 
 @Q.add("G1_rank_share", f"SELECT id, round(CASE WHEN count(*) OVER (PARTITION BY segment) = 1 THEN 1.0 ELSE {_RANK} / count(*) OVER (PARTITION BY segment) END, 6) AS pct FROM listing WHERE sales IS NOT NULL UNION ALL SELECT id, NULL FROM listing WHERE sales IS NULL")
 def g1(v):
-    return v.listing.select("id", r6(X.rank_share("sales", "segment")).alias("pct"))
+    return R.with_rank_share(v.listing, "sales", ["segment"]).select("id", r6(F.col("pct")).alias("pct"))
 
 
 @Q.add("G2_min_rank_desc", "SELECT id, rank() OVER (ORDER BY price DESC)::BIGINT AS place FROM listing")
@@ -38,8 +38,9 @@ def g3(v):
 @Q.add("G4_quartiles", f"""WITH p AS (SELECT id, segment, count(*) OVER (PARTITION BY segment) AS n, {_RANK} / count(*) OVER (PARTITION BY segment) AS pct FROM listing WHERE sales IS NOT NULL)
   SELECT l.id, CASE WHEN n >= 4 THEN ceil(pct * 4) END::INT AS quartile FROM listing l LEFT JOIN p USING (id)""")
 def g4(v):
-    d = v.listing.withColumn("n", F.count("sales").over(W.partitionBy("segment")))
-    return d.select("id", F.when(F.col("n") >= 4, F.ceil(X.rank_share("sales", "segment") * 4)).cast("int").alias("quartile"))
+    n = v.listing.groupBy("segment").agg(F.count("sales").alias("n"))
+    d = R.with_rank_share(v.listing, "sales", ["segment"]).join(n, "segment")
+    return d.select("id", F.when(F.col("n") >= 4, F.ceil(F.col("pct") * 4)).cast("int").alias("quartile"))
 
 
 @Q.add("G5_position_vs_peers", """SELECT id, round(((rank() OVER (PARTITION BY segment ORDER BY price) - 1) + 0.5 * count(*) OVER (PARTITION BY segment, price)) / count(*) OVER (PARTITION BY segment), 6) AS position FROM listing""")
@@ -108,7 +109,8 @@ def g13(v):
   SELECT id, round(abs(lp - mid) / (1.4826 * mad), 6) AS z FROM d WHERE n >= 3 AND mad > 0 AND abs(lp - mid) / (1.4826 * mad) > 1.5 AND exp(abs(lp - mid)) > 1.5""")
 def g14(v):
     x = v.listing.where("sales > 0").withColumn("lp", F.log("sales"))
-    z = R.robust_z(x, "lp", ["segment"], 1 / 1.4826).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("segment"))).withColumn("mid", F.median("lp").over(W.partitionBy("segment")))
+    g = x.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.median("lp").alias("mid"))
+    z = R.robust_z(x, "lp", ["segment"], 1 / 1.4826).join(g, "segment")
     return z.where((F.col("n") >= 3) & (F.abs("z") > 1.5) & (F.exp(F.abs(F.col("lp") - F.col("mid"))) > 1.5)).select("id", r6(F.abs("z")).alias("z"))
 
 
@@ -235,12 +237,12 @@ def h9(v):
 
 @Q.add("H10_skyline", """WITH k AS (SELECT * FROM listing WHERE sales IS NOT NULL) SELECT a.id, a.brand FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.brand = a.brand AND b.sales >= a.sales AND b.price <= a.price AND (b.sales > a.sales OR b.price < a.price))""")
 def h10(v):
-    return R.skyline(v.listing.where("sales IS NOT NULL"), "id", ["sales"], ["price"], ["brand"]).select("id", "brand")
+    return R.skyline(v.listing, "sales", "price", ["brand"]).select("id", "brand")
 
 
 @Q.add("H11_best_not_dominated", """WITH k AS (SELECT * FROM listing WHERE sales IS NOT NULL), f AS (SELECT a.* FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.brand = a.brand AND b.sales >= a.sales AND b.price <= a.price AND (b.sales > a.sales OR b.price < a.price)))
   SELECT brand, coalesce(arg_max(id, (sales, -id)) FILTER (WHERE price < 1000), arg_max(id, (sales, -id))) AS pick FROM f GROUP BY brand""")
 def h11(v):
-    f = R.skyline(v.listing.where("sales IS NOT NULL"), "id", ["sales"], ["price"], ["brand"])
+    f = R.skyline(v.listing, "sales", "price", ["brand"])
     order = F.struct("sales", -F.col("id"))
     return f.groupBy("brand").agg(F.coalesce(F.max_by("id", F.when(F.col("price") < 1000, order)), F.max_by("id", order)).alias("pick"))
