@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from marketloom.session import materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Words that a worker remembers the tokens of; then it forgets them all.
+#: Parts of words that a worker remembers the tokens of; then it forgets them all.
 CACHE_WORDS = 600_000
 
 
@@ -27,8 +28,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A word of Latin letters with marks behind it, which the tokenizer cuts where the marks begin.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: A word of Latin letters with marks behind it is cut by the tokenizer where the marks begin; its letters are lowered.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+PLAIN, LOWERED = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", re.compile("[a-zß-öø-ÿ]+")
 
 
 class WordTokens:
@@ -42,7 +45,6 @@ class WordTokens:
         # words of lower-case Latin letters need no normalising, and are cut at white space only
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.seen: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         vocab = self.tok.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
@@ -51,54 +53,60 @@ class WordTokens:
     def ids(self, texts: list[str], tokenizer) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Letters and marks of plain words are remembered apart. Letters go to the tokenizer some hundred words at a time, and
-        are told apart by the tokens that close a word."""
-        plain, rest, match, parts = [], [], PLAIN.fullmatch, self.parts
-        for w in words:
-            if m := match(w):
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                rest.append(w)
-        new = list({head for _, head, _ in plain}.difference(parts))
-        groups = [new[k : k + 100] for k in range(0, len(new), 100)]
+    def learn(self, parts: list[str]) -> None:
+        """Lower-case letters go to the tokenizer a hundred words at a time, and are told apart by the tokens that close a word."""
+        known = self.parts
+        letters = [w for w in parts if LOWERED.fullmatch(w)]
+        groups = [letters[k : k + 100] for k in range(0, len(letters), 100)]
         for group, ids in zip(groups, self.ids([" ".join(g) for g in groups], self.letters), strict=True):
             ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
             if len(ends) == len(group):
                 raw, at = ids.tobytes(), 0
                 for w, to in zip(group, ends.tolist(), strict=True):
-                    parts[w], at = raw[at:to], to
-        marks = [*{tail for _, _, tail in plain}.difference(parts), *(w for w in new if w not in parts)]
-        parts.update(zip(marks, (x.tobytes() for x in self.ids(marks, self.tok)), strict=True))
-        seen = self.seen
-        seen.update(zip(rest, (x.tobytes() for x in self.ids(rest, self.tok)), strict=True))
-        for w, head, tail in plain:
-            seen[w] = parts[head] + parts[tail]
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        for cache in (self.seen, self.parts):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-        new = list(set().union(*split).difference(self.seen))
+                    known[w], at = raw[at:to], to
+        rest = [w for w in parts if w not in known]
+        known.update(zip(rest, (x.tobytes() for x in self.ids(rest, self.tok)), strict=True))
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """Words are told apart, cut and numbered in Arrow; Python sees each part once an array, and ids are gathered by number."""
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        bare = pc.utf8_rtrim(words, characters=MARKS)
+        plain = pc.match_substring_regex(bare, PLAIN)
+        heads = pc.if_else(plain, pc.utf8_lower(bare), words).dictionary_encode()
+        tails = pc.if_else(plain, pc.utf8_ltrim(words, characters=LETTERS), "").dictionary_encode()
+        parts = heads.dictionary.to_pylist() + tails.dictionary.to_pylist()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        known = self.parts
+        new = list({w for w in parts if w not in known})
         for k in range(0, len(new), 40_000):
             self.learn(new[k : k + 40_000])
-        return [b"".join(map(self.seen.__getitem__, words)) for words in split]
+        tokens = [known[w] for w in parts]
+        sizes = np.fromiter(map(len, tokens), "i8", len(tokens)) // 4
+        pool, starts = np.frombuffer(b"".join(tokens), "<u4"), np.cumsum(sizes) - sizes
+        pairs = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(heads.dictionary)], axis=1)[coded.indices.to_numpy()].ravel()
+        each = sizes[pairs]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(starts[pairs] - ends[:-1], each) + np.arange(ends[-1])]
+        cuts = ends[2 * lists.offsets.to_numpy()].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
 _TOKENS: dict[str, WordTokens] = {}
 
 
-def chunks(texts: list[str], limit: int = 4_000_000):
-    """Slices of a list of texts of about ``limit`` characters."""
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
+def chunks(sizes: list[int], limit: int = 8_000_000):
+    """Slices of about ``limit`` in total."""
+    at, total = 0, 0
+    for k, n in enumerate(sizes):
+        total += n
+        if total >= limit:
             yield slice(at, k + 1)
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+            at, total = k + 1, 0
+    if at < len(sizes):
+        yield slice(at, len(sizes))
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -110,10 +118,10 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
             _TOKENS[path] = WordTokens(path)
         words = _TOKENS[path]
         for batch in batches:
-            texts, keys = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id")
+            texts, keys = pc.fill_null(batch.column("text"), ""), batch.column("doc_id")
             out = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-            for part in chunks(texts):
-                for row, ids in enumerate(words.texts(texts[part]), part.start):
+            for part in chunks(pc.binary_length(texts).to_pylist()):
+                for row, ids in enumerate(words.texts(texts[part.start : part.stop]), part.start):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -118,7 +119,7 @@ def test_words_are_tokenized_as_in_their_text():
     cut = packing.WordTokens(packing.default_tokenizer())
     odd = ["it's <|endoftext|> a_b 12 x² İstanbul ΣΑΣ. é don't, stop!! <|startoftext|>x naïve—yes \t tab\x0bq", "", " ", "ﬁ ﷺ 한글 àb", "x" * 500, "A,B;C é. é, É!"]
     whole = [np.array(e.ids, "<u4").tobytes() for e in cut.tok.encode_batch(odd, add_special_tokens=False)]
-    assert cut.texts(odd) == whole and cut.texts(odd) == whole
+    assert cut.texts(pa.array(odd)) == whole and cut.texts(pa.array(odd)) == whole and cut.texts(pa.array([], pa.string())) == []
 
 
 # 3 WARC
