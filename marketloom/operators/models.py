@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import expr as X
 from marketloom.operators import scores as S
-from marketloom.operators.market import concentration
 from marketloom.plans.base import MONTH, PREVIOUS, Book
 
 Q = Book()
