@@ -19,7 +19,7 @@ from marketloom.session import materialize
 CAPACITY = 4096
 END_ID = 1
 #: Parts of words that a worker remembers the tokens of; then it forgets them all.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 
 def default_tokenizer() -> str:
@@ -97,7 +97,7 @@ class WordTokens:
 _TOKENS: dict[str, WordTokens] = {}
 
 
-def chunks(sizes: list[int], limit: int = 8_000_000):
+def chunks(sizes: list[int], limit: int = 2_500_000):
     """Slices of about ``limit`` in total."""
     at, total = 0, 0
     for k, n in enumerate(sizes):
