@@ -11,15 +11,26 @@ from pyspark.sql import functions as F
 from marketloom.functions.scale import connected_components
 
 
-def block_pairs(df: DataFrame, key: str, blocks: list[str], least: int = 2, most: int = 50) -> DataFrame:
-    """(a, b, method): pairs a < b that share a block of ``least`` to ``most`` rows; the first block column that pairs them names
-    the method. Larger blocks are left to the other columns, so no block grows without bound."""
+#: Rows of a block that meet in one group of the self-join.
+CELL = 256
+
+
+def block_pairs(df: DataFrame, key: str, blocks: list[str], least: int = 2, most: int | None = None) -> DataFrame:
+    """(a, b, method): pairs a < b that share a block of ``least`` rows or more (and ``most`` or fewer, if given); the first block
+    column that pairs them names the method.
+
+    A large block is dealt by a hash over cells of about ``CELL`` rows; each pair of cells is a group of its own in the join, so no
+    task holds a whole block, and any two of its rows meet once."""
     out = None
     for place, block in enumerate(blocks):
         own = df.where(F.col(block).isNotNull()).select(F.col(key).alias("k"), F.col(block).alias("_b"))
-        fit = own.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most)).select("_b")
-        own = own.join(fit, "_b", "left_semi")
-        pairs = own.toDF("_b", "a").join(own.toDF("_b", "b"), "_b").where("a < b").select("a", "b", F.lit(place).alias("place"), F.lit(block).alias("method"))
+        fit = own.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        if most is not None:
+            fit = fit.where(F.col("n") <= most)
+        own = own.join(fit.select("_b", F.ceil(F.col("n") / CELL).alias("cells")), "_b").withColumn("cell", F.pmod(F.xxhash64("k"), F.col("cells")))
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+        left, right = own.select("_b", F.col("cell").alias("i"), others.alias("j"), F.col("k").alias("a")), own.select("_b", others.alias("i"), F.col("cell").alias("j"), F.col("k").alias("b"))
+        pairs = left.join(right, ["_b", "i", "j"]).where("a < b").select("a", "b", F.lit(place).alias("place"), F.lit(block).alias("method"))
         out = pairs if out is None else out.unionByName(pairs)
     return out.groupBy("a", "b").agg(F.min_by("method", "place").alias("method"))
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from marketloom.functions import expr as X
 from marketloom.functions.scale import connected_components, rank_in_key
 from marketloom.operators import demand as D
+from marketloom.operators import entities as E
 from marketloom.operators import insight as N
 from marketloom.operators import market as M
 from marketloom.operators import quality as QA
 from marketloom.operators import ranking as R
 from marketloom.operators import scores as S
 from marketloom.operators import text as T
+from marketloom.plans.pipeline import resolve
 from marketloom.sources import store
 
 
@@ -202,3 +204,19 @@ def test_late_files_are_taken_up_where_a_stream_stopped(spark, tmp_path):
     stream = ST.event_stream(spark, f"file://{tmp_path}", files=2)
     got = {tuple(r) for r in ST.run_to_end(ST.value_changes(stream), "t", "update", ("user_id", "event_type")).select("user_id", "event_type", "n").collect()}
     assert got == {tuple(r) for r in src.groupBy("user_id", "event_type").count().collect()}
+
+
+def test_blocks_of_any_size_are_paired_whole(spark, monkeypatch):
+    monkeypatch.setattr(E, "CELL", 7)
+    rows = [(k, "hot", "x" if k % 2 else None) for k in range(120)] + [(k, "pair", None) for k in (200, 201)] + [(300, "alone", "x"), (301, None, None)]
+    df = spark.createDataFrame(rows, "id long, one string, two string")
+    same = lambda k, x, y: x[k] is not None and x[k] == y[k]
+    expected = {(x[0], y[0], "one" if same(1, x, y) else "two") for x in rows for y in rows if x[0] < y[0] and (same(1, x, y) or same(2, x, y))}
+    got = one(E.block_pairs(df, "id", ["one", "two"]))
+    assert len(got) == len(expected) and set(got) == expected
+    assert one(E.block_pairs(df, "id", ["one"], 2, 50)) == [(200, 201, "one")]
+
+
+def test_listings_of_a_product_with_many_sizes_resolve_together(spark):
+    df = spark.range(60).select("id", F.lit("bolt").alias("title"), F.lit("b").alias("brand"), (2000 + F.col("id")).alias("size"), F.lit(1.0).alias("price"))
+    assert {tuple(r) for r in resolve(df).collect()} == {(k, 0) for k in range(60)}
