@@ -33,33 +33,47 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def leaf_templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
-    """(leaf, form) of the lines that fit the generalised template of their leaf.
+    """(leaf, form, template) of the lines that fit a generalised template of their leaf.
 
-    Only leaves with lines of more than one form in ``min_docs`` lines or more are opened. A position is fixed to its most
-    frequent token if half the forms have it (ties: the smaller token), else it is a variable field. A line fits if ``similarity``
-    of its tokens are the fixed ones. Forms are counted once, however often they recur.
+    Only groups with lines of more than one form in ``min_docs`` lines or more are opened; the first groups are the leaves. A
+    position is fixed to its most frequent token if half the forms have it (ties: the smaller token), else it is a variable field.
+    A line fits its group's template if ``similarity`` of its tokens are the fixed ones. A leaf may hold several templates: the
+    forms that don't fit go on in smaller groups, each by the token that most forms of its group share with it at a position (but
+    not all of them; ties: the first position), until no group can hold a template. Forms are counted once, however often they recur.
     """
     forms = lines.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"))
-    busy = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("lines")).where((F.col("forms") > 1) & (F.col("lines") >= min_docs))
-    busy = materialize(busy.select("leaf", "forms"), "leaves")
-    if busy.isEmpty():
-        return forms.select("leaf", "form").limit(0)
-    own = _lines(docs, depth).select("leaf", "form", "masked").join(busy.select("leaf"), "leaf", "left_semi").distinct()
-    own = materialize(own, "forms")
-    tokens = own.select("leaf", "form", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    counts = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("leaf", "at").agg(F.min(F.struct(-F.col("n"), "token")).alias("best"))
-    top = top.join(busy, "leaf").where(-2 * F.col("best.col1") >= F.col("forms")).select("leaf", "at", F.col("best.token").alias("token"))
-    top = materialize(top, "fixed")
-    hits = tokens.join(top, ["leaf", "at", "token"]).groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.join(own.select("leaf", "form", F.size(F.split("masked", " ")).alias("size")), ["leaf", "form"]).where(F.col("hits") >= similarity * F.col("size")).select("leaf", "form")
+    busy = lambda own, key: own.groupBy(key).agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("lines")).where((F.col("forms") > 1) & (F.col("lines") >= min_docs)).select(key, "forms")
+    forms = materialize(forms.join(busy(forms, "leaf").select("leaf"), "leaf", "left_semi"), "leaves")
+    found = forms.select("leaf", "form", F.col("leaf").alias("template")).limit(0)
+    if forms.isEmpty():
+        return found
+    own = _lines(docs, depth).select("leaf", "form", "masked").join(forms.select("leaf").distinct(), "leaf", "left_semi").distinct()
+    own = materialize(own.join(forms, ["leaf", "form"]).withColumn("group", F.col("leaf")), "forms")
+    while not own.isEmpty():
+        open_groups = busy(own, "group")
+        tokens = own.join(open_groups, "group").select("group", "leaf", "form", "forms", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+        counts = tokens.groupBy("group", "at", "token").agg(F.count(F.lit(1)).alias("n"), F.first("forms").alias("forms"))
+        counts = materialize(counts.where((F.col("n") > 1) | (F.col("forms") == 2)).drop("forms"), "counts")
+        top = counts.groupBy("group", "at").agg(F.min(F.struct(-F.col("n"), "token")).alias("best")).select("group", "at", F.col("best.token").alias("token"), F.lit(True).alias("top"))
+        counts = counts.join(top, ["group", "at", "token"], "left")
+        hit = F.col("top") & (2 * F.col("n") >= F.col("forms"))
+        shared = (F.col("n") > 1) & (F.col("n") < F.col("forms"))
+        held = tokens.join(counts, ["group", "at", "token"]).groupBy("group", "leaf", "form").agg(
+            F.count_if(hit).alias("hits"), F.min(F.when(shared, F.struct(-F.col("n"), "at", "token"))).alias("next"))
+        held = own.join(held, ["group", "leaf", "form"]).withColumn("fits", F.col("hits") >= similarity * F.size(F.split("masked", " ")))
+        held = materialize(held.select("group", "leaf", "form", "masked", "n", "fits", "next"), "held")
+        found = found.unionByName(held.where("fits").select("leaf", "form", F.col("group").alias("template")))
+        own = held.where("NOT fits AND next IS NOT NULL").withColumn("group", F.xxhash64("group", "next.at", "next.token"))
+        own = own.select("leaf", "form", "masked", "n", "group")
+        own = materialize(own.join(busy(own, "group").select("group"), "group", "left_semi"), "forms")
+    return found
 
 
 def template_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
     """_id, _key, lines: the numbers of the lines to drop, a row per document that has any."""
     lines = materialize(_lines(docs, depth).select("_id", "_key", "line", "leaf", "form"), "lines")
     fits = materialize(leaf_templates(docs, lines, depth, similarity, min_docs).withColumn("fits", F.lit(True)), "fits")
-    lines = lines.join(fits, ["leaf", "form"], "left").withColumn("template", F.when(F.col("fits"), F.col("leaf")).otherwise(F.col("form")))
+    lines = lines.join(fits, ["leaf", "form"], "left").withColumn("template", F.coalesce("template", "form"))
     lines = materialize(lines.select("_id", "_key", "line", "template", F.coalesce("fits", F.lit(False)).alias("fits")), "templates")
     seen = lines.select("template", "fits", "_id").distinct().groupBy("template", "fits").agg(F.count(F.lit(1)).alias("docs"), F.min("_id").alias("first"))
     often = materialize(seen.where(F.col("docs") >= min_docs).select("template", "fits", "first"), "recurring")

@@ -199,6 +199,24 @@ def test_templates_drop_recurring_lines_but_the_first(spark):
     assert templates.drop_template_lines(empty(spark)).count() == 0
 
 
+def invented(rng, n: int) -> str:
+    return " ".join("".join(rng.choice("bcdfglmnprstaeiou") for _ in range(7)) for _ in range(n))
+
+
+def dropped(spark, rows) -> set:
+    out = templates.drop_template_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {r["doc_id"] for r in out.collect() if r["n_dropped"]}
+
+
+def test_a_leaf_holds_several_templates(spark):
+    rng = random.Random(3)
+    rows = [(i, f"This is the message that {invented(rng, 1)} sends to all of us now") for i in range(40)]
+    rows += [(100 + i, f"This is the {invented(rng, 1)} who wrote about birds in our old garden") for i in range(15)]
+    rows += [(200 + i, f"This is the {invented(rng, 9)}") for i in range(60)]
+    assert {len(t.split()) for _, t in rows} == {12}
+    assert dropped(spark, rows) == {*range(1, 40), *range(101, 115)}
+
+
 # 5 toxicity
 
 
