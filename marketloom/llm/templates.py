@@ -9,13 +9,15 @@ from marketloom.session import materialize
 
 #: Leading tokens on a line's path, below its token count.
 DEPTH = 3
-#: Share of its tokens that a line has in common with the template of its leaf.
+#: Share of its tokens beyond the path that a line has in common with its template.
 SIMILARITY = 0.7
 #: Documents in which a template recurs.
 MIN_DOCS = 10
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 FIELD = "<*>"
+#: Masked lines without a constant token: their form is the line itself, so rows of numbers recur only if their numbers do.
+ONLY_FIELDS = r"^<\*>( <\*>)*$"
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
@@ -29,7 +31,8 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     masked = F.when(F.col("_line").rlike("[0-9]"), F.regexp_replace("_line", r"[^\x20]*[0-9][^\x20]*", FIELD)).otherwise(F.col("_line"))
     df = df.withColumn("masked", masked)
     size = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
-    return df.withColumn("leaf", F.xxhash64(size, F.substring_index("masked", " ", depth))).withColumn("form", F.xxhash64("masked")).drop("_line")
+    form = F.xxhash64(F.when(F.col("masked").rlike(ONLY_FIELDS), F.col("_line")).otherwise(F.col("masked")))
+    return df.withColumn("leaf", F.xxhash64(size, F.substring_index("masked", " ", depth))).withColumn("form", form).drop("_line")
 
 
 def leaf_templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
@@ -37,7 +40,8 @@ def leaf_templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: fl
 
     Only groups with lines of more than one form in ``min_docs`` lines or more are opened; the first groups are the leaves. A
     position is fixed to its most frequent token if half the forms have it (ties: the smaller token), else it is a variable field.
-    A line fits its group's template if ``similarity`` of its tokens are the fixed ones. A leaf may hold several templates: the
+    A line fits its group's template if ``similarity`` of its tokens below the tree path, which all lines of a leaf share, are the
+    fixed ones, one of them no field; lines of nothing but fields take no part. A leaf may hold several templates: the
     forms that don't fit go on in smaller groups, each by the token that most forms of its group share with it at a position (but
     not all of them; ties: the first position), until no group can hold a template. Forms are counted once, however often they recur.
     """
@@ -47,11 +51,11 @@ def leaf_templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: fl
     found = forms.select("leaf", "form", F.col("leaf").alias("template")).limit(0)
     if forms.isEmpty():
         return found
-    own = _lines(docs, depth).select("leaf", "form", "masked").join(forms.select("leaf").distinct(), "leaf", "left_semi").distinct()
+    own = _lines(docs, depth).where(~F.col("masked").rlike(ONLY_FIELDS)).select("leaf", "form", "masked").join(forms.select("leaf").distinct(), "leaf", "left_semi").distinct()
     own = materialize(own.join(forms, ["leaf", "form"]).withColumn("group", F.col("leaf")), "forms")
     while not own.isEmpty():
         open_groups = busy(own, "group")
-        tokens = own.join(open_groups, "group").select("group", "leaf", "form", "forms", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+        tokens = own.join(open_groups, "group").select("group", "leaf", "form", "forms", F.posexplode(F.slice(F.split("masked", " "), depth + 1, F.size(F.split("masked", " ")))).alias("at", "token"))
         counts = tokens.groupBy("group", "at", "token").agg(F.count(F.lit(1)).alias("n"), F.first("forms").alias("forms"))
         counts = materialize(counts.where((F.col("n") > 1) | (F.col("forms") == 2)).drop("forms"), "counts")
         top = counts.groupBy("group", "at").agg(F.min(F.struct(-F.col("n"), "token")).alias("best")).select("group", "at", F.col("best.token").alias("token"), F.lit(True).alias("top"))
@@ -59,8 +63,8 @@ def leaf_templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: fl
         hit = F.col("top") & (2 * F.col("n") >= F.col("forms"))
         shared = (F.col("n") > 1) & (F.col("n") < F.col("forms"))
         held = tokens.join(counts, ["group", "at", "token"]).groupBy("group", "leaf", "form").agg(
-            F.count_if(hit).alias("hits"), F.min(F.when(shared, F.struct(-F.col("n"), "at", "token"))).alias("next"))
-        held = own.join(held, ["group", "leaf", "form"]).withColumn("fits", F.col("hits") >= similarity * F.size(F.split("masked", " ")))
+            F.count_if(hit).alias("hits"), F.count_if(hit & (F.col("token") != FIELD)).alias("constants"), F.min(F.when(shared, F.struct(-F.col("n"), "at", "token"))).alias("next"))
+        held = own.join(held, ["group", "leaf", "form"]).withColumn("fits", (F.col("constants") > 0) & (F.col("hits") >= similarity * (F.size(F.split("masked", " ")) - depth)))
         held = materialize(held.select("group", "leaf", "form", "masked", "n", "fits", "next"), "held")
         found = found.unionByName(held.where("fits").select("leaf", "form", F.col("group").alias("template")))
         own = held.where("NOT fits AND next IS NOT NULL").withColumn("group", F.xxhash64("group", "next.at", "next.token"))

@@ -217,6 +217,13 @@ def test_a_leaf_holds_several_templates(spark):
     assert dropped(spark, rows) == {*range(1, 40), *range(101, 115)}
 
 
+def test_short_lines_and_rows_of_numbers_are_no_templates(spark):
+    rng = random.Random(4)
+    rows = [(i, f"It is not {invented(rng, 1)}") for i in range(30)] + [(100 + i, f"{i} {i * 7} {i * i}") for i in range(30)]
+    rows += [(200 + i, f"Seen on the {i} page") for i in range(12)] + [(300 + i, "7 1999 2004") for i in range(12)]
+    assert dropped(spark, rows) == {*range(201, 212), *range(301, 312)}
+
+
 # 5 toxicity
 
 
