@@ -154,8 +154,8 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, dict[bytes, int]]:
     """Languages, piece probabilities and pieces, from documents that are not held out and have a language.
 
-    Word counts come from a sample of about ``sample`` documents a language, by a hash of the id; Spark counts them, and a
-    language's words that occur once in it are left out, so what the driver gets is bounded by the sample.
+    Word counts come from a sample of about ``sample`` documents a language, by a hash of the id; Spark counts them, so what the
+    driver gets is bounded by the sample. Words that occur once count too: a language may have one short document.
     """
     pieces = load_pieces(vocabulary or default_vocabulary())
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -168,7 +168,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE,
         share = int(min(1.0, sample / sizes[lang]) * 1_000_000)
         pick = pick | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share))
     words = known.where(pick).select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("lang", "word").count().where("count > 1").collect()
+    counts = words.groupBy("lang", "word").count().collect()
     by = {lang: {} for lang in langs}
     for r in counts:
         for w in cut_long(words_of(r["word"])):

@@ -368,6 +368,17 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(empty(spark)).count() == 0
 
 
+def test_a_language_of_one_short_document_is_learnt(spark):
+    rows = [(i, "the cat sat on the mat and the dog ran to the barn", "en") for i in range(40)] + [(1000 + i, None, None) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train_id = docs.where("doc_id >= 1000").where(~langid.held_out()).first()["doc_id"]
+    docs = docs.where("doc_id < 1000").unionByName(spark.createDataFrame([(train_id, "zorvak blimtu quaxen", "xx")], docs.schema))
+    langs, prob, pieces = langid.train(docs)
+    own = prob[list(pieces.values()), langs.index("xx")]
+    assert langs == ["en", "xx"] and own.max() > 5 * own.min()
+    assert langid.identify(docs).where(f"doc_id = {train_id}").first()["lang_pred"] == "xx"
+
+
 # 9 simhash
 
 
