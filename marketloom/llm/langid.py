@@ -106,8 +106,9 @@ def fit_pieces(counts: list[dict[bytes, int]], pieces: dict[bytes, int], rounds:
     weight = np.array([[c.get(w, 0) for c in counts] for w in words], "float64").reshape(len(words), len(counts))
     size = max(pieces.values()) + 1
     prob = np.zeros((size, len(counts)))
-    found = [(part, spans(part, tree), weight[k : k + 20_000]) for k in range(0, len(words), 20_000) for part in [words[k : k + 20_000]]]
-    for _, (word, _, _, piece), w in found:
+    # places are found anew in each round, so that memory does not follow the number of words
+    found = lambda: ((part, spans(part, tree), weight[k : k + 5_000]) for k in range(0, len(words), 5_000) for part in [words[k : k + 5_000]])
+    for _, (word, _, _, piece), w in found():
         np.add.at(prob, piece, w[word])
     length = np.zeros(size)
     for p, i in pieces.items():
@@ -119,7 +120,7 @@ def fit_pieces(counts: list[dict[bytes, int]], pieces: dict[bytes, int], rounds:
         if turn == rounds:
             return prob
         new = np.zeros_like(prob)
-        for part, f, w in found:
+        for part, f, w in found():
             new += expected(part, f, prob, w)
         prob = new
     return prob
