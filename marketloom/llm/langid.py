@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import base64
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.sampling import picked, share_of
+from marketloom.session import materialize
+
 #: Training documents a language at most, an expected number: a hash of the id decides. Rounds of expectation maximisation.
 SAMPLE, ROUNDS = 1500, 3
-#: Bytes of the longest piece that is used, words that a worker remembers, and the probability mass added to every piece.
-LONGEST, CACHE_WORDS, SMOOTH = 8, 400_000, 0.1
+#: Probability mass added to every piece.
+SMOOTH = 0.1
+#: Words and bytes of words that a worker remembers; words longer than the third number are scored anew. Characters in a group.
+CACHE_WORDS, CACHE_BYTES, CACHED, GROUP = 400_000, 32_000_000, 200, 1_000_000
+#: Places of a word that are summed at a time, and places (over all words) in a step.
+SLICE, CELLS = 4096, 200_000
+#: Expected counts are sent in millionths, so that their sum does not depend on the order.
+UNIT = 1_000_000
 UNKNOWN = "und"
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTER = re.compile(r"[^\W\d_]")
@@ -27,67 +37,142 @@ def default_vocabulary() -> str:
 
 def load_pieces(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        found = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return {p: i for p, i in found.items() if len(p) <= LONGEST}
-
-
-def as_numbers(pieces: dict[bytes, int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length the sorted big-endian numbers of the pieces and of all beginnings of longer ones, with piece ids (-1 for a
-    mere beginning): where a length is not found, no longer piece stands."""
-    found = {p[:n]: -1 for p in pieces for n in range(1, len(p))} | pieces
-    out = []
-    for n in range(1, LONGEST + 1):
-        own = sorted((int.from_bytes(p, "big"), i) for p, i in found.items() if len(p) == n)
-        out.append((np.array([c for c, _ in own], "u8"), np.array([i for _, i in own], "i8")))
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+def as_tree(pieces: dict[bytes, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A trie, level by level: sorted keys (number of the parent in its level * 256 + byte), and piece ids (-1 for a mere beginning)."""
+    level, out = {b"": 0}, []
+    for n in range(1, max(map(len, pieces), default=0) + 1):
+        begins = sorted((level[p[:-1]] << 8 | p[-1], p) for p in {p[:n] for p in pieces if len(p) >= n})
+        out.append((np.array([k for k, _ in begins], "i8"), np.array([pieces.get(p, -1) for _, p in begins], "i8")))
+        level = {p: i for i, (_, p) in enumerate(begins)}
     return out
 
 
-def spans(words: list[bytes], tree: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """word, begin, end, piece of every place where a piece stands in a word."""
-    sizes = np.fromiter(map(len, words), "i8", len(words))
-    flat = b"".join(words)
-    word = np.repeat(np.arange(len(words)), sizes)
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))
-    codes = np.ndarray((len(flat),), ">u8", flat + bytes(8), strides=(1,)).astype("u8")
-    at, out = np.arange(len(flat)), []
+def spans(words: list[bytes], tree: list[tuple[np.ndarray, np.ndarray]], lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, ...]:
+    """word, begin, end, piece of every place where a piece stands in a word and begins in [lo, hi)."""
+    parts = [w[lo : hi + len(tree)] for w in words] if hi is not None or lo else words
+    sizes = np.fromiter(map(len, parts), "i8", len(parts))
+    flat = np.frombuffer(b"".join(parts), "u1")
+    first = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(parts)), sizes)
+    start, stop = np.repeat(first, sizes), np.repeat(first + sizes, sizes)
+    at = np.arange(len(flat))
+    if hi is not None:
+        at = at[at - start < hi - lo]
+    node, out = np.zeros(len(at), "i8"), []
     for n, (known, ids) in enumerate(tree, 1):
-        at = at[left[at] >= n]
-        if not len(known) or not len(at):
+        inside = at + n <= stop[at]
+        at, node = at[inside], node[inside]
+        if not len(at):
             break
-        code = codes[at] >> np.uint64(64 - 8 * n)
+        code = node << 8 | flat[at + n - 1]
         k = np.minimum(np.searchsorted(known, code), len(known) - 1)
         hit = known[k] == code
-        at, piece = at[hit], ids[k[hit]]
+        at, node = at[hit], k[hit]
+        piece = ids[node]
         own, piece = at[piece >= 0], piece[piece >= 0]
-        out.append((word[own], own - start[own], own - start[own] + n, piece))
+        begin = own - start[own] + lo
+        out.append((word[own], begin, begin + n, piece))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, "i8") for _ in range(4))
 
 
-def forward(words: list[bytes], found: tuple[np.ndarray, ...], prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word the sum over all segmentations of the product of piece probabilities: log values (word x language), and the
-    chances (place x word x language) that lead to them, each place scaled to a sum of one over languages."""
+def _sums(found: tuple[np.ndarray, ...], prob: np.ndarray, log: np.ndarray, base: int, ahead: bool) -> None:
+    """Fills ``log`` (place - base x word x language) in place: at each place the log of the sum over the pieces that end there
+    (``ahead``) or begin there, of the piece's probability times the sum at its other end. Rows of places already known stay."""
     word, begin, end, piece = found
-    longest = max(map(len, words), default=0)
-    chance = np.zeros((longest + 1, len(words), prob.shape[1]))
-    chance[0] = 1.0
-    scale = np.zeros((longest + 1, len(words)))
-    order = np.argsort(end, kind="stable")
-    cuts = np.searchsorted(end[order], np.arange(longest + 2))
-    for at in range(1, longest + 1):
-        own = order[cuts[at] : cuts[at + 1]]
-        if len(own):
-            w, b = word[own], begin[own]
-            # chances at a place are relative to that place's scale; a step brings them to one scale
-            part = chance[b, w] * prob[piece[own]] * np.exp(np.clip(scale[b, w] - scale[at - 1, w], -600, 600))[:, None]
-            np.add.at(chance[at], w, part)
-        total = chance[at].sum(axis=1)
-        seen = total > 0
-        chance[at, seen] /= total[seen, None]
-        scale[at] = scale[at - 1] + np.log(total, where=seen, out=np.zeros(len(words)))
-    last = np.fromiter(map(len, words), "int64", len(words))
-    rows = np.arange(len(words))
-    return np.log(np.maximum(chance[last, rows], 1e-300)) + scale[last, rows][:, None], chance
+    at, other = (end, begin) if ahead else (begin, end)
+    order = np.argsort(at * log.shape[1] + word, kind="stable")
+    at, other, word, piece = (x[order] for x in (at, other, word, piece))
+    places, cuts = np.unique(at, return_index=True)
+    for place, a, b in sorted(zip(places.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True), reverse=not ahead):
+        w, far = word[a:b], log[other[a:b] - base, word[a:b]]
+        head = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        top = np.maximum.reduceat(far, head)
+        top = np.where(np.isfinite(top), top, 0.0)
+        part = np.exp(far - np.repeat(top, np.diff(np.append(head, len(w))), axis=0)) * prob[piece[a:b]]
+        with np.errstate(divide="ignore"):
+            log[place - base, w[head]] = np.log(np.add.reduceat(part, head)) + top
+
+
+def _slices(words: list[bytes], tree: list, prob: np.ndarray, width: int):
+    """Of words, slice by slice: its first and last place, how many places are carried from the slice before (the longest piece's),
+    log sums up to each place from those on, and the pieces that begin from those on."""
+    longest, back = max(map(len, words), default=0), len(tree)
+    log = np.zeros((1, len(words), prob.shape[1]))
+    for base in range(0, max(1, longest), max(width, back)):
+        to, before, carried = min(base + max(width, back), longest), min(base, back), log
+        log = np.full((before + to - base + 1, len(words), prob.shape[1]), -np.inf)
+        log[: before + 1] = carried[-before - 1 :]
+        found = spans(words, tree, base - before, to)
+        own = (found[2] > base) & (found[2] <= to)
+        _sums(tuple(x[own] for x in found), prob, log, base - before, True)
+        yield base, to, before, log, found
+
+
+def steps(words: list[bytes], cells: int = CELLS):
+    """Positions of words of about one length, together no more than ``cells`` places in a slice."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    at = 0
+    while at < len(order):
+        n = 1
+        while at + n < len(order) and (n + 1) * min(SLICE, len(words[order[at + n]]) + 1) <= cells:
+            n += 1
+        yield order[at : at + n]
+        at += n
+
+
+def forward(words: list[bytes], tree: list, prob: np.ndarray, width: int = SLICE) -> np.ndarray:
+    """Of each word and language the log of the sum over all segmentations of the product of piece probabilities.
+
+    A word is summed ``width`` places at a time with the last places carried over, so its length costs no memory.
+    """
+    out = np.full((len(words), prob.shape[1]), -np.inf)
+    for own in steps(words):
+        part = [words[k] for k in own]
+        last = np.fromiter(map(len, part), "i8", len(part))
+        for base, to, before, log, _ in _slices(part, tree, prob, width):
+            done = np.flatnonzero((last > base) & (last <= to))
+            out[np.array(own)[done]] = log[last[done] - base + before, done]
+    return out
+
+
+def expected(words: list[bytes], tree: list, prob: np.ndarray, weight: np.ndarray, width: int = SLICE) -> np.ndarray:
+    """Expected piece counts (piece x language) of words with a weight per language, by forward and backward sums.
+
+    A word of several slices is summed forward once, keeping what each slice needs of the one before; then slices are taken from
+    the last to the first, so memory follows one slice and not the word.
+    """
+    out, back = np.zeros_like(prob), len(tree)
+    for own in steps(words):
+        part, share = [words[k] for k in own], weight[own]
+        last, rows = np.fromiter(map(len, part), "i8", len(part)), np.arange(len(own))
+        total, kept = np.zeros((len(part), prob.shape[1])), []
+        for base, to, before, log, found in _slices(part, tree, prob, width):
+            done = (last > base) & (last <= to)
+            total[done] = log[last[done] - base + before, rows[done]]
+            kept.append((base, to, before, log[: before + 1].copy()))
+        behind = np.full((1, len(part), prob.shape[1]), -np.inf)
+        for base, to, before, carried in reversed(kept):
+            if len(kept) > 1:
+                log = np.full((before + to - base + 1, *carried.shape[1:]), -np.inf)
+                log[: before + 1] = carried
+                found = spans(part, tree, base - before, to)
+                near = (found[2] > base) & (found[2] <= to)
+                _sums(tuple(x[near] for x in found), prob, log, base - before, True)
+            found = tuple(x[found[1] >= base] for x in found)
+            after = np.full((to - base + 1 + back, *carried.shape[1:]), -np.inf)
+            after[to - base : to - base + len(behind)] = behind
+            done = (last > base) & (last <= to)
+            after[last[done] - base, rows[done]] = 0.0
+            _sums(found, prob, after, base, False)
+            word, begin, end, piece = found
+            with np.errstate(invalid="ignore"):
+                chance = np.exp(log[begin - base + before, word] + after[end - base, word] - total[word]) * prob[piece] * share[word]
+            np.add.at(out, piece, np.nan_to_num(chance))
+            behind = after[: back + 1]
+    return out
 
 
 def words_of(text: str) -> list[bytes]:
@@ -95,57 +180,49 @@ def words_of(text: str) -> list[bytes]:
     return [b" " + w for word in text.lower().encode("utf-8", "surrogatepass").split() if (w := word.strip(MARKS))]
 
 
-def cut_long(words: list[bytes]) -> list[bytes]:
-    """Words of over 40 bytes in parts, so that memory does not follow the longest word."""
-    return [w for word in words for w in ([word] if len(word) <= 40 else [word[k : k + 40] for k in range(0, len(word), 40)])]
-
-
-def fit_pieces(counts: list[dict[bytes, int]], pieces: dict[bytes, int], rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities (piece x language) from word counts of each language, by expectation maximisation over segmentations."""
-    words, tree = sorted({w for c in counts for w in c}), as_numbers(pieces)
-    weight = np.array([[c.get(w, 0) for c in counts] for w in words], "float64").reshape(len(words), len(counts))
-    size = max(pieces.values()) + 1
-    prob = np.zeros((size, len(counts)))
-    # places are found anew in each round, so that memory does not follow the number of words
-    found = lambda: ((part, spans(part, tree), weight[k : k + 5_000]) for k in range(0, len(words), 5_000) for part in [words[k : k + 5_000]])
-    for _, (word, _, _, piece), w in found():
-        np.add.at(prob, piece, w[word])
-    length = np.zeros(size)
-    for p, i in pieces.items():
-        length[i] = len(p)
-    prob *= length[:, None]
-    for turn in range(rounds + 1):
-        prob += SMOOTH * (length > 0)[:, None]
-        prob /= prob.sum(axis=0)
-        if turn == rounds:
-            return prob
-        new = np.zeros_like(prob)
-        for part, f, w in found():
-            new += expected(part, f, prob, w)
-        prob = new
-    return prob
+def first_counts(words: list[bytes], tree: list, size: int, weight: np.ndarray) -> np.ndarray:
+    """Piece counts to start from: all places where a piece stands, by its length."""
+    out = np.zeros((size, weight.shape[1]))
+    for own in steps(words):
+        part = [words[k] for k in own]
+        for base in range(0, max(map(len, part)), SLICE):
+            word, begin, end, piece = spans(part, tree, base, base + SLICE)
+            np.add.at(out, piece, weight[own][word] * (end - begin)[:, None])
+    return out
 
 
-def expected(words: list[bytes], found: tuple[np.ndarray, ...], prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected piece counts, by forward and backward sums."""
-    word, begin, end, piece = found
-    longest = max(map(len, words), default=0)
-    last = np.fromiter(map(len, words), "int64", len(words))
-    ahead = np.zeros((longest + 1, len(words), prob.shape[1]))
-    ahead[0] = 1.0
-    back = np.zeros_like(ahead)
-    back[last, np.arange(len(words))] = 1.0
-    for at in range(1, longest + 1):
-        own = np.flatnonzero(end == at)
-        np.add.at(ahead[at], word[own], ahead[begin[own], word[own]] * prob[piece[own]])
-    for at in range(longest - 1, -1, -1):
-        own = np.flatnonzero(begin == at)
-        np.add.at(back[at], word[own], back[end[own], word[own]] * prob[piece[own]])
-    total = np.maximum(ahead[last, np.arange(len(words))], 1e-300)
-    share = ahead[begin, word] * prob[piece] * back[end, word] / total[word] * weight[word]
-    out = np.zeros_like(prob)
-    np.add.at(out, piece, share)
-    return out
+def normalised(counts: np.ndarray, pieces: dict[bytes, int]) -> np.ndarray:
+    """Probabilities from counts: each piece of the vocabulary gets ``SMOOTH`` on top."""
+    counts = counts.copy()
+    counts[list(pieces.values())] += SMOOTH
+    return counts / counts.sum(axis=0)
+
+
+def fit_pieces(words: DataFrame, langs: int, pieces: dict[bytes, int], rounds: int = ROUNDS) -> np.ndarray:
+    """Piece probabilities (piece x language) by expectation maximisation over segmentations.
+
+    ``words`` has a row (word, counts) per word, a count per language. Each round is a Spark job: tasks send expected counts per
+    piece, and the driver gets their sums, one number per piece and language, so it never holds the words.
+    """
+    tree, size = as_tree(pieces), max(pieces.values()) + 1
+    prob = None
+
+    def count(batches):
+        total = np.zeros((size, langs))
+        for b in batches:
+            word = b.column("word").to_pylist()
+            weight = np.array(b.column("counts").to_pylist(), "f8").reshape(len(word), langs)
+            total += first_counts(word, tree, size, weight) if prob is None else expected(word, tree, prob, weight)
+        piece, lang = np.nonzero(np.rint(total * UNIT))
+        yield pa.RecordBatch.from_arrays([pa.array(piece.astype("i4")), pa.array(lang.astype("i4")), pa.array(np.rint(total[piece, lang] * UNIT).astype("i8"))], ["piece", "lang", "n"])
+
+    for _ in range(rounds + 1):
+        got = words.mapInArrow(count, "piece int, lang int, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        piece, lang, n = (got.column(c).to_numpy() for c in ("piece", "lang", "n"))
+        counts = np.zeros((size, langs))
+        counts[piece, lang] = n / UNIT
+        prob = normalised(counts, pieces)
+    return prob
 
 
 def held_out() -> F.Column:
@@ -155,8 +232,8 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, dict[bytes, int]]:
     """Languages, piece probabilities and pieces, from documents that are not held out and have a language.
 
-    Word counts come from a sample of about ``sample`` documents a language, by a hash of the id; Spark counts them, so what the
-    driver gets is bounded by the sample. Words that occur once count too: a language may have one short document.
+    Word counts come from a sample of about ``sample`` documents a language, by a hash of the id. Spark counts the words and fits
+    the pieces; words that occur once count too, as a language may have one short document.
     """
     pieces = load_pieces(vocabulary or default_vocabulary())
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -166,54 +243,73 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE,
         return [], np.zeros((1, 0)), pieces
     pick = F.lit(False)
     for lang in langs:
-        share = int(min(1.0, sample / sizes[lang]) * 1_000_000)
-        pick = pick | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share))
-    words = known.where(pick).select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("lang", "word").count().collect()
-    by = {lang: {} for lang in langs}
-    for r in counts:
-        for w in cut_long(words_of(r["word"])):
-            by[r["lang"]][w] = by[r["lang"]].get(w, 0) + r["count"]
-    return langs, fit_pieces([by[x] for x in langs], pieces, rounds), pieces
+        pick = pick | ((F.col("lang") == lang) & picked(share_of(sample, sizes[lang]), "doc_id", F.lit("sample")))
+
+    def words(batches):
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                own = Counter(words_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
+
+    counts = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).cast("double") for lang in langs]
+    own = known.where(pick).select("lang", "text").mapInArrow(words, "lang string, word binary, n long")
+    own = own.groupBy("word").agg(F.array(*counts).alias("counts")).repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism), "word")
+    return langs, fit_pieces(materialize(own, "words"), len(langs), pieces, rounds), pieces
 
 
 def identify(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document.
 
-    A text's log probability in a language is the sum over its words; a word's is that of all ways to write it in pieces, by a
-    forward pass that each worker does once per word it remembers. score is the posterior of the best language under equal
-    priors; ties go to the first by name. Null text and text without a letter give ``und`` with score 0, and so does everything
-    when no document has a language to learn from. Null ids are scored too; an empty table gives an empty one.
+    A text's log probability in a language is the sum over its words; a word's is that of all ways to write it in pieces of the
+    whole vocabulary, by a forward pass that each worker does once per word it remembers. score is the posterior of the best
+    language under equal priors; ties go to the first by name. Null text and text without a letter give ``und`` with score 0, and
+    so does everything when no document has a language to learn from. Null ids are scored too; repeated rows come back each, with
+    one result; other columns of ``docs`` are ignored; an empty table gives an empty one. A text of any length is taken whole: its
+    words are looked up together, and a long word in slices with the sums carried over.
     """
     langs, prob, pieces = train(docs, vocabulary, sample, rounds)
-    tree = as_numbers(pieces)
+    tree = as_tree(pieces)
     cache: dict[bytes, int] = {}
     table = [np.zeros((0, len(langs)))]
+    held = [0]
 
-    def score(texts: list[list[bytes]]) -> list[np.ndarray]:
-        new = list({w for words in texts for w in words}.difference(cache))
-        if len(cache) + len(new) > CACHE_WORDS:
+    def remember(words: set[bytes]) -> None:
+        """Scores the words that are not known; with too many known ones the memory starts anew."""
+        new = list(words.difference(cache))
+        size = sum(map(len, new))
+        if len(cache) + len(new) > CACHE_WORDS or held[0] + size > CACHE_BYTES:
             cache.clear()
-            table[0] = table[0][:0]
-            new = list({w for words in texts for w in words})
-        new.sort(key=len)
-        for k in range(0, len(new), 10_000):
-            part = [w[:40] for w in new[k : k + 10_000]]
-            cache.update(zip(new[k : k + 10_000], range(len(cache), len(cache) + len(part)), strict=True))
-            table[0] = np.concatenate([table[0], forward(part, spans(part, tree), prob)[0]])
-        return [table[0][np.fromiter(map(cache.__getitem__, words), "int64", len(words))].sum(axis=0) for words in texts]
+            table[0], held[0] = table[0][:0], 0
+            new = list(words)
+            size = sum(map(len, new))
+        cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
+        table[0], held[0] = np.concatenate([table[0], forward(new, tree, prob)]), held[0] + size
+
+    def score(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(langs)))
+        group, long, size = [], [], 0
+        for k, text in enumerate([*texts, None]):
+            if text is None or size > GROUP:
+                remember({w for _, words in group for w in words})
+                for j, words in group:
+                    out[j] += table[0][np.fromiter(map(cache.__getitem__, words), "int64", len(words))].sum(axis=0)
+                for (j, _), ll in zip(long, forward([w for _, w in long], tree, prob), strict=True):
+                    out[j] += ll
+                group, long, size = [], [], 0
+            words = words_of(text or "")
+            group += [(k, [w for w in words if len(w) <= CACHED])] if words else []
+            long += [(k, w) for w in words if len(w) > CACHED]
+            size += len(text or "")
+        return out
 
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            real = [isinstance(t, str) and bool(langs) and bool(LETTER.search(t)) for t in texts]
             pred, post = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            todo = [k for k, r in enumerate(real) if r]
-            for at in range(0, len(todo), 200):
-                own = todo[at : at + 200]
-                for k, ll in zip(own, score([cut_long(words_of(texts[k])) for k in own]), strict=True):
-                    p = np.exp(ll - ll.max())
-                    pred[k], post[k] = langs[int(p.argmax())], float(p.max() / p.sum())
+            todo = [k for k, t in enumerate(texts) if isinstance(t, str) and langs and LETTER.search(t)]
+            for k, ll in zip(todo, score([texts[k] for k in todo]), strict=True):
+                p = np.exp(ll - ll.max())
+                pred[k], post[k] = langs[int(p.argmax())], float(p.max() / p.sum())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()), pa.array(post, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.sampling import picked, share_of
+
 #: The chain, in order: a category's name and the label value that means it.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 #: Labelled rows to fit on, an expected number; words per category; folds; ridge penalty; documents a word must be in.
@@ -81,8 +83,7 @@ def labelled(docs: DataFrame, labels: DataFrame, chain: tuple, rows: int) -> Dat
     for _, column, _ in chain:
         known = known.where(F.col(column).isNotNull())
     known = known.groupBy("doc_id").agg(*[F.max((F.col(c) == v).cast("double")).alias(f"_y{k}") for k, (_, c, v) in enumerate(chain)])
-    share = int(min(1.0, rows / max(1, labels.count())) * 1_000_000)
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("labels")), F.lit(1_000_000)) < share).withColumnRenamed("doc_id", "_id")
+    known = known.where(picked(share_of(rows, labels.count()), "doc_id", F.lit("labels"))).withColumnRenamed("doc_id", "_id")
     return docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).drop("doc_id")
 
 
@@ -143,8 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int =
 def predict(docs: DataFrame, model: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, p_<category> of each category of the chain, and whether the last one's reaches ``threshold`` (named after it).
 
-    Null and empty texts are scored as texts without words; null ids and repeated rows come back each; extra columns are ignored;
-    with no labelled row every probability is the same one half, and nothing is flagged. An empty table gives an empty one.
+    Null and empty texts are scored as texts without words; null ids and repeated rows come back each, equal texts with equal
+    results; extra columns are ignored; a text of any length is taken whole, as the set of its words; with no labelled row every
+    probability is the same one half, and nothing is flagged. An empty table gives an empty one.
     """
     names = [f"p_{n}" for n in model.names]
     last = model.names[-1]

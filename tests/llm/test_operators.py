@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from marketloom.llm import langid, mixing, packing, quality, simhash, suffix, templates, topk, toxicity, warc
+from marketloom.llm import langid, mixing, packing, quality, sampling, simhash, suffix, templates, topk, toxicity, warc
 from tests.llm.cases import documents, empty
 from tests.oracle import check
 
@@ -250,6 +250,38 @@ def test_chain_flags_toxic_words_and_not_others(spark):
     assert toxicity.predict(docs.limit(0), model).count() == 0
 
 
+def test_chain_matches_brute_force(spark):
+    """Counts of words, folds and fits anew in plain loops; the fit by many small steps instead of Newton's."""
+    rng = random.Random(9)
+    stock = ["aaa", "bbb", "ccc", "ddd", "eee", "fff"]
+    rows = [(i, " ".join(w for w in stock if rng.random() < 0.5)) for i in range(60)]
+    labels = [(i, int(("aaa" in t) == (rng.random() < 0.8)), int(("bbb" in t) == (rng.random() < 0.9))) for i, t in rows[:50]]
+    docs, labs = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labs)
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in toxicity.predict(docs, model).collect()}
+    sets = [set(t.split()) for _, t in rows]
+    used = sorted(w for w in stock if sum(w in s for s in sets[:50]) >= toxicity.MIN_DOCS)
+    assert sorted(model.words) == used
+
+    def fit(x, y):
+        w = np.zeros(x.shape[1] + 1)
+        x = np.hstack([x, np.ones((len(x), 1))])
+        penalty = np.array([toxicity.RIDGE] * (x.shape[1] - 1) + [1e-6])
+        for _ in range(20_000):
+            w -= 0.04 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) + penalty * w)
+        return lambda z: 1 / (1 + np.exp(-(z @ w[:-1] + w[-1])))
+
+    x = np.array([[float(w in s) for w in used] for s in sets])
+    known = x[:50]
+    low, toxic = (np.array([float(v) for v in c]) for c in zip(*((q == 0, t == 1) for _, q, t in labels), strict=True))
+    fold, out = np.array([(i * 2654435761 >> 7) % toxicity.FOLDS for i in range(50)]), np.zeros(50)
+    for f in range(toxicity.FOLDS):
+        out[fold == f] = fit(known[fold != f], low[fold != f])(known[fold == f])
+    first = fit(known, low)(x)
+    second = fit(np.hstack([known, out[:, None]]), toxic)(np.hstack([x, first[:, None]]))
+    assert np.allclose([got[i] for i in range(60)], np.stack([first, second], axis=1), atol=1e-3)
+
+
 # 6 quality
 
 
@@ -333,16 +365,103 @@ def test_suffix_on_periodic_and_overlapping_texts(spark):
 # 8 language
 
 
-def test_forward_sums_all_segmentations():
-    pieces = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4}
-    prob = np.array([[0.1, 0.3], [0.2, 0.1], [0.3, 0.2], [0.15, 0.3], [0.25, 0.1]])
+def plain_sum(word, pieces, prob):
+    """Log of the sum over all segmentations, place by place."""
+    longest, at = max(map(len, pieces)), np.full((len(word) + 1, prob.shape[1]), -np.inf)
+    at[0] = 0.0
+    for end in range(1, len(word) + 1):
+        for n in range(1, min(longest, end) + 1):
+            if (i := pieces.get(word[end - n : end])) is not None:
+                at[end] = np.logaddexp(at[end], at[end - n] + np.log(prob[i]))
+    return at[-1]
+
+
+def segmentations(word, pieces):
+    return [[]] if not word else [[i, *rest] for p, i in pieces.items() if word.startswith(p) for rest in segmentations(word[len(p) :], pieces)]
+
 
-    def plain(w, k):
-        return 1.0 if not w else sum(prob[i, k] * plain(w[len(p) :], k) for p, i in pieces.items() if w.startswith(p))
+TOY = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4, b" ": 5, b" a": 6}
 
-    ws = [b"a", b"ab", b"abab", b"babaabba", b"b"]
-    got, _ = langid.forward(ws, langid.spans(ws, langid.as_numbers(pieces)), prob)
-    assert np.allclose(np.exp(got), [[plain(w, k) for k in range(2)] for w in ws])
+
+def test_forward_sums_all_segmentations():
+    prob = np.array([[0.1, 0.3], [0.2, 0.1], [0.3, 0.2], [0.15, 0.3], [0.25, 0.1], [0.2, 0.1], [0.1, 0.3]])
+    ws = [b"a", b"ab", b"abab", b"babaabba", b"b", b"x"]
+    tree = langid.as_tree(TOY)
+    got = langid.forward(ws, tree, prob)
+    assert np.allclose(np.exp(got), [[sum(np.prod(prob[s, k]) for s in segmentations(w, TOY)) for k in range(2)] for w in ws])
+    weight = np.arange(1, 2 * len(ws) + 1).reshape(len(ws), 2).astype(float)
+    want = np.zeros_like(prob)
+    for w, n in zip(ws, weight, strict=True):
+        for k in range(2):
+            found = [(np.prod(prob[s, k]), s) for s in segmentations(w, TOY)]
+            for p, s in found:
+                np.add.at(want[:, k], s, n[k] * p / sum(q for q, _ in found))
+    assert np.allclose(langid.expected(ws, tree, prob, weight), want) and np.allclose(langid.expected(ws, tree, prob, weight, 3), want)
+
+
+def test_forward_takes_all_pieces_and_long_words():
+    pieces = langid.load_pieces(langid.default_vocabulary())
+    assert len(pieces) == 50_256 and max(map(len, pieces)) == 33
+    rng, tree = np.random.default_rng(1), langid.as_tree(pieces)
+    assert sum(int((ids >= 0).sum()) for _, ids in tree) == 50_256
+    prob = rng.random((50_256, 2))
+    prob /= prob.sum(axis=0)
+    ws = [b" information", " 日本語の文章は区切らずに続きます".encode() * 12, (b"something" * 1200)[:10_000]]
+    want = np.array([plain_sum(w, pieces, prob) for w in ws])
+    assert np.allclose(langid.forward(ws, tree, prob), want) and np.allclose(langid.forward(ws, tree, prob, 50), want)
+    ones = np.ones((3, 2))
+    assert np.allclose(langid.expected(ws, tree, prob, ones), langid.expected(ws, tree, prob, ones, 50))
+
+
+def test_share_of_a_sample_is_right_at_any_size(spark):
+    for rows in (0, 1, 1500, 10**6, 1_600_000_000, 3 * 10**9, 10**13):
+        assert sampling.share_of(1500, rows) == pytest.approx(min(1.0, 1500 / max(1, rows)))
+    ids = spark.range(200_000)
+    for share in (0.0, 1e-6, 0.01, 0.5, 1.0):
+        n = ids.where(sampling.picked(share, "id", sampling.F.lit("x"))).count()
+        assert abs(n - 200_000 * share) <= 5 * (200_000 * share) ** 0.5 and (share < 1 or n == 200_000)
+    least = ids.select(sampling.F.shiftrightunsigned(sampling.F.xxhash64("id"), 11).alias("h")).agg({"h": "min"}).first()[0]
+    assert 0 < least < (1 << 53) / 10_000  # so shares far below a millionth still tell rows apart
+
+
+def test_language_matches_brute_force(spark, tmp_path):
+    import base64
+    from collections import Counter
+
+    vocabulary = tmp_path / "toy.tiktoken"
+    vocabulary.write_text("".join(f"{base64.b64encode(p).decode()} {i}\n" for p, i in TOY.items()))
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices("ab", [1 + 4 * (i % 2), 3], k=rng.randint(1, 6))) for _ in range(8)), ["x", "y"][i % 2]) for i in range(40)]
+    rows += [(7, rows[7][1], "y"), (50, None, "x"), (51, "12", "y"), (52, "abab " * 700, None), (None, "ba", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 4 == 2
+    counts = Counter((w, lang) for i, t, lang in rows if t and lang and not held(i) for w in langid.words_of(t))
+    prob = np.zeros((len(TOY), 2))
+    for turn in range(4):
+        new = np.zeros_like(prob)
+        for (w, lang), n in counts.items():
+            k = "xy".index(lang)
+            if not turn:  # every place where a piece stands, by its length
+                for p, i in TOY.items():
+                    new[i, k] += n * len(p) * sum(w.startswith(p, at) for at in range(len(w)))
+                continue
+            found = [(np.prod(prob[s, k]), s) for s in segmentations(w, TOY)]
+            for q, s in found:
+                np.add.at(new[:, k], s, n * q / sum(x for x, _ in found))
+        prob = (new + langid.SMOOTH) / (new + langid.SMOOTH).sum(axis=0)
+    got = langid.identify(docs, str(vocabulary)).collect()
+    assert len(got) == len(rows)
+    texts = {}
+    for i, t, _ in rows:
+        texts.setdefault(i, t)
+    for r in got:
+        t = texts[r["doc_id"]]
+        if t is None or t == "12":
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        ll = sum(plain_sum(w, TOY, prob) for w in langid.words_of(t))
+        post = np.exp(ll - ll.max()) / np.exp(ll - ll.max()).sum()
+        assert r["lang_pred"] == "xy"[int(post.argmax())] and r["score"] == pytest.approx(post.max(), abs=1e-4)
 
 
 def test_language_on_held_out_documents(spark):
