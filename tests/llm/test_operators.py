@@ -317,6 +317,35 @@ def test_lines_over_the_limit_deplete_all_but_the_first(spark):
     assert quality.quality_verdicts(docs.limit(0)).count() == 0
 
 
+def test_documents_are_counted_by_id_text_and_host(spark):
+    rng = random.Random(8)
+    from tests.llm.cases import prose
+
+    page = "\n".join(prose(rng, 30, False) for _ in range(3))
+    own = [prose(rng, 80) for _ in range(8)]
+    rows = [(i, page, "copies") for i in range(8)]  # copies are documents: all but the first go
+    rows += [(20, page + "\n" + prose(rng, 3), "one id") for _ in range(8)]  # different texts of one id are documents too
+    rows += [(None, page + "\n" + prose(rng, 3), "no id") for _ in range(8)]
+    rows += [(40, page, "repeated")] * 8  # one document, stored eight times
+    rows += [(50, page, f"h{i}") for i in range(8)]  # one document on each host
+    rows += [(60 + i, t, "copies") for i, t in enumerate(own)]
+    docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, source string, _host string, h string")
+    kept = {}
+    for r in quality.quality_verdicts(docs, limit=5).collect():
+        kept.setdefault(r["_host"], []).append(r["kept"])
+    assert sum(kept["copies"]) == 1 + len(own) and sum(kept["one id"]) == sum(kept["no id"]) == 1 and sum(kept["repeated"]) == 8
+    assert all(kept[f"h{i}"] == [True] for i in range(8))
+    out = quality.keep_good(docs, limit=5)
+    assert out.columns == docs.columns and out.count() == sum(map(sum, kept.values()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 8, 9, 10, 16, 17, 18, 33, 34, 65_535, 65_538, 400_000])
+def test_repeats_at_the_edges_of_position_bits(spark, n):
+    words = [f"w{i}" for i in range(n)] + ["a", "b", "c", "a", "b", "c"]
+    got = quality.with_repeats(spark.createDataFrame([(words,)], "_words array<string>")).first()["n_repeat_words"]
+    assert got == 6 and "_bits" not in quality.with_repeats(spark.createDataFrame([(words[:n],)], "_words array<string>")).columns
+
+
 # 7 suffix
 
 
