@@ -18,8 +18,14 @@ VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Payload from which equal payloads are stored once, and bytes that an archive file aims at.
+#: Payload from which equal payloads are stored once, and bytes of an archive file at most (more only if one record has more).
 MIN_BYTES, FILE_BYTES = 0, 16 << 20
+#: Records are written apart by size, each class up to 16 times the bytes of the one before; bytes that headers add at most.
+CLASS_BITS, FIRST_BITS, ADDED = 4, 12, 2048
+#: Bytes of a record's headers at most; bytes of a gzip member that are inflated at a time, and inflated bytes that are parsed at once.
+HEAD_BYTES, BLOCK, PARSED = 1 << 16, 1 << 16, 4 << 20
+#: Rows and payload bytes of a batch that leaves the reader.
+ROWS, BATCH_BYTES = 1000, 8 << 20
 RECORD_END = b"\r\n\r\n"
 
 
@@ -30,12 +36,17 @@ def digest32(binary) -> F.Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
+def size_class(size) -> F.Column:
+    """0 up to 4 KB, and one more for each 16 times of it."""
+    return F.greatest(F.lit(0), F.ceil((F.length(F.bin(size)) - FIRST_BITS) / CLASS_BITS)).cast("int")
+
+
 def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to for each page.
 
     Of equal payloads of at least ``min_bytes`` the smallest page_id is a response and others revisit it. Null html is an empty
     payload; a null page_id is never referred to and stays a response; rows that repeat the smallest page_id are all responses.
-    Groups meet in a minimum per digest; only digests with more than one page are joined, from a table, so a hot one is split.
+    Other columns are ignored, whatever their names; html of any length is taken whole; an empty table gives an empty one. Groups meet in a minimum per digest; only digests with more than one page are joined, from a table, so a hot one is split.
     """
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
@@ -49,12 +60,18 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return out.select("page_id", "url", "payload", "payload_bytes", "payload_digest", kind.alias("record_type"), refers.alias("refers_to"))
 
 
+def _stored(html, url) -> F.Column:
+    """Bytes of a page that its record may hold, without headers."""
+    return F.octet_length(F.coalesce(html.cast("string"), F.lit(""))) + F.octet_length(F.coalesce(url.cast("string"), F.lit("")))
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Writes a record per page to plain WARC files under ``path``.
 
     A record is a row of text: headers, HTTP headers that state the payload's size, and the payload (none in a revisit); the line
     separator of the sink is what ends a record. So writing is atomic by task, and works wherever Spark writes. White space and
-    control characters of a URL are dropped, as a header must not hold them.
+    control characters of a URL are dropped, as a header must not hold them. Records of a size class share files, so a file holds
+    ``file_bytes`` at most, or one record of more.
     """
     records = plan_records(pages, min_bytes)
     crlf, payload = F.lit("\r\n"), F.col("payload").cast("string")
@@ -67,10 +84,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file
         F.when(F.col("record_type") == "revisit", F.concat(F.lit("WARC-Refers-To: "), urn(F.col("refers_to")))), F.when(F.col("record_type") == "revisit", F.lit(f"WARC-Profile: {PROFILE}")),
         F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
     )
-    text = records.withColumn("block", block).select(F.concat(head, crlf, crlf, F.col("block")).alias("value"))
-    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
-    limit = max(1, int(file_bytes / (mean + 1024)))
-    text.write.option("lineSep", RECORD_END.decode()).option("maxRecordsPerFile", limit).text(path)
+    text = records.withColumn("block", block).select(size_class(_stored(payload, F.col("url"))).alias("class"), F.concat(head, crlf, crlf, F.col("block")).alias("value"))
+    stored = _stored(F.col("html"), F.col("url"))
+    sizes = pages.groupBy(size_class(stored).alias("class")).agg(F.max(stored).alias("most")).orderBy("class").collect()
+    for r in sizes or [{"class": 0, "most": 0}]:
+        own = text.where(F.col("class") == r["class"]).select("value")
+        own.write.mode("append").option("lineSep", RECORD_END.decode()).option("maxRecordsPerFile", max(1, file_bytes // (r["most"] + ADDED))).text(path)
 
 
 def _headers(head: bytes) -> dict[str, str] | None:
@@ -83,7 +102,7 @@ def _headers(head: bytes) -> dict[str, str] | None:
 
 def _record(data: bytes, at: int) -> tuple[dict, int] | None:
     """The record at ``at`` with the place after it, or None if a check fails: headers, length, end mark, digest."""
-    stop = data.find(RECORD_END, at)
+    stop = data.find(RECORD_END, at, at + HEAD_BYTES)
     if stop < 0 or (h := _headers(data[at:stop])) is None or not (h.get("content-length") or "").isdigit():
         return None
     begin, end = stop + 4, stop + 4 + int(h["content-length"])
@@ -102,37 +121,79 @@ def _record(data: bytes, at: int) -> tuple[dict, int] | None:
     }, end + 4
 
 
-def salvage(data: bytes, base: int = 0):
+def _inflate(data: bytes, at: int):
+    """(place, bytes) of the gzip member at ``at``, block by block: what came out of the bytes before ``place``. Ends with
+    (place after the member, None), or (place of the damage, b"") where it is cut off or damaged."""
+    inflate, size = zlib.decompressobj(31), BLOCK
+    while not inflate.eof and at < len(data):
+        before, block = inflate.copy(), data[at : at + size]
+        try:
+            out = inflate.decompress(block)
+        except zlib.error:
+            if size == 1:
+                break
+            inflate, size = before, max(1, size // 16)  # what stands before the damage comes out
+            continue
+        at += len(block) - len(inflate.unused_data)
+        yield at, out
+    yield at, None if inflate.eof else b""
+
+
+def _member(data: bytes, start: int):
+    """(start, end, record) of the records and gaps of the gzip member at ``start``, then (start, end, whether it is whole).
+
+    Inflated bytes are parsed as they come and dropped once parsed, so memory follows the longest record, not the member. Records
+    have the member's own place; what damage leaves unread is a gap from the block in which the last whole record ends.
+    """
+    held, seen, edge, good, places = bytearray(), 0, PARSED, start, []
+    for at, out in _inflate(data, start):
+        if out:
+            held += out
+            places.append((seen + len(held), at))
+            if len(held) < edge:
+                continue
+        found, done = list(salvage(bytes(held), nested=False)), len(held)
+        if found and found[-1][2] is None and out is not None:
+            done = found.pop()[0]  # may be the beginning of a record that is still to come
+        for *_, r in found:
+            yield start, at, r
+        good = max((p for n, p in places if n <= seen + done), default=good)
+        places = [(n, p) for n, p in places if n > seen + done]
+        seen, edge = seen + done, max(PARSED, 2 * (len(held) - done))
+        del held[:done]
+    yield (start, at, True) if out is None else (start, max(good, start + 1), False)
+
+
+def salvage(data: bytes, base: int = 0, nested: bool = True):
     """(start, end, record) of each valid record, and (start, end, None) of each gap that no record could be read from.
 
     Plain records and gzip members may alternate. After a failed check the search goes on at the next version line or gzip
-    member from which a whole valid record can be read. A member that inflates but holds damaged records is salvaged inside.
+    member from which a whole valid record can be read. Of a damaged or cut-off member the records before the damage are kept, the
+    rest of it is a gap; a member that inflates but holds damaged records is salvaged inside.
     """
     at = gap = 0
-    mark = re.compile(rb"WARC/\d\.\d\r\n|\x1f\x8b\x08")
-    while at < len(data):
-        m = mark.search(data, at)
-        if not m:
-            break
-        found, end = [], m.start()
-        if data.startswith(b"\x1f\x8b", m.start()):
-            inflate = zlib.decompressobj(31)
-            try:
-                inside = inflate.decompress(data[m.start() :])
-                end = len(data) - len(inflate.unused_data)
-                found = [r for *_, r in salvage(inside)] if inflate.eof else []
-            except zlib.error:
-                found = []
-        elif got := _record(data, m.start()):
-            found, end = [got[0]], got[1]
-        if not any(found):
-            at = m.start() + 1
-            continue
-        if gap < m.start():
-            yield base + gap, base + m.start(), None
-        for r in found:
-            yield base + m.start(), base + end, r
-        at = gap = end
+    mark = re.compile(rb"WARC/\d\.\d\r\n|\x1f\x8b\x08" if nested else rb"WARC/\d\.\d\r\n")
+    while m := mark.search(data, at):
+        begin = at = m.start()
+        if data.startswith(b"\x1f\x8b", begin):
+            inside, some = [], False
+            for a, b, r in _member(data, begin):
+                if isinstance(r, bool):
+                    at, gap = b, b if some else gap
+                    continue
+                if r and not some and gap < begin:
+                    yield base + gap, base + begin, None
+                some, inside = some or bool(r), [*inside, (base + a, base + b, r)]
+                if some:  # a gap counts for itself only beside a record of its member
+                    yield from inside
+                    inside = []
+        elif got := _record(data, begin):
+            if gap < begin:
+                yield base + gap, base + begin, None
+            at = gap = got[1]
+            yield base + begin, base + at, got[0]
+        else:
+            at += 1
     if gap < len(data):
         yield base + gap, base + len(data), None
 
@@ -148,10 +209,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(*batch.to_pydict().values(), strict=True):
-                rows = [{"file": name, "at": a, "bytes": b - a} | (r or {"error": "no valid record"}) for a, b, r in salvage(data)]
-                for r in rows if not payloads else []:
-                    r["payload"] = None
+            for name, content in zip(*batch.columns, strict=True):
+                rows, size = [], 0
+                for a, b, r in salvage(content.as_py()):
+                    rows.append({"file": name.as_py(), "at": a, "bytes": b - a} | (r or {"error": "no valid record"}) | ({} if payloads else {"payload": None}))
+                    size += len(rows[-1].get("payload") or b"")
+                    if len(rows) == ROWS or size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=RECORD)
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=RECORD)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")

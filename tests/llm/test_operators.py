@@ -179,6 +179,55 @@ def zlib_member(data):
     return c.compress(data) + c.flush()
 
 
+def record(i: int, body: bytes) -> bytes:
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(body)
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Date: {warc.DATE}\r\nContent-Length: {len(http) + len(body)}\r\n\r\n"
+    return head.encode() + http + body + warc.RECORD_END
+
+
+@pytest.mark.parametrize("parsed", [warc.PARSED, 5000])
+def test_damaged_members_give_their_whole_records(parsed, monkeypatch):
+    monkeypatch.setattr(warc, "PARSED", parsed)
+    rng = random.Random(7)
+    records = [record(i, rng.randbytes(700)) for i in range(20)]
+    member, after = zlib_member(b"".join(records)), zlib_member(record(99, b"after"))
+    ids = lambda data: [r["page_id"] if r else None for *_, r in warc.salvage(data)]
+    assert ids(member + after) == [*range(20), 99]
+    wrong = bytearray(member)
+    wrong[-6] ^= 1  # the checksum
+    assert ids(bytes(wrong)) == [*range(20), None] and ids(bytes(wrong) + after) == [*range(20), None, 99]
+    short = member[:-200]
+    assert ids(short) == [*range(19), None] and ids(short + after) == [*range(19), None, 99]
+    gap = [(a, b) for a, b, r in warc.salvage(short) if r is None]
+    assert len(gap) == 1 and gap[0][1] == len(short) and 0 < gap[0][1] - gap[0][0] < 66_000
+    bad_inside = zlib_member(b"".join([*records[:5], b"x" * 50, *records[6:]]))
+    assert ids(bad_inside) == [*range(5), None, *range(6, 20)]
+    nothing = zlib_member(b"no record at all" * 100)
+    assert ids(nothing + after) == [None, 99] and ids(after + nothing) == [99, None]
+
+
+def test_reading_members_takes_linear_time():
+    import time
+
+    def seconds(n):
+        data = b"".join(zlib_member(record(i, b"%d" % i * 300)) for i in range(n))
+        began = time.process_time()
+        assert sum(r is not None for *_, r in warc.salvage(data)) == n
+        return time.process_time() - began
+
+    assert seconds(8000) < 8 * seconds(2000)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "http://x", "y" * size) for i, size in enumerate([10] * 400 + [3000] * 60 + [200_000] * 9 + [1_500_000])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(df, f"file://{tmp_path}/w", min_bytes=1 << 30, file_bytes=500_000)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").glob("part-*"))
+    assert sizes[-1] < 1_510_000 and sizes[-2] <= 500_000
+    got = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert sorted((r["page_id"], len(r["payload"])) for r in got) == sorted((i, len(h)) for i, _, h in rows)
+
+
 # 4 templates
 
 
