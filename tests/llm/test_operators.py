@@ -440,6 +440,58 @@ def test_suffix_on_periodic_and_overlapping_texts(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) in expected[r["doc_id"] if r["doc_id"] is not None else 1 << 62]
 
 
+@pytest.mark.parametrize("hot", [suffix.HOT, 1])
+def test_suffix_of_a_phrase_in_thousands_of_texts(spark, hot, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, passage = letters(50), letters(160)
+    rows = [(i, letters(70) + phrase + letters(70) + (passage if i % 9 == 0 else "")) for i in range(4000)]
+    rows += [(4000 + i, rows[i * 7][1]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = suffix._keyed(docs)
+    sent = keyed.mapInArrow(suffix._runs(100, 32, hot), "rank long, context long, doc long, key int, place long")
+    assert max(r["count"] for r in sent.groupBy("rank").count().collect()) <= 4 * max(2, hot) + 1
+    expected = brute_suffix(rows, 100)
+    got = suffix.remove_repeats(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) in expected[r["doc_id"]]
+
+
+def test_sorted_groups_go_on_over_batches():
+    """Batches of any size give what one batch gives."""
+    rng = np.random.default_rng(2)
+    n = 400
+    f = {"rank": rng.integers(0, 9, n), "context": rng.integers(0, 3, n) * (rng.random(n) < 0.4), "doc": rng.integers(0, 30, n), "key": np.zeros(n, "i4"), "place": rng.integers(0, 50, n) << 32}
+    f["rank"][:20], f["place"][:10], f["place"][10:20] = np.arange(100, 120), -1 - f["place"][:10], -1 - (f["place"][10:20] | suffix.OPEN)
+    f["place"] = np.where(f["place"] >= 0, f["place"] | f["place"] >> 32, f["place"])
+    order = np.lexsort((f["place"], f["doc"], f["context"], f["rank"]))
+    whole = pa.RecordBatch.from_arrays([pa.array(c[order]) for c in f.values()], list(f))
+    rows = lambda step: sorted(tuple(r.values()) for b in suffix._compare(whole.slice(k, step) for k in range(0, n, step)) for r in b.to_pylist())
+    assert rows(1) == rows(3) == rows(50) == rows(n)
+    strings = pa.RecordBatch.from_arrays([pa.array(c[order].astype("i8")) for c in f.values()], ["rank", "tail", "doc", "check", "place"])
+    ones = lambda step: sorted(tuple(r.values()) for b in suffix._repeats(strings.slice(k, step) for k in range(0, n, step)) for r in b.to_pylist())
+    assert ones(1) == ones(7) == ones(n)
+
+
+def test_suffix_of_a_text_of_twenty_megabytes(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    text = bytes(rng.integers(97, 123, 20_000_000, dtype="u1")).decode()
+    text = text[:9_000_000] + text[1_000_000:1_000_700] + text[9_000_000:] + text[1_999_900:2_000_300] + text[:100]
+    docs = spark.createDataFrame([(1, text), (2, text[5_000_000:5_000_900])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(docs, keep_text=False).collect()}
+    assert got == {1: (20_001_200, 1200, 2), 2: (900, 900, 1)}
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1], pa.int32()), pa.array([text])], ["a", "b", "c"])
+    tracemalloc.start()
+    sum(len(b) for b in suffix._runs(100, 32)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400_000_000  # it was 49 bytes a byte of text
+
+
 # 8 language
 
 
