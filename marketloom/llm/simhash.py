@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.scale import connected_components
+from marketloom.llm.sampling import picked, share_of
 from marketloom.session import materialize
 
 SHINGLE = 4
@@ -23,6 +24,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GENERATOR = 0b110001110101
 #: Members of a bucket up to which all of it is compared by shifts; larger ones are searched from member to member.
 SHIFTS = 16
+#: Members of a bucket from which it is dealt over blocks that are compared pair by pair, and fingerprints that such buckets are found by.
+LARGE, SAMPLED = 20_000, 50_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -44,14 +47,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp: a long that holds the 64 bits."""
+    """doc_id, key (a hash of the text), fp: a long that holds the 64 bits."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column("text")], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fps)], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
+
+
+def _text_key() -> F.Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 @cache
@@ -127,11 +135,20 @@ def links_in_bucket(u: np.ndarray, most: int) -> list[tuple[int, int]]:
     return found
 
 
-def fingerprint_links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
+def large_buckets(distinct: DataFrame, spread, large: int, sampled: int) -> DataFrame:
+    """key, blocks: buckets of more than about ``large`` members, by the counts of a sample; a missed one is compared as one."""
+    share = share_of(sampled, distinct.count())
+    some = distinct.where(picked(share, "fp", F.lit("buckets"))).mapInPandas(spread, "key long, fp long, rep long")
+    seen = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 2) & (F.col("n") > large * share))
+    return seen.select("key", F.ceil(F.col("n") / (large * share)).cast("int").alias("blocks"))
+
+
+def fingerprint_links(distinct: DataFrame, most: int = MAX_BITS, large: int = LARGE, sampled: int = SAMPLED) -> DataFrame:
     """Links (a, b) between the reps of distinct fingerprints, enough of them to reach all within ``most`` bits.
 
     ``distinct`` has a row (fp, rep) per fingerprint. ``most`` may be up to 5. Buckets are sorted apart by Spark and compared in
-    arrays; the spanning links of a bucket are all that leaves it.
+    arrays; the spanning links of a bucket are all that leaves it. The members of a large bucket are dealt over blocks, and every
+    two blocks meet in a group of their own, so no task holds it and no pair is lost.
     """
     if most > 5:
         raise ValueError("segments of this code find differences of up to five bits")
@@ -141,7 +158,7 @@ def fingerprint_links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
             fps = b["fp"].to_numpy("int64")
             for at in range(0, len(fps), 5000):
                 key, row = bucket_keys(fps[at : at + 5000])
-                yield pd.DataFrame({"key": key.astype("int32"), "fp": fps[row + at], "rep": b["rep"].to_numpy()[row + at]})
+                yield pd.DataFrame({"key": key.astype("int64"), "fp": fps[row + at], "rep": b["rep"].to_numpy()[row + at]})
 
     def compare(key, fp, rep):
         u, out = fp.view("u8"), []
@@ -170,30 +187,49 @@ def fingerprint_links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
         if kept is not None and len(kept[0]):
             yield compare(*kept)
 
-    keyed = distinct.mapInPandas(spread, "key int, fp long, rep long").repartition("key").sortWithinPartitions("key")
+    keyed = distinct.mapInPandas(spread, "key long, fp long, rep long")
+    hot = materialize(large_buckets(distinct, spread, large, sampled), "large")
+    if (n := hot.count()) > 0:
+        hot = F.broadcast(hot) if n <= 100_000 else hot
+        block = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks"))
+        others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(block, o), F.greatest(block, o)))
+        dealt = keyed.join(hot, "key").select(F.explode(others).alias("key"), "fp", "rep")
+        keyed = keyed.join(hot, "key", "left_anti").unionByName(dealt)
+    keyed = keyed.repartition("key").sortWithinPartitions("key")
     return keyed.mapInPandas(verify, "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, most: int, shingle: int, seed: int) -> DataFrame:
+    """doc_id, key, fp, root (the same in a component), component_id; the last two are null with the id."""
+    own = materialize(fingerprints(docs, shingle, seed), "fingerprints")
+    distinct = materialize(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = connected_components(fingerprint_links(distinct.select("fp", F.col("fp").alias("rep")), most))
+    of = materialize(distinct.join(roots.toDF("fp", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    of = of.select("fp", "root").join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    of = materialize(of, "components")
+    known, unknown = own.where("doc_id IS NOT NULL").join(of, "fp"), own.where("doc_id IS NULL")
+    return known.unionByName(unknown, allowMissingColumns=True)
+
+
 def near_duplicates(docs: DataFrame, most: int = MAX_BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links of at most ``most`` bits).
 
     Equal fingerprints are one node, so copies meet in a count and never in pairs. Null and empty texts have fingerprint zero and
-    link like any other; rows with a null id keep their fingerprint and get a null component; repeated rows come back each; an
-    empty table gives an empty one.
+    link like any other; rows with a null id keep their fingerprint and get a null component; repeated rows come back each, and
+    rows of one id with different texts each with their own text's component; a text of any length is hashed whole; other columns
+    are ignored; an empty table gives an empty one.
     """
-    own = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = materialize(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = connected_components(fingerprint_links(distinct, most))
-    of = distinct.join(roots.toDF("rep", "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    of = materialize(of, "components")
-    known, unknown = own.where("doc_id IS NOT NULL").join(of, "fp"), own.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long"))
-    return known.unionByName(unknown).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, most, shingle, seed).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """The row of ``docs`` of each component whose id is the component's; rows with a null id stay, of repeated rows one stays."""
-    heads = near_duplicates(docs, most).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.join(heads, docs["doc_id"] == heads["_id"], "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` of each component: that with the smallest id, then by a hash of the text. Rows with a null id stay. Of rows
+    equal in id and text one stays, by a hash of its columns; so a rerun keeps the same rows."""
+    heads = _grouped(docs, most, SHINGLE, SEED).where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("head"))
+    heads = heads.select(F.col("head.doc_id").alias("_id"), F.col("head.key").alias("_text_key")).distinct()
+    known = docs.where("doc_id IS NOT NULL").withColumn("_row", F.struct(*docs.columns))
+    known = known.select("_row", F.col("doc_id").cast("long").alias("_id"), _text_key().alias("_text_key")).join(heads, ["_id", "_text_key"], "left_semi")
+    known = known.groupBy("_id", "_text_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row.*")
     return known.unionByName(docs.where("doc_id IS NULL"))
 
 

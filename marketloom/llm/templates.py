@@ -79,21 +79,24 @@ def template_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMI
     fits = materialize(leaf_templates(docs, lines, depth, similarity, min_docs).withColumn("fits", F.lit(True)), "fits")
     lines = lines.join(fits, ["leaf", "form"], "left").withColumn("template", F.coalesce("template", "form"))
     lines = materialize(lines.select("_id", "_key", "line", "template", F.coalesce("fits", F.lit(False)).alias("fits")), "templates")
-    seen = lines.select("template", "fits", "_id").distinct().groupBy("template", "fits").agg(F.count(F.lit(1)).alias("docs"), F.min("_id").alias("first"))
-    often = materialize(seen.where(F.col("docs") >= min_docs).select("template", "fits", "first"), "recurring")
-    drop = lines.join(often, ["template", "fits"]).where("_id <> first")
+    seen = lines.select("template", "fits", "_id", "_key").distinct().groupBy("template", "fits").agg(F.count(F.lit(1)).alias("docs"))
+    often = materialize(seen.where(F.col("docs") >= min_docs).select("template", "fits"), "recurring")
+    held = materialize(lines.join(often, ["template", "fits"]), "held")
+    first = materialize(held.groupBy("template", "fits").agg(F.min(F.struct("_id", "_key")).alias("first")), "first")
+    drop = held.join(first, ["template", "fits"]).where(F.struct("_id", "_key") != F.col("first"))
     return drop.groupBy("_id", "_key").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_template_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the lines of recurring templates dropped, and n_lines and n_dropped added.
+def drop_template_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
+    """``docs`` with the lines of recurring templates dropped, and n_lines and n_dropped added (unless ``counts`` is false).
 
     A line's path in the tree is its token count, then ``depth`` leading tokens; tokens with digits are fields. Below a leaf the
     positions whose token varies become fields too, and lines close to that template are its instances; other lines are their
-    own. A template that ``min_docs`` documents hold is dropped everywhere but in the document with the smallest id, so that
-    text which copies share survives once. Lines without a token stay. Null text stays null, with 0 lines; null ids come last;
-    rows with equal id and text are one document; columns of ``docs`` are kept, but for
-    ones called n_lines and n_dropped, which are replaced. An empty table gives an empty one.
+    own. A template that ``min_docs`` documents hold is dropped everywhere but in the first of them (smallest id, then by a hash
+    of the text), so that text which copies share survives once. Lines without a token stay. Null text stays null, with 0 lines;
+    null ids come last; rows with equal id and text are one document, others are not, whatever their ids; a text of any length is
+    taken whole, a row per line. Columns of ``docs`` are kept, but for ones called n_lines and n_dropped, which are replaced if
+    ``counts`` is set. An empty table gives an empty one.
     """
     drop = template_lines(docs, depth, similarity, min_docs)
     text = F.col("text").cast("string")
@@ -102,7 +105,9 @@ def drop_template_lines(docs: DataFrame, depth: int = DEPTH, similarity: float =
     left = F.array_join(F.filter(F.split("text", "\n"), lambda l, i: ~F.array_contains("lines", i)), "\n")
     n_lines = F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
     new = F.when(F.col("lines").isNull(), F.col("text")).otherwise(left)
-    kept = [new.alias("text") if c == "text" else F.col(f"whole.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = [new.alias("text") if c == "text" else F.col(f"whole.`{c}`") for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    if not counts:
+        return out.select(*kept)
     return out.select(*kept, n_lines.alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"))
 
 

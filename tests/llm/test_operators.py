@@ -273,6 +273,19 @@ def test_short_lines_and_rows_of_numbers_are_no_templates(spark):
     assert dropped(spark, rows) == {*range(201, 212), *range(301, 312)}
 
 
+def test_lines_of_documents_with_null_or_repeated_ids(spark):
+    rng = random.Random(15)
+    line = invented(rng, 9)
+    rows = [(None, line + "\n" + invented(rng, 20), "c") for _ in range(12)] + [(1, line + "\n" + invented(rng, 20), "c") for _ in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string")
+    out = templates.drop_template_lines(docs)
+    assert out.where("n_dropped = 1").count() == 23 and out.where("n_dropped = 0").first()["doc_id"] == 1
+    plain = templates.drop_template_lines(docs, counts=False)
+    assert plain.columns == docs.columns and {r["n_lines"] for r in plain.collect()} == {"c"}
+    same = spark.createDataFrame([(1, line)] * 30, "doc_id long, text string")
+    assert templates.drop_template_lines(same).where("n_dropped > 0").count() == 0
+
+
 # 5 toxicity
 
 
@@ -700,6 +713,49 @@ def test_links_reach_all_within_four_bits(spark, n):
     assert {i: find(i) for i in got} == root
 
 
+def test_large_buckets_are_dealt_over_blocks(spark):
+    rng = random.Random(13)
+    base, prints = rng.getrandbits(64), set()
+    while len(prints) < 3000:
+        v = base
+        for _ in range(rng.randint(0, 4)):
+            v ^= 1 << rng.randrange(64)
+        prints.add(v)
+    signed = [v - (1 << 64) if v >> 63 else v for v in [*prints, *(rng.getrandbits(64) for _ in range(200))]]
+    distinct = spark.createDataFrame([(v, v) for v in signed], "fp long, rep long")
+    links = [simhash.fingerprint_links(distinct, large=n).collect() for n in (100, simhash.LARGE)]
+    assert all(bin((r["a"] ^ r["b"]) & (1 << 64) - 1).count("1") <= 4 for r in links[0])
+    roots = []
+    for own in links:
+        root = {v: v for v in signed}
+
+        def find(v, root=root):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for r in own:
+            x, y = sorted((find(r["a"]), find(r["b"])))
+            root[y] = x
+        roots.append({v: find(v) for v in signed})
+    assert roots[0] == roots[1]
+
+
+def test_representatives_of_one_id_with_different_texts(spark):
+    rng = random.Random(14)
+    from tests.llm.cases import prose
+
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(5, a, 1), (5, b, 2), (6, a, 3), (7, b, 4), (8, a, 5), (8, a, 6), (None, a, 7), (None, a, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    first = sorted(tuple(r) for r in kept.collect() if r["doc_id"] is not None)
+    assert first == sorted([(5, a, 1), (5, b, 2)]) and kept.where("doc_id IS NULL").count() == 2
+    again = simhash.keep_representatives(spark.createDataFrame([(8, a, 5), (8, a, 6), (9, a, 1)], docs.schema).repartition(3)).collect()
+    assert len(again) == 1 and again == simhash.keep_representatives(spark.createDataFrame([(8, a, 6), (8, a, 5)], docs.schema)).collect()
+
+
 def test_golay_code_decodes_three_errors():
     error, single = simhash.golay()
     assert len(set(error.tolist())) == 2048 and max(bin(e).count("1") for e in error.tolist()) == 3
