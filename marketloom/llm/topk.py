@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketloom.llm.sampling import picked
 from marketloom.session import materialize
 
 K, EVERY, SCALE = 5, 50, 256
-#: Vectors that the tree's centres are chosen from and whose scores give first bounds; every vector is indexed and searched.
+#: Vectors that the tree's upper centres are chosen from and whose scores give first bounds; every vector is indexed and searched.
 SAMPLE = 4096
-#: Vectors a leaf aims at, leaves at most, and rows of either side in a block.
+#: Vectors a leaf aims at, nodes below one at most (on each of two levels, so no more than 65,536 leaves), and rows of either side in a block.
 LEAF_ROWS, MAX_LEAVES, BLOCK = 2048, 256, 4096
+#: Leaves of the largest inner product with a query that it searches first, for a bound, and queries that are routed at a time.
+NEAR, ROUTED = 3, 256
 
 
 @dataclass
@@ -111,16 +114,47 @@ def best_rows(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, d: np.ndarray,
     return pd.DataFrame({"query_id": qid[row], "vec_id": did[col], "score": score[row, col]})
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, sample: int = SAMPLE) -> DataFrame:
+def best_products(q: Node, centers: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """What the inner product of a query of ``q`` and a vector of each ball can be at most."""
+    return centers @ q.center + q.query_radius * np.sqrt((centers**2).sum(axis=1)) + radius * (np.sqrt((q.center**2).sum()) + q.query_radius)
+
+
+def allowed_leaves(root: Node, parents: list[int], centers: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """(query group x leaf): the pairs that no bound excludes, down the pairs of upper nodes and then over their leaves."""
+    pairs, groups = [], {}
+    pairs_left(root, root, pairs)
+    leaves_of = {}
+    for k, p in enumerate(parents):
+        leaves_of.setdefault(p, []).append(k)
+
+    def nodes(node: Node):
+        if node.leaf >= 0:
+            groups[node.leaf] = node
+        for c in node.children:
+            nodes(c)
+
+    nodes(root)
+    out = np.zeros((len(groups), len(centers)), bool)
+    for q, d in pairs:
+        own = np.array(leaves_of.get(d, []), "i8")
+        best = best_products(groups[q], centers[own], radius[own])
+        out[q, own] = best >= groups[q].worst - 1e-6 * np.maximum(1.0, np.abs(best))
+    return out
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, worked: list | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest integer inner products of each query, ties to the smaller vec_id.
 
     Components become floor(scale * x). Queries are rows whose vec_id ``every`` divides; candidates all rows of another vec_id.
-    One cover tree holds both: its centres come from a bounded sample, then every vector goes to its nearest leaf, and radii
-    cover all rows. Each query's kth score within the sample is a floor; node pairs are pruned by covering radii against the
-    worst floor of the query group, and what is left is multiplied in blocks of bounded size.
+    One cover tree holds both. Its upper nodes come from a bounded sample; a node with many vectors gets leaves below it, whose
+    centres are vectors of its own, so a leaf holds about ``leaf_rows`` until there are 65,536 leaves. Every vector goes to its
+    nearest leaf, and radii cover all rows. Each query first searches the few leaves of the largest product; the kth score found
+    is its bound. Then node pairs are pruned by covering radii against the worst bound of the query group, the lowest level being
+    a single query, and what is left is multiplied in blocks of bounded size. ``worked`` gets the products that each search takes.
 
     Null vectors, null or non-finite components, null ids and vectors of another than the most frequent length take no part; of
     query rows with one id the smallest vector asks; repeated rows are candidates each; fewer than k candidates give fewer rows.
+    Other columns are ignored, whatever their names. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -132,63 +166,121 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     ints, total = ints.where(F.size("v") == usual["n"]), usual["count"]
     seed = ints.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     points, ids = np.stack(seed["v"].to_numpy()), seed["vec_id"].to_numpy("int64")
-    root, centers = build_tree(points, int(min(MAX_LEAVES, max(1, total // LEAF_ROWS))))
+    root, upper = build_tree(points, int(min(MAX_LEAVES, max(1, total // leaf_rows))))
 
-    def nearest(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        leaf = ((centers**2).sum(axis=1) - 2 * (m @ centers.T)).argmin(axis=1)
-        return leaf, np.sqrt(((m - centers[leaf]) ** 2).sum(axis=1))
+    def nearest(m: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        leaf = ((to**2).sum(axis=1) - 2 * (m @ to.T)).argmin(axis=1)
+        return leaf, np.sqrt(((m - to[leaf]) ** 2).sum(axis=1))
 
     def index(batches):
         for b in batches:
             if len(b):
-                leaf, gap = nearest(np.stack(b["v"].to_numpy()))
-                yield b.assign(leaf=leaf.astype("int32"), gap=gap)
+                node, gap = nearest(np.stack(b["v"].to_numpy()), upper)
+                yield b.assign(node=node.astype("int32"), gap=gap)
 
     def first_floor(batches):
         for b in batches:
             if len(b):
                 m, own = np.stack(b["v"].to_numpy()), b["vec_id"].to_numpy("int64")
-                leaf, gap = nearest(m)
+                node, gap = nearest(m, upper)
                 score = np.where(ids[None, :] == own[:, None], -np.inf, np.rint(m @ points.T))
                 low = np.sort(score, axis=1)[:, -k] if len(ids) >= k else np.full(len(own), -np.inf)
-                yield b.assign(leaf=leaf.astype("int32"), gap=gap, floor=low)
+                yield b.assign(node=node.astype("int32"), gap=gap, floor=low)
 
-    data = materialize(ints.mapInPandas(index, "vec_id long, v array<double>, leaf int, gap double"), "index")
+    data = materialize(ints.mapInPandas(index, "vec_id long, v array<double>, node int, gap double"), "index")
     asked = ints.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = materialize(asked.mapInPandas(first_floor, "vec_id long, v array<double>, leaf int, gap double, floor double"), "asked")
-
-    leaves: dict[int, dict] = {k: {} for k in range(len(centers))}
+    asked = materialize(asked.mapInPandas(first_floor, "vec_id long, v array<double>, node int, gap double, floor double"), "asked")
+
+    stats: dict[int, dict] = {n: {} for n in range(len(upper))}
+    for r in data.groupBy("node").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("rows")).collect():
+        stats[r["node"]] |= r.asDict()
+
+    # leaves of nodes with many vectors: a hash picks about as many of its vectors as it needs leaves, for centres
+    wanted = {n: min(MAX_LEAVES, r["rows"] // leaf_rows) for n, r in stats.items() if r.get("rows", 0) >= 2 * leaf_rows}
+    pick = F.lit(False)
+    for n, w in wanted.items():
+        pick = pick | ((F.col("node") == n) & picked(w / stats[n]["rows"], "vec_id", F.lit("centre")))
+    own = {n: [] for n in range(len(upper))}
+    for r in data.where(pick).select("node", "v").collect() if wanted else []:
+        own[r["node"]].append(r["v"])
+    parents = [n for n in own for _ in own[n] or [0]]
+    centers = np.array([c for n in own for c in own[n] or [upper[n]]])
+    first = np.searchsorted(parents, np.arange(len(upper) + 1))
+
+    def deeper(batches):
+        for b in batches:
+            if len(b):
+                m, node = np.stack(b["v"].to_numpy()), b["node"].to_numpy()
+                leaf, gap = np.zeros(len(m), "int32"), np.zeros(len(m))
+                for n in np.unique(node):
+                    at = np.flatnonzero(node == n)
+                    near, gap[at] = nearest(m[at], centers[first[n] : first[n + 1]])
+                    leaf[at] = first[n] + near
+                yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "leaf": leaf, "gap": gap})
+
+    data = materialize(data.mapInPandas(deeper, "vec_id long, v array<double>, leaf int, gap double"), "leaves")
+    radius, rows = np.zeros(len(centers)), np.zeros(len(centers), "int64")
     for r in data.groupBy("leaf").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("rows")).collect():
-        leaves[r["leaf"]] |= r.asDict()
-    for r in asked.groupBy("leaf").agg(F.max("gap").alias("query_radius"), F.count(F.lit(1)).alias("queries"), F.min("floor").alias("worst")).collect():
-        leaves[r["leaf"]] |= r.asDict()
-    cover(root, leaves)
-    pairs: list[tuple[int, int]] = []
-    pairs_left(root, root, pairs)
-    if not pairs:
-        return spark.createDataFrame([], schema)
-    asking: dict[int, int] = {}
-    for q, d in pairs:
-        asking[d] = asking.get(d, 0) + leaves[q]["queries"]
-    blocks = [(d, -(-leaves[d]["rows"] // BLOCK), -(-n // BLOCK)) for d, n in asking.items()]
-    salt = lambda c, n: F.pmod(F.xxhash64("vec_id", F.lit(c)), F.col(n)).cast("int")
-    sizes = F.broadcast(spark.createDataFrame(blocks, "leaf int, data_blocks int, query_blocks int"))
-    ask = asked.join(F.broadcast(spark.createDataFrame(pairs, "leaf int, data_leaf int")), "leaf").drop("leaf", "gap").withColumnRenamed("data_leaf", "leaf").join(sizes, "leaf")
-    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ask = ask.withColumn("qb", salt("query", "query_blocks")).withColumn("db", every_block("data_blocks")).select("leaf", "db", "qb", "vec_id", "v", "floor")
-    rows = data.join(sizes, "leaf").withColumn("db", salt("data", "data_blocks")).withColumn("qb", every_block("query_blocks")).select("leaf", "db", "qb", "vec_id", "v")
-
-    def search(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        radius[r["leaf"]], rows[r["leaf"]] = r["radius"], r["rows"]
+
+    def group_stats(asked: DataFrame) -> np.ndarray:
+        groups = {n: {"radius": s.get("radius"), "rows": s.get("rows")} for n, s in stats.items()}
+        for r in asked.groupBy("node").agg(F.max("gap").alias("query_radius"), F.count(F.lit(1)).alias("queries"), F.min("floor").alias("worst")).collect():
+            groups[r["node"]] |= r.asDict()
+        cover(root, groups)
+        return allowed_leaves(root, parents, centers, radius) & (rows > 0)
+
+    def route(open_pairs: np.ndarray, most: int | None):
+        """Of each query the leaves to search: all that its own bound leaves, or the ``most`` of the largest product."""
+
+        def run(batches):
+            for b in batches:
+                for at in range(0, len(b), ROUTED):
+                    q = b.iloc[at : at + ROUTED]
+                    m, may = np.stack(q["v"].to_numpy()), open_pairs[q["node"].to_numpy()]
+                    product = m @ centers.T
+                    if most:
+                        product = np.where(may, product, -np.inf)
+                        top = np.argpartition(-product, min(most, len(centers)) - 1, axis=1)[:, :most]
+                        may = np.zeros_like(may)
+                        np.put_along_axis(may, top, np.isfinite(np.take_along_axis(product, top, axis=1)), axis=1)
+                    else:
+                        best = product + np.sqrt((m**2).sum(axis=1))[:, None] * radius
+                        may = may & (best >= q["floor"].to_numpy()[:, None] - 1e-6 * np.maximum(1.0, np.abs(best)))
+                    row, leaf = np.nonzero(may)
+                    yield pd.DataFrame({"vec_id": q["vec_id"].to_numpy()[row], "leaf": leaf.astype("int32")})
+
+        return run
+
+    def search(asked: DataFrame, most: int | None, tag: str) -> DataFrame:
+        """query_id, rank, vec_id, score of the best ``k`` in the leaves that ``asked`` is routed to."""
+        ways = materialize(asked.mapInPandas(route(group_stats(asked), most), "vec_id long, leaf int"), tag)
+        asking = {r["leaf"]: r["count"] for r in ways.groupBy("leaf").count().collect()}
+        if worked is not None:
+            worked.append(sum(int(rows[leaf]) * n for leaf, n in asking.items()))
+        blocks = [(leaf, -(-int(rows[leaf]) // BLOCK), -(-n // BLOCK)) for leaf, n in asking.items()]
+        salt = lambda c, n: F.pmod(F.xxhash64("vec_id", F.lit(c)), F.col(n)).cast("int")
+        sizes = F.broadcast(spark.createDataFrame(blocks, "leaf int, data_blocks int, query_blocks int"))
+        every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        ask = ways.join(sizes, "leaf").join(asked.select("vec_id", "v", "floor"), "vec_id").withColumn("qb", salt("query", "query_blocks"))
+        ask = ask.withColumn("db", every_block("data_blocks")).select("leaf", "db", "qb", "vec_id", "v", "floor")
+        held = data.join(sizes, "leaf").withColumn("db", salt("data", "data_blocks")).withColumn("qb", every_block("query_blocks")).select("leaf", "db", "qb", "vec_id", "v")
+        key = ["leaf", "db", "qb"]
+        found = held.groupBy(*key).cogroup(ask.groupBy(*key)).applyInPandas(multiply, "query_id long, vec_id long, score long")
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def multiply(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(q):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         m, own = np.stack(d["v"].to_numpy()), d["vec_id"].to_numpy("int64")
         parts = [q.iloc[at : at + 512] for at in range(0, len(q), 512)]
         return pd.concat([best_rows(np.stack(p["v"].to_numpy()), p["vec_id"].to_numpy("int64"), p["floor"].to_numpy(), m, own, k) for p in parts])
 
-    key = ["leaf", "db", "qb"]
-    found = rows.groupBy(*key).cogroup(ask.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if not asked.isEmpty() and len(centers) > NEAR:
+        kth = search(asked, NEAR, "near").where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
+        asked = materialize(asked.join(kth, "vec_id", "left").withColumn("floor", F.greatest("floor", F.coalesce("kth", "floor"))).drop("kth"), "bounds")
+    return search(asked, None, "ways") if not asked.isEmpty() else spark.createDataFrame([], schema)
 
 
 def op10_cover_tree_topk(spark, sf_dir: str) -> DataFrame:

@@ -801,6 +801,26 @@ def test_pruning_never_loses_a_neighbour(seed):
             assert (leaf[q], leaf[d]) in left
 
 
+def test_work_grows_less_than_the_table_on_clusters(spark):
+    """Vectors in clusters whose number grows with the table: a query's products stay near the size of its cluster."""
+    done = []
+    for n in (4000, 16000):
+        rng = np.random.default_rng(5)
+        centre = rng.normal(size=(n // 100, 16))
+        m = centre[np.arange(n) % len(centre)] + rng.normal(size=(n, 16)) * 0.02
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+        worked: list[int] = []
+        got = topk.top_k(df, leaf_rows=100, worked=worked).collect()
+        v = np.floor(256 * m)
+        for q in range(0, n, 400):
+            score = v @ v[q]
+            score[q] = -np.inf
+            best = sorted(range(n), key=lambda i: (-score[i], i))[:5]
+            assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == best
+        done.append(sum(worked) / (n / 50))
+    assert done[1] < 2 * done[0] and done[1] < 16000 / 4
+
+
 def test_null_and_large_ids_keep_their_rows(spark):
     rows, docs = documents(spark, plain=12)
     big = (1 << 60) + 1
