@@ -136,6 +136,12 @@ def nearest_vectors(queries: DataFrame, data: DataFrame, k: int, query_block: in
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+def similar_pairs(data: DataFrame, k: int = 3, least: float = 0.55) -> DataFrame:
+    """(a, b): each pair once of which one is among the other's ``k`` nearest, with a cosine of ``least`` or more. All rows ask."""
+    near = nearest_vectors(data, data, k).where(F.col("cosine") >= least)
+    return near.select(F.least("query", "vec_id").alias("a"), F.greatest("query", "vec_id").alias("b")).distinct()
+
+
 def words_contained(needles: DataFrame, needle_id: str, needle: str, hay: DataFrame, hay_id: str, text: str) -> DataFrame:
     """(needle_id, hay_id): all words of the needle are words of the text. By an inverted index, not by comparing all with all."""
     words = lambda df, k, c: df.select(k, F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("w"))

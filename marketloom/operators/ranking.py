@@ -100,6 +100,26 @@ def nearest_in_time(left: DataFrame, right: DataFrame, at: str, seen: str, days:
     return left.join(best, keys, "left")
 
 
+def last_so_far(left: DataFrame, right: DataFrame, by: list[str], at: str, seen: str, tie: list[str], span: int = 86400) -> DataFrame:
+    """Each row of ``left`` with the last row of ``right`` of its key that was ``seen`` at its time or before (the greatest by
+    ``seen``, then ``tie``), null where there is none.
+
+    Time is cut into cells of ``span`` seconds: within a cell the last row is carried forward in a window; what stood before
+    a cell comes from one row per cell. So the rows of one key, however many, are not sorted in one task."""
+    extra = [c for c in right.columns if c not in (*by, *tie)]
+    other = F.struct(F.col(seen).alias("_at"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)], *[F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)])
+    cell = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / span).alias("_cell")
+    r = right.where(F.col(seen).isNotNull()).select(*by, F.col(seen).alias("_ts"), cell(seen), other.alias("_seen"))
+    l = left.select(*by, F.col(at).alias("_ts"), cell(at), F.struct(*left.columns).alias("_row"))  # noqa: E741
+    carried = W.partitionBy(*by, "_cell").orderBy("_ts").rangeBetween(W.unboundedPreceding, W.currentRow)
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_own", F.max("_seen").over(carried)).where(F.col("_row").isNotNull())
+    before = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = l.select(*by, "_cell").distinct().join(r.groupBy(*by, "_cell").agg(F.max("_seen").alias("_best")), [*by, "_cell"], "full_outer")
+    cells = cells.withColumn("_before", F.max("_best").over(before)).drop("_best")
+    found = both.join(cells, [*by, "_cell"], "left").withColumn("_found", F.coalesce("_own", "_before"))
+    return found.select("_row.*", *[F.col(f"_found._x{i}").alias(c) for i, c in enumerate(extra)])
+
+
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Rank correlation with average ranks over rows where both are known."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)

@@ -116,9 +116,9 @@ def d18(v):
     return v.history.where((F.col("period") == month(PREVIOUS)) & (F.col("sales") > 10)).select("id", "brand", "price", "sales")
 
 
-@Q.add("E10_small_blocks", "WITH c AS (SELECT title, brand, count(*) AS n FROM listing GROUP BY ALL HAVING count(*) BETWEEN 2 AND 3) SELECT x.id AS a, y.id AS b FROM c JOIN listing x USING (title, brand) JOIN listing y USING (title, brand) WHERE x.id < y.id")
+@Q.add("E10_small_blocks", "WITH c AS (SELECT title, brand, count(*) AS n FROM listing GROUP BY ALL HAVING count(*) BETWEEN 2 AND 50) SELECT x.id AS a, y.id AS b FROM c JOIN listing x USING (title, brand) JOIN listing y USING (title, brand) WHERE x.id < y.id")
 def e10(v):
-    return E.block_pairs(v.parts.withColumn("k", F.concat_ws("|", "title", "brand")), "id", ["k"], 2, 3).select("a", "b")
+    return E.block_pairs(v.parts.withColumn("k", F.concat_ws("|", "title", "brand")), "id", ["k"], 2, 50).select("a", "b")
 
 
 @Q.add("E19_top_per_supplier", """WITH t AS (SELECT l_suppkey AS supplier, p_type AS segment, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY supplier) AS share FROM t)

@@ -74,8 +74,8 @@ def e8(v):
     return v.table("supplier").join(v.table("nation"), F.col("n_nationkey") == F.col("s_nationkey"), "left").select("s_suppkey", "n_name")
 
 
-@Q.add("E9_block_pairs", """WITH k AS (SELECT id, brand || '|' || title AS b1, title || '|' || size::VARCHAR AS b2 FROM listing), c1 AS (SELECT b1 FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), c2 AS (SELECT b2 FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50),
-  p AS (SELECT x.id AS a, y.id AS b, 0 AS place, 'brand_title' AS method FROM k x JOIN k y USING (b1) SEMI JOIN c1 USING (b1) WHERE x.id < y.id UNION ALL SELECT x.id, y.id, 1, 'title_size' FROM k x JOIN k y USING (b2) SEMI JOIN c2 USING (b2) WHERE x.id < y.id)
+@Q.add("E9_block_pairs", """WITH k AS (SELECT id, brand || '|' || title AS b1, title || '|' || size::VARCHAR AS b2 FROM listing),
+  p AS (SELECT x.id AS a, y.id AS b, 0 AS place, 'brand_title' AS method FROM k x JOIN k y USING (b1) WHERE x.id < y.id UNION ALL SELECT x.id, y.id, 1, 'title_size' FROM k x JOIN k y USING (b2) WHERE x.id < y.id)
   SELECT a, b, arg_min(method, place) AS method FROM p GROUP BY ALL""")
 def e9(v):
     k = v.parts.select("id", F.concat_ws("|", "brand", "title").alias("brand_title"), F.concat_ws("|", "title", F.col("size").cast("string")).alias("title_size"))
@@ -107,11 +107,9 @@ def e14(v):
 
 @Q.add("E15_asof_backward", """SELECT c.event_id, max(o.ts) AS last_seen, arg_max(o.value, (o.ts, o.event_id)) AS value FROM events c LEFT JOIN events o ON o.user_id = c.user_id AND o.event_type = 'click' AND o.ts <= c.ts WHERE c.event_type = 'error' GROUP BY c.event_id""", views=False)
 def e15(v):
-    # one window over both kinds, no join: the last click so far, carried forward
-    ev = v.table("events").where("event_type IN ('click', 'error')")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    click = F.when(F.col("event_type") == "click", F.struct("ts", "value"))
-    return ev.withColumn("c", F.last(click, ignorenulls=True).over(w)).where("event_type = 'error'").select("event_id", F.col("c.ts").alias("last_seen"), F.col("c.value").alias("value"))
+    ev = v.table("events")
+    left, right = ev.where("event_type = 'error'").select("event_id", "user_id", "ts"), ev.where("event_type = 'click'").select("user_id", F.col("ts").alias("last_seen"), "event_id", "value")
+    return R.last_so_far(left, right, ["user_id"], "ts", "last_seen", ["event_id"]).select("event_id", "last_seen", "value")
 
 
 @Q.add("E16_interval_overlap", "WITH b AS (SELECT brand, quantile_cont(price, 0.1) AS lo, quantile_cont(price, 0.9) AS hi FROM listing GROUP BY brand) SELECT x.brand AS a, y.brand AS b FROM b x JOIN b y ON x.brand < y.brand AND x.lo < y.hi AND y.lo < x.hi")
@@ -259,7 +257,7 @@ _PAIRS = """pp AS (SELECT x.id AS a, y.id AS b, x.title = y.title AS same_title,
 
 def _pairs(v):
     k = v.parts.withColumn("block", F.concat_ws("|", "brand", "title"))
-    pairs = E.block_pairs(k, "id", ["block"], most=1_000_000).drop("method")
+    pairs = E.block_pairs(k, "id", ["block"]).drop("method")
     side = lambda s: v.parts.select(F.col("id").alias(s), F.col("brand").alias(f"brand_{s}"), F.col("size").alias(f"size_{s}"), F.col("price").alias(f"price_{s}"))
     j = pairs.join(side("a"), "a").join(side("b"), "b")
     conflict, ratio = X.spec_conflict("size_a", "size_b"), F.least("price_a", "price_b") / F.greatest("price_a", "price_b")

@@ -71,12 +71,11 @@ def i21(v):
     return T.discover_groups(v.table("benchmark"), "item_id", "text", 2, 0.05)
 
 
-@Q.add("I25_similar_pairs", """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id AS q, d.vec_id AS d, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+@Q.add("I25_similar_pairs", """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id AS q, d.vec_id AS d, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id),
   t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(c, 12) DESC, d) AS k FROM r) SELECT DISTINCT least(q, d) AS a, greatest(q, d) AS b FROM t WHERE k <= 3 AND c >= 0.3""", views=False)
 def i25(v):
     e = v.table("embeddings")
-    near = E.nearest_vectors(e.where("vec_id % 50 = 0"), e, 3).where("cosine >= 0.3")
-    return near.select(F.least("query", "vec_id").alias("a"), F.greatest("query", "vec_id").alias("b")).distinct()
+    return E.similar_pairs(e, 3, 0.3)
 
 
 @Q.add("I27_configuration_key", "SELECT id, CASE WHEN regexp_matches(title, '(ring|bolt)') THEN 'part' ELSE 'product' END AS role, array_to_string(list_sort(string_split(title, ' ')), '+') AS configuration FROM listing")
