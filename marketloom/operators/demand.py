@@ -66,36 +66,68 @@ def fit_intervals(df: DataFrame, low: str, high: str, columns: list[str], steps:
     """Log-normal regression on units known to lie in [low, high) (null ``high``: no upper bound), by expectation maximisation.
 
     The expectations are per row in Arrow batches; each batch returns its sums, so a step moves a small vector per task."""
+    return fit_folds(df, low, high, columns, F.lit(-1), 1, steps, ridge)[0]
+
+
+def fit_folds(df: DataFrame, low: str, high: str, columns: list[str], fold: Column, folds: int, steps: int = STEPS, ridge: float = RIDGE) -> list[Fit]:
+    """``fit_intervals`` without each fold in turn. All fits take their steps together, one pass over the rows a step."""
     k = len(columns)
-    rows = df.select("_x", F.log(F.greatest(F.col(low), F.lit(0.0))).alias("lo") if low else F.lit(None), F.log(F.col(high)).alias("hi"))
-    beta, sd, n = np.zeros(k), 2.0, 0
+    rows = df.select("_x", F.log(F.greatest(F.col(low), F.lit(0.0))).alias("lo"), F.log(F.col(high)).alias("hi"), fold.cast("int").alias("fold"))
+    betas, sds, counts, size = np.zeros((folds, k)), np.full(folds, 2.0), np.zeros(folds, int), k * k + k + 2
 
-    def sums_of(beta: np.ndarray, sd: float):
+    def sums_of(betas: np.ndarray, sds: np.ndarray):
         def run(batches):
             for b in batches:
                 x = np.stack(b["_x"].to_numpy()) if len(b) else np.zeros((0, k))
-                lo, hi = b["lo"].to_numpy("f8", na_value=-np.inf), b["hi"].to_numpy("f8", na_value=np.inf)
-                mid, var = truncated_moments(x @ beta, sd, np.where(np.isnan(lo), -np.inf, lo), np.where(np.isnan(hi), np.inf, hi))
-                yield pd.DataFrame({"s": [np.concatenate([(x.T @ x).ravel(), x.T @ mid, [mid @ mid + var.sum(), len(b)]]).tolist()]})
+                lo, hi, out = b["lo"].to_numpy("f8", na_value=-np.inf), b["hi"].to_numpy("f8", na_value=np.inf), []
+                lo, hi = np.where(np.isnan(lo), -np.inf, lo), np.where(np.isnan(hi), np.inf, hi)
+                for f, (beta, sd) in enumerate(zip(betas, sds, strict=True)):
+                    own = b["fold"].to_numpy() != f
+                    z = x[own]
+                    mid, var = truncated_moments(z @ beta, sd, lo[own], hi[own])
+                    out.append(np.concatenate([(z.T @ z).ravel(), z.T @ mid, [mid @ mid + var.sum(), own.sum()]]))
+                yield pd.DataFrame({"s": [np.concatenate(out).tolist()]})
 
         return run
 
     for _ in range(steps):
-        parts = rows.mapInPandas(sums_of(beta, sd), "s array<double>")
-        total = parts.agg(*[F.sum(F.get("s", F.lit(i))).alias(f"c{i}") for i in range(k * k + k + 2)]).first()
-        t = np.array([v or 0.0 for v in total])
-        xx, xy, yy, n = t[: k * k].reshape(k, k), t[k * k : k * k + k], t[-2], int(t[-1])
-        if not n:
-            return Fit(columns, np.zeros(k), 1.0, 0)
-        penalty = np.eye(k) * ridge * n
-        penalty[0, 0] = 1e-9
-        new = np.linalg.solve(xx + penalty, xy)
-        new_sd = math.sqrt(max((yy - 2 * new @ xy + new @ xx @ new) / n, 1e-6))
-        done = np.abs(new - beta).max() < 1e-4 and abs(new_sd - sd) < 1e-4
-        beta, sd = new, new_sd
+        parts = rows.mapInPandas(sums_of(betas, sds), "s array<double>")
+        total = parts.agg(*[F.sum(F.get("s", F.lit(i))).alias(f"c{i}") for i in range(folds * size)]).first()
+        done = True
+        for f, t in enumerate(np.array([v or 0.0 for v in total]).reshape(folds, size)):
+            xx, xy, yy, counts[f] = t[: k * k].reshape(k, k), t[k * k : k * k + k], t[-2], int(t[-1])
+            if not counts[f]:
+                betas[f], sds[f] = 0.0, 1.0
+                continue
+            penalty = np.eye(k) * ridge * counts[f]
+            penalty[0, 0] = 1e-9
+            new = np.linalg.solve(xx + penalty, xy)
+            new_sd = math.sqrt(max((yy - 2 * new @ xy + new @ xx @ new) / counts[f], 1e-6))
+            done &= bool(np.abs(new - betas[f]).max() < 1e-4 and abs(new_sd - sds[f]) < 1e-4)
+            betas[f], sds[f] = new, new_sd
         if done:
             break
-    return Fit(columns, beta, sd, n)
+    return [Fit(columns, betas[f].copy(), float(sds[f]), int(counts[f])) for f in range(folds)]
+
+
+def cross_validate(df: DataFrame, key: str, observed: str, low: str, high: str, columns: list[str], ladder: tuple[float, ...], folds: int = 5) -> DataFrame:
+    """One row: how well held-out rows are predicted, each by the fit without its fold (a hash of the key).
+
+    auc: of the chance to reach the first rung, rows with an observed rung against the others. Over rows with a rung:
+    rung_exact and rung_within_one of the predicted median's rung; coverage_80 and coverage_95 of the rung's geometric middle."""
+    fold = F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")
+    fits = fit_folds(df, low, high, columns, fold, folds)
+    betas = F.array(*[F.array(*[F.lit(float(b)) for b in fit.beta]) for fit in fits])
+    mean = F.aggregate(F.zip_with("_x", F.get(betas, fold), lambda x, b: x * b), F.lit(0.0), lambda a, x: a + x)
+    scored = df.select(F.col(observed).alias("x"), F.col(low).alias("lo"), F.col(high).alias("hi"), mean.alias("mu"), F.get(F.array(*[F.lit(f.sd) for f in fits]), fold).alias("sd"))
+    scored = scored.withColumn("z", (F.col("mu") - math.log(ladder[0])) / F.col("sd"))
+    rung = lambda c: F.size(F.filter(F.array(*[F.lit(r) for r in ladder]), lambda r: r <= c))
+    off = F.abs(rung(F.exp("mu")) - rung(F.col("x")))
+    middle = F.log(F.sqrt(F.greatest("lo", F.lit(1e-9)) * F.col("hi")))
+    within = lambda p: F.coalesce(F.abs(middle - F.col("mu")) <= inverse(0.5 + p / 2) * F.col("sd"), F.lit(False))
+    share = lambda c: F.avg(F.when(F.col("x").isNotNull(), c.cast("double")))
+    figures = scored.agg(F.count(F.lit(1)).alias("rows"), F.count("x").alias("badged"), share(off == 0).alias("rung_exact"), share(off <= 1).alias("rung_within_one"), share(within(0.8)).alias("coverage_80"), share(within(0.95)).alias("coverage_95"))
+    return figures.crossJoin(auc(scored, "z", F.col("x").isNotNull()))
 
 
 def expected_units(df: DataFrame, low: str, high: str, fit: Fit, out: str = "units") -> DataFrame:
@@ -149,12 +181,14 @@ def group_intervals(draws: DataFrame, groups: DataFrame, key: str, by: str, low:
 
 
 def auc(df: DataFrame, score: str, hit: str | Column) -> DataFrame:
-    """Chance that a hit scores above a miss, from counts per score."""
+    """Chance that a hit scores above a miss (half on equal scores), from counts per score: sums before a bin of scores come from one
+    row per bin, those within it from a window of its own."""
     from pyspark.sql import Window as W
 
     h = F.col(hit) if isinstance(hit, str) else hit
-    g = df.groupBy(F.col(score).alias("s")).agg(F.sum(h.cast("double")).alias("pos"), F.sum((~h).cast("double")).alias("neg"))
-    bins = g.withColumn("b", F.floor(F.col("s") * 1000)).groupBy("b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    won = bins.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    g = df.groupBy(F.col(score).alias("s")).agg(F.sum(h.cast("double")).alias("pos"), F.sum((~h).cast("double")).alias("neg")).withColumn("bin", F.floor(F.col("s") * 1000))
+    so_far = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    before = g.groupBy("bin").agg(F.sum("neg").alias("neg")).withColumn("before", so_far(W.orderBy("bin"))).select("bin", "before")
+    won = g.withColumn("inside", so_far(W.partitionBy("bin").orderBy("s"))).join(before, "bin")
+    won = won.withColumn("won", F.col("pos") * (F.col("before") + F.col("inside") + F.col("neg") / 2))
     return won.agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))

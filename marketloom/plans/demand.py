@@ -44,7 +44,4 @@ def k7(v):
 @Q.add("K8_held_out_auc")
 def k8(v):
     df, names = _observed(v)
-    held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-    fit = D.fit_intervals(df.where(~held), "low", "high", names)
-    scored = D.expected_units(df.where(held).withColumns({"zero": F.lit(0.0), "open": F.lit(None).cast("double")}), "zero", "open", fit)
-    return D.auc(scored, "units", F.col("x").isNotNull())
+    return D.cross_validate(df, "id", "x", "low", "high", names, LADDER)
