@@ -60,15 +60,33 @@ def pairwise_quality(predicted: DataFrame, gold: DataFrame, key: str, cluster: s
     return one.select("hits", "predicted", "gold", F.try_divide("hits", "predicted").alias("precision"), F.try_divide("hits", "gold").alias("recall"))
 
 
-def exact_binomial(more: pd.Series, trials: pd.Series, p: float = 0.5) -> pd.Series:
-    """One-sided chance of at least ``more`` successes; in logs, so that large counts do not overflow."""
+def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray, terms: int = 400) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction, taken on the side where it ends soon."""
+    lgamma = np.frompyfunc(math.lgamma, 1, 1)
+    flip = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    small = 1e-300
+    keep = lambda v: np.where(np.abs(v) < small, small, v)
+    c, d = np.ones_like(x), 1 / keep(1 - (a + b) * x / (a + 1))
+    value = d.copy()
+    for m in range(1, terms):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / keep(1 + step * d), keep(1 + step / c)
+            value = value * d * c
+        if np.abs(d * c - 1).max(initial=0.0) < 1e-15:
+            break
+    front = (lgamma(a + b) - lgamma(a) - lgamma(b)).astype("f8") + a * np.log(x) + b * np.log1p(-x) - np.log(a)
+    part = np.exp(front) * value
+    return np.where(flip, 1 - part, part)
 
-    def tail(k: int, n: int) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-        top = max(logs, default=-math.inf)
-        return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs)) if logs else 0.0
 
-    return pd.Series([None if pd.isna(a) or pd.isna(n) else tail(int(a), int(n)) for a, n in zip(more, trials, strict=True)], dtype="float64")
+def exact_binomial(more: pd.Series, trials: pd.Series, p: float = 0.5) -> pd.Series:
+    """One-sided chance of at least ``more`` successes, whatever the counts: a tail of a binomial is an incomplete beta function."""
+    k, n = more.to_numpy("f8", na_value=np.nan), trials.to_numpy("f8", na_value=np.nan)
+    out = np.where(np.isnan(k) | np.isnan(n), np.nan, np.where(k <= 0, 1.0, 0.0))
+    real = (k > 0) & (k <= n)
+    out[real] = incomplete_beta(np.full(real.sum(), p), k[real], n[real] - k[real] + 1)
+    return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("float64")
 
 
 def binomial_test(more: str, trials: str) -> Column:

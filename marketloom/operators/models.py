@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from difflib import SequenceMatcher
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -17,15 +16,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def normal_score(rank: Column, n: Column) -> Column:
-    """Inverse normal of (rank - 0.5) / n, with falling sign as ranks count from the best."""
-    inverse = NormalDist().inv_cdf
+#: Rational fits of the inverse normal, in the middle and in the tails (relative error below 2e-9), and where they meet.
+MIDDLE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
+TAIL = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
+EDGE = 0.02425
 
-    @F.pandas_udf("double")
-    def run(p: pd.Series) -> pd.Series:
-        return pd.Series([-inverse(x) if x is not None and 0 < x < 1 else None for x in p], dtype="float64")
 
-    return run((rank - 0.5) / n)
+def inverse_normal(p: Column) -> Column:
+    """Quantile of the standard normal in built-in functions; null outside (0, 1)."""
+
+    def ratio(x: Column, fit: tuple) -> Column:
+        top, bottom = F.lit(0.0), F.lit(0.0)
+        for c in fit[0]:
+            top = top * x + c
+        for c in fit[1]:
+            bottom = bottom * x + c
+        return top / bottom
+
+    q = p - 0.5
+    far = lambda x: ratio(F.sqrt(-2 * F.log(x)), TAIL)
+    return F.when((p <= 0) | (p >= 1), None).when(p < EDGE, far(p)).when(p > 1 - EDGE, -far(1 - p)).otherwise(q * ratio(q * q, MIDDLE))
+
+
+def normal_score(rank: Column, n: Column) -> Column:
+    """Inverse normal of (rank - 0.5) / n, with falling sign as ranks count from the best."""
+    return -inverse_normal((rank - 0.5) / n)
 
 
 def text_ratio(a: str, b: str) -> Column:

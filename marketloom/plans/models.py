@@ -254,12 +254,12 @@ def f49(v):
     return b.groupBy("segment").agg(names.alias("leaders"), F.round(F.sum("rev"), 4).alias("revenue"), F.when(F.count("rev") >= 20, "watch_leader").otherwise("collect_data").alias("action"))
 
 
-@Q.add("I9_nearest_label", """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id, d.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, d.v), 12) DESC, d.vec_id) AS k, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0) SELECT vec_id, CASE WHEN c >= 0.35 THEN label END AS label FROM r WHERE k = 1""", views=False)
+@Q.add("I9_nearest_label", """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id, d.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, d.v), 12) DESC, d.vec_id) AS k, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id) SELECT vec_id, CASE WHEN c >= 0.35 THEN label END AS label FROM r WHERE k = 1""", views=False)
 def i9(v):
     from marketloom.operators.entities import nearest_vectors
 
     e = v.table("embeddings")
-    near = nearest_vectors(e.where("vec_id % 50 = 0"), e, 1).join(e.select("vec_id", "label"), "vec_id")
+    near = nearest_vectors(e, e, 1).join(e.select("vec_id", "label"), "vec_id")
     return near.select(F.col("query").alias("vec_id"), F.when(F.col("cosine") >= 0.35, F.col("label")).alias("label"))
 
 

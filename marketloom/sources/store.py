@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_export(spark: SparkSession, path: str, kind: str = "csv", encoding: str = "UTF-8") -> DataFrame:
-    """An export with every column as text. ``kind``: csv, tsv, jsonl or json (one document, rows perhaps inside an envelope)."""
+def read_export(spark: SparkSession, path: str, kind: str = "csv", encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """An export with every column as text. ``kind``: csv, tsv, jsonl or json (one document, rows perhaps inside an envelope).
+
+    A cell may hold line breaks; with ``multi_line`` false it may not, and Spark splits a large file over tasks."""
     if kind in ("csv", "tsv"):
-        return spark.read.csv(path, header=True, inferSchema=False, sep="\t" if kind == "tsv" else ",", mode="PERMISSIVE", encoding=encoding, multiLine=True, escape='"')
+        return spark.read.csv(path, header=True, inferSchema=False, sep="\t" if kind == "tsv" else ",", mode="PERMISSIVE", encoding=encoding, multiLine=multi_line, escape='"')
     df = spark.read.json(path, multiLine=kind == "json")
     for name in ("data", "results", "items", "products", "records"):
         if name in df.columns and df.schema[name].dataType.typeName() == "array":
@@ -73,8 +75,9 @@ def read_curated(spark: SparkSession, path: str, market: str | None = None) -> D
 class Batch:
     """Several tables that become visible together: each is written to its own run folder, then one manifest names them all.
 
-    The manifest is written as a small Parquet table through Spark, so it works on any file system that Spark writes to; readers
-    take the newest complete manifest."""
+    The manifest is written as a small Parquet table through Spark, so it works on any file system that Spark writes to. A commit
+    adds one row with its own tables only, and readers put all rows together, newer ones over older ones (of one version, by run).
+    So of two commits at once neither hides the other's tables."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.run, self.tables = spark, root.rstrip("/"), uuid.uuid4().hex, {}
@@ -86,8 +89,8 @@ class Batch:
 
     def commit(self) -> None:
         seen = latest_manifest(self.spark, self.root)
-        row = (int(seen["version"]) + 1 if seen else 1, json.dumps({**(seen["tables"] if seen else {}), **self.tables}))
-        self.spark.createDataFrame([row], "version long, tables string").coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")
+        row = (int(seen["version"]) + 1 if seen else 1, self.run, json.dumps(self.tables))
+        self.spark.createDataFrame([row], "version long, run string, tables string").coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")
 
 
 def latest_manifest(spark: SparkSession, root: str) -> dict | None:
@@ -95,8 +98,10 @@ def latest_manifest(spark: SparkSession, root: str) -> dict | None:
     place = jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest")
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return None
-    row = spark.read.parquet(f"{root}/_manifest").orderBy(F.desc("version")).first()
-    return {"version": row["version"], "tables": json.loads(row["tables"])} if row else None
+    commits, tables = sorted(tuple(r) for r in spark.read.parquet(f"{root}/_manifest").select("version", "run", "tables").collect()), {}
+    for _, _, own in commits:
+        tables |= json.loads(own)
+    return {"version": commits[-1][0], "tables": tables} if commits else None
 
 
 def read_batch(spark: SparkSession, root: str, name: str) -> DataFrame:
