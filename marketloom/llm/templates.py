@@ -21,7 +21,8 @@ ONLY_FIELDS = r"^<\*>( <\*>)*$"
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """A row per line with a token: _id, _key, line (its number), masked (tokens, those with a digit as a field), leaf, form."""
+    """A row per line with a token: _id, _key, line (its number), masked (tokens, those with a digit as a field), leaf, form, only_fields.
+    masked is written with them once: to mask the lines of busy leaves anew would take the same patterns over the whole text again."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_key"))
     df = df.select("_id", "_key", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
@@ -31,11 +32,12 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     masked = F.when(F.col("_line").rlike("[0-9]"), F.regexp_replace("_line", r"[^\x20]*[0-9][^\x20]*", FIELD)).otherwise(F.col("_line"))
     df = df.withColumn("masked", masked)
     size = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
-    form = F.xxhash64(F.when(F.col("masked").rlike(ONLY_FIELDS), F.col("_line")).otherwise(F.col("masked")))
+    df = df.withColumn("only_fields", F.col("masked").startswith(FIELD) & F.col("masked").rlike(ONLY_FIELDS))
+    form = F.xxhash64(F.when(F.col("only_fields"), F.col("_line")).otherwise(F.col("masked")))
     return df.withColumn("leaf", F.xxhash64(size, F.substring_index("masked", " ", depth))).withColumn("form", form).drop("_line")
 
 
-def leaf_templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
+def leaf_templates(lines: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
     """(leaf, form, template) of the lines that fit a generalised template of their leaf.
 
     Only groups with lines of more than one form in ``min_docs`` lines or more are opened; the first groups are the leaves. A
@@ -46,15 +48,15 @@ def leaf_templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: fl
     not all of them; ties: the first position), until no group can hold a template. Forms are counted once, however often they recur.
     """
     forms = lines.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"))
-    busy = lambda own, key: own.groupBy(key).agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("lines")).where((F.col("forms") > 1) & (F.col("lines") >= min_docs)).select(key, "forms")
-    forms = materialize(forms.join(busy(forms, "leaf").select("leaf"), "leaf", "left_semi"), "leaves")
+    busy = lambda own: own.groupBy("group").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("lines")).where((F.col("forms") > 1) & (F.col("lines") >= min_docs)).select("group", "forms")
+    open_groups = materialize(busy(forms.withColumnRenamed("leaf", "group")), "open")
     found = forms.select("leaf", "form", F.col("leaf").alias("template")).limit(0)
-    if forms.isEmpty():
-        return found
-    own = _lines(docs, depth).where(~F.col("masked").rlike(ONLY_FIELDS)).select("leaf", "form", "masked").join(forms.select("leaf").distinct(), "leaf", "left_semi").distinct()
-    own = materialize(own.join(forms, ["leaf", "form"]).withColumn("group", F.col("leaf")), "forms")
-    while not own.isEmpty():
-        open_groups = busy(own, "group")
+    own = lines.where("NOT only_fields").join(open_groups.select(F.col("group").alias("leaf")), "leaf", "left_semi")
+    own = own.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"), F.first("masked").alias("masked")).withColumn("group", F.col("leaf"))
+    own = materialize(own.select("leaf", "form", "masked", "n", "group"), "forms")
+    # the counts of groups are a small table of their own, so that a group with many forms is not dealt to one task
+    open_groups = materialize(busy(own), "open")
+    while not open_groups.isEmpty():
         tokens = own.join(open_groups, "group").select("group", "leaf", "form", "forms", F.posexplode(F.slice(F.split("masked", " "), depth + 1, F.size(F.split("masked", " ")))).alias("at", "token"))
         counts = tokens.groupBy("group", "at", "token").agg(F.count(F.lit(1)).alias("n"), F.first("forms").alias("forms"))
         counts = materialize(counts.where((F.col("n") > 1) | (F.col("forms") == 2)).drop("forms"), "counts")
@@ -68,15 +70,15 @@ def leaf_templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: fl
         held = materialize(held.select("group", "leaf", "form", "masked", "n", "fits", "next"), "held")
         found = found.unionByName(held.where("fits").select("leaf", "form", F.col("group").alias("template")))
         own = held.where("NOT fits AND next IS NOT NULL").withColumn("group", F.xxhash64("group", "next.at", "next.token"))
-        own = own.select("leaf", "form", "masked", "n", "group")
-        own = materialize(own.join(busy(own, "group").select("group"), "group", "left_semi"), "forms")
+        own = materialize(own.select("leaf", "form", "masked", "n", "group"), "forms")
+        open_groups = materialize(busy(own), "open")
     return found
 
 
 def template_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
     """_id, _key, lines: the numbers of the lines to drop, a row per document that has any."""
-    lines = materialize(_lines(docs, depth).select("_id", "_key", "line", "leaf", "form"), "lines")
-    fits = materialize(leaf_templates(docs, lines, depth, similarity, min_docs).withColumn("fits", F.lit(True)), "fits")
+    lines = materialize(_lines(docs, depth).select("_id", "_key", "line", "leaf", "form", "only_fields", "masked"), "lines")
+    fits = materialize(leaf_templates(lines, depth, similarity, min_docs).withColumn("fits", F.lit(True)), "fits")
     lines = lines.join(fits, ["leaf", "form"], "left").withColumn("template", F.coalesce("template", "form"))
     lines = materialize(lines.select("_id", "_key", "line", "template", F.coalesce("fits", F.lit(False)).alias("fits")), "templates")
     seen = lines.select("template", "fits", "_id", "_key").distinct().groupBy("template", "fits").agg(F.count(F.lit(1)).alias("docs"))
