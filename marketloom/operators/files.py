@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 UNITS = (("gram", "kg", 1000.0), ("gram", "g", 1.0), ("gram", "lb", 453.592), ("gram", "oz", 28.3495), ("ml", "ml", 1.0), ("ml", "l", 1000.0), ("mm", "mm", 1.0), ("mm", "cm", 10.0), ("mm", "inch", 25.4))
 
 
-def best_unit(text: Column | str, kind: str) -> Column:
-    """The largest amount of a kind that a text states, in the canonical unit; null if none."""
+def best_unit(text: Column | str, kind: str, plausible: tuple[float, float] | None = None) -> Column:
+    """The largest amount of a kind that a text states, in the canonical unit, between the ``plausible`` bounds; null if none."""
     text = F.col(text) if isinstance(text, str) else text
 
     def amounts(unit: str, factor: float) -> Column:
         return F.transform(F.regexp_extract_all(F.lower(text), F.lit(rf"(\d+(?:\.\d+)?)\s*{unit}\b"), 1), lambda x: x.cast("double") * factor)
 
-    return F.array_max(F.concat(*[amounts(unit, factor) for name, unit, factor in UNITS if name == kind]))
+    stated = F.concat(*[amounts(unit, factor) for name, unit, factor in UNITS if name == kind])
+    return F.array_max(F.filter(stated, lambda x: x.between(*plausible)) if plausible else stated)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -65,13 +66,55 @@ def header_score(header: str, alias: str) -> float:
     return 0.6 if SequenceMatcher(None, " ".join(a), " ".join(b)).ratio() >= 0.85 else 0.0
 
 
-def map_headers(headers: list[str], aliases: dict[str, list[str]], least: float = 0.6, pinned: dict[str, str] | None = None) -> dict[str, str]:
-    """field -> header, one to one and best in total; pinned fields are taken as given."""
+#: An equal header, a synonym of several words or of one word among the header's, a synonym of other scripts within
+#: it, and a close spelling from the given ratio on.
+EQUAL, WORDS, WORD, WITHIN, CLOSE, CLOSE_RATIO = 1.0, 0.8, 0.7, 0.75, 0.6, 0.85
+
+
+def plain_header(header: str) -> str:
+    """Lower case, without a unit in brackets, marks as blanks."""
+    text = re.sub(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]", " ", str(header).lower())
+    return " ".join(re.sub(r"[_\-./:#%$]", " ", text).split())
+
+
+def field_score(header: str, synonyms: list[str]) -> float:
+    """How well a header names a field: the best score over its synonyms. Synonyms of scripts without blanks count inside words."""
+    own, best = plain_header(header), 0.0
+    for synonym in filter(None, map(plain_header, synonyms)):
+        if own == synonym:
+            return EQUAL
+        words = synonym.split()
+        if set(words) <= set(own.split()):
+            best = max(best, WORDS if len(set(words)) > 1 else WORD)
+        elif len(synonym) > 1 and not synonym.isascii() and synonym in own:
+            best = max(best, WITHIN)
+        if best < CLOSE and own and SequenceMatcher(None, own, synonym).ratio() >= CLOSE_RATIO:
+            best = CLOSE
+    return best
+
+
+def greedy_headers(headers: list[str], synonyms: dict[str, list[str]], least: float = 0.6) -> dict[str, str]:
+    """field -> header, the best score first (ties: later names); each field and header is used once."""
+    found: dict[str, str] = {}
+    for score, field, header in sorted(((field_score(h, own), f, h) for f, own in synonyms.items() for h in headers), reverse=True):
+        if score >= least and field not in found and header not in found.values():
+            found[field] = header
+    return found
+
+
+def map_headers(headers: list[str], aliases: dict[str, list[str]], least: float = 0.6, pinned: dict[str, str] | None = None, parent: dict[str, list[str]] | None = None) -> dict[str, str]:
+    """field -> header, one to one and best in total; pinned fields are taken as given. A header that names a field of the variation
+    family (``parent``: its synonyms for a field) better than the field itself counts half for it."""
     pinned = pinned or {}
     fields, free = [f for f in aliases if f not in pinned], [h for h in headers if h not in pinned.values()]
     if not fields or not free:
         return dict(pinned)
-    score = np.array([[max(header_score(h, a) for a in [f, *aliases[f]]) for h in free] for f in fields])
+
+    def score_of(field: str, header: str) -> float:
+        own = field_score(header, [field, *aliases[field]])
+        return own / 2 if field_score(header, (parent or {}).get(field, [])) >= max(own, least) else own
+
+    score = np.array([[score_of(f, h) for h in free] for f in fields])
     wide = np.hstack([score, np.zeros((len(fields), len(fields)))])  # a field may stay unmapped
     return pinned | {fields[i]: free[j] for i, j in assign(-wide) if j < len(free) and score[i, j] >= least}
 

@@ -65,3 +65,42 @@ def explained_variance(df: DataFrame, value: str, attribute: str) -> DataFrame:
     between = F.sum(F.col("n") * F.col("m") * F.col("m")) / n - m * m
     within = F.sum(F.col("n") * F.col("v")) / n
     return g.agg(F.count(F.lit(1)).alias("groups"), F.try_divide(between, between + within).alias("eta2")).crossJoin(F.broadcast(df.agg(F.avg(F.col(attribute).isNotNull().cast("double")).alias("coverage"))))
+
+
+#: How sure a kind of attribute is, and a value by the place of the text that states it; what a conflict leaves of it.
+KIND_SURE, PLACE_SURE, CONFLICT = {"number": 0.9, "enum": 0.85, "list": 0.85, "token": 0.8}, (1.0, 0.9, 0.8), 0.6
+
+
+def attributes(df: DataFrame, key: str, fields: list[str], schema: dict[str, dict]) -> DataFrame:
+    """(key, attribute, values, number, confidence, field, conflict): what the texts of a row state of each attribute of ``schema``.
+
+    The first of ``fields`` that states an attribute gives it. Kinds: ``number`` (unit: see ``files.UNITS``; plausible: lowest and
+    highest; the largest amount), ``enum`` and ``list`` (patterns: value -> pattern; values in the order of their first mention; an enum
+    with several is a conflict and gives the first of them first), ``token`` (pattern; context: a pattern of bounded length that ends at
+    most ``window`` characters before the token or starts at most so many after it; upper case, sorted). All in built-in expressions."""
+    from marketloom.operators.files import best_unit
+
+    def stated(text: Column, spec: dict) -> tuple[Column, Column]:
+        if spec["kind"] == "number":
+            amount = best_unit(text, spec["unit"], spec.get("plausible"))
+            return F.when(amount.isNotNull(), F.array(amount.cast("string"))), amount
+        if spec["kind"] == "token":
+            pattern = f"(?:{spec['pattern']})"
+            if context := spec.get("context"):
+                gap = rf"[\s\S]{{0,{spec.get('window', 40)}}}"
+                pattern = f"(?:(?<=(?:{context}){gap}){pattern}|{pattern}(?={gap}(?:{context})))"
+            return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), F.upper))), F.lit(None)
+        at = F.array(*[F.struct(F.regexp_instr(text, F.lit(pattern)).alias("at"), F.lit(value).alias("value")) for value, pattern in spec["patterns"].items()])
+        return F.transform(F.array_sort(F.filter(at, lambda x: x["at"] > 0)), lambda x: x["value"]), F.lit(None)
+
+    out = []
+    for name, spec in schema.items():
+        found = F.lit(None)
+        for place, field in reversed(list(enumerate(fields))):
+            values, number = stated(F.col(field), spec)
+            several = F.size(values) > 1 if spec["kind"] == "enum" else F.lit(False)
+            sure = KIND_SURE[spec["kind"]] * PLACE_SURE[min(place, len(PLACE_SURE) - 1)]
+            row = F.struct(F.lit(name).alias("attribute"), values.alias("values"), number.cast("double").alias("number"), F.round(F.when(several, sure * CONFLICT).otherwise(sure), 3).alias("confidence"), F.lit(field).alias("field"), several.alias("conflict"))
+            found = F.when(F.size(values) > 0, row).otherwise(found)
+        out.append(found)
+    return df.select(key, F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("_a")).select(key, "_a.*")

@@ -211,6 +211,12 @@ def a17(v):
     return v.history.where(F.col("price").isNotNull() & (F.col("period") >= month("2000-01-01"))).select("id", "period", "sales", "price", "brand")
 
 
+@Q.add("A17_history_months", "SELECT s.id, s.period, s.sales, s.revenue, s.sellers, title, brand, segment, size, p.price FROM snapshot s JOIN listing p ON p.id = s.id WHERE p.price IS NOT NULL")
+def a17_months(v):
+    """Every month of a listing: what varies from its history, what does not from the listing."""
+    return v.snapshot.join(v.parts.where("price IS NOT NULL"), "id")
+
+
 @Q.add("B6_upsert_history", f"SELECT id, period, sales FROM snapshot WHERE period <> TIMESTAMP '{MONTH}' UNION ALL SELECT id, period, sales * 2 FROM snapshot WHERE period = TIMESTAMP '{MONTH}'")
 def b6(v):
     from marketloom.sources.store import upsert

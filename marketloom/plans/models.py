@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import expr as X
 from marketloom.operators import files as FI
 from marketloom.operators import models as MO
+from marketloom.operators import text as TX
 from marketloom.plans.base import MONTH, Book
 from marketloom.session import temp_path
 from marketloom.sources import store
@@ -30,7 +31,7 @@ def a1(v):
 def a2(v):
     path = temp_path(v.spark, "latin")
     v.table("documents").select("doc_id", F.concat("lang", F.lit("é")).alias("lang")).write.option("header", "true").option("encoding", "ISO-8859-1").csv(path)
-    return store.read_export(v.spark, path, encoding="ISO-8859-1")
+    return store.read_export(v.spark, path, encoding=None)
 
 
 @Q.add("A5_json_envelope", "SELECT n_nationkey::VARCHAR AS id, n_name AS name_full FROM nation", views=False)
@@ -106,6 +107,29 @@ def b14(v):
     return runs.groupBy("dataset").agg(F.count(F.lit(1)).alias("versions"), F.max("doc_id").alias("newest"))
 
 
+_LAUNCHED = "TIMESTAMP '2020-01-01' + to_hours(s_suppkey::INT)"
+
+
+@Q.add("B14_run_lifecycle", f"""SELECT s_nationkey::VARCHAR AS dataset, s_suppkey::VARCHAR AS run, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INT AS version, {_LAUNCHED} AS started,
+  CASE WHEN s_acctbal > 2000 OR s_acctbal < 0 THEN {_LAUNCHED} + INTERVAL 30 MINUTE END AS completed, CASE WHEN s_acctbal > 2000 THEN 'success' WHEN s_acctbal < 0 THEN 'failed' ELSE 'running' END AS status, CASE WHEN s_acctbal < 0 THEN 'no rows' END AS note FROM supplier""", views=False)
+def b14_lifecycle(v):
+    """Runs start, then end in success or failure or are still on their way; their states come back from the registry."""
+    start = F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("s_suppkey").cast("int"))
+    s = v.table("supplier").select(F.col("s_nationkey").cast("string").alias("dataset"), F.col("s_suppkey").cast("string").alias("run"), start.alias("at"), "s_acctbal")
+    book, text = store.Registry(v.spark, temp_path(v.spark, "registry")), lambda x: F.lit(x).cast("string")
+    book.record(s.withColumns({"state": F.lit("running"), "note": text(None)}))
+    ends = s.withColumn("at", F.col("at") + F.make_dt_interval(mins=F.lit(30)))
+    book.record(ends.where("s_acctbal > 2000").withColumns({"state": F.lit("success"), "note": text(None)}))
+    book.record(ends.where("s_acctbal < 0").withColumns({"state": F.lit("failed"), "note": text("no rows")}))
+    return book.runs()
+
+
+@Q.add("B10_upload_conflicts", """SELECT sha256(text) AS hash, count(*) AS copies, count(DISTINCT source) AS markets, min(doc_id) AS first, count(DISTINCT coalesce('=' || source, '') || '|' || coalesce('=' || lang, '')) > 1 AS conflict
+  FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""", views=False)
+def b10_conflicts(v):
+    return store.upload_conflicts(v.table("documents"), "text", "doc_id", "source", "lang")
+
+
 @Q.add("C14_units", r"""WITH t AS (SELECT id, size::VARCHAR || ' kg box of ' || (size * 7)::VARCHAR || 'g and 3oz' AS t FROM listing) SELECT id, round(greatest(size * 1000.0::DOUBLE, size * 7.0::DOUBLE, 3 * 28.3495::DOUBLE), 6) AS grams FROM listing""")
 def c14(v):
     t = F.concat(F.col("size").cast("string"), F.lit(" kg box of "), (F.col("size") * 7).cast("string"), F.lit("g and 3oz"))
@@ -311,6 +335,27 @@ def i26(v):
     return v.parts.select("id", color.alias("color"), found("small|large").alias("size_word"), r6(sure).alias("confidence"))
 
 
+_SCHEMA = {
+    "color": {"kind": "enum", "patterns": {"red": r"\bred\b", "blue": r"\bblue\b"}},
+    "state": {"kind": "list", "patterns": {w: rf"\b{w}\b" for w in ("old", "new", "hot", "cold")}},
+    "weight": {"kind": "number", "unit": "gram", "plausible": (5000.0, 40000.0)},
+    "maker": {"kind": "token", "pattern": r"brand#\d+", "context": "made by"},
+}
+
+
+@Q.add("I26_attribute_schema", """WITH l AS (SELECT id, title, CASE WHEN size % 3 = 0 THEN 'blue or red, hot' ELSE 'cold' END AS category, size * 1000.0 AS g, upper(brand) AS brand, size % 2 = 0 AS told FROM listing),
+  w AS (SELECT id, string_split(title, ' ')[1] AS t, category, g, brand, told FROM l)
+  SELECT id, 'color' AS attribute, CASE WHEN t IN ('red', 'blue') THEN [t] ELSE ['blue', 'red'] END AS values, NULL::DOUBLE AS number, CASE WHEN t IN ('red', 'blue') THEN 0.85 ELSE 0.459 END::DOUBLE AS confidence, CASE WHEN t IN ('red', 'blue') THEN 'title' ELSE 'category' END AS field, t NOT IN ('red', 'blue') AS conflict FROM w WHERE t IN ('red', 'blue') OR category LIKE 'blue%'
+  UNION ALL SELECT id, 'state', CASE WHEN t IN ('old', 'new', 'hot', 'cold') THEN [t] WHEN category = 'cold' THEN ['cold'] ELSE ['hot'] END, NULL, CASE WHEN t IN ('old', 'new', 'hot', 'cold') THEN 0.85 ELSE 0.765 END, CASE WHEN t IN ('old', 'new', 'hot', 'cold') THEN 'title' ELSE 'category' END, false FROM w
+  UNION ALL SELECT id, 'weight', [g::DOUBLE::VARCHAR], g, 0.72, 'description', false FROM w WHERE g BETWEEN 5000 AND 40000
+  UNION ALL SELECT id, 'maker', [brand], NULL, 0.64, 'description', false FROM w WHERE told""")
+def i26_schema(v):
+    """Attributes of four kinds from three texts: the title, then a category, then a description with a maker told or not."""
+    size = F.col("size")
+    texts = v.parts.select("id", "title", F.when(size % 3 == 0, "blue or red, hot").otherwise("cold").alias("category"), F.concat(size.cast("string"), F.lit(" kg, "), F.when(size % 2 == 0, "made by ").otherwise("like "), F.lower("brand")).alias("description"))
+    return TX.attributes(texts, "id", ["title", "category", "description"], _SCHEMA)
+
+
 @Q.add("J1_taxonomy_segments", None)
 def j1(v):
     return MO.taxonomy_segments(v.parts, "id", "segment", "title")
@@ -351,7 +396,7 @@ def a19(v):
 
 @Q.add("A20_header_map", "SELECT * FROM (VALUES ('brand', 'p_brand'), ('title', 'p_name')) AS t(field, header)", views=False)
 def a20(v):
-    got = FI.map_headers(v.table("part").columns, {"title": ["p name"], "brand": ["p brand"]}, least=0.9)
+    got = FI.greedy_headers(v.table("part").columns, {"title": ["p name"], "brand": ["p brand"]}, least=0.9)
     return v.spark.createDataFrame(sorted(got.items()), "field string, header string")
 
 
@@ -361,6 +406,14 @@ def c31(v):
     return v.spark.createDataFrame(rows, "header string, alias string, score double")
 
 
+_HEADERS = [("Price ($)", "price"), ("Item_Price", "price"), ("List Price/Unit", "list price"), ("商品标题", "标题"), ("Retail prise", "retail price"), ("stock", "price"), ("商品", "标题")]
+
+
+@Q.add("C31_header_rules", """SELECT * FROM (VALUES ('Price ($)', 'price', 1.0::DOUBLE), ('Item_Price', 'price', 0.7), ('List Price/Unit', 'list price', 0.8), ('商品标题', '标题', 0.75), ('Retail prise', 'retail price', 0.6), ('stock', 'price', 0.0), ('商品', '标题', 0.0)) AS t(header, synonym, score)""", views=False)
+def c31_rules(v):
+    return v.spark.createDataFrame([(h, s, FI.field_score(h, [s])) for h, s in _HEADERS], "header string, synonym string, score double")
+
+
 @Q.add("C27_valid_names", "SELECT DISTINCT source, regexp_full_match(source, '[a-z0-9_-]{1,64}') AS valid FROM documents", views=False)
 def c27(v):
     return v.table("documents").select("source").distinct().withColumn("valid", F.col("source").rlike("^[a-z0-9_-]{1,64}$"))

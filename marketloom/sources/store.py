@@ -5,16 +5,45 @@ from __future__ import annotations
 import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def read_export(spark: SparkSession, path: str, kind: str = "csv", encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+def probe_encoding(spark: SparkSession, path: str) -> str:
+    """The first of UTF-8, GB18030 and ISO-8859-1 in which every line of the files can be read.
+
+    Lines are tested as bytes where Spark reads them, so a large file is tested in parts; only lines that are no UTF-8 meet Python."""
+
+    @F.pandas_udf("boolean")
+    def readable(lines: pd.Series) -> pd.Series:
+        def test(line: bytes) -> bool:
+            try:
+                return bool(bytes(line).decode("gb18030")) or True
+            except UnicodeDecodeError:
+                return False
+
+        return lines.map(test).astype(bool)
+
+    other = spark.read.text(path).where(~F.is_valid_utf8("value")).select(F.col("value").cast("binary").alias("line"))
+    if other.isEmpty():
+        return "UTF-8"
+    return "GB18030" if other.where(~readable("line")).isEmpty() else "ISO-8859-1"
+
+
+def read_export(spark: SparkSession, path: str, kind: str = "csv", encoding: str | None = "UTF-8", multi_line: bool = True) -> DataFrame:
     """An export with every column as text. ``kind``: csv, tsv, jsonl or json (one document, rows perhaps inside an envelope).
 
-    A cell may hold line breaks; with ``multi_line`` false it may not, and Spark splits a large file over tasks."""
+    A cell may hold line breaks; with ``multi_line`` false it may not, and Spark splits a large file over tasks. ``encoding`` None:
+    probed. A byte order mark before the first header is dropped. Spark reads GB18030 only with ``spark.sql.legacy.javaCharsets``,
+    which is set on the session then."""
     if kind in ("csv", "tsv"):
-        return spark.read.csv(path, header=True, inferSchema=False, sep="\t" if kind == "tsv" else ",", mode="PERMISSIVE", encoding=encoding, multiLine=multi_line, escape='"')
+        encoding = encoding or probe_encoding(spark, path)
+        if encoding.upper() == "GB18030":
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        df = spark.read.csv(path, header=True, inferSchema=False, sep="\t" if kind == "tsv" else ",", mode="PERMISSIVE", encoding=encoding, multiLine=multi_line, escape='"')
+        return df.toDF(*[c.removeprefix("\ufeff") for c in df.columns])
     df = spark.read.json(path, multiLine=kind == "json")
     for name in ("data", "results", "items", "products", "records"):
         if name in df.columns and df.schema[name].dataType.typeName() == "array":
@@ -109,3 +138,33 @@ def read_batch(spark: SparkSession, root: str, name: str) -> DataFrame:
     if not found or name not in found["tables"]:
         raise KeyError(name)
     return spark.read.parquet(found["tables"][name])
+
+
+class Registry:
+    """Runs of datasets as an append-only table of their states: running, then success or failed.
+
+    A run that ended writes a second row; nothing is updated, so writers never meet. ``runs`` puts the rows together."""
+
+    SCHEMA = "dataset string, run string, state string, at timestamp_ntz, note string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.path = spark, f"{root.rstrip('/')}/runs"
+
+    def record(self, states: DataFrame) -> None:
+        states.select("dataset", "run", "state", "at", "note").write.mode("append").parquet(self.path)
+
+    def runs(self) -> DataFrame:
+        """dataset, run, version (1 for the first run of a dataset), started, completed, status, note of the last state."""
+        rows, ended = self.spark.read.schema(self.SCHEMA).parquet(self.path), F.col("state") != "running"
+        last = F.struct(ended.cast("int"), "at", "state")
+        g = rows.groupBy("dataset", "run").agg(F.min(F.when(~ended, F.col("at"))).alias("started"), F.max(F.when(ended, F.col("at"))).alias("completed"), F.max_by("state", last).alias("status"), F.max_by("note", last).alias("note"))
+        version = F.row_number().over(W.partitionBy("dataset").orderBy(F.col("started").asc_nulls_last(), "run"))
+        return g.select("dataset", "run", version.alias("version"), "started", "completed", "status", "note")
+
+
+def upload_conflicts(uploads: DataFrame, content: str, key: str, market: str, period: str) -> DataFrame:
+    """(hash, copies, markets, first, conflict): contents that were uploaded more than once; ``conflict`` where they stand under
+    different markets or periods (null is a value of its own)."""
+    place = F.struct(F.col(market).isNull(), market, F.col(period).isNull(), period)
+    g = uploads.groupBy(F.sha2(content, 256).alias("hash")).agg(F.count(F.lit(1)).alias("copies"), F.count_distinct(market).alias("markets"), F.min(key).alias("first"), (F.min(place) != F.max(place)).alias("conflict"))
+    return g.where(F.col("hash").isNotNull() & (F.col("copies") > 1))

@@ -220,3 +220,38 @@ def test_blocks_of_any_size_are_paired_whole(spark, monkeypatch):
 def test_listings_of_a_product_with_many_sizes_resolve_together(spark):
     df = spark.range(60).select("id", F.lit("bolt").alias("title"), F.lit("b").alias("brand"), (2000 + F.col("id")).alias("size"), F.lit(1.0).alias("price"))
     assert {tuple(r) for r in resolve(df).collect()} == {(k, 0) for k in range(60)}
+
+
+@pytest.mark.parametrize(("encoding", "text", "found"), [("utf-8-sig", "价格", "UTF-8"), ("gb18030", "商品标题", "GB18030"), ("latin-1", "café\né", "ISO-8859-1"), ("ascii", "plain", "UTF-8")])
+def test_encoding_is_probed(spark, tmp_path, encoding, text, found):
+    (tmp_path / "x.csv").write_bytes(f"name,n\n{text},1\n".encode(encoding))
+    path = f"file://{tmp_path}/x.csv"
+    assert store.probe_encoding(spark, path) == found
+    df = store.read_export(spark, path, encoding=None)
+    assert df.columns == ["name", "n"] and df.first()["name"] == text.split("\n")[0]
+
+
+def test_registry_keeps_states_and_versions(spark, tmp_path):
+    book = store.Registry(spark, f"file://{tmp_path}")
+    at = "to_timestamp_ntz(at) AS at"
+    put = lambda *rows: book.record(spark.createDataFrame(rows, "dataset string, run string, state string, at string, note string").selectExpr("dataset", "run", "state", at, "note"))
+    put(("a", "r1", "running", "2024-01-01", None), ("a", "r2", "running", "2024-01-02", None), ("b", "r3", "running", "2024-01-01", None))
+    put(("a", "r1", "failed", "2024-01-03", "no rows"))
+    put(("a", "r2", "success", "2024-01-02", None))
+    got = {r["run"]: (r["version"], r["status"], r["note"], str(r["completed"])[:10]) for r in book.runs().collect()}
+    assert got == {"r1": (1, "failed", "no rows", "2024-01-03"), "r2": (2, "success", None, "2024-01-02"), "r3": (1, "running", None, "None")}
+
+
+def test_upload_conflicts_tell_null_places_apart(spark):
+    df = spark.createDataFrame([(1, "x", "m", "p"), (2, "x", "m", "p"), (3, "y", "m", None), (4, "y", "m", "p"), (5, "z", "m", "p"), (6, None, "m", "p"), (7, None, "n", "p")], "id int, text string, market string, period string")
+    assert sorted((r["first"], r["copies"], r["conflict"]) for r in store.upload_conflicts(df, "text", "id", "market", "period").collect()) == [(1, 2, False), (3, 2, True)]
+
+
+def test_headers_greedy_and_family_columns():
+    from marketloom.operators import files as FI
+
+    names = {"price": ["price", "unit price"], "title": ["title", "标题"]}
+    assert FI.greedy_headers(["Unit Price", "商品标题", "Price ($)"], names) == {"price": "Unit Price", "title": "商品标题"}  # both are equal to a synonym: the later name
+    sales = {"sales": ["sales", "unit sales"]}
+    assert FI.map_headers(["Parent Unit Sales", "Sales"], sales, parent={"sales": ["parent unit sales"]}) == {"sales": "Sales"}
+    assert FI.map_headers(["Parent Unit Sales"], sales, parent={"sales": ["parent unit sales"]}) == {}
