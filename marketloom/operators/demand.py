@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.session import materialize
+
 #: Steps of expectation maximisation, and the ridge on all coefficients but the intercept.
 STEPS, RIDGE = 25, 1e-3
 _ERF = np.frompyfunc(math.erf, 1, 1)
@@ -42,12 +44,45 @@ def truncated_moments(mean: np.ndarray, sd: float, low: np.ndarray, high: np.nda
     return mid, np.where(exact | tiny, 0.0, sd * sd * np.clip(spread, 0.0, 1.0))
 
 
+def t_cdf(z: np.ndarray, nu: int | None) -> np.ndarray:
+    """Distribution function of Student's t with a whole number of degrees of freedom, by its finite sum; None: normal."""
+    z = np.asarray(z, "f8")
+    if nu is None:
+        return cdf(z)
+    angle = np.arctan(z / math.sqrt(nu))
+    c, total = np.cos(angle), np.zeros_like(z)
+    term = c if nu % 2 else np.ones_like(z)
+    for k in range(2 + nu % 2, nu + 1, 2):
+        total = total + term
+        term = term * c * c * (k - 1) / k
+    mass = 2 / math.pi * (angle + np.sin(angle) * total) if nu % 2 else np.sin(angle) * total
+    return 0.5 * (1 + mass)
+
+
+def t_pdf(z: np.ndarray, nu: int | None) -> np.ndarray:
+    if nu is None:
+        return pdf(np.clip(z, -40, 40))
+    scale = math.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2)) / math.sqrt(nu * math.pi)
+    return scale * (1 + np.square(np.clip(z, -1e12, 1e12)) / nu) ** (-(nu + 1) / 2)
+
+
 @dataclass
 class Fit:
     columns: list[str]
     beta: np.ndarray
     sd: float
     rows: int
+    nu: int | None = None
+    loglik: float = math.nan
+
+    @property
+    def family(self) -> str:
+        return "normal" if self.nu is None else f"t{self.nu}"
+
+    @property
+    def aic(self) -> float:
+        """Two for each coefficient, the spread and, for t, the degrees of freedom, less twice the log likelihood."""
+        return 2 * (len(self.beta) + 1 + (self.nu is not None)) - 2 * self.loglik
 
 
 def design(df: DataFrame, numeric: list[str], category: str | None = None, levels: list[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -110,6 +145,159 @@ def fit_folds(df: DataFrame, low: str, high: str, columns: list[str], fold: Colu
     return [Fit(columns, betas[f].copy(), float(sds[f]), int(counts[f])) for f in range(folds)]
 
 
+#: Error families that are compared, the knots of the price curve as shares of its listings, and the listings that a category needs.
+FAMILIES, KNOTS, LEVEL_ROWS = (None, 10, 5, 3), (0.05, 0.35, 0.65, 0.95), 5
+
+
+def market_design(df: DataFrame, price: str, numeric: list[str], category: str | None = None, knots: tuple[float, ...] = KNOTS, least: int = LEVEL_ROWS) -> tuple[DataFrame, list[str]]:
+    """Adds _x (array of doubles): intercept; log price and a restricted cubic spline of it, which is linear beyond the end knots;
+    numeric columns; marks of unknown values (null or no number), which take the median; marks of categories, those with fewer than ``least`` listings
+    pooled and the most common one (ties: by name) the base. Columns but the marks have mean 0 and deviation 1. Columns without
+    spread go; so does the spline where knots coincide. The design grows with the number of categories of ``least`` listings."""
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    values = {"log_price": F.when(F.col(price) > 0, F.log(number(price)))} | {c: number(c) for c in numeric}
+    stats = df.agg(*[f(e).alias(f"{n}{c}") for c, e in values.items() for n, f in (("n_", F.count), ("s_", F.stddev), ("m_", F.median))], F.percentile(values["log_price"], F.array(*[F.lit(q) for q in knots])).alias("knots"), F.count(F.lit(1)).alias("rows")).first()
+    parts: dict[str, Column] = {}
+    marks: dict[str, Column] = {}
+    for c, e in values.items():
+        if not stats[f"s_{c}"]:
+            continue
+        parts[c] = filled = F.coalesce(e, F.lit(stats[f"m_{c}"]))
+        if stats[f"n_{c}"] < stats["rows"]:
+            marks[f"{c}_missing"] = e.isNull().cast("double")
+        at = stats["knots"]
+        if c == "log_price" and min(np.diff(at)) > 1e-9:
+            up = lambda k: F.pow(F.greatest(filled - k, F.lit(0.0)), F.lit(3.0))  # noqa: B023, E731
+            first, last, before = at[0], at[-1], at[-2]
+            for i, k in enumerate(at[:-2], 1):
+                bend = up(k) - up(before) * ((last - k) / (last - before)) + up(last) * ((before - k) / (last - before))
+                parts[f"log_price_bend{i}"] = bend / (last - first) ** 2
+    if parts:
+        spread = df.agg(*[f(e).alias(f"{n}{c}") for c, e in parts.items() for n, f in (("m_", F.avg), ("s_", F.stddev))]).first()
+        parts = {c: (e - spread[f"m_{c}"]) / spread[f"s_{c}"] for c, e in parts.items() if spread[f"s_{c}"]}
+    if category:
+        own = F.coalesce(F.col(category).cast("string"), F.lit("(unknown)"))
+        big = [r[0] for r in df.groupBy(own.alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "c").collect()]
+        pooled = F.when(own.isin(big), own).otherwise("(other)") if big else F.lit("(other)")
+        rest = df.where(~own.isin(big)).isEmpty() if big else True
+        marks |= {f"{category}={level}": (pooled == level).cast("double") for level in [*big[1:], *([] if rest else ["(other)"])]}
+    columns = {"intercept": F.lit(1.0)} | parts | marks
+    return df.withColumn("_x", F.array(*columns.values())), list(columns)
+
+
+def interval_sums(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, beta: np.ndarray, log_sd: float, nu: int | None) -> np.ndarray:
+    """Log likelihood, rows, its gradient and the negative of its second derivatives, in beta and the log of the spread."""
+    sd, exact = math.exp(log_sd), lo == hi
+    mid = x @ beta
+    a, b = (lo - mid) / sd, (hi - mid) / sd
+    flip = a > 0  # both in the upper tail: by its mirror image, which keeps small chances
+    mass = np.maximum(t_cdf(np.where(flip, -a, b), nu) - t_cdf(np.where(flip, -b, a), nu), 1e-300)
+    pa, pb = np.where(np.isfinite(a), t_pdf(a, nu), 0.0), np.where(np.isfinite(b), t_pdf(b, nu), 0.0)
+    za, zb = np.where(np.isfinite(a), a, 0.0), np.where(np.isfinite(b), b, 0.0)
+    pull = lambda z: z if nu is None else (nu + 1) * z / (nu + z * z)
+    bend = np.ones_like(za) if nu is None else (nu + 1) * (nu - za * za) / (nu + za * za) ** 2
+    da, db = -pull(za) * pa, -pull(zb) * pb  # slopes of the density
+    inside = lambda v, most: np.clip(v / mass, -most, most)
+    like = np.where(exact, np.log(np.maximum(t_pdf(za, nu), 1e-300)) - log_sd, np.log(mass))
+    g1 = np.where(exact, pull(za), inside(pa - pb, 1e3))
+    g2 = np.where(exact, pull(za) * za - 1, inside(za * pa - zb * pb, 1e3))
+    h11 = np.where(exact, -bend, inside(db - da, 1e6) - g1 * g1)
+    h12 = np.where(exact, -(za * bend + pull(za)), inside(zb * db - za * da, 1e6) - g1 * g2 - g1)
+    h22 = np.where(exact, -(za * za * bend + za * pull(za)), inside(zb * pb - za * pa + zb * zb * db - za * za * da, 1e6) - g2 * g2)
+    side = -(x.T @ h12) / sd
+    second = np.block([[-(x.T * h11) @ x / sd**2, side[:, None]], [side[None, :], np.array([[-h22.sum()]])]])
+    return np.concatenate([[like.sum(), len(x)], x.T @ g1 / sd, [g2.sum()], second.ravel()])
+
+
+def fit_families(df: DataFrame, low: str, high: str, columns: list[str], families: tuple[int | None, ...] = FAMILIES, ridge: float = 1.0, steps: int = 60) -> list[Fit]:
+    """Most likely regressions of log units known to lie in [low, high), one per error family (normal, or t by its degrees of
+    freedom), the least AIC first (ties: the order given). ``ridge`` weighs all coefficients but the intercept.
+
+    Newton's steps, with the second derivatives made definite; a step that loses likelihood is halved. All families step in one pass
+    over the rows, which sends a few sums per task."""
+    k = len(columns)
+    rows = df.select("_x", F.log(F.greatest(F.col(low), F.lit(0.0))).alias("lo"), F.log(F.col(high)).alias("hi"))
+    rows = materialize(rows)  # read once a step
+    penalty = np.array([0.0] + [ridge] * (k - 1) + [0.0])
+    width = 2 + (k + 1) + (k + 1) ** 2
+
+    def sums_of(points: list[np.ndarray]):
+        def run(batches):
+            for b in batches:
+                x = np.stack(b["_x"].to_numpy()) if len(b) else np.zeros((0, k))
+                lo, hi = b["lo"].to_numpy("f8", na_value=-np.inf), b["hi"].to_numpy("f8", na_value=np.inf)
+                lo, hi = np.where(np.isnan(lo), -np.inf, lo), np.where(np.isnan(hi), np.inf, hi)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    yield pd.DataFrame({"s": [np.concatenate([interval_sums(x, lo, hi, p[:-1], p[-1], nu) for p, nu in zip(points, families, strict=True)]).tolist()]})
+
+        return run
+
+    start = df.agg(F.avg(F.log(F.when(F.col(low) > 0, F.col(low)))), F.avg(F.log(F.col(high)))).first()
+    known = [v for v in start if v is not None]
+    here = np.zeros(k + 1)
+    here[0], here[-1] = (min(known) if known else 0.0), math.log(1.5)
+    trial, best = [here.copy() for _ in families], [None] * len(families)
+    move, open_ = [np.zeros(k + 1) for _ in families], set(range(len(families)))
+    for _ in range(steps):
+        parts = rows.mapInPandas(sums_of(trial), "s array<double>").select(F.posexplode("s").alias("i", "v"))
+        total = np.zeros(len(families) * width)
+        for i, v in parts.groupBy("i").agg(F.sum("v")).collect():
+            total[i] = v
+        for f, t in enumerate(total.reshape(len(families), width)):
+            if f not in open_:
+                continue
+            aim = t[0] - 0.5 * penalty @ (trial[f] ** 2)
+            if best[f] is not None and aim < best[f]["aim"] - 1e-9:
+                move[f] = move[f] / 2
+            else:
+                gain = math.inf if best[f] is None else aim - best[f]["aim"]
+                best[f] = {"aim": aim, "point": trial[f], "loglik": t[0], "rows": int(t[1])}
+                g, second = t[2 : k + 3] - penalty * trial[f], t[k + 3 :].reshape(k + 1, k + 1) + np.diag(penalty)
+                size, axes = np.linalg.eigh((second + second.T) / 2)
+                move[f] = axes @ ((axes.T @ g) / np.maximum(np.abs(size), 1e-9 * max(np.abs(size).max(), 1e-9)))
+                move[f] *= min(1.0, 2.0 / max(np.abs(move[f]).max(), 1e-12))
+                if gain < 1e-7 * (1 + abs(aim)):
+                    open_.discard(f)
+            trial[f] = best[f]["point"] + move[f]
+            trial[f][-1] = np.clip(trial[f][-1], math.log(0.05), math.log(10))
+            if np.abs(move[f]).max() < 1e-6:
+                open_.discard(f)
+        if not open_:
+            break
+    fits = [Fit(columns, b["point"][:-1], math.exp(b["point"][-1]), b["rows"], nu, float(b["loglik"])) for b, nu in zip(best, families, strict=True)]
+    return sorted(fits, key=lambda fit: fit.aic)
+
+
+def within_bounds(df: DataFrame, low: str, high: str, fit: Fit, shares: tuple[float, ...] = (0.025, 0.975), nodes: int = 48) -> DataFrame:
+    """Adds ``units``, the mean of any family between a row's bounds (both known; equal bounds are the value), and ``q0``, ``q1``, ...:
+    quantiles of it there. The mean is an integral of the distribution function, by Gauss and Legendre; quantiles by bisection."""
+    beta, sd, nu = fit.beta, fit.sd, fit.nu
+    places, weights = np.polynomial.legendre.leggauss(nodes)
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        m, lo, hi = np.stack(x.to_numpy()) @ beta, lo.to_numpy("f8"), hi.to_numpy("f8")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            chance = lambda v: t_cdf((np.log(v) - m) / sd, nu)
+            pa, pb = chance(lo), chance(hi)
+            mass, half = np.maximum(pb - pa, 1e-300), (hi - lo) / 2
+            area = sum(w * (chance(lo + half * (1 + p)) - pa) for p, w in zip(places, weights, strict=True)) * half
+            out = [np.where(pb > pa, hi - area / mass, (lo + hi) / 2)]
+            for share in shares:
+                left, right = lo.copy(), hi.copy()
+                for _ in range(50):
+                    middle = (left + right) / 2
+                    below = chance(middle) < pa + share * (pb - pa)
+                    left, right = np.where(below, middle, left), np.where(below, right, middle)
+                out.append((left + right) / 2)
+        return pd.Series(np.clip(np.stack(out, axis=1), lo[:, None], hi[:, None]).tolist())
+
+    d = df.withColumn("_w", run(F.col("_x"), F.col(low).cast("double"), F.col(high).cast("double")))
+    return d.withColumns({"units": F.get("_w", F.lit(0))} | {f"q{i}": F.get("_w", F.lit(i + 1)) for i in range(len(shares))}).drop("_w")
+
+
 def cross_validate(df: DataFrame, key: str, observed: str, low: str, high: str, columns: list[str], ladder: tuple[float, ...], folds: int = 5) -> DataFrame:
     """One row: how well held-out rows are predicted, each by the fit without its fold (a hash of the key).
 

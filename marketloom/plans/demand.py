@@ -28,6 +28,23 @@ def k4(v):
     return v.spark.createDataFrame([(n, float(b), float(fit.sd), fit.rows) for n, b in zip(names, fit.beta, strict=True)], "term string, coefficient double, sd double, rows long")
 
 
+@Q.add("K4_error_families")
+def k4_families(v):
+    """Normal and t errors over a price curve and categories, by AIC."""
+    df, _ = _observed(v)
+    df, names = D.market_design(df, "price", ["size"], "segment")
+    fits = D.fit_families(df, "low", "high", names)
+    return v.spark.createDataFrame([(f.family, float(f.sd), float(f.loglik), float(f.aic), f is fits[0], f.rows) for f in fits], "family string, sd double, loglik double, aic double, chosen boolean, rows long")
+
+
+@Q.add("K6_family_units")
+def k6_families(v):
+    """Expected units and 95 % of each listing between its bounds, under the family of the least AIC."""
+    df, _ = _observed(v)
+    df, names = D.market_design(df, "price", ["size"], "segment")
+    return D.within_bounds(df, "low", "high", D.fit_families(df, "low", "high", names)[0]).select("id", "low", "high", "units", "q0", "q1")
+
+
 @Q.add("K6_expected_units")
 def k6(v):
     df, names = _observed(v)
