@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("market", "windows", "cleaning", "joins", "scores", "texts", "insight", "demand", "models", "pipeline", "streams")
+MODULES = ("market", "windows", "cleaning", "joins", "scores", "texts", "insight", "demand", "models", "evidence", "pipeline", "streams")
 
 
 def queries() -> dict:
