@@ -60,3 +60,15 @@ def long_checks(checks: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
         row = df.select(F.lit(name).alias("check"), F.col(value).cast("double").alias("value")).withColumn("status", F.when(F.col("value") == 0, "pass").otherwise(status))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def rule_checks(facts: DataFrame, rules: list[tuple[str, Column, Column, str]]) -> DataFrame:
+    """(check, value, status) from one row of facts: pass where a rule's condition holds, else its status; a rule whose condition is
+    unknown says nothing. A last row "all" has the worst status and the number of rules that did not pass."""
+    rank = F.create_map(F.lit("pass"), F.lit(0), F.lit("warn"), F.lit(1), F.lit("fail"), F.lit(2))
+    rows = [F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"), F.when(ok, "pass").when(~ok, status).alias("status")) for name, value, ok, status in rules]
+    said = facts.select(F.filter(F.array(*rows), lambda r: r["status"].isNotNull()).alias("rows"))
+    bad = F.size(F.filter("rows", lambda r: r["status"] != "pass")).cast("double")
+    worst = F.array_max(F.transform("rows", lambda r: F.struct(F.element_at(rank, r["status"]).alias("rank"), r["status"].alias("status"))))["status"]
+    every = F.struct(F.lit("all").alias("check"), bad.alias("value"), F.coalesce(worst, F.lit("pass")).alias("status"))
+    return said.select(F.explode(F.concat("rows", F.array(every))).alias("r")).select("r.*")

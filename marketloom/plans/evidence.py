@@ -9,8 +9,8 @@ from marketloom.operators import demand as D
 from marketloom.operators import evidence as V
 from marketloom.operators import text as T
 from marketloom.operators.taxonomy import discover_taxonomy
-from marketloom.operators.scores import LADDER
-from marketloom.plans.base import Book
+from marketloom.operators.scores import LADDER, rule_checks
+from marketloom.plans.base import MONTH, Book
 from marketloom.plans.demand import _observed
 
 Q = Book()
@@ -86,3 +86,46 @@ def j11_ranking(v):
 @Q.add("J11_taxonomy_tree")
 def j11_tree(v):
     return _taxonomy(v)[0]
+
+
+_RULES = (
+    ("market_revenue_single_value", "abs(snap_revenue - revenue) / revenue", "abs(snap_revenue - revenue) <= 0.02 * revenue", "fail"),
+    ("segments_add_up", "abs(seg_revenue - revenue) / revenue", "abs(seg_revenue - revenue) <= 0.02 * revenue", "fail"),
+    ("estimates_within_bounds", "outside", "outside = 0", "fail"),
+    ("brand_shares_add_up", "brand_share", "abs(brand_share - 1) <= 0.02", "fail"),
+    ("shares_in_range", "odd_shares", "odd_shares = 0", "fail"),
+    ("listing_ids_unique", "twice", "twice = 0", "fail"),
+    ("scope_decided", "open_revenue / revenue", "open_revenue <= 0.2 * revenue", "warn"),
+    ("launch_dates_readable", "launched / listings", "launched >= 0.5 * listings", "warn"),
+    ("sales_observed", "observed / listings", "observed >= 10", "warn"),
+    ("excluded_sales", "unpriced_sales", "unpriced_sales = 0", "warn"),
+    ("snapshot_date_declared", "dated", "dated = 1", "warn"),
+    ("trend_needs_history", "periods", "periods >= 3", "fail"),
+    ("history_covers_listings", "known_ids / listings", "known_ids <= listings", "fail"),
+    ("launch_not_after_sale", "late", "late = 0", "fail"),
+)
+
+
+@Q.add("K48_integrity_checks", f"""WITH b AS (SELECT brand, sum(revenue) AS r FROM listing GROUP BY 1), g AS (SELECT segment, sum(revenue) AS r FROM listing GROUP BY 1),
+  l AS (SELECT count(*)::DOUBLE AS listings, count(*) - count(DISTINCT id) AS twice, sum(revenue) AS revenue, count(launched)::DOUBLE AS launched, count(sales)::DOUBLE AS observed, coalesce(sum(sales) FILTER (WHERE price IS NULL), 0) AS unpriced_sales,
+    coalesce(sum(revenue) FILTER (WHERE segment IS NULL OR size < 5), 0) AS open_revenue, count(*) FILTER (WHERE launched > TIMESTAMP '{MONTH}' + INTERVAL 1 MONTH AND sales > 0) AS late, count(*) FILTER (WHERE sales < 0 OR revenue < 0) AS outside FROM listing),
+  s AS (SELECT sum(revenue) FILTER (WHERE period = TIMESTAMP '{MONTH}') AS snap_revenue, count(DISTINCT period) AS periods, count(DISTINCT id)::DOUBLE AS known_ids, max((period = TIMESTAMP '{MONTH}')::INT) AS dated FROM snapshot),
+  f AS (SELECT l.*, s.*, (SELECT sum(r) FROM g) AS seg_revenue, (SELECT sum(r) FROM b) / revenue AS brand_share, (SELECT count(*) FROM b WHERE r < 0 OR r > (SELECT revenue FROM l)) AS odd_shares FROM l, s),
+  r AS ({' UNION ALL '.join(f"SELECT '{n}' AS c, ({value})::DOUBLE AS v, CASE WHEN {ok} THEN 'pass' WHEN NOT ({ok}) THEN '{status}' END AS s FROM f" for n, value, ok, status in _RULES)}), k AS (SELECT * FROM r WHERE s IS NOT NULL)
+  SELECT c AS "check", round(v, 6) AS value, s AS status FROM k UNION ALL SELECT 'all', count(*) FILTER (WHERE s <> 'pass'), CASE WHEN bool_or(s = 'fail') THEN 'fail' WHEN bool_or(s = 'warn') THEN 'warn' ELSE 'pass' END FROM k""")
+def k48(v):
+    month, one = F.lit(MONTH).cast("timestamp_ntz"), F.lit(1)
+    l, s = v.listing, v.snapshot  # noqa: E741
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    late = (F.col("launched").cast("timestamp_ntz") > F.lit(MONTH).cast("timestamp_ntz") + F.expr("INTERVAL 1 MONTH")) & (F.col("sales") > 0)
+    listing = l.agg(
+        F.count(one).cast("double").alias("listings"), (F.count(one) - F.count_distinct("id")).alias("twice"), F.sum("revenue").alias("revenue"), F.count("launched").cast("double").alias("launched"), F.count("sales").cast("double").alias("observed"),
+        total(F.when(F.col("price").isNull(), F.col("sales"))).alias("unpriced_sales"), total(F.when(F.col("segment").isNull() | (F.col("size") < 5), F.col("revenue"))).alias("open_revenue"),
+        F.count(F.when(late, 1)).alias("late"), F.count(F.when((F.col("sales") < 0) | (F.col("revenue") < 0), 1)).alias("outside"),
+    )
+    seen = s.agg(F.sum(F.when(F.col("period") == month, F.col("revenue"))).alias("snap_revenue"), F.count_distinct("period").alias("periods"), F.count_distinct("id").cast("double").alias("known_ids"), F.max((F.col("period") == month).cast("int")).alias("dated"))
+    segments = l.groupBy("segment").agg(F.sum("revenue").alias("r")).agg(F.sum("r").alias("seg_revenue"))
+    brands = l.groupBy("brand").agg(F.sum("revenue").alias("r")).crossJoin(F.broadcast(listing.select("revenue")))
+    shares = brands.agg((F.sum("r") / F.first("revenue")).alias("brand_share"), F.count(F.when((F.col("r") < 0) | (F.col("r") > F.col("revenue")), 1)).alias("odd_shares"))
+    facts = listing.crossJoin(seen).crossJoin(segments).crossJoin(shares)
+    return rule_checks(facts, [(n, F.expr(value), F.expr(ok), status) for n, value, ok, status in _RULES]).withColumn("value", r6("value"))

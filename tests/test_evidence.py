@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import demand as D
 from marketloom.operators import evidence as V
 from marketloom.operators import taxonomy as X
-from marketloom.operators.scores import LADDER, observation_interval
+from marketloom.operators.scores import LADDER, observation_interval, rule_checks
 
 
 def test_rank_stability_of_a_clear_order_and_of_a_tie(spark):
@@ -151,3 +151,11 @@ def test_taxonomy_takes_planted_levels(spark):
     assert root["kind"]["chosen"] and not root["shade"]["meaningful"] and root["kind"]["eta2"] > 0.8 and root["kind"]["p"] < 0.02
     empty, none = X.discover_taxonomy(df.limit(0), "id", "price", ["kind"], ["power"], depth=2)
     assert empty.count() == none.count() == 0
+
+
+def test_rule_checks_skip_the_unknown_and_name_the_worst(spark):
+    facts = spark.createDataFrame([(1.0, None, 5.0)], "a double, b double, c double")
+    rules = [("fine", F.col("a"), F.col("a") == 1, "fail"), ("unknown", F.col("b"), F.col("b") > 0, "fail"), ("odd", F.col("c"), F.col("c") < 3, "warn")]
+    got = {r["check"]: (r["value"], r["status"]) for r in rule_checks(facts, rules).collect()}
+    assert got == {"fine": (1.0, "pass"), "odd": (5.0, "warn"), "all": (1.0, "warn")}
+    assert [tuple(r) for r in rule_checks(facts, rules[1:2]).collect()] == [("all", 0.0, "pass")]
