@@ -6,7 +6,7 @@ from importlib import import_module
 
 from marketloom.session import ship
 
-MODULES = ("mixing", "packing", "warc", "templates", "toxicity", "quality", "suffix", "langid", "simhash", "topk", "spelling", "hamerly")
+MODULES = ("mixing", "packing", "warc", "templates", "toxicity", "quality", "suffix", "langid", "simhash", "topk", "spelling", "styletree", "hamerly")
 
 
 def _shipped(query):
