@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,50 +96,6 @@ def stable_ids(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return size.join(pick.select("new_id", "old_id"), "new_id", "left").select("new_id", F.coalesce("old_id", F.concat(F.lit("new-"), F.col("new_id").cast("string"))).alias("stable_id"))
 
 
-def nearest_vectors(queries: DataFrame, data: DataFrame, k: int, query_block: int = 1024, data_block: int = 8192) -> DataFrame:
-    """(query, vec_id, cosine, place): exact k nearest other rows by cosine of each query, ties to the smaller id.
-
-    Queries meet the data in blocks: both are dealt by a hash, each pair of blocks is one matrix product in a task, and k rows a
-    query leave it. No side is broadcast or gathered. Null vectors and zero vectors take no part."""
-    blocks = lambda df, size: max(1, -(-df.count() // size))
-    nq, nd = blocks(queries, query_block), blocks(data, data_block)
-    deal = lambda df, n, other, own, cross: df.where(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(cross))
-    q, d = deal(queries, nq, nd, "qb", "db"), deal(data, nd, nq, "db", "qb")
-
-    def unit(v: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        m = np.stack(v.to_numpy())
-        size = np.sqrt((m * m).sum(axis=1))
-        return m / np.where(size > 0, size, 1)[:, None], size > 0
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = {"query": [], "vec_id": [], "cosine": []}
-        if len(x) and len(y):
-            (a, ok), (b, fine) = unit(x["v"]), unit(y["v"])
-            ids, other = x["row"].to_numpy(), y["row"].to_numpy()
-            cos = a @ b.T
-            cos[:, ~fine] = -np.inf
-            cos[ids[:, None] == other[None, :]] = -np.inf
-            for i in np.flatnonzero(ok):
-                edge = np.partition(cos[i], len(other) - min(k, len(other)))[len(other) - min(k, len(other))]
-                near = np.flatnonzero(cos[i] >= edge - 1e-9)
-                top = near[np.lexsort((other[near], -cos[i][near]))][: k + 8]
-                top = top[np.isfinite(cos[i][top])]
-                out["query"] += [ids[i]] * len(top)
-                out["vec_id"] += other[top].tolist()
-                out["cosine"] += cos[i][top].tolist()
-        return pd.DataFrame({"query": pd.Series(out["query"], dtype="int64"), "vec_id": pd.Series(out["vec_id"], dtype="int64"), "cosine": pd.Series(out["cosine"], dtype="float64")})
-
-    found = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(best, "query long, vec_id long, cosine double")
-    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("cosine", 12)), "vec_id"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
-
-
-def similar_pairs(data: DataFrame, k: int = 3, least: float = 0.55) -> DataFrame:
-    """(a, b): each pair once of which one is among the other's ``k`` nearest, with a cosine of ``least`` or more. All rows ask."""
-    near = nearest_vectors(data, data, k).where(F.col("cosine") >= least)
-    return near.select(F.least("query", "vec_id").alias("a"), F.greatest("query", "vec_id").alias("b")).distinct()
-
-
 def words_contained(needles: DataFrame, needle_id: str, needle: str, hay: DataFrame, hay_id: str, text: str) -> DataFrame:
     """(needle_id, hay_id): all words of the needle are words of the text. By an inverted index, not by comparing all with all."""
     words = lambda df, k, c: df.select(k, F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("w"))

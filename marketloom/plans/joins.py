@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import expr as X
 from marketloom.operators import entities as E
+from marketloom.operators import neighbours as NB
 from marketloom.operators import ranking as R
 from marketloom.operators.market import product_id
 from marketloom.plans.base import MONTH, PREVIOUS, Book
@@ -325,13 +326,13 @@ def i16(v):
   SELECT query, vec_id, round(c, 6) AS cosine, k::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 12) DESC, vec_id) AS k FROM r) WHERE k <= 5""", views=False)
 def i23(v):
     e = v.table("embeddings")
-    return E.nearest_vectors(e.where("vec_id % 50 = 0"), e, 5).withColumn("cosine", r6(F.col("cosine")))
+    return NB.nearest_vectors(e.where("vec_id % 50 = 0"), e, 5).withColumn("cosine", r6(F.col("cosine")))
 
 
 @Q.add("I24_market_vote", """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id AS query, d.label, d.vec_id, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
   t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 12) DESC, vec_id) AS k FROM r), s AS (SELECT query, label, sum(c) AS votes FROM t WHERE k <= 25 GROUP BY ALL) SELECT query, label, round(votes, 6) AS votes FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY votes DESC, label) = 1""", views=False)
 def i24(v):
     e = v.table("embeddings")
-    near = E.nearest_vectors(e.where("vec_id % 50 = 0"), e, 25).join(e.select("vec_id", "label"), "vec_id")
+    near = NB.nearest_vectors(e.where("vec_id % 50 = 0"), e, 25).join(e.select("vec_id", "label"), "vec_id")
     votes = near.groupBy("query", "label").agg(F.sum("cosine").alias("votes"))
     return X.latest(votes, ["query"], [F.desc("votes"), F.col("label")]).withColumn("votes", r6(F.col("votes")))

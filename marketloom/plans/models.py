@@ -161,7 +161,7 @@ def g24(v):
 @Q.add("H3_nearest_neighbours", """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)
   SELECT query, vec_id FROM (SELECT q.vec_id AS query, d.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, d.v), 12) DESC, d.vec_id) AS k FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0) WHERE k <= 10""", views=False)
 def h3(v):
-    from marketloom.operators.entities import nearest_vectors
+    from marketloom.operators.neighbours import nearest_vectors
 
     e = v.table("embeddings")
     return nearest_vectors(e.where("vec_id % 50 = 0"), e, 10).select("query", "vec_id")
@@ -280,7 +280,7 @@ def f49(v):
 
 @Q.add("I9_nearest_label", """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), r AS (SELECT q.vec_id, d.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, d.v), 12) DESC, d.vec_id) AS k, list_dot_product(q.v, d.v) AS c FROM u q JOIN u d ON q.vec_id <> d.vec_id) SELECT vec_id, CASE WHEN c >= 0.35 THEN label END AS label FROM r WHERE k = 1""", views=False)
 def i9(v):
-    from marketloom.operators.entities import nearest_vectors
+    from marketloom.operators.neighbours import nearest_vectors
 
     e = v.table("embeddings")
     near = nearest_vectors(e, e, 1).join(e.select("vec_id", "label"), "vec_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import entities as E
 from marketloom.operators import graph as G
+from marketloom.operators import neighbours as NB
 from marketloom.operators import text as T
 from marketloom.plans.base import Book
 
@@ -75,7 +76,7 @@ def i21(v):
   t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(c, 12) DESC, d) AS k FROM r) SELECT DISTINCT least(q, d) AS a, greatest(q, d) AS b FROM t WHERE k <= 3 AND c >= 0.3""", views=False)
 def i25(v):
     e = v.table("embeddings")
-    return E.similar_pairs(e, 3, 0.3)
+    return NB.similar_pairs(e, 3, 0.3)
 
 
 @Q.add("I27_configuration_key", "SELECT id, CASE WHEN regexp_matches(title, '(ring|bolt)') THEN 'part' ELSE 'product' END AS role, array_to_string(list_sort(string_split(title, ' ')), '+') AS configuration FROM listing")

@@ -76,20 +76,6 @@ def test_density_groups_match_brute_force(spark):
     assert got == expected
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_nearest_vectors_in_blocks(spark, block):
-    rng = np.random.default_rng(3)
-    m = rng.normal(size=(120, 6))
-    m[7] = m[3]
-    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(120)] + [(500, None), (501, [0.0] * 6)], "vec_id long, embedding array<double>")
-    got = E.nearest_vectors(df.where("vec_id IN (3, 50, 501)"), df, 4, block, block).collect()
-    unit = m / np.linalg.norm(m, axis=1)[:, None]
-    for q in (3, 50):
-        order = sorted((x for x in range(120) if x != q), key=lambda x: (-round(float(unit[q] @ unit[x]), 12), x))[:4]
-        assert [r["vec_id"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["place"])] == order
-    assert not [r for r in got if r["query"] == 501 or r["vec_id"] in (500, 501)]
-
-
 def test_bootstrap_covers_the_mean_and_agrees_with_itself(spark):
     rng = random.Random(4)
     rows = [(i, "g", rng.gauss(10, 2)) for i in range(500)]

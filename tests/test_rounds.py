@@ -15,6 +15,7 @@ from marketloom.operators import entities as E
 from marketloom.operators import files as FI
 from marketloom.operators import insight as N
 from marketloom.operators import models as MO
+from marketloom.operators import neighbours as NB
 from marketloom.operators import ranking as R
 from marketloom.sources import store
 
@@ -45,7 +46,7 @@ def test_similar_pairs_ask_for_all_rows(spark):
     cos = u @ u.T
     np.fill_diagonal(cos, -2)
     want = {tuple(sorted((i + 1, int(j) + 1))) for i in range(90) for j in np.argsort(-cos[i])[:3] if cos[i, j] >= 0.9}
-    assert {tuple(r) for r in E.similar_pairs(df, 3, 0.9).collect()} == want
+    assert {tuple(r) for r in NB.similar_pairs(df, 3, 0.9).collect()} == want
 
 
 def test_two_commits_at_once_keep_both_tables(spark, tmp_path, monkeypatch):
