@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ SLICE, CELLS = 4096, 200_000
 UNIT = 1_000_000
 UNKNOWN = "und"
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-LETTER = re.compile(r"[^\W\d_]")
+SPACE = re.compile(r"[ \t\n\r\x0b\f]")
 
 
 def default_vocabulary() -> str:
@@ -180,6 +181,20 @@ def words_of(text: str) -> list[bytes]:
     return [b" " + w for word in text.lower().encode("utf-8", "surrogatepass").split() if (w := word.strip(MARKS))]
 
 
+def parts_of(text: str):
+    """The text in parts of about ``GROUP`` characters, cut at white space, so that the words of a long one are never held at once."""
+    at = 0
+    while len(text) - at > GROUP and (space := SPACE.search(text, at + GROUP)):
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode category L); digits and numbers of other scripts are none."""
+    return any(map(str.isalpha, text))
+
+
 def first_counts(words: list[bytes], tree: list, size: int, weight: np.ndarray) -> np.ndarray:
     """Piece counts to start from: all places where a piece stands, by its length."""
     out = np.zeros((size, weight.shape[1]))
@@ -248,7 +263,9 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE,
     def words(batches):
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = Counter(words_of(text))
+                own = Counter()
+                for part in parts_of(text):
+                    own.update(words_of(part))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
 
     counts = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).cast("double") for lang in langs]
@@ -265,7 +282,7 @@ def identify(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPL
     language under equal priors; ties go to the first by name. Null text and text without a letter give ``und`` with score 0, and
     so does everything when no document has a language to learn from. Null ids are scored too; repeated rows come back each, with
     one result; other columns of ``docs`` are ignored; an empty table gives an empty one. A text of any length is taken whole: its
-    words are looked up together, and a long word in slices with the sums carried over.
+    words are looked up a group at a time, and a long word in slices with the sums carried over.
     """
     langs, prob, pieces = train(docs, vocabulary, sample, rounds)
     tree = as_tree(pieces)
@@ -288,7 +305,8 @@ def identify(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPL
     def score(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(langs)))
         group, long, size = [], [], 0
-        for k, text in enumerate([*texts, None]):
+        parts = ((k, part) for k, text in enumerate(texts) for part in parts_of(text))
+        for k, text in chain(parts, [(len(texts), None)]):
             if text is None or size > GROUP:
                 remember({w for _, words in group for w in words})
                 for j, words in group:
@@ -306,7 +324,7 @@ def identify(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPL
         for b in batches:
             texts = b.column("text").to_pylist()
             pred, post = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            todo = [k for k, t in enumerate(texts) if isinstance(t, str) and langs and LETTER.search(t)]
+            todo = [k for k, t in enumerate(texts) if isinstance(t, str) and langs and has_letter(t)]
             for k, ll in zip(todo, score([texts[k] for k in todo]), strict=True):
                 p = np.exp(ll - ll.max())
                 pred[k], post[k] = langs[int(p.argmax())], float(p.max() / p.sum())

@@ -118,25 +118,40 @@ def op4_line_templates(spark, sf_dir: str) -> DataFrame:
     return drop_template_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+#: Rounds of splitting groups that the SQL states one by one; it fails where a group is still open after them.
+LEVELS = 12
+
+
 def op4_sql() -> str:
+    def level(k: int) -> str:
+        return f"""
+    open{k} AS (SELECT grp, count(*) AS forms FROM own{k} GROUP BY grp HAVING count(*) > 1 AND sum(n) >= {MIN_DOCS}),
+    tok{k} AS (SELECT grp, form, forms, unnest(f[{DEPTH + 1}:]) AS token, unnest(range(greatest(len(f) - {DEPTH}, 0))) AS pos FROM own{k} JOIN open{k} USING (grp)),
+    cnt{k} AS (SELECT grp, pos, token, count(*) AS n, any_value(forms) AS forms FROM tok{k} GROUP BY ALL HAVING count(*) > 1 OR any_value(forms) = 2),
+    top{k} AS (SELECT *, row_number() OVER (PARTITION BY grp, pos ORDER BY n DESC, token) = 1 AND 2 * n >= forms AS hit FROM cnt{k}),
+    held{k} AS (SELECT grp, form, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE hit AND token <> '{FIELD}') AS constants,
+                min({{'m': -n, 'pos': pos, 'token': token}}) FILTER (WHERE n > 1 AND n < t.forms) AS nxt FROM tok{k} t JOIN top{k} USING (grp, pos, token) GROUP BY ALL),
+    fit{k} AS (SELECT own{k}.*, nxt, constants > 0 AND hits >= {SIMILARITY} * (len(f) - {DEPTH}) AS fits FROM own{k} JOIN held{k} USING (grp, form)),
+    own{k + 1} AS (SELECT size, head, form, f, n, grp || chr(1) || nxt.pos || chr(1) || nxt.token AS grp FROM fit{k} WHERE NOT fits AND nxt IS NOT NULL)"""
+
+    levels = ",".join(level(k) for k in range(LEVELS))
+    found = " UNION ALL ".join(f"SELECT form, grp FROM fit{k} WHERE fits" for k in range(LEVELS))
     return rf"""
     WITH d AS (SELECT doc_id, text FROM documents),
     e AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS x FROM d WHERE text IS NOT NULL),
-    m AS (SELECT doc_id, line, x, list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{FIELD}' ELSE t END) AS f FROM e),
-    l AS (SELECT doc_id, line, len(f) AS size, f[1:{DEPTH}] AS head, f FROM m WHERE len(f) > 0),
-    g AS (SELECT size, head, f, count(*) AS n FROM l GROUP BY ALL),
-    busy AS (SELECT size, head, count(*) AS forms FROM g GROUP BY ALL HAVING count(*) > 1 AND sum(n) >= {MIN_DOCS}),
-    o AS (SELECT g.size, g.head, g.f, forms FROM g JOIN busy USING (size, head)),
-    t AS (SELECT size, head, f, forms, unnest(range(0, size)) AS pos, unnest(f) AS token FROM o),
-    k AS (SELECT size, head, pos, token, forms, count(*) AS n FROM t GROUP BY ALL),
-    top AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY size, head, pos ORDER BY n DESC, token) = 1),
-    fits AS (SELECT t.size, t.head, t.f FROM t JOIN top USING (size, head, pos, token) WHERE 2 * top.n >= top.forms GROUP BY ALL HAVING count(*) >= {SIMILARITY} * t.size),
-    z AS (SELECT l.doc_id, l.line, CASE WHEN fits.f IS NULL THEN l.f ELSE [] END AS own, l.size, l.head FROM l LEFT JOIN fits ON l.size = fits.size AND l.head = fits.head AND l.f = fits.f),
-    often AS (SELECT size, head, own, min(doc_id) AS first FROM z GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-    gone AS (SELECT doc_id, line FROM z JOIN often USING (size, head, own) WHERE doc_id <> first),
+    w AS (SELECT doc_id, line, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS raw FROM e),
+    m AS (SELECT doc_id, line, array_to_string(raw, ' ') AS plain, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{FIELD}' ELSE t END) AS f FROM w WHERE len(raw) > 0),
+    l AS (SELECT doc_id, line, len(f) AS size, array_to_string(f[1:{DEPTH}], ' ') AS head, f, len(list_filter(f, lambda t: t <> '{FIELD}')) = 0 AS only_fields,
+            CASE WHEN len(list_filter(f, lambda t: t <> '{FIELD}')) = 0 THEN plain ELSE array_to_string(f, ' ') END AS form FROM m),
+    own0 AS (SELECT size, head, form, f, count(*) AS n, size || chr(1) || head AS grp FROM l WHERE NOT only_fields GROUP BY ALL),{levels},
+    late AS (SELECT CASE WHEN count(*) > 0 THEN error('groups are still open') END AS x FROM (SELECT grp FROM own{LEVELS} GROUP BY grp HAVING count(*) > 1 AND sum(n) >= {MIN_DOCS})),
+    found AS ({found}),
+    z AS (SELECT doc_id, line, coalesce('g' || grp, 'f' || l.form) AS own FROM l LEFT JOIN found ON found.form = l.form AND NOT l.only_fields),
+    often AS (SELECT own, min(doc_id) AS first FROM z GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+    gone AS (SELECT doc_id, line FROM z JOIN often USING (own) WHERE doc_id <> first),
     kept AS (SELECT e.doc_id, string_agg(x, chr(10) ORDER BY e.line) FILTER (WHERE gone.line IS NULL) AS text, count(gone.line) AS n_dropped FROM e LEFT JOIN gone USING (doc_id, line) GROUP BY ALL)
     SELECT d.doc_id, (CASE WHEN d.text IS NULL OR d.text = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped,
-      CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text FROM d LEFT JOIN kept USING (doc_id)
+      CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text FROM d LEFT JOIN kept USING (doc_id) WHERE (SELECT x FROM late) IS NULL
     """
 
 

@@ -19,7 +19,7 @@ ROWS, WORDS, FOLDS, RIDGE, MIN_DOCS = 6000, 224, 5, 0.2, 4
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features too: languages that compound and inflect share stems, not words.
 STEMS = (4, 5, 6, 7)
-#: Probability of the last category from which a document is flagged.
+#: Probability of the last category above which a document is flagged.
 THRESHOLD = 0.5
 
 
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int =
 
 
 def predict(docs: DataFrame, model: Chain, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, p_<category> of each category of the chain, and whether the last one's reaches ``threshold`` (named after it).
+    """doc_id, p_<category> of each category of the chain, and whether the last one's is above ``threshold`` (named after it).
 
     Null and empty texts are scored as texts without words; null ids and repeated rows come back each, equal texts with equal
     results; extra columns are ignored; a text of any length is taken whole, as the set of its words; with no labelled row every

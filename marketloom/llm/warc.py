@@ -22,11 +22,12 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 MIN_BYTES, FILE_BYTES = 0, 16 << 20
 #: Records are written apart by size, each class up to 16 times the bytes of the one before; bytes that headers add at most.
 CLASS_BITS, FIRST_BITS, ADDED = 4, 12, 2048
-#: Bytes of a record's headers at most; bytes of a gzip member that are inflated at a time, and inflated bytes that are parsed at once.
+#: Bytes in which a record's headers mostly end; bytes of a gzip member that are inflated at a time, and inflated bytes that are parsed at once.
 HEAD_BYTES, BLOCK, PARSED = 1 << 16, 1 << 16, 4 << 20
 #: Rows and payload bytes of a batch that leaves the reader.
 ROWS, BATCH_BYTES = 1000, 8 << 20
 RECORD_END = b"\r\n\r\n"
+VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
 
 
 def digest32(binary) -> F.Column:
@@ -103,6 +104,9 @@ def _headers(head: bytes) -> dict[str, str] | None:
 def _record(data: bytes, at: int) -> tuple[dict, int] | None:
     """The record at ``at`` with the place after it, or None if a check fails: headers, length, end mark, digest."""
     stop = data.find(RECORD_END, at, at + HEAD_BYTES)
+    if stop < 0:  # a long URL: headers end before the next record begins
+        after = VERSION_LINE.search(data, at + 1)
+        stop = data.find(RECORD_END, at, after.start() if after else len(data))
     if stop < 0 or (h := _headers(data[at:stop])) is None or not (h.get("content-length") or "").isdigit():
         return None
     begin, end = stop + 4, stop + 4 + int(h["content-length"])
@@ -172,7 +176,7 @@ def salvage(data: bytes, base: int = 0, nested: bool = True):
     rest of it is a gap; a member that inflates but holds damaged records is salvaged inside.
     """
     at = gap = 0
-    mark = re.compile(rb"WARC/\d\.\d\r\n|\x1f\x8b\x08" if nested else rb"WARC/\d\.\d\r\n")
+    mark = re.compile(VERSION_LINE.pattern + rb"|\x1f\x8b\x08") if nested else VERSION_LINE
     while m := mark.search(data, at):
         begin = at = m.start()
         if data.startswith(b"\x1f\x8b", begin):
@@ -204,8 +208,11 @@ RECORD = pa.schema([
 ])
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per record, and a row with ``error`` set per quarantined gap; ``at`` and ``bytes`` say where in ``file``."""
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, names: str | None = None) -> DataFrame:
+    """A row per record, and a row with ``error`` set per quarantined gap; ``at`` and ``bytes`` say where in ``file``.
+
+    All files under ``path`` are read, but for those whose names start with a dot or an underscore, which Spark leaves out; ``names``
+    is a pattern to read fewer. What a file holds decides how it is read, not its name. A task holds a file, of 2 GB at most."""
 
     def run(batches):
         for batch in batches:
@@ -219,7 +226,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=RECORD)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile")
+    files = (files.option("pathGlobFilter", names) if names else files).load(path).select("path", "content")
     return files.mapInArrow(run, from_arrow_schema(RECORD))
 
 
