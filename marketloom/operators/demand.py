@@ -108,6 +108,7 @@ def fit_folds(df: DataFrame, low: str, high: str, columns: list[str], fold: Colu
     """``fit_intervals`` without each fold in turn. All fits take their steps together, one pass over the rows a step."""
     k = len(columns)
     rows = df.select("_x", F.log(F.greatest(F.col(low), F.lit(0.0))).alias("lo"), F.log(F.col(high)).alias("hi"), fold.cast("int").alias("fold"))
+    rows = materialize(rows, "folds")  # read once a step
     betas, sds, counts, size = np.zeros((folds, k)), np.full(folds, 2.0), np.zeros(folds, int), k * k + k + 2
 
     def sums_of(betas: np.ndarray, sds: np.ndarray):
@@ -146,14 +147,16 @@ def fit_folds(df: DataFrame, low: str, high: str, columns: list[str], fold: Colu
 
 
 #: Error families that are compared, the knots of the price curve as shares of its listings, and the listings that a category needs.
-FAMILIES, KNOTS, LEVEL_ROWS = (None, 10, 5, 3), (0.05, 0.35, 0.65, 0.95), 5
+FAMILIES, KNOTS, LEVEL_ROWS = (None, 10, 5, 3), (0.05, 0.35, 0.65, 0.95), 5  # fixed values
+#: Categories that get a mark of their own at most: the normal equations grow with its square.
+LEVELS = 50
 
 
-def market_design(df: DataFrame, price: str, numeric: list[str], category: str | None = None, knots: tuple[float, ...] = KNOTS, least: int = LEVEL_ROWS) -> tuple[DataFrame, list[str]]:
+def market_design(df: DataFrame, price: str, numeric: list[str], category: str | None = None, knots: tuple[float, ...] = KNOTS, least: int = LEVEL_ROWS, levels: int = LEVELS) -> tuple[DataFrame, list[str]]:
     """Adds _x (array of doubles): intercept; log price and a restricted cubic spline of it, which is linear beyond the end knots;
-    numeric columns; marks of unknown values (null or no number), which take the median; marks of categories, those with fewer than ``least`` listings
-    pooled and the most common one (ties: by name) the base. Columns but the marks have mean 0 and deviation 1. Columns without
-    spread go; so does the spline where knots coincide. The design grows with the number of categories of ``least`` listings."""
+    numeric columns; marks of unknown values (null or no number), which take the median; marks of the ``levels`` most common categories
+    (ties: by name), the first of them the base and the others, like those with fewer than ``least`` listings, pooled. Columns but the marks have mean 0 and deviation 1. Columns without
+    spread go; so does the spline where knots coincide."""
     number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     values = {"log_price": F.when(F.col(price) > 0, F.log(number(price)))} | {c: number(c) for c in numeric}
     stats = df.agg(*[f(e).alias(f"{n}{c}") for c, e in values.items() for n, f in (("n_", F.count), ("s_", F.stddev), ("m_", F.median))], F.percentile(values["log_price"], F.array(*[F.lit(q) for q in knots])).alias("knots"), F.count(F.lit(1)).alias("rows")).first()
@@ -177,7 +180,7 @@ def market_design(df: DataFrame, price: str, numeric: list[str], category: str |
         parts = {c: (e - spread[f"m_{c}"]) / spread[f"s_{c}"] for c, e in parts.items() if spread[f"s_{c}"]}
     if category:
         own = F.coalesce(F.col(category).cast("string"), F.lit("(unknown)"))
-        big = [r[0] for r in df.groupBy(own.alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "c").collect()]
+        big = [r[0] for r in df.groupBy(own.alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "c").limit(levels).collect()]
         pooled = F.when(own.isin(big), own).otherwise("(other)") if big else F.lit("(other)")
         rest = df.where(~own.isin(big)).isEmpty() if big else True
         marks |= {f"{category}={level}": (pooled == level).cast("double") for level in [*big[1:], *([] if rest else ["(other)"])]}

@@ -1,4 +1,4 @@
-"""How far a result can be trusted: ranks under other weights, gaps with intervals, forecasts with a backtest, refits of the demand model."""
+"""How far a result can be trusted: ranks under other weights, gaps with intervals, refits of the demand model."""
 
 from __future__ import annotations
 
@@ -114,106 +114,13 @@ def gap_analysis(df: DataFrame, key: str, by: str, features: str, units: str, le
     return out.withColumn("gap", (F.col("q") <= fdr) & (F.coalesce(F.col("low"), F.lit(0.0)) > 1) & (F.col("demand") > F.col("supply")))
 
 
-#: (lags, differences, moving terms) that are compared; a lag and a moving term at most.
-ORDERS = ((0, 1, 1), (1, 1, 0), (1, 1, 1), (0, 1, 0), (1, 0, 0))
-
-
-def _narrow(loss, axes: list[np.ndarray], rounds: int = 4) -> tuple[np.ndarray, float]:
-    """Least value of ``loss`` over a grid that is drawn closer around its best point, within the first grid's ends."""
-    ends = [(a.min(), a.max()) for a in axes]
-    for _ in range(rounds):
-        grid = np.stack([g.ravel() for g in np.meshgrid(*axes, indexing="ij")])
-        values = loss(*grid)
-        best = grid[:, int(np.nanargmin(values))]
-        axes = [np.clip(np.linspace(b - (a[1] - a[0]), b + (a[1] - a[0]), len(a)), lo, hi) if len(a) > 1 else a for a, b, (lo, hi) in zip(axes, best, ends, strict=True)]
-    return best, float(np.nanmin(values))
-
-
-def damped_trend(y: np.ndarray, horizon: int) -> np.ndarray:
-    """Level and damped trend, smoothed by the shares that give the least squared error of a step."""
-
-    def walk(alpha, beta, phi):
-        level, trend, error = np.full_like(alpha, y[0]), np.full_like(alpha, y[1] - y[0]), np.zeros_like(alpha)
-        for v in y[1:]:
-            guess = level + phi * trend
-            error += (v - guess) ** 2
-            level, before = guess + alpha * (v - guess), level
-            trend = beta * (level - before) + (1 - beta) * phi * trend
-        return error, level, trend
-
-    best, _ = _narrow(lambda *p: walk(*p)[0], [np.linspace(0.02, 0.98, 9), np.linspace(0.0, 0.98, 9), np.linspace(0.8, 0.98, 5)])
-    _, level, trend = walk(*best[:, None])
-    return level[0] + trend[0] * np.cumsum(best[2] ** np.arange(1, horizon + 1))
-
-
-def _arma(y: np.ndarray, horizon: int, order: tuple[int, int, int]) -> tuple[float, np.ndarray]:
-    """AIC by the conditional sum of squares over all steps but the first, and the forecast."""
-    lags, differences, moving = order
-    mean = 0.0 if differences else y.mean()
-    z = np.diff(y) if differences else y - mean
-
-    def walk(phi, theta):
-        error, total = np.zeros_like(phi), np.zeros_like(phi)
-        for i, v in enumerate(z):
-            error = v - (phi * z[i - 1] if i else 0.0) - theta * error
-            total += error**2 if differences or i else 0.0
-        return total, error
-
-    span = np.linspace(-0.95, 0.95, 20)
-    best, loss = _narrow(lambda *p: walk(*p)[0], [span if lags else np.zeros(1), span if moving else np.zeros(1)])
-    steps = len(y) - 1
-    aic = steps * math.log(max(loss, 1e-9) / steps) + 2 * (lags + moving + 1 + (not differences))
-    nxt = best[0] * z[-1] + best[1] * walk(*best[:, None])[1][0]
-    path = nxt * best[0] ** np.arange(horizon) if best[0] else np.concatenate([[nxt], np.zeros(horizon - 1)])
-    return aic, y[-1] + np.cumsum(path) if differences else mean + path
-
-
-def forecast(y: np.ndarray, horizon: int, window: int = 3, orders: tuple = ORDERS) -> tuple[dict[str, np.ndarray], float, tuple | None]:
-    """Forecast per method (moving average, line, damped trend from 4 values on, autoregression from 6 on), slope, chosen order."""
-    slope, start = np.polyfit(np.arange(len(y)), y, 1)
-    found = {"moving_average": np.full(horizon, y[-window:].mean()), "linear_trend": np.maximum(start + slope * np.arange(len(y), len(y) + horizon), 0)}
-    if len(y) >= 4:
-        found["damped_trend"] = np.maximum(damped_trend(y, horizon), 0)
-    order = None
-    if len(y) >= 6:
-        _, path, order = min(((*_arma(y, horizon, o), o) for o in orders), key=lambda t: t[0])
-        found["autoregression"] = np.maximum(path, 0)
-    return found, float(slope), order
-
-
-def forecast_series(df: DataFrame, by: str, period: str, value: str, horizon: int = 12, least: int = 3, window: int = 3) -> DataFrame:
-    """(by, status, periods, methods, model, current, forecast, total, growth, slope, mape, confidence) of each series: the mean of its
-    methods' forecasts, held against up to three of its last values, each forecast from those before it. ``df`` has one row per
-    series and period, so a task holds a series' periods. Unknown values are left out."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        y = g.sort_values(period)[value].to_numpy("f8")
-        row = {by: g[by].iloc[0], "status": "insufficient_history", "periods": len(y)}
-        if len(y) >= least:
-            paths, slope, order = forecast(y, horizon, window)
-            mean = np.mean(list(paths.values()), axis=0)
-            tested = [(y[cut], np.mean([p[0] for p in forecast(y[:cut], 1, window, (order,) if order else ORDERS)[0].values()])) for cut in range(max(least, len(y) - 3), len(y)) if y[cut] > 0]
-            mape = float(np.mean([abs(guess - true) / true for true, guess in tested])) if tested else None
-            span = min(len(y), horizon)
-            current = float(y[-span:].sum() * horizon / span)
-            sure = "HIGH" if len(y) >= 12 and mape is not None and mape < 0.15 else "MEDIUM" if len(y) >= 6 and (mape is None or mape < 0.35) else "LOW"
-            row |= {"status": "ok", "methods": list(paths), "model": str(order) if order else None, "current": current, "forecast": mean.tolist(), "total": float(mean.sum())}
-            row |= {"growth": float(mean.sum()) / current - 1 if current > 0 else None, "slope": slope, "mape": mape, "confidence": sure}
-        return pd.DataFrame({n: pd.Series([row.get(n)], dtype=object) for n in names})
-
-    names = [by, "status", "periods", "methods", "model", "current", "forecast", "total", "growth", "slope", "mape", "confidence"]
-    kinds = [dict(df.dtypes)[by], "string", "long", "array<string>", "string", "double", "array<double>", "double", "double", "double", "double", "string"]
-    known = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, period, F.col(value).cast("double").alias(value))
-    return known.groupBy(by).applyInPandas(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
-
-
 def refit_demand(df: DataFrame, key: str, fit: Fit, ladder: tuple[float, ...], reps: int = 60, steps: int = 25, ridge: float = 1e-3, seed: int = 5) -> DataFrame:
     """(term, coefficient, corrected, low, high) of a normal fit: ``reps`` markets are drawn from it, shown as badges again and fitted.
     ``corrected`` is twice the estimate less the refits' mean; low and high hold 95 % of the refits around it. The row "sd" is the spread
     of the errors. Draws are hashes of key and replicate; all refits take a step in one pass, which returns sums only."""
     k, size = len(fit.columns), len(fit.columns) ** 2 + len(fit.columns) + 2
     rungs, tops = np.log(np.array(ladder)), np.log(np.array([*ladder[1:], 2 * ladder[-1]]))
-    rows = df.select("_x", F.xxhash64(F.lit(seed), key).alias("h"))
+    rows = materialize(df.select("_x", F.xxhash64(F.lit(seed), key).alias("h")), "refits")
 
     def sums_of(betas: np.ndarray, sds: np.ndarray):
         def run(batches):

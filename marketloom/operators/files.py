@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
@@ -51,46 +52,58 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(match[c]) - 1, c - 1) for c in range(1, m + 1) if match[c])
 
 
-def header_score(header: str, alias: str) -> float:
-    """1 for the same words, 0.8 and 0.7 for a subset either way, 0.6 for a close spelling, else 0."""
-    words = lambda s: re.sub(r"[\W_]+", " ", s.lower()).split()
-    a, b = words(header), words(alias)
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    if set(b) <= set(a):
-        return 0.8
-    if set(a) <= set(b):
-        return 0.7
-    return 0.6 if SequenceMatcher(None, " ".join(a), " ".join(b)).ratio() >= 0.85 else 0.0
+@dataclass(frozen=True)
+class Name:
+    """A header or synonym as its words: lower case, without a unit in brackets, all but letters and digits as blanks."""
 
+    words: tuple[str, ...]
 
-#: An equal header, a synonym of several words or of one word among the header's, a synonym of other scripts within
-#: it, and a close spelling from the given ratio on.
-EQUAL, WORDS, WORD, WITHIN, CLOSE, CLOSE_RATIO = 1.0, 0.8, 0.7, 0.75, 0.6, 0.85
+    @classmethod
+    def of(cls, text: str) -> Name:
+        return cls(tuple(re.findall(r"[^\W_]+", _BRACKETS.sub(" ", str(text).lower()))))
 
+    @property
+    def text(self) -> str:
+        return " ".join(self.words)
 
-def plain_header(header: str) -> str:
-    """Lower case, without a unit in brackets, marks as blanks."""
-    text = re.sub(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]", " ", str(header).lower())
-    return " ".join(re.sub(r"[_\-./:#%$]", " ", text).split())
+    def has_words(self, other: Name) -> bool:
+        return bool(other.words) and set(other.words) <= set(self.words)
+
+    def holds(self, other: Name) -> bool:
+        """Scripts without blanks: the other stands somewhere inside."""
+        return len(other.text) > 1 and not other.text.isascii() and other.text in self.text
+
+    def close_to(self, other: Name) -> bool:
+        return bool(self.words and other.words) and SequenceMatcher(None, self.text, other.text).ratio() >= CLOSE_RATIO
+
+
+_BRACKETS = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]")
+CLOSE_RATIO = 0.85
+#: How well a header names a field by a synonym of it; the first rule that holds counts.
+NAMING = (
+    (1.0, lambda header, synonym: header == synonym and bool(header.words)),
+    (0.8, lambda header, synonym: header.has_words(synonym) and len(set(synonym.words)) > 1),
+    (0.7, lambda header, synonym: header.has_words(synonym)),
+    (0.75, Name.holds),
+    (0.6, Name.close_to),
+)
 
 
 def field_score(header: str, synonyms: list[str]) -> float:
-    """How well a header names a field: the best score over its synonyms. Synonyms of scripts without blanks count inside words."""
-    own, best = plain_header(header), 0.0
-    for synonym in filter(None, map(plain_header, synonyms)):
-        if own == synonym:
-            return EQUAL
-        words = synonym.split()
-        if set(words) <= set(own.split()):
-            best = max(best, WORDS if len(set(words)) > 1 else WORD)
-        elif len(synonym) > 1 and not synonym.isascii() and synonym in own:
-            best = max(best, WITHIN)
-        if best < CLOSE and own and SequenceMatcher(None, own, synonym).ratio() >= CLOSE_RATIO:
-            best = CLOSE
-    return best
+    """How well a header names a field: the best that ``NAMING`` gives over its synonyms, 0 without any."""
+    own = Name.of(header)
+    return max((next((value for value, rule in NAMING if rule(own, s)), 0.0) for s in map(Name.of, synonyms)), default=0.0)
+
+
+def header_scores(df: DataFrame, header: str, synonyms: dict[str, list[str]]) -> DataFrame:
+    """(header, field, score) of every distinct header of a column for every field."""
+
+    def score(batches):
+        for b in batches:
+            rows = [(h, f, field_score(h, own)) for h in b[header] for f, own in synonyms.items()]
+            yield pd.DataFrame(rows, columns=["header", "field", "score"])
+
+    return df.select(header).where(F.col(header).isNotNull()).distinct().mapInPandas(score, "header string, field string, score double")
 
 
 def greedy_headers(headers: list[str], synonyms: dict[str, list[str]], least: float = 0.6) -> dict[str, str]:

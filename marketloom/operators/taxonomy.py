@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from marketloom.operators.insight import incomplete_beta
 from marketloom.session import materialize
 
-#: Rows up to which prices are permuted; beyond them the F distribution of the same statistic gives its p.
-PERMUTED = 2000
-
-
 def natural_breaks(values: np.ndarray, counts: np.ndarray, sums: np.ndarray, smallest: int, bins: int) -> list[float]:
     """Cuts of ordered distinct values into at most ``bins`` ranges of at least ``smallest`` rows that leave the least variance within:
     each count of ranges extends the best one of a range less. Of equal ones the fewest ranges; none: no valid cut."""
@@ -53,14 +49,6 @@ def f_tail(eta2: np.ndarray, groups: np.ndarray, rows: np.ndarray) -> np.ndarray
     return out
 
 
-def permuted_p(x: np.ndarray, group: np.ndarray, rounds: int, seed: int) -> float:
-    code, n = np.unique(group, return_inverse=True)[1], np.bincount(np.unique(group, return_inverse=True)[1])
-    between = lambda v: float((np.bincount(code, weights=v) ** 2 / n).sum())
-    own, rng = between(x - x.mean()), np.random.default_rng(seed)
-    hits = sum(between(rng.permutation(x - x.mean())) >= own - 1e-9 for _ in range(rounds))
-    return (hits + 1) / (rounds + 1)
-
-
 def _labelled(long: DataFrame, smallest: int, bins: int) -> tuple[DataFrame, DataFrame]:
     """Rows with label (the value itself, or for numbers their range), and the groups of ``smallest`` rows or more with their sums."""
     cells = long.where("number IS NOT NULL").groupBy("node", "dim", "number").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.count("x").alias("nx"))
@@ -86,7 +74,7 @@ def _labelled(long: DataFrame, smallest: int, bins: int) -> tuple[DataFrame, Dat
 
 
 def discover_taxonomy(
-    df: DataFrame, key: str, price: str, words: list[str], numbers: list[str], depth: int = 3, coverage: float = 0.3, smallest: int = 3, bins: int = 4, rounds: int = 400, alpha: float = 0.1, least: float = 0.05, near: float = 0.1, seed: int = 7
+    df: DataFrame, key: str, price: str, words: list[str], numbers: list[str], depth: int = 3, coverage: float = 0.3, smallest: int = 3, bins: int = 4, alpha: float = 0.1, least: float = 0.05, near: float = 0.1
 ) -> tuple[DataFrame, DataFrame]:
     """(tree, ranking). Each level splits every node by the attribute that explains most of its log prices.
 
@@ -96,7 +84,7 @@ def discover_taxonomy(
     share of ``near`` of it the one of fewest groups wins, then the larger, then by name. Rows without a value or in smaller
     groups go to ``other``, which is not split. tree: node, parent, depth, dim, label, products, price_median, eta2, p. ranking: node,
     depth, dim, coverage, groups, eta2, p, score, meaningful, chosen. Rows whose price is null or not positive are placed and counted, but
-    explain nothing. All levels are aggregates; prices are gathered for permutations only where a node has ``PERMUTED`` rows or fewer."""
+    explain nothing. All levels are aggregates, and p is the tail of an F distribution at every size."""
     digits = lambda c: F.format_string("%.2e", F.col(c).cast("double")).cast("double")
     dims = [F.struct(F.lit(c).alias("dim"), F.col(c).cast("string").alias("value"), F.lit(None).cast("double").alias("number")) for c in words]
     dims += [F.struct(F.lit(c).alias("dim"), F.lit(None).cast("string").alias("value"), F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), digits(c)).alias("number")) for c in numbers]
@@ -118,16 +106,10 @@ def discover_taxonomy(
         found = materialize(found.where("groups >= 2").join(stated, ["node", "dim"]), "found")
         named = materialize(named.where("label IS NOT NULL").join(groups.select("node", "dim", "label"), ["node", "dim", "label"], "left_semi").select("k", "x", "node", "dim", "label"), "named")
 
-        def chance(g: pd.DataFrame) -> pd.DataFrame:
-            p = permuted_p(g["x"].to_numpy("f8"), g["label"].to_numpy(str), rounds, seed)
-            return pd.DataFrame({"node": [g["node"].iloc[0]], "dim": [g["dim"].iloc[0]], "pp": [p]})
-
-        few = found.where((F.col("n") <= PERMUTED) & (F.col("eta2") > 0)).select("node", "dim")
-        small = named.where("x IS NOT NULL").join(few, ["node", "dim"], "left_semi").groupBy("node", "dim").applyInPandas(chance, "node string, dim string, pp double")
         tail = F.pandas_udf(lambda e, g, r: pd.Series(f_tail(e.to_numpy("f8"), g.to_numpy("f8"), r.to_numpy("f8"))), "double")
-        p = F.coalesce("pp", F.when(F.col("eta2") > 0, tail("eta2", F.col("groups").cast("double"), F.col("n").cast("double"))).otherwise(1.0))
+        p = F.when(F.col("eta2") > 0, tail("eta2", F.col("groups").cast("double"), F.col("n").cast("double"))).otherwise(1.0)
         share = F.col("stated") / F.col("rows")
-        ranked = found.join(small, ["node", "dim"], "left").select("node", F.lit(level).alias("depth"), "dim", share.alias("coverage"), "groups", "eta2", p.alias("p"))
+        ranked = found.select("node", F.lit(level).alias("depth"), "dim", share.alias("coverage"), "groups", "eta2", p.alias("p"))
         ranked = ranked.withColumn("score", F.col("eta2") * F.col("coverage") * F.col("coverage")).withColumn("meaningful", (F.col("eta2") >= least) & (F.col("p") <= alpha))
         top = F.max(F.when(F.col("meaningful"), F.col("score"))).over(W.partitionBy("node"))
         ranked = ranked.withColumn("close", F.col("meaningful") & (F.col("score") >= (1 - near) * top))

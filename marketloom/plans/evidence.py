@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import expr as X
 from marketloom.operators import demand as D
 from marketloom.operators import evidence as V
+from marketloom.operators import forecast as FC
 from marketloom.operators import text as T
 from marketloom.operators.taxonomy import discover_taxonomy
 from marketloom.operators.scores import LADDER, rule_checks
@@ -39,26 +40,26 @@ def _features(v):
     return v.listing.withColumn("features", F.concat(F.split("title", " "), F.array(F.concat(F.lit("size "), F.floor(F.col("size") / 10).cast("string")))))
 
 
-@Q.add("K23_gap_features", """WITH l AS (SELECT brand, id, sales::DOUBLE AS u, list_distinct(list_append(string_split(title, ' '), 'size ' || (size // 10))) AS fs FROM listing WHERE sales IS NOT NULL),
-  t AS (SELECT brand, count(*) AS listings, sum(u) AS all_units FROM l GROUP BY 1 HAVING count(*) >= 8), x AS (SELECT brand, id, u, unnest(fs) AS feature FROM l),
-  s AS (SELECT brand, feature, count(*) AS n, sum(u) AS own, list(id ORDER BY id) AS ids FROM x GROUP BY ALL), k AS (SELECT * FROM s JOIN t USING (brand) WHERE n >= 5 AND listings - n >= 5),
-  o AS (SELECT brand, ids, n, listings, all_units, any_value(own) AS own, list(feature ORDER BY length(feature) - length(replace(feature, ' ', '')), length(feature), feature) AS names FROM k GROUP BY ALL)
-  SELECT brand, names[1] AS feature, array_to_string(list_sort(names[2:]), '|') AS aliases, n AS listings_with, listings, round(n / listings, 6) AS supply, round(own / all_units, 6) AS demand,
+@Q.add("K23_gap_features", """WITH l AS (SELECT segment, id, sales::DOUBLE AS u, list_distinct(list_append(string_split(title, ' '), 'size ' || (size // 10))) AS fs FROM listing WHERE sales IS NOT NULL),
+  t AS (SELECT segment, count(*) AS listings, sum(u) AS all_units FROM l GROUP BY 1 HAVING count(*) >= 8), x AS (SELECT segment, id, u, unnest(fs) AS feature FROM l),
+  s AS (SELECT segment, feature, count(*) AS n, sum(u) AS own, list(id ORDER BY id) AS ids FROM x GROUP BY ALL), k AS (SELECT * FROM s JOIN t USING (segment) WHERE n >= 5 AND listings - n >= 5),
+  o AS (SELECT segment, ids, n, listings, all_units, any_value(own) AS own, list(feature ORDER BY length(feature) - length(replace(feature, ' ', '')), length(feature), feature) AS names FROM k GROUP BY ALL)
+  SELECT segment, names[1] AS feature, array_to_string(list_sort(names[2:]), '|') AS aliases, n AS listings_with, listings, round(n / listings, 6) AS supply, round(own / all_units, 6) AS demand,
     round(own / n / ((all_units - own) / (listings - n)), 6) AS lift FROM o""")
 def k23(v):
-    g = V.gap_features(_features(v), "id", "brand", "features", "sales")
+    g = V.gap_features(_features(v), "id", "segment", "features", "sales")
     return g.withColumns({"aliases": F.array_join("aliases", "|"), **{c: r6(c) for c in ("supply", "demand", "lift")}})
 
 
 @Q.add("K23_gap_analysis")
 def k23_intervals(v):
-    return V.gap_analysis(_features(v), "id", "brand", "features", "sales")
+    return V.gap_analysis(_features(v), "id", "segment", "features", "sales")
 
 
 @Q.add("K28_forecast_ensemble")
 def k28(v):
     m = v.history.groupBy("brand", "period").agg(F.sum("revenue").alias("y"))
-    return V.forecast_series(m, "brand", "period", "y")
+    return FC.forecast_series(m, "brand", "period", "y")
 
 
 @Q.add("K5_refitted_demand")
@@ -89,20 +90,20 @@ def j11_tree(v):
 
 
 _RULES = (
-    ("market_revenue_single_value", "abs(snap_revenue - revenue) / revenue", "abs(snap_revenue - revenue) <= 0.02 * revenue", "fail"),
-    ("segments_add_up", "abs(seg_revenue - revenue) / revenue", "abs(seg_revenue - revenue) <= 0.02 * revenue", "fail"),
-    ("estimates_within_bounds", "outside", "outside = 0", "fail"),
-    ("brand_shares_add_up", "brand_share", "abs(brand_share - 1) <= 0.02", "fail"),
-    ("shares_in_range", "odd_shares", "odd_shares = 0", "fail"),
-    ("listing_ids_unique", "twice", "twice = 0", "fail"),
-    ("scope_decided", "open_revenue / revenue", "open_revenue <= 0.2 * revenue", "warn"),
-    ("launch_dates_readable", "launched / listings", "launched >= 0.5 * listings", "warn"),
-    ("sales_observed", "observed / listings", "observed >= 10", "warn"),
-    ("excluded_sales", "unpriced_sales", "unpriced_sales = 0", "warn"),
-    ("snapshot_date_declared", "dated", "dated = 1", "warn"),
-    ("trend_needs_history", "periods", "periods >= 3", "fail"),
-    ("history_covers_listings", "known_ids / listings", "known_ids <= listings", "fail"),
-    ("launch_not_after_sale", "late", "late = 0", "fail"),
+    ("month_total_agrees", "abs(snap_revenue - revenue) / revenue", "abs(snap_revenue - revenue) <= 0.02 * revenue", "fail"),
+    ("segment_sum_agrees", "abs(seg_revenue - revenue) / revenue", "abs(seg_revenue - revenue) <= 0.02 * revenue", "fail"),
+    ("negative_figures", "outside", "outside = 0", "fail"),
+    ("brand_share_sum", "brand_share", "abs(brand_share - 1) <= 0.02", "fail"),
+    ("brand_share_range", "odd_shares", "odd_shares = 0", "fail"),
+    ("repeated_ids", "twice", "twice = 0", "fail"),
+    ("undecided_revenue_share", "open_revenue / revenue", "open_revenue <= 0.2 * revenue", "warn"),
+    ("known_launch_share", "launched / listings", "launched >= 0.5 * listings", "warn"),
+    ("listings_with_sales", "observed / listings", "observed >= 10", "warn"),
+    ("sales_without_price", "unpriced_sales", "unpriced_sales = 0", "warn"),
+    ("month_present", "dated", "dated = 1", "warn"),
+    ("history_length", "periods", "periods >= 3", "fail"),
+    ("history_id_share", "known_ids / listings", "known_ids <= listings", "fail"),
+    ("sold_before_launch", "late", "late = 0", "fail"),
 )
 
 

@@ -400,18 +400,16 @@ def a20(v):
     return v.spark.createDataFrame(sorted(got.items()), "field string, header string")
 
 
-@Q.add("C31_header_scores", "SELECT * FROM (VALUES ('p_brand', 'p brand', 1.0::DOUBLE), ('p_brand', 'brand', 0.8::DOUBLE), ('p_brand', 'p brand name', 0.7::DOUBLE), ('p_brand', 'p brands', 0.6::DOUBLE), ('p_brand', 'price', 0.0::DOUBLE)) AS t(header, alias, score)", views=False)
-def c31(v):
-    rows = [("p_brand", a, FI.header_score("p_brand", a)) for a in ("p brand", "brand", "p brand name", "p brands", "price")]
-    return v.spark.createDataFrame(rows, "header string, alias string, score double")
-
+#: What event kinds and product names are called elsewhere; none is a mere close spelling of a header, which SQL could not tell.
+_SYNONYMS = {"view": ["view", "page view"], "order": ["purchase", "buy"], "ring": ["ring", "ring red"], "small": ["small size"]}
 
-_HEADERS = [("Price ($)", "price"), ("Item_Price", "price"), ("List Price/Unit", "list price"), ("商品标题", "标题"), ("Retail prise", "retail price"), ("stock", "price"), ("商品", "标题")]
 
-
-@Q.add("C31_header_rules", """SELECT * FROM (VALUES ('Price ($)', 'price', 1.0::DOUBLE), ('Item_Price', 'price', 0.7), ('List Price/Unit', 'list price', 0.8), ('商品标题', '标题', 0.75), ('Retail prise', 'retail price', 0.6), ('stock', 'price', 0.0), ('商品', '标题', 0.0)) AS t(header, synonym, score)""", views=False)
-def c31_rules(v):
-    return v.spark.createDataFrame([(h, s, FI.field_score(h, [s])) for h, s in _HEADERS], "header string, synonym string, score double")
+@Q.add("C31_header_rules", """WITH h AS (SELECT event_type AS header FROM events UNION SELECT p_name FROM part), s(field, synonym) AS (VALUES ('view', 'view'), ('view', 'page view'), ('order', 'purchase'), ('order', 'buy'), ('ring', 'ring'), ('ring', 'ring red'), ('small', 'small size')),
+  t AS (SELECT header, field, regexp_extract_all(lower(header), '[\\p{L}\\p{N}]+') AS hw, string_split(synonym, ' ') AS sw FROM h, s WHERE header IS NOT NULL)
+  SELECT header, field, max(CASE WHEN hw = sw THEN 1 WHEN list_has_all(hw, sw) THEN CASE WHEN len(sw) > 1 THEN 0.8 ELSE 0.7 END ELSE 0 END)::DOUBLE AS score FROM t GROUP BY ALL""", views=False)
+def c31(v):
+    headers = v.table("events").select(F.col("event_type").alias("header")).union(v.table("part").select("p_name"))
+    return FI.header_scores(headers, "header", _SYNONYMS)
 
 
 @Q.add("C27_valid_names", "SELECT DISTINCT source, regexp_full_match(source, '[a-z0-9_-]{1,64}') AS valid FROM documents", views=False)

@@ -39,7 +39,9 @@ def sql_rows(sql: str, sf: str = SF):
 
 
 def check(spark, query, sql: str, sf: str = SF):
+    """The number of rows that both sides have."""
     df = query(spark, sf)
     columns, expected = sql_rows(sql, sf)
     assert sorted(df.columns) == columns
     assert rows(df.columns, df.collect()) == expected
+    return len(expected)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import demand as D
 from marketloom.operators import evidence as V
+from marketloom.operators import forecast as FC
 from marketloom.operators import taxonomy as X
 from marketloom.operators.scores import LADDER, observation_interval, rule_checks
 
@@ -62,31 +63,39 @@ def test_gaps_find_the_planted_feature_and_name_aliases(spark):
 
 def test_forecast_of_lines_and_walks():
     line = np.arange(10.0) * 3 + 5
-    paths, slope, order = V.forecast(line, 4)
-    assert math.isclose(slope, 3) and np.allclose(paths["linear_trend"], [35, 38, 41, 44]) and order is not None
+    paths = {name: path for name, _, path in FC.paths(line, 4, FC.orders())}
+    assert set(paths) == {"moving_average", "linear_trend", "damped_trend", "autoregression"} and len(FC.orders()) == 8
+    assert np.allclose(paths["linear_trend"], [35, 38, 41, 44]) and np.allclose(paths["moving_average"], 29)
     assert abs(paths["damped_trend"][0] - 35) < 1
+    assert [name for name, *_ in FC.paths(line[:4], 1, FC.orders())] == ["moving_average", "linear_trend", "damped_trend"]
     rng = np.random.default_rng(1)
     noise, y = rng.normal(size=400), [0.0]
     for e in noise:
         y.append(0.7 * y[-1] + e)
-    aic, path = V._arma(np.array(y) + 50, 5, (1, 0, 0))
+    aic, path = FC._arma(np.array(y) + 50, 5, (1, 0, 0))
     z = np.array(y) - np.mean(y)
     step = (path - 50 - np.mean(y))[1:] / (path - 50 - np.mean(y))[:-1]
     assert np.allclose(step, (z[1:] @ z[:-1]) / (z[:-1] @ z[:-1]), atol=1e-3)  # least squares
-    assert aic < V._arma(np.array(y) + 50, 5, (0, 1, 0))[0]
+    assert aic < FC._arma(np.array(y) + 50, 5, (0, 1, 0))[0]
     walk = np.cumsum(noise) + 100
     ma = np.cumsum(noise[1:] + 0.6 * noise[:-1]) + 100
-    assert V._arma(ma, 3, (0, 1, 1))[0] < V._arma(ma, 3, (0, 1, 0))[0] and V._arma(walk, 3, (0, 1, 0))[1].tolist() == [walk[-1]] * 3
+    assert FC._arma(ma, 3, (0, 1, 1))[0] < FC._arma(ma, 3, (0, 1, 0))[0] and FC._arma(walk, 3, (0, 1, 0))[1].tolist() == [walk[-1]] * 3
 
 
 def test_forecast_series_states_history_and_backtest(spark):
-    rows = [("flat", i, 10.0) for i in range(14)] + [("short", 0, 1.0), ("short", 1, 2.0), ("short", 2, None), (None, 1, 1.0), ("zero", 1, 0.0), ("zero", 2, 0.0), ("zero", 3, 0.0)]
-    got = {r["k"]: r for r in V.forecast_series(spark.createDataFrame(rows, "k string, t int, y double"), "k", "t", "y").collect()}
-    assert set(got) == {"flat", "short", "zero"}
-    assert (got["short"]["status"], got["short"]["periods"], got["short"]["forecast"]) == ("insufficient_history", 2, None)
+    rng = np.random.default_rng(5)
+    wild = [float(v) for v in 50 + 30 * rng.normal(size=9)]
+    rows = [("flat", i, 10.0) for i in range(14)] + [("short", 0, 1.0), ("short", 1, 2.0), ("short", 2, None), (None, 1, 1.0), ("zero", 1, 0.0), ("zero", 2, 0.0), ("zero", 3, 0.0)] + [("wild", i, v) for i, v in enumerate(wild)]
+    got = {r["k"]: r for r in FC.forecast_series(spark.createDataFrame(rows, "k string, t int, y double"), "k", "t", "y").collect()}
+    assert set(got) == {"flat", "short", "zero", "wild"}
+    assert (got["short"]["status"], got["short"]["periods"], got["short"]["forecast"], got["short"]["confidence"]) == ("insufficient_history", 2, None, None)
     flat = got["flat"]
     assert flat["confidence"] == "HIGH" and flat["mape"] < 1e-9 and abs(flat["growth"]) < 1e-9 and np.allclose(flat["forecast"], 10) and len(flat["forecast"]) == 12
     assert got["zero"]["growth"] is None and got["zero"]["mape"] is None and got["zero"]["confidence"] == "LOW"
+    mean = lambda n, h: np.mean([p for *_, p in FC.paths(np.array(wild[:n]), h, FC.orders())], axis=0)
+    r = got["wild"]
+    assert math.isclose(r["mape"], np.mean([abs(mean(n, 1)[0] - wild[n]) / wild[n] for n in (6, 7, 8)])) and np.allclose(r["forecast"], mean(9, 12))
+    assert math.isclose(r["growth"], mean(9, 12).mean() / np.mean(wild) - 1) and math.isclose(r["slope"], np.polyfit(np.arange(9), wild, 1)[0]) and r["model"] in {"({},{},{})".format(*o) for o in FC.orders()}
 
 
 def test_refits_cover_the_planted_coefficients(spark):
@@ -123,11 +132,13 @@ def test_natural_breaks_are_the_best_cuts():
 
 def test_f_tail_agrees_with_permutations():
     rng = np.random.default_rng(6)
-    group = rng.integers(0, 3, 300)
-    x = rng.normal(size=300) + 0.15 * group
-    total = ((x - x.mean()) ** 2).sum()
-    eta2 = sum((group == g).sum() * (x[group == g].mean() - x.mean()) ** 2 for g in range(3)) / total
-    assert abs(X.f_tail(np.array([eta2]), np.array([3.0]), np.array([300.0]))[0] - X.permuted_p(x, group, 4000, 1)) < 0.02
+    for size, tilt in ((40, 0.4), (300, 0.15)):
+        group = rng.integers(0, 3, size)
+        x = rng.normal(size=size) + tilt * group
+        x -= x.mean()
+        share = lambda v: sum((group == g).sum() * v[group == g].mean() ** 2 for g in range(3)) / (v**2).sum()  # noqa: B023, E731
+        drawn = np.mean([share(rng.permutation(x)) >= share(x) - 1e-9 for _ in range(4000)])
+        assert abs(X.f_tail(np.array([share(x)]), np.array([3.0]), np.array([float(size)]))[0] - drawn) < 0.02
     assert X.f_tail(np.array([0.0, 1.0]), np.array([2.0, 2.0]), np.array([10.0, 10.0])).tolist() == [1.0, 0.0]
 
 
@@ -140,7 +151,7 @@ def test_taxonomy_takes_planted_levels(spark):
         rows.append((i, price, kind, f"shade {rng.integers(0, 3)}", power))
     rows += [(900, 30.0, None, None, None), (901, None, "saw", "shade 1", 3.0), (902, 10.0, "rare", None, float("nan"))]
     df = spark.createDataFrame(rows, "id long, price double, kind string, shade string, power double")
-    tree, ranking = X.discover_taxonomy(df, "id", "price", ["kind", "shade"], ["power"], rounds=100)
+    tree, ranking = X.discover_taxonomy(df, "id", "price", ["kind", "shade"], ["power"])
     nodes = {r["node"]: r for r in tree.collect()}
     assert {n for n, r in nodes.items() if r["depth"] == 1} == {"kind=drill", "kind=saw", "kind=other"}
     assert nodes["kind=other"]["products"] == 2 and nodes["kind=other"]["eta2"] is None and nodes["kind=saw"]["products"] == 201

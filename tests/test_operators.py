@@ -255,3 +255,11 @@ def test_headers_greedy_and_family_columns():
     sales = {"sales": ["sales", "unit sales"]}
     assert FI.map_headers(["Parent Unit Sales", "Sales"], sales, parent={"sales": ["parent unit sales"]}) == {"sales": "Sales"}
     assert FI.map_headers(["Parent Unit Sales"], sales, parent={"sales": ["parent unit sales"]}) == {}
+
+
+def test_naming_rules_in_their_order():
+    from marketloom.operators import files as FI
+
+    cases = [("Price ($)", "price", 1.0), ("Item_Price", "price", 0.7), ("List Price/Unit", "list price", 0.8), ("商品标题", "标题", 0.75), ("标题 x", "标题", 0.7), ("Retail prise", "retail price", 0.6), ("stock", "price", 0.0), ("商品", "标题", 0.0), ("", "price", 0.0), ("$", "%", 0.0)]
+    assert [FI.field_score(h, [s]) for h, s, _ in cases] == [v for *_, v in cases]
+    assert FI.field_score("unit price", []) == 0 and FI.field_score("unit price", ["cost", "price"]) == 0.7

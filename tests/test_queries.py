@@ -4,11 +4,13 @@ from marketloom.plans import registry
 from tests.oracle import SF, check
 
 SQL = registry.oracle_sql()
+#: Queries whose result is rightly empty on the smallest tables.
+EMPTY: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
-    check(spark, registry.queries()[name], SQL[name])
+    assert check(spark, registry.queries()[name], SQL[name]) or name in EMPTY, "two empty sides prove nothing"
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
