@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-import math
 import re
 from dataclasses import dataclass, field
 
