@@ -103,27 +103,3 @@ def normal_tail(z: Column) -> Column:
     t = 1 / (1 + 0.3275911 * x)
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     return poly * F.exp(-x * x)
-
-
-def split_vetoed(pairs: DataFrame, component: DataFrame, key: str) -> DataFrame:
-    """(key, cluster): greedy merges by falling score (ties: a, b) within each component; a merge that would join a vetoed pair is
-    refused. ``pairs``: a, b, score, decision (match, or a veto). One task per component; components hold only matched rows."""
-    edge = pairs.join(component.toDF("a", "component"), "a").select("component", "a", "b", "score", "decision")
-
-    def merge(df: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(df[["a", "b"]].to_numpy())
-        group = {i: {i} for i in ids.tolist()}
-        veto: dict[int, set[int]] = {}
-        for a, b in df.loc[df["decision"].str.startswith("veto"), ["a", "b"]].itertuples(index=False):
-            veto.setdefault(a, set()).add(b)
-            veto.setdefault(b, set()).add(a)
-        for a, b in df[df["decision"] == "match"].sort_values(["score", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
-            x, y = group[a], group[b]
-            if x is y or any(veto.get(i, set()) & y for i in x):
-                continue
-            x |= y
-            for i in y:
-                group[i] = x
-        return pd.DataFrame({key: ids, "cluster": [min(group[i]) for i in ids.tolist()]})
-
-    return edge.groupBy("component").applyInPandas(merge, f"{key} long, cluster long")

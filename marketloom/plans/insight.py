@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import expr as X
 from marketloom.operators import entities as E
 from marketloom.operators import insight as N
+from marketloom.operators import merging as MG
 from marketloom.plans.base import MONTH, PREVIOUS, Book
 from marketloom.plans.joins import _PAIRS, _decided
 
@@ -270,7 +271,7 @@ def f55(v):
 @Q.add("I13_constrained_merge", None)
 def i13(v):
     pairs = _decided(v)
-    return N.split_vetoed(pairs, E.clusters(v.parts, "id", pairs.where("decision = 'match'")), "id")
+    return MG.split_vetoed(pairs, E.clusters(v.parts, "id", pairs.where("decision = 'match'")), "id")
 
 
 @Q.add("K25_launch_momentum", None)

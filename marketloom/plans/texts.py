@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import entities as E
 from marketloom.operators import graph as G
 from marketloom.operators import neighbours as NB
+from marketloom.operators import ngrams as NG
 from marketloom.operators import text as T
 from marketloom.plans.base import Book
 
@@ -30,11 +31,49 @@ def i5(v):
 @Q.add("E11_nearest_texts", f"""WITH {_TFIDF}, p AS (SELECT x.item_id AS a, y.item_id AS b, sum(x.w * y.w) AS c FROM vx x JOIN vx y ON x.token = y.token AND x.item_id <> y.item_id GROUP BY ALL)
   SELECT a, b, k::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS k FROM p) WHERE k <= 10""", views=False)
 def e11(v):
-    vec = E.tfidf(v.table("benchmark"), "item_id", "text")
-    x, y = vec.toDF("a", "token", "wa"), vec.toDF("b", "token", "wb")
-    p = x.join(y, "token").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("c"))
-    place = F.row_number().over(W.partitionBy("a").orderBy(F.desc(F.round("c", 9)), "b"))
-    return p.withColumn("place", place).where("place <= 10").select("a", "b", "place")
+    b = v.table("benchmark")
+    return NG.nearest_texts(b, b, "item_id", "text", 10).select("a", "b", "place")
+
+
+_PROTOTYPES = {"pos": ["the that this and of", "there where the other"], "neg": ["der die und nicht", "les des que pour"]}
+_GRAMS = r"""px AS (SELECT kind || ':' || i AS id, kind, text FROM (VALUES ('pos', 0, 'the that this and of'), ('pos', 1, 'there where the other'), ('neg', 0, 'der die und nicht'), ('neg', 1, 'les des que pour')) AS p(kind, i, text)),
+  tx AS (SELECT doc_id::VARCHAR AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT id, text FROM px), ws AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM tx),
+  wd AS (SELECT id, ' ' || unnest(w) || ' ' AS p FROM ws), ng AS (SELECT id, p, unnest([3, 4, 5]) AS n FROM wd),
+  gr AS (SELECT id, 'word' AS space, unnest(w) AS gram FROM ws UNION ALL SELECT id, 'word', unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM ws
+    UNION ALL SELECT id, 'letter', unnest(list_transform(range(1, length(p) - n + 2), lambda i: substr(p, i, n))) FROM ng WHERE length(p) >= n),
+  gt AS (SELECT id, space, gram, count(*) AS tf FROM gr GROUP BY ALL), gd AS (SELECT space, gram, count(*) AS df FROM gt GROUP BY ALL),
+  gw AS (SELECT id, space, gram, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM tx)) / (1 + df)) + 1) AS w FROM gt JOIN gd USING (space, gram)), gn AS (SELECT id, space, sqrt(sum(w * w)) AS s FROM gw GROUP BY ALL),
+  gv AS (SELECT id, space, gram, w / s / sqrt(count(DISTINCT space) OVER (PARTITION BY id)) AS w FROM gw JOIN gn USING (id, space))"""
+
+
+@Q.add("I5_prototype_relevance", f"""WITH {_GRAMS}, dt AS (SELECT x.id, px.kind, sum(x.w * y.w) AS c FROM gv x JOIN gv y USING (space, gram) JOIN px ON px.id = y.id WHERE x.id NOT LIKE '%:%' GROUP BY x.id, px.id, px.kind),
+  sm AS (SELECT id, sum(c) FILTER (WHERE kind = 'pos') / 2 AS pos, sum(c) FILTER (WHERE kind = 'neg') / 2 AS neg FROM dt GROUP BY id)
+  SELECT doc_id, round(coalesce(pos, 0), 6)::DOUBLE AS pos, round(coalesce(neg, 0), 6)::DOUBLE AS neg,
+    round(100 / (1 + exp(-(-0.6 + 5 * (coalesce(pos, 0) - coalesce(neg, 0)) + 3.2 * coalesce(least(contains(text, 'the')::INT + contains(text, 'and')::INT, 2), 0) - 3.2 * coalesce(least(contains(text, 'que')::INT, 2), 0) + CASE WHEN source = 'src0' THEN 1.2 WHEN source = 'src1' THEN -3.0 ELSE 0 END))), 5) AS relevance
+  FROM documents LEFT JOIN sm ON sm.id = doc_id::VARCHAR""", views=False)
+def i5_prototypes(v):
+    """Words, pairs of words and letters against wanted and unwanted examples, then keywords and category."""
+    d = v.table("documents")
+    near = NG.prototype_similarity(d, "doc_id", "text", _PROTOTYPES)
+    has = lambda w: F.coalesce(F.contains(F.col("text"), F.lit(w)), F.lit(False)).cast("int")
+    category = F.when(F.col("source") == "src0", True).when(F.col("source") == "src1", False)
+    score = T.relevance_score(F.col("pos"), F.col("neg"), has("the") + has("and"), has("que"), category)
+    return d.join(near, "doc_id").select("doc_id", r6("pos").alias("pos"), r6("neg").alias("neg"), F.round(score, 5).alias("relevance"))
+
+
+@Q.add("I9_similarity_tier", r"""WITH rf AS (SELECT doc_id, text, quality FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL), al AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+  tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM al), tf AS (SELECT doc_id, t, count(*) AS tf FROM tk GROUP BY ALL), dn AS (SELECT t, count(*) AS df FROM tf JOIN rf USING (doc_id) GROUP BY t),
+  rw AS (SELECT doc_id, t, tf * (ln((1 + (SELECT count(*) FROM rf)) / (1 + df)) + 1) AS w FROM tf JOIN dn USING (t)), vx AS (SELECT doc_id, t, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM rw),
+  cs AS (SELECT x.doc_id, rf.doc_id AS other, rf.quality, round(sum(x.w * y.w), 9) AS c FROM vx x JOIN vx y USING (t) JOIN rf ON rf.doc_id = y.doc_id WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+  tp AS (SELECT * FROM cs WHERE c >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, other) = 1)
+  SELECT documents.doc_id, quality AS label, round(c, 6)::DOUBLE AS confidence FROM documents LEFT JOIN tp USING (doc_id)""", views=False)
+def i9_tier(v):
+    """The label of the nearest other labelled text, if it is near enough to say."""
+    d = v.table("documents")
+    known = d.join(v.table("labels").where("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
+    near = NG.nearest_texts(d, known, "doc_id", "text", 1, least=0.6, sublinear=False)
+    near = near.join(known.select(F.col("doc_id").alias("b"), "quality"), "b").select(F.col("a").alias("doc_id"), F.col("quality").alias("label"), r6("cosine").alias("confidence"))
+    return d.select("doc_id").join(near, "doc_id", "left")
 
 
 @Q.add("I7_score_unique_texts", "WITH u AS (SELECT text, length(text) % 7 AS score FROM documents GROUP BY text) SELECT doc_id, score::INT AS score FROM documents JOIN u USING (text)", views=False)

@@ -4,7 +4,6 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from marketloom.operators import demand as D

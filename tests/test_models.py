@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import entities as E
 from marketloom.operators import files as FI
 from marketloom.operators import graph as G
 from marketloom.operators import models as MO

@@ -12,6 +12,7 @@ from marketloom.operators import demand as D
 from marketloom.operators import entities as E
 from marketloom.operators import insight as N
 from marketloom.operators import market as M
+from marketloom.operators import merging as MG
 from marketloom.operators import quality as QA
 from marketloom.operators import ranking as R
 from marketloom.operators import scores as S
@@ -128,7 +129,7 @@ def test_unknown_currency_is_an_error(spark):
 def test_vetoed_pairs_never_share_a_cluster(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9, "match"), (2, 3, 0.8, "match"), (1, 3, 0.1, "veto_brand"), (3, 4, 0.75, "match")], "a long, b long, score double, decision string")
     component = spark.createDataFrame([(i, 1) for i in range(1, 5)], "id long, c long")
-    assert sorted(one(N.split_vetoed(pairs, component, "id"))) == [(1, 1), (2, 1), (3, 3), (4, 3)]
+    assert sorted(one(MG.split_vetoed(pairs, component, "id"))) == [(1, 1), (2, 1), (3, 3), (4, 3)]
 
 
 def test_binomial_and_normal_tails(spark):
