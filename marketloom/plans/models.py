@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions import expr as X
+from marketloom.operators import families as FA
 from marketloom.operators import files as FI
+from marketloom.operators import linkage as LI
 from marketloom.operators import models as MO
 from marketloom.operators import text as TX
 from marketloom.plans.base import MONTH, Book
@@ -361,6 +363,18 @@ def j1(v):
     return MO.taxonomy_segments(v.parts, "id", "segment", "title")
 
 
+@Q.add("J1_split_families", None)
+def j1_split(v):
+    """Brands as families: split where titles form distinct groups."""
+    return FA.split_families(v.parts, "id", "brand", "title")
+
+
+@Q.add("J8_text_models", None)
+def j8(v):
+    """Titles of a brand joined by average linkage."""
+    return LI.title_models(v.parts, "id", "brand", "title")
+
+
 @Q.add("J3_density_groups", None)
 def j3(v):
     return MO.density_groups(v.listing.withColumn("s", F.col("sales")), "id", "segment", ["price", "s"], 3.0)
