@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.sampling import picked, share_of
+from marketloom.session import materialize
 
 #: The chain, in order: a category's name and the label value that means it.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
@@ -121,8 +122,9 @@ def fit_chain(ids: list[int], x: np.ndarray, labels: np.ndarray, names: list[str
 
 
 def train(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = ROWS) -> Chain:
-    """Fits the chain; of each labelled document the driver gets the numbers of the chosen words that it holds."""
-    known, names = labelled(docs, labels, chain, rows), [n for n, *_ in chain]
+    """Fits the chain; of each labelled document the driver gets the numbers of the chosen words that it holds. The documents are read
+    once: the chosen ones, bounded by ``rows``, are written and reread for each count."""
+    known, names = materialize(labelled(docs, labels, chain, rows), "labelled"), [n for n, *_ in chain]
     words = {w: k for k, w in enumerate(pick_words(known, len(chain)))}
     empty = Chain(names, words, [])
 
