@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketloom.operators import anchoring as A
 from marketloom.operators import demand as D
 from marketloom.operators.scores import LADDER, observation_interval
 from marketloom.plans.base import Book
+from marketloom.session import materialize
 
 Q = Book()
 QUERIES, SQL = Q.queries, Q.sql
@@ -58,6 +60,17 @@ def k7(v):
     return D.group_intervals(draws, df, "id", "segment")
 
 
+@Q.add("K7_anchored_intervals")
+def k7_anchored(v):
+    """Products, segments and the market: 95 % of drawn totals, inside the bounds, with means that add up."""
+    df, names = _observed(v)
+    df = materialize(df, "observed")
+    fit = D.fit_intervals(df, "low", "high", names)
+    draws = D.joint_draws(df, "id", "low", "high", fit, sims=200)
+    rows = D.expected_units(df, "low", "high", fit)
+    return A.level_intervals(A.anchored_totals(draws, rows, "id", {"product": "title", "segment": "segment", "market": None}, "low", "high", "units"))
+
+
 @Q.add("K8_held_out_auc")
 def k8(v):
     df, names = _observed(v)
