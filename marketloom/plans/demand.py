@@ -62,12 +62,12 @@ def k7(v):
 
 @Q.add("K7_anchored_intervals")
 def k7_anchored(v):
-    """Products, segments and the market: 95 % of drawn totals, inside the bounds, with means that add up."""
-    df, names = _observed(v)
+    """Products, segments and the market: 95 % of totals drawn under the family of the least AIC, inside the bounds, with means that add up."""
+    df, _ = _observed(v)
+    df, names = D.market_design(df, "price", ["size"], "segment")
     df = materialize(df, "observed")
-    fit = D.fit_intervals(df, "low", "high", names)
-    draws = D.joint_draws(df, "id", "low", "high", fit, sims=200)
-    rows = D.expected_units(df, "low", "high", fit)
+    fit = D.fit_families(df, "low", "high", names)[0]
+    draws, rows = D.family_draws(df, "id", "low", "high", fit), D.within_bounds(df, "low", "high", fit)
     return A.level_intervals(A.anchored_totals(draws, rows, "id", {"product": "title", "segment": "segment", "market": None}, "low", "high", "units"))
 
 

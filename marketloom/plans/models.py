@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions import expr as X
+from marketloom.operators import embedding as EM
 from marketloom.operators import families as FA
 from marketloom.operators import files as FI
 from marketloom.operators import linkage as LI
@@ -363,6 +364,12 @@ def j1(v):
     return MO.taxonomy_segments(v.parts, "id", "segment", "title")
 
 
+@Q.add("I22_projected_embedding", None)
+def i22_projected(v):
+    """Whole texts as 256 numbers from hashed words, pairs of words and letters."""
+    return EM.projected_embedding(v.table("documents"), "doc_id", "text")
+
+
 @Q.add("J1_split_families", None)
 def j1_split(v):
     """Brands as families: split where titles form distinct groups."""

@@ -95,3 +95,19 @@ def test_one_pass_over_draws_and_partial_sums(spark):
     assert out["low"] < out["mean"] < out["high"] and out["mean"] == pytest.approx(sum(r[4] for r in rows))
     assert not any(n in run(spark, rows, draws)._jdf.queryExecution().toString() for n in ("Python", "CartesianProduct"))
     assert run(spark, rows, draws).groupBy("level", "member").agg(F.count("*").alias("n")).where("n <> 30").count() == 0
+
+
+def test_draws_of_a_family_follow_its_quantiles(spark):
+    import numpy as np
+
+    from marketloom.operators import demand as D
+
+    df = spark.createDataFrame([(i, [1.0], 20.0, 90.0) for i in range(3)] + [(9, [1.0], 50.0, 50.0), (10, [1.0], 5.0, None)], "id long, _x array<double>, low double, high double")
+    fit = D.Fit(["one"], np.array([3.5]), 0.9, 3, nu=3)
+    got = D.family_draws(df, "id", "low", "high", fit, sims=2000)
+    units = {i: sorted(r["units"] for r in got.where(f"id = {i}").collect()) for i in (0, 9)}
+    q = D.within_bounds(df.where("id = 0"), "low", "high", fit, (0.25, 0.75)).first()
+    assert units[0][0] >= 20 and units[0][-1] <= 90 and set(units[9]) == {50.0}
+    assert np.mean(units[0]) == pytest.approx(q["units"], rel=0.03)
+    assert np.quantile(units[0], 0.25) == pytest.approx(q["q0"], rel=0.05) and np.quantile(units[0], 0.75) == pytest.approx(q["q1"], rel=0.05)
+    assert got.where("id = 10 AND units IS NOT NULL AND NOT isnan(units)").count() == 0
