@@ -34,7 +34,9 @@ def anchored_totals(draws: DataFrame, rows: DataFrame, key: str, levels: dict[st
     The factor is exact: with draws in falling order, the first place where scaling it and all later draws to what the held ones leave
     keeps it below the ceiling. If no factor gives the mean, as too few draws are above the floor, these are at the ceiling and the others
     share what the mean still needs. A null key is left out; a null
-    group is ``NO_GROUP``; a key is in one row. A group is summed before it is shuffled, and windows hold one group's sums, a row a draw."""
+    group is ``NO_GROUP``; a key is in one row. A group is summed before it is shuffled, and windows hold one group's sums, a row a draw.
+    Draws that carry the columns of all levels (and the weight) are those of ``rows`` and are summed where they are drawn; others meet
+    their rows in a join that sorts both sides, as Spark takes exploded draws for as few as their rows and would broadcast them."""
     factor = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
     number = lambda c: F.col(c).cast("double")
     known = rows.where(F.col(key).isNotNull()).select(
@@ -42,7 +44,12 @@ def anchored_totals(draws: DataFrame, rows: DataFrame, key: str, levels: dict[st
         F.when(factor == 0, 0.0).otherwise(number(high) * factor).alias("_high"))
     known = materialize(known.select("_key", "g.level", "g.member", "_w", "_low", "_high", "_mean"), "levels")
     sums = known.groupBy("level", "member").agg(F.sum("_low").alias("floor"), F.when(F.count_if(F.col("_high").isNull()) == 0, F.sum("_high")).alias("ceiling"), F.sum("_mean").alias("mean"))
-    total = draws.select(F.col(key).alias("_key"), "sim", "units").join(known, "_key").groupBy("level", "member", "sim").agg(F.sum(F.col("units") * F.col("_w")).alias("drawn"))
+    carried = [c for c in (*levels.values(), weight) if c]
+    if carried and set(carried) <= set(draws.columns):
+        drawn = draws.where(F.col(key).isNotNull()).select("sim", "units", factor.alias("_w"), _levels(levels).alias("g")).select("sim", "units", "_w", "g.level", "g.member")
+    else:
+        drawn = draws.select(F.col(key).alias("_key"), "sim", "units").join(known.hint("merge"), "_key")
+    total = drawn.groupBy("level", "member", "sim").agg(F.sum(F.col("units") * F.col("_w")).alias("drawn"))
     total = materialize(total.join(sums, ["level", "member"]), "drawn")
 
     group = W.partitionBy("level", "member")

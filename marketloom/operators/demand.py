@@ -364,11 +364,12 @@ def joint_draws(df: DataFrame, key: str, low: str, high: str, fit: Fit, sims: in
     return long.select("sim", key, draw("_x", "lo", "hi", "u").alias("units"))
 
 
-def family_draws(df: DataFrame, key: str, low: str, high: str, fit: Fit, sims: int = 200, seed: int = 11) -> DataFrame:
-    """(sim, key, units): like ``joint_draws`` for any family, by bisection between a row's bounds; null where one is unknown."""
+def family_draws(df: DataFrame, key: str, low: str, high: str, fit: Fit, sims: int = 200, seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(sim, key, units, and the columns of ``keep``): like ``joint_draws`` for any family, by bisection between a row's bounds; null
+    where one is unknown."""
     beta, sd, nu = fit.beta, fit.sd, fit.nu
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("sim"), F.col(key)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    long = df.select(key, "_x", F.col(low).cast("double").alias("lo"), F.col(high).cast("double").alias("hi"), F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim")).withColumn("u", uniform)
+    long = df.select(key, *keep, "_x", F.col(low).cast("double").alias("_lo"), F.col(high).cast("double").alias("_hi"), F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim")).withColumn("_u", uniform)
 
     @F.pandas_udf("double")
     def draw(x: pd.Series, lo: pd.Series, hi: pd.Series, u: pd.Series) -> pd.Series:
@@ -385,7 +386,7 @@ def family_draws(df: DataFrame, key: str, low: str, high: str, fit: Fit, sims: i
                 left, right = np.where(below, middle, left), np.where(below, right, middle)
         return pd.Series((left + right) / 2)
 
-    return long.select("sim", key, draw("_x", "lo", "hi", "u").alias("units"))
+    return long.select("sim", key, *keep, draw("_x", "_lo", "_hi", "_u").alias("units"))
 
 
 def group_intervals(draws: DataFrame, groups: DataFrame, key: str, by: str, low: float = 0.1, high: float = 0.9) -> DataFrame:

@@ -67,7 +67,7 @@ def k7_anchored(v):
     df, names = D.market_design(df, "price", ["size"], "segment")
     df = materialize(df, "observed")
     fit = D.fit_families(df, "low", "high", names)[0]
-    draws, rows = D.family_draws(df, "id", "low", "high", fit), D.within_bounds(df, "low", "high", fit)
+    draws, rows = D.family_draws(df, "id", "low", "high", fit, keep=("title", "segment")), D.within_bounds(df, "low", "high", fit)
     return A.level_intervals(A.anchored_totals(draws, rows, "id", {"product": "title", "segment": "segment", "market": None}, "low", "high", "units"))
 
 
