@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions import expr as X
+from marketloom.operators import entities as E
 from marketloom.operators import quality as QA
 from marketloom.plans.base import MONTH, Book
 
@@ -108,8 +109,7 @@ def c13(v):
 
 @Q.add("C16_spec_conflict", "SELECT a.id AS a, b.id AS b, abs(a.size - b.size) / greatest(a.size, b.size) > 0.05 AS conflict FROM listing a JOIN listing b ON a.title = b.title AND a.brand = b.brand AND a.id < b.id")
 def c16(v):
-    a, b = v.parts.select("title", "brand", F.col("id").alias("a"), F.col("size").alias("sa")), v.parts.select("title", "brand", F.col("id").alias("b"), F.col("size").alias("sb"))
-    return a.join(b, ["title", "brand"]).where("a < b").select("a", "b", X.spec_conflict("sa", "sb").alias("conflict"))
+    return E.row_pairs(v.parts, "id", ["title", "brand"], ["size"]).select("a", "b", X.spec_conflict("size_a", "size_b").alias("conflict"))
 
 
 @Q.add("C18_clean_title", r"SELECT id, trim(regexp_replace(regexp_replace(replace(lower(brand || ' ' || title || '!'), lower(brand), ' '), '[^a-z0-9 .]', ' ', 'g'), ' +', ' ', 'g')) AS title FROM listing")
