@@ -13,7 +13,7 @@ from marketloom.operators import linkage as LI
 from marketloom.operators import models as MO
 from marketloom.operators import text as TX
 from marketloom.plans.base import MONTH, Book
-from marketloom.session import temp_path
+from marketloom.session import materialize, temp_path
 from marketloom.sources import store
 
 Q = Book()
@@ -183,12 +183,15 @@ def i6(v):
 
 @Q.add("I19_text_ratio", None)
 def i19(v):
-    from marketloom.operators.entities import block_pairs
+    """Titles are compared once for each two that share a block, not once for each pair of rows."""
+    from marketloom.operators.entities import row_pairs
 
-    pairs = block_pairs(v.parts.withColumn("block", F.concat_ws("|", "brand", "segment", F.col("size").cast("string"))), "id", ["block"])
-    side = lambda s: v.parts.select(F.col("id").alias(s), F.col("title").alias(f"t{s}"), F.col("price").alias(f"p{s}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b")
-    return j.select("a", "b", (0.5 * MO.text_ratio("ta", "tb") + 0.3 + 0.2 * F.least("pa", "pb") / F.greatest("pa", "pb")).alias("score"))
+    rows = v.parts.withColumn("block", F.concat_ws("|", "brand", "segment", F.col("size").cast("string")))
+    titles = rows.select("block", "title").distinct()
+    both = titles.withColumnRenamed("title", "title_a").join(titles.withColumnRenamed("title", "title_b"), "block").select("title_a", "title_b").distinct()
+    known = materialize(both.withColumn("text", MO.text_ratio("title_a", "title_b")), "ratios")
+    j = row_pairs(rows, "id", ["block"], ["title", "price"]).join(known, ["title_a", "title_b"], "left")
+    return j.select("a", "b", (0.5 * F.coalesce("text", F.lit(0.0)) + 0.3 + 0.2 * F.least("price_a", "price_b") / F.greatest("price_a", "price_b")).alias("score"))
 
 
 @Q.add("J2_family_clusters", None)
@@ -315,11 +318,11 @@ def i17(v):
 def i18(v):
     """Clusters of matches, joined by human merges and cut by configuration: the size class is part of the product."""
     from marketloom.operators.entities import clusters
-    from marketloom.plans.joins import _decided
+    from marketloom.plans.joins import _matches
 
     human = v.table("events").where("event_type = 'purchase'").groupBy("user_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
     merges = human.join(v.parts.select(F.col("id").alias("a")), "a", "left_semi").join(v.parts.select(F.col("id").alias("b")), "b", "left_semi").where("a < b").select("a", "b")
-    c = clusters(v.parts, "id", _decided(v).where("decision = 'match'").select("a", "b").unionByName(merges))
+    c = clusters(v.parts, "id", _matches(v).unionByName(merges))
     return c.join(v.parts, "id").select("id", F.concat_ws("#", F.col("cluster").cast("string"), F.floor(F.col("size") / 25).cast("string")).alias("product"))
 
 
