@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.operators.ngrams import gram_rows, letter_grams, word_grams
+from marketloom.operators.ngrams import word_grams, word_letters, words_of
+from marketloom.session import materialize
 
 #: Length of a vector, how many of its places a gram falls on, and the seed of the draws.
 SIZE, PLACES, SEED = 256, 8, 7
+#: Texts that a task takes, and words whose addends are broadcast.
+TEXTS, WORDS = 500, 30000
+
+
+def _addend(h: Column, size: int) -> Column:
+    return F.pmod(h, F.lit(size)) + F.when(h >= 0, F.lit(size)).otherwise(F.lit(-size))
+
+
+def _sign(add: Column, size: int) -> Column:
+    """The count of an addend: place + size * count."""
+    return ((add - F.pmod(add, F.lit(size))) / size).cast("long")
 
 
 def projected_embedding(df: DataFrame, key: str, text: str, size: int = SIZE, places: int = PLACES, seed: int = SEED) -> DataFrame:
@@ -18,14 +30,32 @@ def projected_embedding(df: DataFrame, key: str, text: str, size: int = SIZE, pl
     The projection is never stored: a gram falls on ``places`` drawn places with drawn signs, from the XXH64 of seed, draw and gram, so
     vectors agree between tables and runs. The cosine of two vectors estimates that of their grams with a standard error of about
     1 / sqrt(size). A text without words, or null, has zeros; equal texts have equal vectors; null keys are left out, equal rows count once and a
-    key is in one row. Sums are over (key, place), so a long text isn't held in one place but as its ``size`` numbers."""
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).distinct()
-    grams = gram_rows(rows, "id", {"word": word_grams(F.col("text"), 2), "letter": letter_grams(F.col("text"))})
-    draw = lambda j: F.xxhash64(F.concat_ws("\x1f", F.lit(f"{seed}:{j}"), "space", "gram"))
-    side = lambda h: F.when(F.shiftrightunsigned(h, 63) == 0, F.col("tf")).otherwise(-F.col("tf"))
-    spots = F.array(*[F.struct(F.pmod(draw(j), F.lit(size)).alias("place"), side(draw(j)).alias("v")) for j in range(places)])
+    key is in one row.
+
+    Texts are dealt by key once, ``TEXTS`` to a task, and nothing else of their size is shuffled: what follows groups by the key and more.
+    What a word and its letters add is worked out once for each of the ``WORDS`` most frequent words and broadcast, and for others and for pairs
+    where they stand. Sums are over (key, place), so a long text isn't held in one place but as its ``size`` numbers."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    pair = F.contains("gram", F.lit(" "))
+    named = lambda space, gram: F.concat(F.lit(f"\x1f{space}\x1f"), gram)
+    # an addend is a sign and a place: place + size * sign
+    adds = lambda g: F.array(*[_addend(F.xxhash64(F.concat(F.lit(f"{seed}:{j}"), g)), size) for j in range(places)])
+    all_of = lambda g: F.flatten(F.transform(F.concat(F.array(named("word", g)), F.transform(word_letters(g), lambda x: named("letter", x))), adds))
+    usual = rows.select(F.explode(words_of(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(WORDS).select("gram").repartition("gram")
+    split = usual.select("gram", F.explode(all_of(F.col("gram"))).alias("add")).groupBy("gram", F.pmod("add", F.lit(size)).alias("place")).agg(F.sum(_sign(F.col("add"), size)).alias("v"))
+    usual = materialize(split.where("v <> 0").groupBy("gram").agg(F.collect_list(F.col("place") + size * F.col("v")).alias("adds")), "words")
+
+    rows = rows.repartition(max(1, -(-df.count() // TEXTS)), "id").distinct()
+    # a pair of words is told by its blank, which no word has
+    found = rows.select("id", F.explode_outer(word_grams(F.col("text"), 2)).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    each = F.coalesce("adds", F.when(F.col("gram").isNull(), None).when(pair, adds(named("word", F.col("gram")))).otherwise(all_of(F.col("gram"))))
+    # the array is a column before it is exploded: only so its numbers stay in generated code
+    added = found.join(F.broadcast(usual), "gram", "left").select("id", "tf", each.alias("all")).select("id", "tf", F.explode_outer("all").alias("add"))
     # whole counts: a text's length is the same for all its places and falls out at the end
-    sums = grams.select("id", F.explode(spots).alias("s")).groupBy("id", "s.place").agg(F.sum("s.v").alias("v"))
-    held = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("at"), F.sqrt(F.sum((F.col("v") * F.col("v")).cast("double"))).alias("length"))
-    number = lambda i: F.coalesce(F.element_at("at", i) / F.col("length"), F.lit(0.0))
-    return rows.select("id").join(held, "id", "left").select(F.col("id").alias(key), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: number(i.cast("long"))).alias("embedding"))
+    sums = added.groupBy("id", F.pmod("add", F.lit(size)).alias("place")).agg(F.sum(F.col("tf") * _sign(F.col("add"), size)).alias("v"))
+    known = F.when(F.col("place").isNotNull(), F.struct("place", "v"))
+    length = F.sqrt(F.sum(F.when(F.col("place").isNotNull(), (F.col("v") * F.col("v")).cast("double"))))
+    held = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(known)).alias("at"), length.alias("length"))
+    numbers = lambda at: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_divide(F.element_at(at, i.cast("long")), F.col("length")), F.lit(0.0)))
+    # the map is bound once: an expression in the inner lambda would build it for each number
+    return held.select(F.col("id").alias(key), F.flatten(F.transform(F.array("at"), numbers)).alias("embedding"))

@@ -58,3 +58,22 @@ def test_equals_plain_python_and_keeps_cosines(spark):
 def test_empty_and_without_python(spark):
     out = EM.projected_embedding(spark.createDataFrame([], SCHEMA), "id", "text")
     assert out.count() == 0 and "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_texts_are_shuffled_once_and_nothing_else(spark):
+    """A shuffle of grams or of places is many times the texts."""
+    rows = [(i, f"some words of text {i}") for i in range(20)]
+    out = EM.projected_embedding(spark.createDataFrame(rows, SCHEMA), "id", "text")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.split("\n") if "Exchange" in x and "Broadcast" not in x]
+    assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0]
+
+
+def test_words_that_are_not_among_the_broadcast_ones(spark, monkeypatch):
+    texts = [(i, f"some words of ünïque{i} text some") for i in range(9)] + [(9, "")]
+    df = spark.createDataFrame(texts, SCHEMA)
+    got = []
+    for n in (0, 3, 1000):
+        monkeypatch.setattr(EM, "WORDS", n)
+        got.append({r["id"]: r["embedding"] for r in EM.projected_embedding(df, "id", "text").collect()})
+    assert got[0] == got[1] == got[2] and got[0][1] == pytest.approx(plain(texts[1][1], EM.SIZE, EM.PLACES, EM.SEED), abs=1e-12)
