@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketloom.functions.scale import ranged
+from marketloom.session import materialize
+
 NUMBER = r"^-?\d+(\.\d+)?$"
 #: Date formats tried in order.
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy", "MM/dd/yyyy", "yyyyMMdd", "MMM d, yyyy")
@@ -106,14 +109,22 @@ def rank_share(c: Column | str, *by: str, single: float = 1.0) -> Column:
 
 
 def bh_qvalues(df: DataFrame, p: str, out: str = "q", by: tuple = (), tie: tuple = ()) -> DataFrame:
-    """Benjamini-Hochberg q-values: the least p * n / rank from the largest p down; null p stays out."""
-    known = F.col(p).isNotNull()
-    part = W.partitionBy(*by, known)
-    order = part.orderBy(p, *tie)
-    raw = F.col(p) * F.count(p).over(part) / F.row_number().over(order)
-    df = df.withColumn("_raw", raw)
-    low = F.min("_raw").over(W.partitionBy(*by, F.col(p).isNotNull()).orderBy(p, *tie).rowsBetween(0, W.unboundedFollowing))
-    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(low, F.lit(1.0)))).drop("_raw")
+    """Benjamini-Hochberg q-values: the least p * n / rank from the largest p down; null p stays out.
+
+    Ranks and least values are taken in parts of a global order, and a row per part carries them from part to part."""
+    rows = ranged(df.where(F.col(p).isNotNull()), list(by), [p, *tie]).withColumn("_at", F.struct(*by, "_part"))
+    whole = W.partitionBy(*[F.col(f"_at.{c}") for c in by] or [F.lit(0)])
+    per = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_at._part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("_before", before).withColumn("_all", F.sum("_n").over(whole)).drop("_n")
+    ranked = rows.withColumn("_turn", F.row_number().over(W.partitionBy("_at").orderBy(p, *tie))).join(per, "_at")
+    ranked = materialize(ranked.withColumn("_raw", F.col(p) * F.col("_all") / (F.col("_before") + F.col("_turn"))), "ranked")
+    # from the last row backwards: a frame that ends with the rows to come is worked out anew for each row
+    low = F.min("_raw").over(W.partitionBy("_at").orderBy(F.desc("_turn")).rowsBetween(W.unboundedPreceding, 0))
+    later = F.min("_least").over(whole.orderBy(F.desc("_at._part")).rowsBetween(W.unboundedPreceding, -1))
+    ends = ranked.groupBy("_at").agg(F.min("_raw").alias("_least")).withColumn("_later", later).drop("_least")
+    q = ranked.withColumn("_low", low).join(ends, "_at").select(*df.columns, F.least("_low", "_later", F.lit(1.0)).alias(out))
+    return q.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from marketloom.session import materialize
 
+#: Rows in a part of a global order.
+PART = 200_000
+
 
 def salts_for(rows: int) -> int:
     """Cells a key is dealt over: the square root of the rows, so that cells and rows in a cell grow alike."""
@@ -33,6 +36,34 @@ def rank_in_key(rows: DataFrame, keys: list[str], cell: list[str], order: list,
     return local.join(before, [*keys, *cell]).withColumn(name, F.col("_before") + F.col("_at")).drop("_before", "_at")
 
 
+def ranged(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``rows`` as a table in parts of about ``PART`` rows, numbered in the order of ``keys`` and ``order`` (``_part``). A key may span parts."""
+    parts = max(1, -(-rows.count() // PART))
+    return materialize(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def exact_medians(counts: DataFrame, keys: list[str], value: str, n: str, name: str = "median") -> DataFrame:
+    """(keys, ``name``): the exact median of a value that stands ``n`` times in each row, null where none is known; without keys one row.
+
+    A group's values are never in one task: parts of a global order are counted, and only the one or two that hold the middle are read."""
+    rows = ranged(counts.where(F.col(value).isNotNull()).select(*keys, value, n), keys, [value])
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    per = rows.groupBy(*keys, "_part").agg(F.sum(n).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("_before", before).withColumn("_all", F.sum("_n").over(whole))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    per = per.withColumns({"_low": low, "_high": high}).where("_before < _high AND _before + _n >= _low")
+    at = lambda: F.struct(*keys, "_part").alias("_at")
+    near = rows.withColumn("_at", at()).join(per.select(at(), "_before", "_low", "_high"), "_at")
+    upto = F.col("_before") + F.sum(n).over(W.partitionBy(*keys, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    first = lambda place: F.min(F.when(F.col("_upto") >= F.col(place), F.col(value)))
+    found = near.withColumn("_upto", upto).groupBy(*keys).agg((0.5 * first("_low") + 0.5 * first("_high")).alias(name))
+    if not keys:
+        return found
+    every = counts.select(F.struct(*keys).alias("_at")).distinct()
+    return every.join(found.select(F.struct(*keys).alias("_at"), name), "_at", "left").select("_at.*", name)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node that it reaches.
 
