@@ -39,3 +39,11 @@ def test_qvalues_over_parts(spark, monkeypatch, by):
 def test_no_frame_ends_with_the_rows_to_come(spark):
     out = X.bh_qvalues(spark.range(5).select("id", (F.col("id") / 10).alias("p")), "p", tie=("id",))
     assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower().replace("specifiedwindowframe(rowframe, unboundedpreceding$(), unboundedfollowing$())", "")
+
+
+def test_the_market_median_is_not_taken_in_one_task(spark):
+    from marketloom.plans import registry
+    from tests.oracle import SF
+
+    plan = registry.queries()["F23_supplier_price_level"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [median(" not in plan and "Aggregate [percentile(" not in plan
