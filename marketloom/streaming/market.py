@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,6 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketloom.session import temp_path
 
+#: Groups that the keys of a stream with state in Python are dealt over.
+BUCKETS = 512
+
 
 def event_stream(spark: SparkSession, sf_dir: str, delay: str = "10 minutes", files: int = 1) -> DataFrame:
     """The events table as a stream with a watermark on ``ts``, a number of files per batch."""
@@ -63,21 +67,41 @@ def first_alerts(stream: DataFrame, above: float) -> DataFrame:
 
 
 def value_changes(stream: DataFrame) -> DataFrame:
-    """For each user and type: events seen and the last two values by time and id, kept as state from batch to batch."""
+    """For each user and type: events seen and the last two values by time and id, kept as state from batch to batch.
+
+    Keys share ``BUCKETS`` groups by their hash, and a group's keys are sorted and counted together: a group for each key would cost a
+    call of Python for each. A group holds two rows of state for a key; the newest carries the number of events."""
+    kinds = {"u": "i8", "unknown": "?", "e": str, "t": "i8", "i": "i8", "v": "f8", "c": "i8"}
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, t0, i0, v0, t1, i1, v1 = state.get if state.exists else (0, 0, -1, None, 0, -1, None)
-        best = [(t0, i0, v0), (t1, i1, v1)]
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [np.array([np.nan if x is None else x for x in c] if k == "v" else c, kind) for (k, kind), c in zip(kinds.items(), state.get, strict=True)] if state.exists else [np.zeros(0, kind) for kind in kinds.values()]
+        fresh = np.zeros(len(held[0]), bool)
         for b in batches:
-            n += len(b)
-            for row in b.sort_values(["t", "event_id"]).tail(2)[["t", "event_id", "value"]].itertuples(index=False):
-                best.append(tuple(row))
-        best = sorted((x for x in best if x[1] >= 0), key=lambda x: x[:2])[-2:]
-        while len(best) < 2:
-            best.insert(0, (0, -1, None))
-        (t0, i0, v0), (t1, i1, v1) = best
-        state.update((n, int(t0), int(i0), v0, int(t1), int(i1), v1))
-        yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "n": [n], "before": pd.Series([v0], dtype="float64"), "now": pd.Series([v1], dtype="float64")})
-
-    keyed = stream.select("user_id", "event_type", "event_id", "value", F.unix_micros("ts").alias("t")).groupBy("user_id", "event_type")
-    return keyed.applyInPandasWithState(step, "user_id long, event_type string, n long, before double, now double", "n long, t0 long, i0 long, v0 double, t1 long, i1 long, v1 double", "update", GroupStateTimeout.NoTimeout)
+            new = [*(b[k].to_numpy().astype(kind) for k, kind in list(kinds.items())[:-1]), np.ones(len(b), "i8")]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            order = np.lexsort((held[4], held[3], held[2], held[1], held[0]))
+            u, unknown, e, t, i, v, c = held = [x[order] for x in held]
+            fresh = np.concatenate([fresh, np.ones(len(b), bool)])[order]
+            first = np.r_[True, (u[1:] != u[:-1]) | (unknown[1:] != unknown[:-1]) | (e[1:] != e[:-1])][: len(u)]
+            starts = np.flatnonzero(first)
+            last = np.r_[starts[1:], len(u)][: len(starts)] - 1
+            n, touched = (np.add.reduceat(c, starts), np.logical_or.reduceat(fresh, starts)) if len(starts) else (c, fresh)
+            second = last[last > starts] - 1
+            c[:], fresh[:] = 0, False
+            c[last], fresh[last] = n, touched
+            keep = np.sort(np.r_[last, second])
+            held, fresh = [x[keep] for x in held], fresh[keep]
+        state.update(tuple(x.tolist() for x in held))
+        u, unknown, e, _, _, v, c = held
+        before = np.where(np.r_[False, c[:-1] == 0][: len(c)], np.r_[np.nan, v[:-1]][: len(v)], np.nan)
+        yield pd.DataFrame({"u": u, "unknown": unknown, "e": e.astype(object), "c": c, "before": before, "now": v})[fresh & (c > 0)]
+
+    oldest = F.lit(-(1 << 62))
+    keyed = stream.select(
+        F.coalesce("user_id", F.lit(0)).cast("long").alias("u"), F.col("user_id").isNull().alias("unknown"), F.coalesce(F.concat(F.lit("="), "event_type"), F.lit("")).alias("e"),
+        F.coalesce(F.unix_micros("ts"), oldest).alias("t"), F.coalesce(F.col("event_id").cast("long"), oldest).alias("i"), F.col("value").cast("double").alias("v"),
+    )
+    held = "u array<long>, unknown array<boolean>, e array<string>, t array<long>, i array<long>, v array<double>, c array<long>"
+    groups = keyed.withColumn("bucket", F.pmod(F.xxhash64("u", "e"), F.lit(BUCKETS))).groupBy("bucket")
+    found = groups.applyInPandasWithState(step, "u long, unknown boolean, e string, c long, before double, now double", held, "update", GroupStateTimeout.NoTimeout)
+    return found.select(F.when(~F.col("unknown"), F.col("u")).alias("user_id"), F.when(F.col("e") != "", F.expr("substring(e, 2)")).alias("event_type"), F.col("c").alias("n"), "before", "now")
