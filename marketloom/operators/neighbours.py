@@ -93,32 +93,77 @@ def best_of(cosines: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -cosines))[:k]
 
 
+def _pages(cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """A page for each cell, and the rows of each page: neighbouring cells share a page of about 8 * ``BLOCK`` rows, a larger cell has its own."""
+    page, rows = np.zeros(len(cells.sizes), int), []
+    for c in np.argsort(cells.between[0], kind="stable"):
+        if not rows or rows[-1] + cells.sizes[c] > 8 * BLOCK:
+            rows.append(0)
+        page[c] = len(rows) - 1
+        rows[-1] += int(cells.sizes[c])
+    return page, np.array(rows, int)
+
+
+def _above(reps: np.ndarray, worst: np.ndarray, left: np.ndarray, ids: np.ndarray, right: np.ndarray, k: int):
+    """Parts of (rep, id, cosine): the best ``k`` of each query that reach its bound; only these are rounded and leave the task."""
+    for at in range(0, len(reps), 512):
+        cosines = left[at : at + 512] @ right.T
+        q, d = np.nonzero(cosines >= (worst[at : at + 512] - 1e-11)[:, None])
+        near = np.round(cosines[q, d], DIGITS)
+        order = np.lexsort((ids[d], -near, q))
+        q, d, near = q[order], d[order], near[order]
+        few = np.arange(len(q)) - np.searchsorted(q, q) < k
+        yield reps[at + q[few]], ids[d[few]], near[few]
+
+
+def _on_pages(asks: DataFrame, page: np.ndarray) -> DataFrame:
+    """``asks`` with the pages of the visited cells, each once."""
+
+    def turn(batches):
+        for b in batches:
+            found = [np.unique(page[np.array(x, int)]).tolist() for x in b.column("visits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("v"), pa.array(found, pa.list_(pa.int32())), b.column("worst")], ["rep", "v", "visits", "worst"])
+
+    return materialize(asks.mapInArrow(turn, asks.schema), "pages")
+
+
 def _search(cells: Cells, placed: DataFrame, asks: DataFrame, k: int) -> DataFrame:
     """(rep, id, cosine): for each query of ``asks`` (rep, v, visits) the best ``k`` of each block of the cells that it visits.
 
     A cell is dealt over blocks of the data and of the queries by hashes; each pair of blocks is one matrix product in a group of
-    its own, so neither a large cell nor one that all ask for is in one task."""
-    counts = {r["cell"]: r["n"] for r in asks.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = np.maximum(1, -(-cells.sizes // BLOCK))
-    turns = np.array([max(1, -(-counts.get(c, 0) // ASKS)) for c in range(len(parts))], int)
-    table = asks.sparkSession.createDataFrame([(c, int(p), int(t)) for c, (p, t) in enumerate(zip(parts, turns, strict=True)) if c in counts] or [(-1, 1, 1)], "cell int, parts int, turns int")
+    its own, so neither a large cell nor one that all ask for is in one task. Queries with a ``worst`` neighbour may visit most cells:
+    they go to pages of cells, once to each, in larger blocks, and bring home only what reaches that bound."""
+    bounded = "worst" in asks.columns
+    block, most = (8 * BLOCK, 16 * ASKS) if bounded else (BLOCK, ASKS)
+    page, rows = _pages(cells) if bounded else (np.arange(len(cells.sizes)), cells.sizes)
+    to_page = asks.sparkSession.createDataFrame(list(enumerate(page.tolist())), "cell int, page int")
+    if bounded:
+        asks = _on_pages(asks, page)
+    visited = asks.select("rep", F.explode("visits").alias("page"))
+    counts = {r["page"]: r["n"] for r in visited.groupBy("page").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = np.maximum(1, -(-rows // block))
+    turns = np.array([max(1, -(-counts.get(c, 0) // most)) for c in range(len(parts))], int)
+    table = asks.sparkSession.createDataFrame([(c, int(p), int(t)) for c, (p, t) in enumerate(zip(parts, turns, strict=True)) if c in counts] or [(-1, 1, 1)], "page int, parts int, turns int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda c, n, by: F.pmod(F.xxhash64(F.col(c), F.lit(by)), F.col(n)).cast("int")
-    left = asks.select("rep", "v", F.explode("visits").alias("cell")).join(F.broadcast(table), "cell").select("rep", "v", "cell", dealt("rep", "turns", "ask").alias("turn"), every("parts").alias("part"))
-    right = placed.join(F.broadcast(table), "cell").select("id", "v", "cell", dealt("id", "parts", "row").alias("part"), every("turns").alias("turn"))
+    bound = ["worst"] if bounded else []
+    left = asks.select("rep", "v", *bound, F.explode("visits").alias("page")).join(F.broadcast(table), "page").select("rep", "v", *bound, "page", dealt("rep", "turns", "ask").alias("turn"), every("parts").alias("part"))
+    right = placed.join(F.broadcast(to_page), "cell").join(F.broadcast(table), "page").select("id", "v", "page", dealt("id", "parts", "row").alias("part"), every("turns").alias("turn"))
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = [(np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))]
         if len(x) and len(y):
-            rounded = np.round(np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T, DIGITS)
-            ids = y["id"].to_numpy("i8")
-            for rep, cosines in zip(x["rep"].to_numpy("i8"), rounded, strict=True):
-                top = best_of(cosines, ids, k)
-                out.append((np.full(len(top), rep), ids[top], cosines[top]))
+            ids, reps, m, other = y["id"].to_numpy("i8"), x["rep"].to_numpy("i8"), np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
+            if bounded:
+                out.extend(_above(reps, np.nan_to_num(x["worst"].to_numpy("f8"), nan=-np.inf), m, ids, other, k))
+            else:
+                for rep, cosines in zip(reps, np.round(m @ other.T, DIGITS), strict=True):
+                    top = best_of(cosines, ids, k)
+                    out.append((np.full(len(top), rep), ids[top], cosines[top]))
         rep, ids, cosines = (np.concatenate(c) for c in zip(*out, strict=True))
         return pd.DataFrame({"rep": rep, "id": ids, "cosine": cosines})
 
-    keys = ["cell", "part", "turn"]
+    keys = ["page", "part", "turn"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, "rep long, id long, cosine double")
 
 
@@ -135,13 +180,14 @@ def visits(cells: Cells, asked: DataFrame, wanted: int, found: DataFrame | None
                 worst = b.column("worst").to_numpy(zero_copy_only=False)
                 within = np.sqrt(np.maximum(2 - 2 * np.where(np.isnan(worst), -np.inf, worst) + UNIT, 0))
                 go = [np.setdiff1d(x, seen) for x, seen in zip(cells.reachable(away, within), go, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("v"), pa.array([g.tolist() for g in go], pa.list_(pa.int32()))], ["rep", "v", "visits"])
+            bound = {"worst": b.column("worst")} if again else {}
+            yield pa.RecordBatch.from_pydict({"rep": b.column("rep"), "v": b.column("v"), "visits": pa.array([g.tolist() for g in go], pa.list_(pa.int32())), **bound})
 
     if again:
         place = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("cosine"), "id"))
         worst = found.withColumn("place", place).where(F.col("place") == wanted).select("rep", F.col("cosine").alias("worst"))
         asked = asked.join(worst, "rep", "left")
-    return materialize(asked.mapInArrow(plan, "rep long, v array<double>, visits array<int>").where(F.size("visits") > 0), "visits")
+    return materialize(asked.mapInArrow(plan, "rep long, v array<double>, visits array<int>" + (", worst double" if again else "")).where(F.size("visits") > 0), "visits")
 
 
 def nearest_vectors(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
@@ -160,7 +206,8 @@ def nearest_vectors(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     first = materialize(_search(cells, placed, visits(cells, heads, k + 1), k + 1), "first")
     rest = _search(cells, placed, visits(cells, heads, k + 1, first), k + 1)
     best = lambda by: F.row_number().over(W.partitionBy(by).orderBy(F.desc("cosine"), "id"))
-    top = materialize(first.unionByName(rest).withColumn("place", best("rep")).where(F.col("place") <= k + 1).drop("place"), "top")
+    both = first.unionByName(rest).dropDuplicates(["rep", "id"])  # a page may hold cells that were searched before
+    top = materialize(both.withColumn("place", best("rep")).where(F.col("place") <= k + 1).drop("place"), "top")
     own = every.join(heads, "v").select(F.col("id").alias("query"), "rep").join(top, "rep").where("query <> id")
     return own.withColumn("place", best("query")).where(F.col("place") <= k).select("query", F.col("id").alias("vec_id"), "cosine", "place")
 
