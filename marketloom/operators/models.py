@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketloom.session import materialize
 
 #: Rational fits of the inverse normal, in the middle and in the tails (relative error below 2e-9), and where they meet.
 MIDDLE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
 TAIL = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
 EDGE = 0.02425
+#: Texts that a task of a k-means takes.
+PART = 100_000
 
 
 def inverse_normal(p: Column) -> Column:
@@ -115,11 +118,15 @@ def blended_relevance(df: DataFrame, labels: DataFrame, key: str, text: str, bas
 
 
 def best_kmeans(df: DataFrame, key: str, text: str, ks: range = range(2, 6), seed: int = 5) -> DataFrame:
-    """(key, cluster): k-means of hashed words with the k of the best cosine silhouette."""
-    vec = hashed_vectors(df, text, 128)
-    judge = ClusteringEvaluator(featuresCol="vector", predictionCol="cluster", distanceMeasure="cosine")
-    tried = [KMeans(featuresCol="vector", predictionCol="cluster", k=k, seed=seed, distanceMeasure="cosine").fit(vec).transform(vec) for k in ks]
-    return max(tried, key=judge.evaluate).select(key, "cluster")
+    """(key, cluster): k-means of hashed words with the k of the best cosine silhouette.
+
+    Equal texts are fitted as one row with their count as its weight, in parts of ``PART`` texts in a fixed order, so that no task holds the table
+    and a rerun starts from the same centres. Every row of ``df`` then gets its cluster."""
+    texts = materialize(df.groupBy(text).agg(F.count(F.lit(1)).cast("double").alias("_copies")), "texts")
+    vec = hashed_vectors(texts.repartition(-(-max(1, texts.count()) // PART), text).sortWithinPartitions(text), text, 128)
+    judge = ClusteringEvaluator(featuresCol="vector", predictionCol="cluster", distanceMeasure="cosine", weightCol="_copies")
+    models = [KMeans(featuresCol="vector", predictionCol="cluster", k=k, seed=seed, distanceMeasure="cosine", weightCol="_copies").fit(vec) for k in ks]
+    return max(models, key=lambda m: judge.evaluate(m.transform(vec))).transform(hashed_vectors(df, text, 128)).select(key, "cluster")
 
 
 def nearest_centroids(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:

@@ -101,3 +101,24 @@ def test_graph_steps_and_costs(spark):
     e = spark.createDataFrame([("a", "b", "r", 1.0), ("b", "c", "r", None), ("a", "c", "r", 0.0), ("c", "d", "r", 1.0)], "src string, dst string, rel string, strength double")
     assert dict(map(tuple, G.neighbourhood(e, spark.createDataFrame([("a",)], "id string"), 2).collect())) == {"a": 0, "b": 1, "c": 1, "d": 2}
     assert dict(map(tuple, G.cheapest_paths(e, "a", 3).collect())) == {"a": 0.0, "b": 1.0, "c": 2.0, "d": 3.0}
+
+
+def test_a_kmeans_takes_equal_texts_once_and_no_table_in_one_task(spark, monkeypatch):
+    """Copies weigh what they count and aren't fitted apart; a table that comes as one part is fitted in several; a rerun agrees."""
+    topics = ("laser toner ink", "garden hose spray")
+    rows = [(i, f"{topics[i % 2]} n{i % 40}") for i in range(400)]
+    df, seen = spark.createDataFrame(rows, "id long, title string").coalesce(1), []
+
+    class Watched(MO.KMeans):
+        def fit(self, vec):
+            seen.append([len(p) for p in vec.select("title", "_copies").rdd.glom().collect()])
+            return super().fit(vec)
+
+    monkeypatch.setattr(MO, "KMeans", Watched)
+    monkeypatch.setattr(MO, "PART", 10)
+    runs = [{r["id"]: r["cluster"] for r in MO.best_kmeans(df, "id", "title").collect()} for _ in range(2)]
+    assert runs[0] == runs[1] and set(runs[0]) == set(range(400))
+    assert all(sum(parts) == 40 and max(parts) < 40 for parts in seen)
+    of = {t: {runs[0][i] for i in range(t, 400, 2)} for t in (0, 1)}
+    assert not of[0] & of[1], "topics share no cluster"
+    assert all(len({runs[0][i] for i in range(n, 400, 40)}) == 1 for n in range(40))
