@@ -90,3 +90,21 @@ def test_empty_and_no_family_gathered(spark):
     assert FA.split_families(spark.createDataFrame([], SCHEMA), "id", "cat", "title").count() == 0
     plan = FA.split_families(spark.createDataFrame(planted(), SCHEMA), "id", "cat", "title")._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan and "Python" not in plan and "Window" not in plan
+
+
+def test_copies_are_one_row_and_weigh_what_they_count(spark, monkeypatch):
+    """Texts that repeat are held once, and the silhouette is still that of all rows."""
+    rng, sizes, keep = random.Random(9), {}, FA.materialize
+    kinds = [" ".join(rng.sample(TOPICS[i % 3], 2) + [f"n{i}"]) for i in range(12)]
+    rows = [(i, "a", kinds[min(rng.randrange(12), rng.randrange(12))], 1) for i in range(240)]
+
+    def kept(df, tag):
+        out = keep(df, tag)
+        sizes.setdefault(tag, out.count() if tag in ("words", "alike") else None)
+        return out
+
+    monkeypatch.setattr(FA, "materialize", kept)
+    out = {r["id"]: r for r in FA.split_families(spark.createDataFrame(rows, SCHEMA), "id", "cat", "title", bound=-1.0).collect()}
+    assert sizes["alike"] == len({t for _, _, t, _ in rows}) and sizes["words"] <= 3 * sizes["alike"]
+    assert set(out) == set(range(240))
+    assert math.isclose(out[0]["silhouette"], silhouette([r[2] for r in rows], [out[r[0]]["segment"] for r in rows]), abs_tol=1e-9)
