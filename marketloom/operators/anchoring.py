@@ -15,10 +15,14 @@ ALL, NO_GROUP = "all", "(none)"
 SLACK = 1e-9
 
 
+def members_of(levels: dict[str, str | None]) -> list[Column]:
+    """A row's group at each level."""
+    return [F.coalesce(F.col(c).cast("string"), F.lit(NO_GROUP)) if c else F.lit(ALL) for c in levels.values()]
+
+
 def _levels(levels: dict[str, str | None]) -> Column:
     """A row's (level, member) at each level."""
-    member = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NO_GROUP)) if c else F.lit(ALL)
-    return F.explode(F.array(*[F.struct(F.lit(name).alias("level"), member(c).alias("member")) for name, c in levels.items()]))
+    return F.explode(F.array(*[F.struct(F.lit(name).alias("level"), member.alias("member")) for name, member in zip(levels, members_of(levels), strict=True)]))
 
 
 def anchored_totals(draws: DataFrame, rows: DataFrame, key: str, levels: dict[str, str | None], low: str, high: str, mean: str, weight: str | None = None, inflation: float = INFLATION) -> DataFrame:
@@ -35,7 +39,7 @@ def anchored_totals(draws: DataFrame, rows: DataFrame, key: str, levels: dict[st
     keeps it below the ceiling. If no factor gives the mean, as too few draws are above the floor, these are at the ceiling and the others
     share what the mean still needs. A null key is left out; a null
     group is ``NO_GROUP``; a key is in one row. A group is summed before it is shuffled, and windows hold one group's sums, a row a draw.
-    Draws that carry the columns of all levels (and the weight) are those of ``rows`` and are summed where they are drawn; others meet
+    Draws may come as sums already, (level, member, sim, drawn) with the weight in them. Draws that carry the columns of all levels (and the weight) are those of ``rows`` and are summed where they are drawn; others meet
     their rows in a join that sorts both sides, as Spark takes exploded draws for as few as their rows and would broadcast them."""
     factor = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
     number = lambda c: F.col(c).cast("double")
@@ -45,11 +49,14 @@ def anchored_totals(draws: DataFrame, rows: DataFrame, key: str, levels: dict[st
     known = materialize(known.select("_key", "g.level", "g.member", "_w", "_low", "_high", "_mean"), "levels")
     sums = known.groupBy("level", "member").agg(F.sum("_low").alias("floor"), F.when(F.count_if(F.col("_high").isNull()) == 0, F.sum("_high")).alias("ceiling"), F.sum("_mean").alias("mean"))
     carried = [c for c in (*levels.values(), weight) if c]
-    if carried and set(carried) <= set(draws.columns):
+    if "drawn" in draws.columns:
+        total = draws.select("level", "member", "sim", "drawn")
+    elif carried and set(carried) <= set(draws.columns):
         drawn = draws.where(F.col(key).isNotNull()).select("sim", "units", factor.alias("_w"), _levels(levels).alias("g")).select("sim", "units", "_w", "g.level", "g.member")
     else:
         drawn = draws.select(F.col(key).alias("_key"), "sim", "units").join(known.hint("merge"), "_key")
-    total = drawn.groupBy("level", "member", "sim").agg(F.sum(F.col("units") * F.col("_w")).alias("drawn"))
+    if "drawn" not in draws.columns:
+        total = drawn.groupBy("level", "member", "sim").agg(F.sum(F.col("units") * F.col("_w")).alias("drawn"))
     total = materialize(total.join(sums, ["level", "member"]), "drawn")
 
     group = W.partitionBy("level", "member")

@@ -10,9 +10,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.operators.anchoring import members_of
 from marketloom.session import materialize
 
 #: Steps of expectation maximisation, and the ridge on all coefficients but the intercept.
@@ -364,31 +366,113 @@ def joint_draws(df: DataFrame, key: str, low: str, high: str, fit: Fit, sims: in
     return long.select("sim", key, draw("_x", "lo", "hi", "u").alias("units"))
 
 
+def _uniform(seed: int, sim: Column, key: str) -> Column:
+    return (F.pmod(F.xxhash64(F.lit(seed), sim, F.col(key)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+
+def _bisected(m: np.ndarray, left: np.ndarray, right: np.ndarray, wanted: np.ndarray, sd: float, nu: int | None) -> np.ndarray:
+    left, right = left.copy(), right.copy()
+    for _ in range(50):
+        middle = (left + right) / 2
+        below = t_cdf((np.log(middle) - m) / sd, nu) < wanted
+        left, right = np.where(below, middle, left), np.where(below, right, middle)
+    return (left + right) / 2
+
+
+def quantiles_between(m: np.ndarray, lo: np.ndarray, hi: np.ndarray, u: np.ndarray, sd: float, nu: int | None, steps: int = 8) -> np.ndarray:
+    """Units at the shares ``u`` (rows by draws) of what the distribution has between each row's bounds; NaN where one is unknown.
+
+    Newton's steps from a table, held between the bounds; the few that haven't settled, far out, are bisected."""
+    grid = np.sinh(np.linspace(-14, 14, 4001))
+    table = t_cdf(grid, nu)
+    with np.errstate(all="ignore"):
+        a, b = ((np.log(x) - m) / sd for x in (lo, hi))
+        pa_, pb = t_cdf(a, nu), t_cdf(b, nu)
+        wanted = pa_[:, None] + u * (pb - pa_)[:, None]
+        left, right = (np.broadcast_to(x[:, None], u.shape) for x in (a, b))
+        z = np.clip(np.interp(wanted, table, grid), left, right)
+        settled = np.zeros(u.shape, bool)
+        for _ in range(steps):
+            over = t_cdf(z, nu) - wanted
+            left, right = np.where(over < 0, z, left), np.where(over < 0, right, z)
+            new = z - over / t_pdf(z, nu)
+            new = np.where((new >= left) & (new <= right), new, (left + right) / 2)
+            settled = np.abs(new - z) <= 1e-13 * (1 + np.abs(z))
+            z = new
+            if settled.all():
+                break
+        out = np.clip(np.exp(m[:, None] + sd * z), lo[:, None], hi[:, None])
+        out[lo == hi] = lo[lo == hi][:, None]
+        row, draw = np.nonzero(~settled & (lo < hi)[:, None])
+        if len(row):
+            out[row, draw] = _bisected(m[row], lo[row], hi[row], wanted[row, draw], sd, nu)
+    return out
+
+
 def family_draws(df: DataFrame, key: str, low: str, high: str, fit: Fit, sims: int = 200, seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(sim, key, units, and the columns of ``keep``): like ``joint_draws`` for any family, by bisection between a row's bounds; null
-    where one is unknown."""
+    """(sim, key, units, and the columns of ``keep``): like ``joint_draws`` for any family; null where a bound is unknown."""
     beta, sd, nu = fit.beta, fit.sd, fit.nu
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("sim"), F.col(key)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    long = df.select(key, *keep, "_x", F.col(low).cast("double").alias("_lo"), F.col(high).cast("double").alias("_hi"), F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim")).withColumn("_u", uniform)
+    long = df.select(key, *keep, "_x", F.col(low).cast("double").alias("_lo"), F.col(high).cast("double").alias("_hi"), F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim")).withColumn("_u", _uniform(seed, F.col("sim"), key))
 
     @F.pandas_udf("double")
     def draw(x: pd.Series, lo: pd.Series, hi: pd.Series, u: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series(dtype="float64")
-        m, left, right = np.stack(x.to_numpy()) @ beta, lo.to_numpy("f8").copy(), hi.to_numpy("f8").copy()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            chance = lambda v: t_cdf((np.log(v) - m) / sd, nu)
-            pa, pb = chance(left), chance(right)
-            wanted = pa + u.to_numpy() * (pb - pa)
-            for _ in range(50):
-                middle = (left + right) / 2
-                below = chance(middle) < wanted
-                left, right = np.where(below, middle, left), np.where(below, right, middle)
-        return pd.Series((left + right) / 2)
+        return pd.Series(quantiles_between(np.stack(x.to_numpy()) @ beta, lo.to_numpy("f8"), hi.to_numpy("f8"), u.to_numpy()[:, None], sd, nu)[:, 0])
 
     return long.select("sim", key, *keep, draw("_x", "_lo", "_hi", "_u").alias("units"))
 
 
+#: Rows that are drawn at once, and groups whose sums a task holds.
+DRAWN, GROUPS = 500, 4096
+
+
+def family_totals(df: DataFrame, key: str, low: str, high: str, fit: Fit, levels: dict[str, str | None], sims: int = 200, seed: int = 11) -> DataFrame:
+    """(level, member, sim, drawn): the sums of ``family_draws`` over the groups of each level (a column; None: all rows), null where none is known.
+
+    Draws never become rows: a task draws for its rows and adds them up, and hands on a group's sums. Null keys are left out."""
+    beta, sd, nu, names = fit.beta, fit.sd, fit.nu, list(levels)
+    u = F.transform(F.sequence(F.lit(0), F.lit(sims - 1)), lambda sim: _uniform(seed, sim, key))
+    member = [m.alias(f"_m{i}") for i, m in enumerate(members_of(levels))]
+    rows = df.where(F.col(key).isNotNull()).select("_x", F.col(low).cast("double").alias("_lo"), F.col(high).cast("double").alias("_hi"), u.alias("_u"), *member)
+
+    def add(batches):
+        held: dict[tuple[str, str], list] = {}
+
+        def total():
+            ends = pa.array((np.arange(len(held) + 1) * sims).astype("i4"))
+            sums, known = (np.concatenate([x[j] for x in held.values()]) for j in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held]), pa.ListArray.from_arrays(ends, pa.array(sums, mask=~known))], ["level", "member", "sums"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, DRAWN):
+                b = whole.slice(at, DRAWN)
+                flat = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)  # noqa: B023, E731
+                lo, hi = (b.column(c).to_numpy(zero_copy_only=False).astype("f8") for c in ("_lo", "_hi"))
+                units = quantiles_between(flat("_x") @ beta, lo, hi, flat("_u"), sd, nu)
+                known = ~np.isnan(units)
+                units = np.where(known, units, 0.0)
+                for i, level in enumerate(names):
+                    coded = b.column(f"_m{i}").dictionary_encode()
+                    code = coded.indices.to_numpy(zero_copy_only=False)
+                    order = np.argsort(code, kind="stable")
+                    starts = np.searchsorted(code[order], np.arange(len(coded.dictionary)))
+                    for name, s, k in zip(coded.dictionary.to_pylist(), np.add.reduceat(units[order], starts), np.logical_or.reduceat(known[order], starts), strict=True):
+                        if (level, name) in held:
+                            own = held[level, name]
+                            own[0], own[1] = own[0] + s, own[1] | k
+                        else:
+                            held[level, name] = [s, k]
+                if len(held) > GROUPS:
+                    yield total()
+                    held.clear()
+        if held:
+            yield total()
+
+    parts = rows.mapInArrow(add, "level string, member string, sums array<double>")
+    return parts.select("level", "member", F.posexplode("sums").alias("sim", "v")).groupBy("level", "member", "sim").agg(F.sum("v").alias("drawn"))
+
+
 def group_intervals(draws: DataFrame, groups: DataFrame, key: str, by: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Quantiles of each group's summed draws."""
     totals = draws.join(groups.select(key, by), key).groupBy("sim", by).agg(F.sum("units").alias("total"))

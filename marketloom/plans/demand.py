@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import anchoring as A
 from marketloom.operators import demand as D
 from marketloom.operators.scores import LADDER, observation_interval
-from marketloom.plans.base import Book
+from marketloom.plans.base import MONTH, Book
 from marketloom.session import materialize
 
 Q = Book()
@@ -17,7 +17,8 @@ QUERIES, SQL = Q.queries, Q.sql
 def _observed(v):
     """Listings whose month's sales show as badges: the rung they have reached, or nothing."""
     rung = F.array_max(F.filter(F.array(*[F.lit(x) for x in LADDER]), lambda x: x <= F.col("sales") * 10))
-    df = v.listing.withColumn("x", rung)
+    sales = v.snapshot.where(F.col("period") == F.lit(MONTH).cast("timestamp_ntz")).select("id", "sales")
+    df = v.parts.join(sales, "id", "left").withColumn("x", rung)
     low, high = observation_interval("x")
     df = df.withColumns({"low": low, "high": high})
     return D.design(df, ["price", "size"])
@@ -63,12 +64,12 @@ def k7(v):
 @Q.add("K7_anchored_intervals")
 def k7_anchored(v):
     """Products, segments and the market: 95 % of totals drawn under the family of the least AIC, inside the bounds, with means that add up."""
-    df, _ = _observed(v)
+    df = materialize(_observed(v)[0].select("id", "title", "segment", "price", "size", "low", "high"), "listings")  # sales are read once
     df, names = D.market_design(df, "price", ["size"], "segment")
     df = materialize(df, "observed")
-    fit = D.fit_families(df, "low", "high", names)[0]
-    draws, rows = D.family_draws(df, "id", "low", "high", fit, keep=("title", "segment")), D.within_bounds(df, "low", "high", fit)
-    return A.level_intervals(A.anchored_totals(draws, rows, "id", {"product": "title", "segment": "segment", "market": None}, "low", "high", "units"))
+    fit, levels = D.fit_families(df, "low", "high", names)[0], {"product": "title", "segment": "segment", "market": None}
+    drawn, rows = D.family_totals(df, "id", "low", "high", fit, levels), D.within_bounds(df, "low", "high", fit, ())
+    return A.level_intervals(A.anchored_totals(drawn, rows, "id", levels, "low", "high", "units"))
 
 
 @Q.add("K8_held_out_auc")
